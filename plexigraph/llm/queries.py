@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from plexigraph.llm.line_dedup import OP6_SQL, op6_line_dedup
 from plexigraph.llm.packing import op1_best_fit_packing
+from plexigraph.llm.sharding import op7_sharding
+from plexigraph.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_warc": op4_warc,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sharding": op7_sharding,
 }
 
 SQL = {
+    "op4_warc": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
 }
