@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plexigraph.llm.line_dedup import OP6_SQL, op6_line_dedup
 from plexigraph.llm.packing import op1_best_fit_packing
+from plexigraph.llm.secrets import OP8_SQL, op8_secret_scans
 from plexigraph.llm.sharding import op7_sharding
 from plexigraph.llm.warc import OP4_SQL, op4_warc
 
@@ -12,9 +13,11 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
+    "op8_secret_scans": op8_secret_scans,
 }
 
 SQL = {
     "op4_warc": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op8_secret_scans": OP8_SQL,
 }
