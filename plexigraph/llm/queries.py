@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plexigraph.llm.decontaminate import OP2_SQL, op2_decontamination
 from plexigraph.llm.line_dedup import OP6_SQL, op6_line_dedup
+from plexigraph.llm.near_dedup import op10_minhash_near_dedup
 from plexigraph.llm.packing import op1_best_fit_packing
 from plexigraph.llm.quality_rules import OP3_SQL, op3_quality_rules
 from plexigraph.llm.secrets import OP8_SQL, op8_secret_scans
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL = {
