@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from plexigraph.llm.decontaminate import OP2_SQL, op2_decontamination
+from plexigraph.llm.language_id import op5_language_id
 from plexigraph.llm.line_dedup import OP6_SQL, op6_line_dedup
 from plexigraph.llm.near_dedup import op10_minhash_near_dedup
 from plexigraph.llm.packing import op1_best_fit_packing
+from plexigraph.llm.quality_net import op9_quality_classifier
 from plexigraph.llm.quality_rules import OP3_SQL, op3_quality_rules
 from plexigraph.llm.secrets import OP8_SQL, op8_secret_scans
 from plexigraph.llm.sharding import op7_sharding
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
