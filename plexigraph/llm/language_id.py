@@ -193,23 +193,45 @@ def train(docs: DataFrame, per_language: int = 600, most: int = 6000, epochs: in
     return Model(langs, idf, w, bias, scale, temperature)
 
 
+def _best(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    pred, score = ["und"] * len(texts), np.zeros(len(texts))
+    known = [k for k, t in enumerate(texts) if has_letter(t)] if model else []
+    if known:
+        p = model.scores([texts[k] for k in known])
+        best = p.argmax(axis=1)
+        score[known] = p[np.arange(len(best)), best]
+        for k, b in zip(known, best, strict=True):
+            pred[k] = model.langs[b]
+    return pred, score
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """docs, all columns, whose text has a letter and a language with a score of `least` or more.
+
+    Without a model (no labelled document at all) texts with a letter stay.
+    """
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if held.value is None:
+                keep = [has_letter(t) for t in texts]
+            else:
+                keep = [x != "und" and y >= least for x, y in zip(*_best(held.value, texts), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text) as (doc_id, lang_pred, score)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = held.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [k for k, t in enumerate(texts) if has_letter(t)] if m else []
-            if known:
-                p = m.scores([texts[k] for k in known])
-                best = p.argmax(axis=1)
-                score[known] = p[np.arange(len(best)), best]
-                for k, b in zip(known, best, strict=True):
-                    pred[k] = m.langs[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            pred, score = _best(held.value, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
