@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, counted now; else as it is.
+
+    For narrow, stored tables: counting one reads no more than its footers.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to produce (case-insensitive, as Spark)."""
     low = {x.lower() for x in names}

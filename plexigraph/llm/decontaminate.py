@@ -7,11 +7,13 @@ is hit.
 
 1. Rarity. One pass counts the benchmark's words over all documents (map-side sums); the words of
    each window are ordered by that count.
-2. Prefix. A document that holds a window holds all of its words, so a prefix of one word, the
-   rarest, is enough: documents' words are joined with those rarest words only.
+2. Prefix. A document that holds a window holds all of its words, so a prefix of the rarest ones is
+   necessary: documents' words are joined with each window's two rarest places only.
 3. Bounds. A match at place i of the document and place p of the window can only be the occurrence
-   that starts at i - p, which must not lie before the first word or end after the last one.
-4. Verification. The window is compared with the document's words at that start, exactly.
+   that starts at i - p, which must not lie before the first word or end after the last one; a start
+   is a candidate if all places of the prefix agree on it.
+4. Verification. The window is compared with the document's words at that start, exactly; only
+   documents with a candidate are read for it.
 
 Words of documents are exploded as (document key, place, word) without the text, and only a side
 whose counted rows are under `broadcast_rows` is broadcast; larger benchmarks are joined by
@@ -27,9 +29,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import stash, table
+from plexigraph.llm._common import if_small, stash, table
 
 SIZE = 13
+#: Places of a window that documents' words are joined with: two rare words at their distance hardly meet by chance.
+PREFIX = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The word pattern before lower-casing: A-Z belong to words, as they become a-z.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,7 +62,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     `items` is the sorted list of item ids as strings; a document is contaminated if it has a hit
     and at least `percent` per cent of its words are hit.
     """
-    windows = stash(windows_of(benchmark, size), "windows")
+    windows = stash(windows_of(benchmark, size).withColumn("wid", F.monotonically_increasing_id()), "windows")
     small = windows.count() <= broadcast_rows
     held = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
@@ -67,40 +71,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     spoken = docs.select(F.explode(_raw("text")).alias("raw")).select(_low(F.col("raw")).alias("word"))
     counts = stash(spoken.join(held(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "word-counts")
 
-    # 2. Prefixes: each window's rarest word, at its first place.
-    placed = windows.select(F.xxhash64("win").alias("w"), "win", "items", F.posexplode("win").alias("p", "word"))
-    rarest = placed.join(counts, "word").groupBy("win", "items").agg(F.min(F.struct("n", "word", "p")).alias("m"), F.count("*").alias("here")).filter(F.col("here") == F.size("win"))
-    prefixes = stash(rarest.select(F.col("m.word").alias("word"), F.col("m.p").alias("p"), "win", "items"), "prefixes")
+    # 2. Prefixes: each window's rarest places, by (count, word, place). Windows with a word that no document has are out.
+    placed = windows.select("wid", F.size("win").alias("len"), F.posexplode("win").alias("p", "word"))
+    ranked = placed.join(counts, "word").groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct("n", "word", "p"))).alias("places")).filter(F.size("places") == F.col("len"))
+    first = ranked.select("wid", "len", F.posexplode(F.slice("places", 1, PREFIX)).alias("rank", "place"))
+    prefixes = stash(first.select(F.col("place.word").alias("word"), F.col("place.p").alias("p"), F.expr("shiftleft(1, rank)").alias("bit"), "wid", "len"), "prefixes")
 
-    # 3. Candidates within bounds, by document.
+    # 3. Candidates: starts within bounds at which every place of the prefix agrees.
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _raw("text").alias("raw"))
     at = keyed.select("doc_id", "text_hash", F.size("raw").alias("n_words"), F.posexplode("raw").alias("i", "r")).select("doc_id", "text_hash", "n_words", "i", _low(F.col("r")).alias("word"))
-    near = at.join(held(prefixes.select("word").distinct()), "word", "left_semi")
-    started = near.join(held(prefixes), "word").withColumn("start", F.col("i") - F.col("p"))
-    bounded = started.filter((F.col("start") >= 0) & (F.col("start") + F.size("win") <= F.col("n_words")))
-    candidates = bounded.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "win", "items")).alias("c"))
+    near = at.join(held(prefixes), "word").withColumn("start", F.col("i") - F.col("p"))
+    bounded = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+    agreed = bounded.groupBy("doc_id", "text_hash", "start", "wid", "len").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.expr(f"shiftleft(1, least(len, {PREFIX})) - 1"))
+    candidates = stash(agreed.select("doc_id", "text_hash", "start", "wid"), "candidates")
 
     # 4. Exact verification against the words, then what each document has been hit by.
-    c = candidates.select(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch"), "c")
+    keys = candidates.select(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).distinct()
     full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    both = full.join(c, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))).select("doc_id", "text_hash", "c", F.transform(_raw("text"), _low).alias("w"))
-    found = F.sort_array(F.transform(F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["win"])) == x["win"]), lambda x: F.struct(x["start"].alias("s"), (x["start"] + F.size(x["win"])).alias("e"), x["items"].alias("items"))))
+    same = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))
+    some = full.join(if_small(keys, broadcast_rows), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    c = candidates.join(held(windows), "wid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
+    both = some.join(c, same).select("doc_id", "text_hash", "c", F.transform(_raw("text"), _low).alias("w"))
+    true = both.select("doc_id", "text_hash", F.inline(F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["win"])) == x["win"])))
+    spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.size("win")).alias("e")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
     covered = F.aggregate("found", zero, lambda a, x: F.struct((a["total"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("total"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["total"])
-    hits = both.select("doc_id", "text_hash", found.alias("found")).filter(F.size("found") > 0)
-    hits = hits.select("doc_id", "text_hash", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
-    hits = hits.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
+    hits = stash(spans.select("hd", "hh", covered.alias("n_hit"), "items"), "hits")
 
     sizes = keyed.select("doc_id", "text_hash", F.size("raw").cast("long").alias("n_words"))
-    out = sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("text_hash") == F.col("hh")), "left")
+    out = sizes.join(if_small(hits, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("text_hash") == F.col("hh")), "left")
     n_hit, items = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h")), "left_anti")
+    bad = stash(decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
+    return docs.join(if_small(bad, 200_000), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h")), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
