@@ -35,22 +35,39 @@ SIZE = 13
 #: Places of a window that documents' words are joined with: two rare words at their distance hardly meet by chance.
 PREFIX = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The word pattern before lower-casing: A-Z belong to words, as they become a-z.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters beyond ASCII that lower() would change.
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
 
 
-def _raw(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0))
+def _low(text: Column) -> Column:
+    """A-Z lower-cased only. lower() does that, and fast, where no other character has a lower case."""
+    plain = (F.length(text) == F.octet_length(text)) | ~text.rlike(OTHER_CAPITALS)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _low(word: Column) -> Column:
-    """A-Z lower-cased only: lower() would also change letters beyond ASCII."""
-    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).when(word.rlike("[A-Z]"), F.translate(word, UPPER, LOWER)).otherwise(word)
+def _split(text: str) -> Column:
+    """The words, with an empty string first or last where the text starts or ends in a gap."""
+    return F.split(_low(F.coalesce(F.col(text), F.lit(""))), GAP, -1)
+
+
+def _empty_first(parts: Column) -> Column:
+    return (F.get(parts, F.lit(0)) == "").cast("int")
+
+
+def _n_words(parts: Column) -> Column:
+    last = (F.get(parts, F.size(parts) - 1) == "").cast("int")
+    return F.when(F.size(parts) == 1, 1 - last).otherwise(F.size(parts) - _empty_first(parts) - last)
+
+
+def _words(parts: str) -> Column:
+    return F.slice(F.col(parts), _empty_first(F.col(parts)) + 1, _n_words(F.col(parts)))
 
 
 def windows_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """(win array<string>, items array<string>): the distinct windows and the items that have them."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item"), F.transform(_raw("text"), _low).alias("w")).filter(F.size("w") > 0)
+    words = benchmark.select(F.col("item_id").cast("string").alias("item"), _split("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
     return each.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -68,7 +85,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
 
     # 1. Rarity of the benchmark's words over all documents.
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    spoken = docs.select(F.explode(_raw("text")).alias("raw")).select(_low(F.col("raw")).alias("word"))
+    spoken = docs.select(F.explode(_split("text")).alias("word"))
     counts = stash(spoken.join(held(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "word-counts")
 
     # 2. Prefixes: each window's rarest places, by (count, word, place). Windows with a word that no document has are out.
@@ -78,8 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     prefixes = stash(first.select(F.col("place.word").alias("word"), F.col("place.p").alias("p"), F.expr("shiftleft(1, rank)").alias("bit"), "wid", "len"), "prefixes")
 
     # 3. Candidates: starts within bounds at which every place of the prefix agrees.
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _raw("text").alias("raw"))
-    at = keyed.select("doc_id", "text_hash", F.size("raw").alias("n_words"), F.posexplode("raw").alias("i", "r")).select("doc_id", "text_hash", "n_words", "i", _low(F.col("r")).alias("word"))
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _split("text").alias("parts"))
+    at = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).alias("n_words"), _empty_first(F.col("parts")).alias("skip"), F.posexplode("parts").alias("k", "word")).withColumn("i", F.col("k") - F.col("skip"))
     near = at.join(held(prefixes), "word").withColumn("start", F.col("i") - F.col("p"))
     bounded = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
     agreed = bounded.groupBy("doc_id", "text_hash", "start", "wid", "len").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.expr(f"shiftleft(1, least(len, {PREFIX})) - 1"))
@@ -91,14 +108,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     same = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))
     some = full.join(if_small(keys, broadcast_rows), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     c = candidates.join(held(windows), "wid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
-    both = some.join(c, same).select("doc_id", "text_hash", "c", F.transform(_raw("text"), _low).alias("w"))
+    both = some.join(c, same).select("doc_id", "text_hash", "c", _split("text").alias("parts")).select("doc_id", "text_hash", "c", _words("parts").alias("w"))
     true = both.select("doc_id", "text_hash", F.inline(F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["win"])) == x["win"])))
     spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.size("win")).alias("e")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
     covered = F.aggregate("found", zero, lambda a, x: F.struct((a["total"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("total"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["total"])
     hits = stash(spans.select("hd", "hh", covered.alias("n_hit"), "items"), "hits")
 
-    sizes = keyed.select("doc_id", "text_hash", F.size("raw").cast("long").alias("n_words"))
+    sizes = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).cast("long").alias("n_words"))
     out = sizes.join(if_small(hits, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("text_hash") == F.col("hh")), "left")
     n_hit, items = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
