@@ -1,0 +1,105 @@
+"""Change operators: snapshots, runs, drift, fingerprints and incremental plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, status) of snapshots(path, content_hash): added, removed, modified or unchanged."""
+    o = old.select("path", F.col("content_hash").alias("__o"), F.lit(True).alias("__a"))
+    n = new.select("path", F.col("content_hash").alias("__n"), F.lit(True).alias("__b"))
+    j = o.join(n, "path", "full")
+    return j.select("path", F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__o").eqNullSafe(F.col("__n")), "unchanged").otherwise("modified").alias("status"))
+
+
+def change_counts(diff: DataFrame) -> DataFrame:
+    return diff.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("unchanged", "modified", "added", "removed")])
+
+
+def phases(path: Column) -> Column:
+    """Phases to redo for a changed path: a manifest redoes all, sources theirs, others none."""
+    name = F.substring_index(path, "/", -1)
+    manifest = name.isin("Cargo.toml", "package.json", "tsconfig.json", "cjpm.toml", "pyproject.toml", "compile_commands.json")
+    source = name.rlike(r"\.(rs|ts|tsx|js|py|c|h|cpp|hpp|cj|ets|sh)$")
+    return F.when(manifest, F.array(*[F.lit(x) for x in ("manifest", "parse", "symbols", "imports", "references", "graph")])).when(source, F.array(*[F.lit(x) for x in ("parse", "symbols", "imports", "references", "graph")])).otherwise(F.array().cast("array<string>"))
+
+
+def incremental_plan(diff: DataFrame, had_previous: bool = True, preview: int = 20) -> DataFrame:
+    """One row: counts, strategy, the first dirty paths and how many more there are.
+
+    No previous snapshot, or added or removed files: fullAnalysis. Modified only:
+    fileScopedCandidate. Nothing: reuse. The preview is a top-k, not a sort of all paths.
+    """
+    counts = change_counts(diff)
+    dirty = diff.filter("status <> 'unchanged'")
+    top = dirty.orderBy("path").limit(preview).agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("preview"))  # at most `preview` rows
+    strategy = F.lit("fullAnalysis") if not had_previous else F.when(F.col("added") + F.col("removed") > 0, "fullAnalysis").when(F.col("modified") > 0, "fileScopedCandidate").otherwise("reuse")
+    n = F.col("modified") + F.col("added") + F.col("removed")
+    return counts.join(F.broadcast(top)).select("unchanged", "modified", "added", "removed", strategy.alias("strategy"), "preview", F.greatest(n - preview, F.lit(0)).alias("omitted"))
+
+
+def compare_runs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): rows of one run only, as `added` or `removed`."""
+    o, n = old.select(*keys).distinct(), new.select(*keys).distinct()
+    return n.join(o, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(o.join(n, keys, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def baseline_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(target, metric, change, level) of (target, metric, value) tables.
+
+    Counts: a drop of 10 % warns, of 20 % fails. `elapsed`: a rise of 50 or 150 %. `rate`: a rise
+    of .05 or .10. A zero baseline is no change.
+    """
+    j = baseline.withColumnRenamed("value", "b").join(current.withColumnRenamed("value", "c"), ["target", "metric"])
+    rel = F.when(F.col("b") == 0, 0.0).otherwise((F.col("c") - F.col("b")) / F.col("b"))
+    change = F.round(F.when(F.col("metric") == "rate", F.col("c") - F.col("b")).otherwise(rel), 4)
+    j = j.withColumn("change", change)
+    x = F.when(F.col("metric").isin("rate", "elapsed"), F.col("change")).otherwise(-F.col("change"))
+    warn = F.when(F.col("metric") == "rate", 0.05).when(F.col("metric") == "elapsed", 0.5).otherwise(0.1)
+    fail = F.when(F.col("metric") == "rate", 0.1).when(F.col("metric") == "elapsed", 1.5).otherwise(0.2)
+    return j.select("target", "metric", "change", F.when(x >= fail, "fail").when(x >= warn, "warn").otherwise("ok").alias("level"))
+
+
+def fingerprint(rows: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
+    """(group, n, fingerprint): a digest that doesn't depend on order: the sum of 60-bit row digests, modulo a prime.
+
+    Rows add up on the map side, so a group of any size is one number on its way.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    part = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.withColumn("__x", part).groupBy(*group).agg(F.count("*").alias("n"), (F.sum("__x") % F.lit(2305843009213693951).cast("decimal(38,0)")).cast("long").alias("fingerprint"))
+
+
+def changed_symbols(overlaps: DataFrame) -> DataFrame:
+    """(symbol, hunks, kinds): hunks per symbol and the sorted set of their kinds."""
+    return overlaps.groupBy("symbol").agg(F.count("*").alias("hunks"), F.array_join(F.sort_array(F.collect_set("change_kind")), ",").alias("kinds"))
+
+
+def surface(path: Column) -> Column:
+    """unsupported, fixture, test, docs, webui, script or production, in this order of rules."""
+    p = F.lower(path)
+    return F.when(p.rlike(r"\.(bin|exe|lock)$"), "unsupported").when(p.rlike(r"(^|/)fixtures?/"), "fixture").when(p.rlike(r"(^|/)tests?/|_test\.|\.test\.|\.spec\."), "test").when(p.rlike(r"(^|/)docs?/|\.md$"), "docs").when(p.rlike(r"(^|/)webui/"), "webui").when(p.rlike(r"(^|/)scripts?/|\.sh$"), "script").otherwise("production")
+
+
+def impact_group(kind: Column, surface_: Column, confidence: Column) -> Column:
+    """direct, unsupportedBoundary, fixtureOnly, highConfidence (from .65) or lowConfidence."""
+    return F.when(kind == "direct", "direct").when(kind == "unsupported_boundary", "unsupportedBoundary").when(surface_ == "fixture", "fixtureOnly").when(confidence >= 0.65, "highConfidence").otherwise("lowConfidence")
+
+
+def suppressed(group: Column, policy: str) -> Column:
+    """daily hides fixtures, low confidence and boundaries; include-fixtures shows fixtures; strict hides all but direct and high confidence."""
+    if policy == "daily":
+        return group.isin("fixtureOnly", "lowConfidence", "unsupportedBoundary")
+    if policy == "include-fixtures":
+        return group.isin("lowConfidence", "unsupportedBoundary")
+    return ~group.isin("direct", "highConfidence")
+
+
+def private_path(path: Column) -> Column:
+    """Paths of tools' own state that reports leave out."""
+    return path.rlike(r"(^|/)\.(agents?|cache|idea|vscode)(/|$)")
+
+
+def duration_bucket(files: Column) -> Column:
+    return F.when(files <= 10, "short").when(files <= 50, "medium").when(files <= 200, "long").otherwise("very-long")
