@@ -1,30 +1,56 @@
-"""Corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: five stages from raw documents to packed training sequences.
+
+Each stage gets what its predecessor kept, read back from Parquet, and its decisions take effect:
+language ID rejects texts without a letter and those whose best language stays under LEAST_SCORE;
+line dedup takes lines out that ten documents or more share; near-dedup leaves one document of each
+group (five-word shingles, similarity 0.8 or more); decontamination drops contaminated documents;
+packing lays the rest out in sequences. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm import line_dedup as dedup
-from plexigraph.llm import packing
+from plexigraph.llm import decontaminate, language_id, line_dedup, near_dedup, packing
 from plexigraph.llm._common import stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Four languages at equal odds are 0.25 each; a score under this says the model has no idea.
+LEAST_SCORE = 0.3
 
 
-def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    model = language_id.train(docs.filter(language_id.remainder("doc_id", 3) != 1))
+    return language_id.keep_known(docs, model, LEAST_SCORE)
 
-    out = dedup.dedup_lines(docs.select(*COLUMNS), min_docs=10)
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=10)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup_near(docs.select(*COLUMNS), words=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("line dedup", drop_common_lines), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("language id", identify_language),
+    ("line dedup", drop_common_lines),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Language ID, near-duplicate removal and packing have no SQL form; tests/llm compares run() with a brute-force version.
+#: Language ID, near-dedup and packing have no SQL form; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
