@@ -27,7 +27,8 @@ At a similarity of 0.8, a pair shares a region in one of 20 trees of depth 3 wit
 1 - (1 - 0.512)^20 = 0.9999994.
 
 Null text has no words. Null doc_ids link like others but never become a component's id unless all
-of it are null; `kept` compares null-safe. Repeated rows are kept alike (they share the doc_id). An
+of it are null, in which case one class of them is kept. Repeated rows are kept alike (they share
+the doc_id); `dedup_near` leaves one of them. An
 empty table is fine. Extra columns are ignored.
 """
 
@@ -39,11 +40,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import stash, table
+from plexigraph.llm._common import if_small, stash, table
 from plexigraph.llm.components import components
 
 TREES, DEPTH = 20, 3
 COLUMNS = TREES * DEPTH + 4
+#: Counted rows (ids and hashes) up to which a side is broadcast rather than exchanged with the texts.
+BROADCAST_ROWS = 500_000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -298,7 +301,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, word
     parts = F.ceil(F.greatest(F.col("n") / block, F.col("s") / block_shingles)).cast("int")
     found = stash(found.join(sizes.select("component", parts.alias("parts")), "component").select("rid", "component", "parts", F.col("rep.doc_id").alias("rd"), F.col("rep.h").alias("rh")), "candidates")
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    texts = keyed.join(found, keyed["doc_id"].eqNullSafe(found["rd"]) & (keyed["h"] == found["rh"])).select("rid", "component", "parts", "text")
+    texts = keyed.join(if_small(found, BROADCAST_ROWS), keyed["doc_id"].eqNullSafe(found["rd"]) & (keyed["h"] == found["rh"])).select("rid", "component", "parts", "text")
     large = found.filter("parts > 1").limit(1).count() > 0
     texts = stash(texts, "candidate-texts") if large else texts
     own = texts.withColumn("task", F.xxhash64("component", F.expr("pmod(xxhash64(rid), parts)"))).select("task", "rid", F.col("rid").alias("label"), F.lit(True).alias("seed"), "text")
@@ -340,16 +343,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region:
     joined = components(confirmed_links(docs, classes, groups, words, percent, block))
     named = classes.select("digest", "rid", "low").join(joined.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("component", "rid"))
     lows = named.filter(F.col("component").isNotNull()).groupBy("root").agg(F.min("low").alias("least"))
-    ids = named.join(lows, "root", "left").select("digest", F.coalesce("least", "low").alias("component_id"))
+    ids = named.join(lows, "root", "left").select("digest", F.coalesce("least", "low").alias("component_id"), (F.col("rid") == F.col("root")).alias("is_root"))
     out = rows.select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("h").alias("text_hash"), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNotNull() | F.coalesce("is_root", F.lit(True)))
+    return out.select("doc_id", F.col("h").alias("text_hash"), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def dedup_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates, all columns as they were."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h")), "left_anti")
+    """docs with one document of each group of near-duplicates, all columns as they were.
+
+    Of repeated rows (equal id and text) one stays.
+    """
+    flags = stash(near_duplicates(docs, words, percent), "near")
+    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h"))
+    gone = stash(flags.filter("not kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "gone")
+    left = docs.join(if_small(gone, BROADCAST_ROWS), same, "left_anti")
+    if flags.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        left = left.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")
     return left
 
 
