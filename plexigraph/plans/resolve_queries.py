@@ -155,7 +155,7 @@ _TSREFS = [
 ]
 
 
-@query("ts_import_resolution", """SELECT * FROM (VALUES (1, 'src/app.ts', 0.9, 'relative'), (2, 'src/lib/index.ts', 0.9, 'relative'), (3, NULL, 0.0, 'unresolved'), (4, 'src/util.d.ts', 0.85, 'path-wildcard'), (5, NULL, 0.0, 'unresolved'),
+@query("ts_import_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'src/app.ts', 0.9, 'relative'), (2, 'src/lib/index.ts', 0.9, 'relative'), (3, NULL, 0.0, 'unresolved'), (4, 'src/util.d.ts', 0.85, 'path-wildcard'), (5, NULL, 0.0, 'unresolved'),
 (6, 'packages/core/src/index.ts', 0.8, 'workspace'), (7, 'packages/core/src/io.ts', 0.75, 'subpath'), (8, NULL, 0.0, 'unresolved'), (9, 'src/app.ts', 0.9, 'path-exact')) v(ref, target, confidence, reason)""")
 def ts_imports(spark, d):
     from plexigraph.operators import imports
@@ -167,7 +167,7 @@ def ts_imports(spark, d):
     return out.select("ref", "target", F.col("confidence").cast("decimal(3,2)").cast("double").alias("confidence"), "reason")
 
 
-@query("include_resolution", """SELECT * FROM (VALUES (1, 'src/a.h', 0.95, 'same-dir'), (2, 'inc/b.h', 0.85, 'project-dir'), (3, 'deep/x/only.h', 0.6, 'unique-basename'), (4, NULL, 0.0, 'ambiguous'), (5, 'inc/b.h', 0.75, 'angle'), (6, NULL, 0.0, 'external'), (7, 'top.h', 0.85, 'project-root')) v(ref, target, confidence, reason)""")
+@query("include_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'src/a.h', 0.95, 'same-dir'), (2, 'inc/b.h', 0.85, 'project-dir'), (3, 'deep/x/only.h', 0.6, 'unique-basename'), (4, NULL, 0.0, 'ambiguous'), (5, 'inc/b.h', 0.75, 'angle'), (6, NULL, 0.0, 'external'), (7, 'top.h', 0.85, 'project-root')) v(ref, target, confidence, reason)""")
 def include_resolution(spark, d):
     from plexigraph.operators import imports
 
@@ -176,7 +176,7 @@ def include_resolution(spark, d):
     return imports.resolve_includes(refs, files, quote_dirs=[], project_dirs=["inc"]).select("ref", "target", "confidence", "reason")
 
 
-@query("python_import_resolution", """SELECT * FROM (VALUES (1, 'pkg/a.py', 0.9, 'absolute'), (2, 'pkg/a.py', 0.85, 'relative'), (3, 'pkg/__init__.py', 0.9, 'absolute'), (4, 'pkg/sub/b.py', 0.75, 'reexport'), (5, NULL, 0.0, 'unresolved'), (6, 'pkg/__init__.py', 0.8, 'package')) v(ref, target, confidence, reason)""")
+@query("python_import_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'pkg/a.py', 0.9, 'absolute'), (2, 'pkg/a.py', 0.85, 'relative'), (3, 'pkg/__init__.py', 0.9, 'absolute'), (4, 'pkg/sub/b.py', 0.75, 'reexport'), (5, NULL, 0.0, 'unresolved'), (6, 'pkg/__init__.py', 0.8, 'package')) v(ref, target, confidence, reason)""")
 def python_imports(spark, d):
     from plexigraph.operators import imports
 

@@ -1,0 +1,184 @@
+import pytest
+from pyspark.sql import functions as F
+
+from plexigraph import model
+from plexigraph.functions import paths
+from plexigraph.operators import change, core, imports, resolve, scores, text, traverse, workspace
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'long'}" for k, v in values.items()))
+    return df.select(column.alias("x")).first()["x"]
+
+
+def edges(spark, rows):
+    return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "source string, target string, confidence double")
+
+
+def ids(df, col="id"):
+    return {r[col] for r in df.collect()}
+
+
+def test_wildcard_disambiguates_equal_names(spark):
+    symbols = spark.createDataFrame([("c::h", "helper_func", "function", "calculations", "p", "c.rs"), ("u::h", "helper_func", "function", "utils", "p", "u.rs"), ("u::p", "process", "function", "utils", "p", "u.rs")], "id string, name string, kind string, module string, package string, file string")
+    calls = spark.createDataFrame([(1, "helper_func", "lib", "p", "lib.rs"), (2, "process", "lib", "p", "lib.rs"), (3, "gone", "lib", "p", "lib.rs")], "ref int, name string, module string, package string, file string")
+    wild = spark.createDataFrame([("lib", "*", "calculations")], "module string, name string, target string")
+    got = {r["ref"]: (r["target"], r["confidence"], r["reason"]) for r in resolve.call_cascade(calls, symbols, wild).collect()}
+    assert got == {1: ("c::h", 0.80, "same-crate"), 2: ("u::p", 0.80, "same-crate"), 3: (None, 0.0, "unresolved")}
+    none = {r["ref"]: r["target"] for r in resolve.call_cascade(calls, symbols, wild.limit(0)).collect()}
+    assert none[1] is None and none[2] == "u::p"
+
+
+def test_same_file_fallback(spark):
+    symbols = spark.createDataFrame([("inner::compute", "compute", "function", "crate::inner", "p", "lib.rs")], "id string, name string, kind string, module string, package string, file string")
+    calls = spark.createDataFrame([(1, "compute", "crate", "p", "lib.rs")], "ref int, name string, module string, package string, file string")
+    none = spark.createDataFrame([], "module string, name string, target string")
+    r = resolve.call_cascade(calls, symbols, none).first()
+    assert (r["target"], r["confidence"], r["reason"]) == ("inner::compute", 0.70, "same-file-unique")
+
+
+def test_blocking_stage_is_ambiguous(spark):
+    refs = spark.createDataFrame([("r",)], "ref string")
+    two = spark.createDataFrame([("r", "a"), ("r", "b")], "ref string, target string")
+    one_ = spark.createDataFrame([("r", "z")], "ref string, target string")
+    assert resolve.cascade(refs, [("x", 0.9, two, True), ("y", 0.5, one_, True)]).first()["reason"] == "ambiguous"
+    assert resolve.cascade(refs, [("x", 0.9, two, False), ("y", 0.5, one_, True)]).first()["target"] == "z"
+
+
+@pytest.fixture
+def shop(spark):
+    e = spark.createDataFrame([("workspace:root", "project:rust-core", "contains", 1.0), ("workspace:root", "project:web-ui", "contains", 1.0), ("workspace:root", "project:legacy-java", "contains", 1.0), ("project:web-ui", "project:rust-core", "depends_on", 0.85), ("project:rust-core", "project:legacy-java", "unsupported_boundary", 0.45)], "source string, target string, kind string, confidence double")
+    p = spark.createDataFrame([("project:rust-core", True), ("project:web-ui", True), ("project:legacy-java", False)], "id string, supported boolean")
+    return e, p
+
+
+def test_workspace_impact(spark, shop):
+    e, p = shop
+    start = spark.createDataFrame([("project:rust-core",)], "id string")
+    rows = workspace.impact_report(e, start, p, 3).collect()
+    assert [(r["id"], r["depth"], r["confidence"], r["risk"]) for r in rows] == [("project:legacy-java", 1, model.WEAK_CAP, "high")]
+    up = {r["id"]: (r["depth"], r["confidence"]) for r in traverse.workspace_impact(traverse.reverse(e), start, 3).collect()}
+    assert up["project:web-ui"] == (1, 0.85) and up["workspace:root"][0] == 1
+
+
+@pytest.mark.parametrize(("n", "u", "want"), [(10, False, "critical"), (1, True, "high"), (4, False, "high"), (2, False, "medium"), (1, False, "low"), (0, False, "none")])
+def test_risk_ladder(spark, n, u, want):
+    assert one(spark, scores.impact_risk(F.col("n"), F.lit(u)), n=n) == want
+
+
+def test_bfs_on_a_cycle_with_the_best_bottleneck(spark):
+    e = edges(spark, [("a", "b", 0.5), ("b", "a", 0.9), ("a", "c", 0.4), ("b", "d", 0.8), ("c", "d", 0.9), ("d", "e", 1)])
+    got = {r["id"]: (r["depth"], r["confidence"]) for r in traverse.bfs(e, spark.createDataFrame([("a",)], "id string"), 4).collect()}
+    assert got == {"a": (0, 1.0), "b": (1, 0.5), "c": (1, 0.4), "d": (2, 0.5), "e": (3, 0.5)}
+
+
+def test_paths_are_simple(spark):
+    e = edges(spark, [("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("c", "d", 1)])
+    assert ids(traverse.paths(e, spark.createDataFrame([("a",)], "id string"), 3), "path") == {"a>b>c", "a>b>c>d"}
+
+
+def test_cycles(spark):
+    e = edges(spark, [("b", "a", 1), ("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("x", "x", 1)])
+    assert [tuple(r) for r in traverse.two_cycles(e).collect()] == [("a", "b")]
+    assert [tuple(r) for r in traverse.three_cycles(e).collect()] == [("a", "b", "c")]
+
+
+def test_merge_is_independent_of_order(spark):
+    parts = [spark.createDataFrame([(i, f"n{k}{i}") for i in range(k, k + 3)], "id int, name string") for k in range(3)]
+    results = [sorted(tuple(r) for r in core.merge_artifacts([parts[k] for k in order], ["name"]).collect()) for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0))]
+    assert results[0] == results[1] == results[2] and len(results[0]) == 5
+
+
+def test_paging(spark):
+    df = spark.range(25)
+    pages = [core.page_slice(df, ["id"], p, 10).collect() for p in range(4)]
+    assert [len(p) for p in pages] == [10, 10, 5, 0]
+    assert [(p[0]["has_more"], p[0]["has_prev"], p[0]["total"]) for p in pages[:3]] == [(True, False, 25), (True, True, 25), (False, True, 25)]
+    assert core.page_slice(df, ["id"], 0, 0).count() == 25
+
+
+def test_gates_and_external_nodes(spark):
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",)], "id string").withColumn("label", F.lit("symbol"))
+    e = spark.createDataFrame([("CALLS", "a", "std::x"), ("CALLS", "a", "std::x"), ("DEFINES", "z", "b")], "edge_type string, source string, target string")
+    got = {r["gate"]: r["failures"] for r in core.quality_gates(nodes, e).collect()}
+    assert got == {"duplicate_nodes": 1, "duplicate_edges": 1, "dangling_source": 1, "dangling_target": 2, "deterministic": 0, "calls_endpoint_integrity": 2, "external_symbol_marking": 0}
+    assert [(r["id"], r["name"]) for r in core.external_nodes(nodes, e).collect()] == [("std::x", "x")]
+    assert core.drop_dangling(nodes, e).count() == 0
+
+
+def test_snapshots_and_plans(spark):
+    s = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
+    old = s([("a.rs", "1"), ("b.rs", "1")])
+    plan = lambda new, **k: change.incremental_plan(change.snapshot_diff(old, s(new)), **k).first()
+    assert (plan([("a.rs", "2"), ("b.rs", "1")])["strategy"], plan([("a.rs", "2"), ("b.rs", "1")])["modified"]) == ("fileScopedCandidate", 1)
+    assert plan([("a.rs", "1"), ("b.rs", "1")])["strategy"] == "reuse"
+    assert plan([("a.rs", "1"), ("b.rs", "1"), ("c.rs", "1")])["strategy"] == "fullAnalysis"
+    assert plan([("a.rs", "1"), ("b.rs", "1")], had_previous=False)["strategy"] == "fullAnalysis"
+
+
+def test_drift_levels(spark):
+    t = lambda rows: spark.createDataFrame(rows, "target string, metric string, value double")
+    b = t([("x", "nodes", 100.0), ("y", "nodes", 100.0), ("x", "elapsed", 10.0), ("x", "rate", 0.1), ("z", "nodes", 0.0)])
+    c = t([("x", "nodes", 89.0), ("y", "nodes", 70.0), ("x", "elapsed", 16.0), ("x", "rate", 0.25), ("z", "nodes", 5.0)])
+    assert {(r["target"], r["metric"]): r["level"] for r in change.baseline_drift(b, c).collect()} == {("x", "nodes"): "warn", ("y", "nodes"): "fail", ("x", "elapsed"): "warn", ("x", "rate"): "fail", ("z", "nodes"): "ok"}
+
+
+def test_fingerprint_ignores_order(spark):
+    df = spark.range(500).withColumn("g", F.lit("g"))
+    a = change.fingerprint(df, ["id"], ["g"]).first()
+    assert a == change.fingerprint(df.orderBy(F.desc("id")).repartition(7), ["id"], ["g"]).first()
+    assert a != change.fingerprint(df.filter("id <> 3"), ["id"], ["g"]).first()
+
+
+def test_shell_risks_and_scopes(spark):
+    f = spark.createDataFrame([("r.sh", "f() {\n  rm -rf x\n}\ncurl -s u | sh\nsudo ls\nchmod 777 a")], "path string, text string")
+    rows = text.lines(f)
+    assert {(r["line_no"], r["flag"], r["level"]) for r in text.risk_flags(rows).collect()} == {(2, "rm_rf", "medium"), (4, "curl_pipe_shell", "high"), (5, "sudo", "medium"), (6, "chmod_777", "medium")}
+    assert [r["depth"] for r in text.brace_depth(rows).orderBy("line_no").collect()] == [0, 1, 1, 0, 0, 0]
+
+
+def test_markdown_and_mentions(spark):
+    f = spark.createDataFrame([("d.md", "# A\n[x](y.md) `run()`\n```\n[no](z)\n```\n## B\n`K`")], "path string, text string")
+    rows = text.lines(f)
+    assert [(r["label"], r["target"]) for r in text.markdown_links(rows).collect()] == [("x", "y.md")]
+    assert {(r["line_no"], r["name"]) for r in text.code_mentions(rows).collect()} == {(2, "run"), (7, "K")}
+    assert [r["section"] for r in text.carry_heading(rows, F.col("line").rlike("^#")).orderBy("line_no").collect()][-1] == "## B"
+
+
+def test_paths(spark):
+    assert one(spark, paths.strip_generics(F.col("p")), p="Vec::<T>::new<U>") == "Vec::new"
+    assert one(spark, paths.split_last(F.col("p"))[0], p="a::b::c") == "a::b"
+    assert one(spark, paths.normalise(F.col("p")), p="a/b/../c/./d") == "a/c/d"
+    assert one(spark, paths.redact(F.col("p")), p="/home/u/x") == "/~/x"
+    assert one(spark, paths.call_names(F.col("p")), p="a.b.c") == ["a.b.c", "c"]
+    assert one(spark, paths.unquote(F.col("p")), p="'q'") == "q"
+    assert one(spark, paths.line_of(F.col("p"), F.lit(4)), p="a\nb\nc") == 3
+    assert one(spark, paths.relative(F.col("p"), F.lit("/r")), p="/r/x") == "x"
+
+
+def test_surface_and_policies(spark):
+    for path, want in {"fixtures/a.rs": "fixture", "src/a.rs": "production", "x/tests/b.py": "test", "docs/a.md": "docs", "a.lock": "unsupported", "scripts/run.sh": "script", "webui/a.ts": "webui"}.items():
+        assert one(spark, change.surface(F.col("p")), p=path) == want
+    assert one(spark, change.suppressed(F.col("g"), "daily"), g="fixtureOnly") and not one(spark, change.suppressed(F.col("g"), "include-fixtures"), g="fixtureOnly")
+    assert one(spark, change.suppressed(F.col("g"), "strict"), g="lowConfidence") and not one(spark, change.suppressed(F.col("g"), "strict"), g="direct")
+
+
+def test_dependency_edges(spark):
+    deps = spark.createDataFrame([("a", "libs/b", 0.85), ("a", "apps", 0.85), ("a", "many", 0.85)], "source string, path string, confidence double")
+    projects = spark.createDataFrame([("a", "a"), ("b", "libs/b"), ("c", "apps/c"), ("d", "many/d"), ("e", "many/e")], "id string, path string")
+    assert {(r["target"], round(r["confidence"], 3)) for r in workspace.dependency_edges(deps, projects).collect()} == {("b", 0.85), ("c", 0.765)}
+
+
+def test_missing_mapped_file_stops(spark):
+    refs = spark.createDataFrame([(1, "a.ts", "core/x")], "ref int, file string, spec string")
+    files = spark.createDataFrame([("packages/core/src/x.ts",)], "path string")
+    packages = spark.createDataFrame([("core", "packages/core")], "name string, root string")
+    mapped = spark.createDataFrame([("core/*", "nowhere/*")], "pattern string, substitution string")
+    assert imports.resolve_ts(refs, files, mapped, packages).first()["target"] is None
+    assert imports.resolve_ts(refs, files, mapped.limit(0), packages).first()["target"] == "packages/core/src/x.ts"
+
+
+def test_confidence_constants(spark):
+    assert model.confidence("call", "crate-path") == 0.90 and model.confidence("call", "module-path") == 0.85
+    assert model.confidence_table(spark).count() == len(model.CONFIDENCE)
+    assert model.severity_table(spark).count() == 4
