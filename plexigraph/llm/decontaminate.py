@@ -8,12 +8,13 @@ is hit.
 1. Rarity. One pass counts the benchmark's words over all documents (map-side sums); the words of
    each window are ordered by that count.
 2. Prefix. A document that holds a window holds all of its words, so a prefix of the rarest ones is
-   necessary: documents' words are joined with each window's two rarest places only.
-3. Bounds. A match at place i of the document and place p of the window can only be the occurrence
-   that starts at i - p, which must not lie before the first word or end after the last one; a start
-   is a candidate if all places of the prefix agree on it.
-4. Verification. The window is compared with the document's words at that start, exactly; only
-   documents with a candidate are read for it.
+   necessary: documents' words are joined with the two rarest places of each window only. Windows
+   of an item share such places, and a place is joined once.
+3. Bounds. A match at place i of the document and place q of the item aligns the item's first word
+   with i - q. The alignment must overlap the document by a window's length at least, and is a
+   candidate if two places agree on it (one, where windows are single words).
+4. Verification. All of the item's windows are compared with the document's words under that
+   alignment, exactly; only documents with a candidate are read for it.
 
 Words of documents are exploded as (document key, place, word) without the text, and only a side
 whose counted rows are under `broadcast_rows` is broadcast; larger benchmarks are joined by
@@ -65,12 +66,23 @@ def _words(parts: str) -> Column:
     return F.slice(F.col(parts), _empty_first(F.col(parts)) + 1, _n_words(F.col(parts)))
 
 
-def windows_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(win array<string>, items array<string>): the distinct windows and the items that have them."""
+def items_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """(iid, w array<string>, ids array<string>, len, win): distinct items by words, with the length of their windows."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), _split("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    each = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
-    return each.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    each = words.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    return each.select(F.monotonically_increasing_id().alias("iid"), "w", "ids", F.size("w").alias("len"), F.least(F.size("w"), F.lit(size)).alias("win"))
+
+
+def anchors_of(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, q, iid, len, win): per window of each item its PREFIX rarest places, each place once.
+
+    Windows with a word that no document has are left out.
+    """
+    starts = items.select("iid", "len", "win", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("win"))).alias("k"))
+    placed = starts.select("iid", "len", "win", "k", F.posexplode(F.slice("w", F.col("k") + 1, F.col("win"))).alias("p", "word"))
+    ranked = placed.join(counts, "word").groupBy("iid", "len", "win", "k").agg(F.sort_array(F.collect_list(F.struct("n", "word", (F.col("k") + F.col("p")).alias("q")))).alias("places"))
+    first = ranked.filter(F.size("places") == F.col("win")).select("iid", "len", "win", F.explode(F.slice("places", 1, PREFIX)).alias("x"))
+    return first.select(F.col("x.word").alias("word"), F.col("x.q").alias("q"), "iid", "len", "win").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, percent: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
@@ -79,43 +91,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     `items` is the sorted list of item ids as strings; a document is contaminated if it has a hit
     and at least `percent` per cent of its words are hit.
     """
-    windows = stash(windows_of(benchmark, size).withColumn("wid", F.monotonically_increasing_id()), "windows")
-    small = windows.count() <= broadcast_rows
+    items = stash(items_of(benchmark, size), "items")
+    small = items.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0] <= broadcast_rows
     held = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
-    # 1. Rarity of the benchmark's words over all documents.
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    spoken = docs.select(F.explode(_split("text")).alias("word"))
+    # 1. Rarity of the benchmark's words over all documents. (An outer generator, as the optimiser would
+    # else filter by the size of the words first, and so split each text twice; there is always one.)
+    vocabulary = items.select(F.explode("w").alias("word")).distinct()
+    spoken = docs.select(F.explode_outer(_split("text")).alias("word"))
     counts = stash(spoken.join(held(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "word-counts")
 
-    # 2. Prefixes: each window's rarest places, by (count, word, place). Windows with a word that no document has are out.
-    placed = windows.select("wid", F.size("win").alias("len"), F.posexplode("win").alias("p", "word"))
-    ranked = placed.join(counts, "word").groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct("n", "word", "p"))).alias("places")).filter(F.size("places") == F.col("len"))
-    first = ranked.select("wid", "len", F.posexplode(F.slice("places", 1, PREFIX)).alias("rank", "place"))
-    prefixes = stash(first.select(F.col("place.word").alias("word"), F.col("place.p").alias("p"), F.expr("shiftleft(1, rank)").alias("bit"), "wid", "len"), "prefixes")
+    # 2. Prefixes.
+    anchors = stash(anchors_of(items, counts), "anchors")
 
-    # 3. Candidates: starts within bounds at which every place of the prefix agrees.
+    # 3. Candidates: alignments of an item and a document, long enough for a window, on which two places agree.
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _split("text").alias("parts"))
-    at = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).alias("n_words"), _empty_first(F.col("parts")).alias("skip"), F.posexplode("parts").alias("k", "word")).withColumn("i", F.col("k") - F.col("skip"))
-    near = at.join(held(prefixes), "word").withColumn("start", F.col("i") - F.col("p"))
-    bounded = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
-    agreed = bounded.groupBy("doc_id", "text_hash", "start", "wid", "len").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.expr(f"shiftleft(1, least(len, {PREFIX})) - 1"))
-    candidates = stash(agreed.select("doc_id", "text_hash", "start", "wid"), "candidates")
+    # Counted under the generator: above it, the words' array would be copied to each of its rows.
+    keyed = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).alias("n_words"), _empty_first(F.col("parts")).alias("skip"), "parts")
+    at = keyed.select("doc_id", "text_hash", "n_words", "skip", F.posexplode_outer("parts").alias("k", "word"))
+    near = at.join(held(anchors), "word").withColumn("diag", F.col("k") - F.col("skip") - F.col("q"))
+    overlap = F.least("n_words", F.col("diag") + F.col("len")) - F.greatest("diag", F.lit(0))
+    agreed = near.filter(overlap >= F.col("win")).groupBy("doc_id", "text_hash", "iid", "diag", "win").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    candidates = stash(agreed.filter((F.col("lo") < F.col("hi")) | (F.col("win") < PREFIX)).select("doc_id", "text_hash", "iid", "diag"), "candidates")
 
     # 4. Exact verification against the words, then what each document has been hit by.
     keys = candidates.select(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).distinct()
     full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))
     some = full.join(if_small(keys, broadcast_rows), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    c = candidates.join(held(windows), "wid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("start", "win", "items")).alias("c"))
-    both = some.join(c, same).select("doc_id", "text_hash", "c", _split("text").alias("parts")).select("doc_id", "text_hash", "c", _words("parts").alias("w"))
-    true = both.select("doc_id", "text_hash", F.inline(F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["win"])) == x["win"])))
-    spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.size("win")).alias("e")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    c = candidates.join(held(items), "iid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("diag", F.col("w").alias("iw"), "win", "ids")).alias("c"))
+    both = some.join(c, same).select("doc_id", "text_hash", _split("text").alias("parts"), "c").select("doc_id", "text_hash", _words("parts").alias("w"), F.explode("c").alias("x"))
+    lo, hi = F.greatest(-F.col("x.diag"), F.lit(0)), F.least(F.size("x.iw"), F.size("w") - F.col("x.diag")) - F.col("x.win")
+    hit = F.filter(F.sequence(lo, hi), lambda k: F.slice("w", F.col("x.diag") + k + 1, F.col("x.win")) == F.slice("x.iw", k + 1, F.col("x.win")))
+    true = both.select("doc_id", "text_hash", F.col("x.diag").alias("diag"), F.col("x.win").alias("win"), F.col("x.ids").alias("ids"), F.explode(hit).alias("k"))
+    spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_list(F.struct((F.col("diag") + F.col("k")).alias("s"), (F.col("diag") + F.col("k") + F.col("win")).alias("e")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
     covered = F.aggregate("found", zero, lambda a, x: F.struct((a["total"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("total"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["total"])
     hits = stash(spans.select("hd", "hh", covered.alias("n_hit"), "items"), "hits")
 
-    sizes = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).cast("long").alias("n_words"))
+    sizes = keyed.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
     out = sizes.join(if_small(hits, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("text_hash") == F.col("hh")), "left")
     n_hit, items = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
