@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import table
+from plexigraph.llm._common import cache_of, parts, table
 
 BITS, ORDERS = 16, (1, 2, 3)
 U = np.uint64
 _ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
-SLICE_CHARS = 1 << 20
+SLICE_CHARS, ROWS = 1 << 18, 512
 
 
 def has_letter(text: str | None) -> bool:
@@ -45,14 +45,14 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(chars) - (max(ORDERS) - 1)
     owner = owner[:n]
     inside = np.concatenate([np.arange(len(t)) < len(t) - len(pad) for t in low])[:n] if low else np.zeros(0, bool)
-    h, parts = np.zeros(n, U), []
+    h, found = np.zeros(n, U), []
     for k in range(max(ORDERS)):
         h = (h + chars[k : k + n] + U(k + 1)) * _ODD[k % 3]
         if k + 1 in ORDERS:
             x = h ^ (h >> U(29))
-            parts.append(((x * _ODD[1]) >> U(64 - BITS)).astype(np.int32)[inside])
+            found.append(((x * _ODD[1]) >> U(64 - BITS)).astype(np.int32)[inside])
     owner = owner[inside]
-    return np.stack(parts), owner
+    return np.stack(found), owner
 
 
 def _slices(texts: list[str]):
@@ -76,8 +76,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents with each bucket, documents) over all of docs(text)."""
 
     def count(batches):
+        cache_of("language_id")
         total, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in parts(batches, 0, ROWS):
             texts = batch.column(0).to_pylist()
             for lo, hi in _slices(texts):
                 buckets, owner = ngram_buckets(texts[lo:hi])
@@ -213,7 +214,8 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        cache_of("language_id")
+        for batch in parts(batches, at, ROWS):
             texts = batch.column(at).to_pylist()
             if held.value is None:
                 keep = [has_letter(t) for t in texts]
@@ -229,7 +231,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        cache_of("language_id")
+        for batch in parts(batches, 1, ROWS):
             pred, score = _best(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plexigraph.llm._common import stash, table, without
+from plexigraph.llm._common import cache_of, parts, stash, table, without
 from plexigraph.llm.mph import CountShard
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -44,11 +44,6 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _slices(batch: pa.RecordBatch):
-    for at in range(0, batch.num_rows, ROWS):
-        yield batch.slice(at, ROWS)
-
-
 def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars)
 
@@ -57,7 +52,8 @@ def count_lines(docs: DataFrame, min_chars: int = 1, text: str = "text") -> Data
     """(h1, h2, n): in how many documents each distinct line key is found."""
 
     def partial(batches):
-        for batch in batches:
+        cache_of("line_dedup")
+        for batch in parts(batches, 0, ROWS):
             counts: dict[bytes, int] = {}
             for t in batch.column(0):
                 if (s := t.as_py()) is not None:
@@ -116,32 +112,32 @@ def _probe(docs: DataFrame, blobs, shards: int, min_docs: int, min_chars: int, t
     schema = schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string") if last else schema.add("__marks", "binary")
 
     def probe(batches):
+        cache_of("line_dedup")
         index = {s: CountShard.from_bytes(b) for s, b in blobs.value.items()}
-        for whole in batches:
-            for batch in _slices(whole):
-                texts, marks = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-                lines = [(t or "").encode("utf-8").split(b"\n") for t in texts]
-                keys = [[_key(x) for x in own] for own in lines]
-                seen = [k for k in {k for own in keys for k in own} if _long_enough(k, min_chars)]
-                h1, h2 = _hashes(seen)
-                shard, often = np.mod(h1, shards), np.zeros(len(seen), bool)
-                for s in np.unique(shard):
-                    if s in index:
-                        own = shard == s
-                        often[own] = index[s].lookup(h1[own].astype(np.uint64), h2[own].astype(np.uint64)) >= min_docs
-                gone = {k for k, x in zip(seen, often, strict=True) if x}
-                drops = []
-                for own, old in zip(keys, marks, strict=True):
-                    d = [k in gone for k in own]
-                    drops.append([x or y == 1 for x, y in zip(d, old, strict=True)] if old is not None else d)
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([bytes(d) for d in drops], pa.binary())], [*names, "__marks"])
-                    continue
-                kept = [b"\n".join([x for x, y in zip(own, d, strict=True) if not y]) for own, d in zip(lines, drops, strict=True)]
-                cols = list(batch.columns[: len(names)])
-                cols[at] = pa.array([None if t is None else k.decode("utf-8") for t, k in zip(texts, kept, strict=True)], cols[at].type)
-                cols += [pa.array([len(d) for d in drops], pa.int64()), pa.array([sum(d) for d in drops], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-                yield pa.RecordBatch.from_arrays(cols, [*names, *ADDED])
+        for batch in parts(batches, at, ROWS):
+            texts, marks = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            lines = [(t or "").encode("utf-8").split(b"\n") for t in texts]
+            keys = [[_key(x) for x in own] for own in lines]
+            seen = [k for k in {k for own in keys for k in own} if _long_enough(k, min_chars)]
+            h1, h2 = _hashes(seen)
+            shard, often = np.mod(h1, shards), np.zeros(len(seen), bool)
+            for s in np.unique(shard):
+                if s in index:
+                    own = shard == s
+                    often[own] = index[s].lookup(h1[own].astype(np.uint64), h2[own].astype(np.uint64)) >= min_docs
+            gone = {k for k, x in zip(seen, often, strict=True) if x}
+            drops = []
+            for own, old in zip(keys, marks, strict=True):
+                d = [k in gone for k in own]
+                drops.append([x or y == 1 for x, y in zip(d, old, strict=True)] if old is not None else d)
+            if not last:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([bytes(d) for d in drops], pa.binary())], [*names, "__marks"])
+                continue
+            kept = [b"\n".join([x for x, y in zip(own, d, strict=True) if not y]) for own, d in zip(lines, drops, strict=True)]
+            cols = list(batch.columns[: len(names)])
+            cols[at] = pa.array([None if t is None else k.decode("utf-8") for t, k in zip(texts, kept, strict=True)], cols[at].type)
+            cols += [pa.array([len(d) for d in drops], pa.int64()), pa.array([sum(d) for d in drops], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            yield pa.RecordBatch.from_arrays(cols, [*names, *ADDED])
 
     return docs.mapInArrow(probe, schema)
 

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import if_small, stash, table
+from plexigraph.llm._common import cache_of, if_small, parts, stash, table, trim
 from plexigraph.llm.components import components
 
 TREES, DEPTH = 20, 3
@@ -64,7 +64,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, n at least."""
     if len(_POWERS[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = -(-n // 65536) * 65536
         for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             steps = np.full(size, b, U)
             steps[0] = 1
@@ -114,20 +114,19 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, h, n_shingles, digest, sig, keys): digest, sig and keys are null for empty sets."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                sets = shingle_sets(part.column(2).to_pylist(), words)
-                sigs = [signature(s) if len(s) else None for s in sets]
-                full = [s for s in sigs if s is not None]
-                if full:
-                    m = np.stack(full)[:, : TREES * DEPTH].reshape(len(full), TREES, DEPTH).astype(U)
-                    keys = np.zeros((len(full), TREES), U) + np.arange(1, TREES + 1, dtype=U)
-                    for k in range(DEPTH):
-                        keys = _mix(keys * U(0xA0761D6478BD642F) + m[:, :, k])
-                    rows = iter(keys.astype(np.int64).tolist())
-                lists = [None if s is None else next(rows) for s in sigs]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "digest", "sig", "keys"])
+        cache_of("near_dedup")
+        for part in parts(batches, 2, size=1 << 18):
+            sets = shingle_sets(part.column(2).to_pylist(), words)
+            sigs = [signature(s) if len(s) else None for s in sets]
+            full = [s for s in sigs if s is not None]
+            if full:
+                m = np.stack(full)[:, : TREES * DEPTH].reshape(len(full), TREES, DEPTH).astype(U)
+                keys = np.zeros((len(full), TREES), U) + np.arange(1, TREES + 1, dtype=U)
+                for k in range(DEPTH):
+                    keys = _mix(keys * U(0xA0761D6478BD642F) + m[:, :, k])
+                rows = iter(keys.astype(np.int64).tolist())
+            lists = [None if s is None else next(rows) for s in sigs]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "digest", "sig", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
@@ -237,8 +236,8 @@ def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
         large = stash(large.drop("n").withColumn("child", F.xxhash64("key", _prefix_step(depth))), "large")
         cuts = large.groupBy("key", "child").agg(F.count("*").alias("n"), F.min("rid").alias("top"))
         tops = large.join(cuts.select("key", "child", F.col("top").alias("rid")), ["key", "child", "rid"], "left_semi").dropDuplicates(["key", "child"])
-        parts = cuts.groupBy("key").agg(F.count("*").alias("n"))
-        tops = tops.join(parts, "key").select(F.xxhash64("key", F.lit("tops")).alias("key"), "tree", "rid", "sig", "n")
+        cut_counts = cuts.groupBy("key").agg(F.count("*").alias("n"))
+        tops = tops.join(cut_counts, "key").select(F.xxhash64("key", F.lit("tops")).alias("key"), "tree", "rid", "sig", "n")
         inner = large.join(cuts.select("child", "n").distinct(), "child").select(F.col("child").alias("key"), "tree", "rid", "sig", "n").filter("n > 1")
         both = stash(tops.unionByName(inner), "cut")
         ready.append(both.filter(F.col("n") <= region))
@@ -290,16 +289,17 @@ def _confirm(tasks: DataFrame, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rid[s[:, 0]]), pa.array(rid[s[:, 1]])], schema=schema)
 
         yield from runs_of(batches, walk, schema)
+        trim()
 
     return tasks.select("task", "rid", "label", "seed", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, block: int, block_shingles: int = 4_000_000) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, block: int, block_shingles: int = 2_000_000) -> DataFrame:
     """(a, b): links that join what is linked inside the candidate groups(id, component)."""
     found = groups.select(F.col("id").alias("rid"), "component").join(classes.select("rid", "rep", "n_shingles"), "rid")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    parts = F.ceil(F.greatest(F.col("n") / block, F.col("s") / block_shingles)).cast("int")
-    found = stash(found.join(sizes.select("component", parts.alias("parts")), "component").select("rid", "component", "parts", F.col("rep.doc_id").alias("rd"), F.col("rep.h").alias("rh")), "candidates")
+    pieces = F.ceil(F.greatest(F.col("n") / block, F.col("s") / block_shingles)).cast("int")
+    found = stash(found.join(sizes.select("component", pieces.alias("parts")), "component").select("rid", "component", "parts", F.col("rep.doc_id").alias("rd"), F.col("rep.h").alias("rh")), "candidates")
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     texts = keyed.join(if_small(found, BROADCAST_ROWS), keyed["doc_id"].eqNullSafe(found["rd"]) & (keyed["h"] == found["rh"])).select("rid", "component", "parts", "text")
     large = found.filter("parts > 1").limit(1).count() > 0

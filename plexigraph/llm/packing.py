@@ -18,18 +18,22 @@ An empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import stash, table
+from plexigraph.llm._common import cache_of, parts, stash, table
 
 CAPACITY = 4096
 SEPARATOR = "\x01"
-KEPT_WORDS, LONGEST_WORD = 2_000_000, 40
+#: Words that a worker keeps, first come; later ones are encoded again where they occur.
+KEPT_WORDS, LONGEST_WORD = 450_000, 40
+LAST_LATIN = "\u024f"
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -46,13 +50,22 @@ class WordTable:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise OSError("ids are laid out as little-endian 32-bit integers")
+        self.tail = {x: self._one(x) for x in ".,"}
         self.mark = self.model.encode(SEPARATOR, add_special_tokens=False).ids
 
     def _one(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode many words at once, with a separator between them by which the ids are parted."""
+        """Encode many words: a-z straight by the merges (no earlier step of the tokenizer changes or
+        splits them), others at once with a separator between them by which the ids are parted."""
+        merge = self.model.model.tokenize
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                self.known[w] = array("I", [x.id for x in merge(w)]).tobytes()
+        words = [w for w in words if w not in self.known]
         odd = [w for w in words if SEPARATOR in w]
         words = [w for w in words if SEPARATOR not in w]
         if len(self.mark) == 1 and words:
@@ -66,29 +79,31 @@ class WordTable:
             self.known[w] = self._one(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {"": b""}
-            new = set().union(*split).difference(self.known)
-        long = [w for w in new if len(w) > LONGEST_WORD]
-        self._learn([w for w in new if len(w) <= LONGEST_WORD])
+        # ASCII texts may be lower-cased at once: the tokenizer does it too, after finding its special tokens.
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        new, known = set().union(*split).difference(self.known), self.known
+        # A full stop or comma after a Latin letter is a token run of its own, so such words are made of two.
+        tails = [w for w in new if w[-1] in ".," and "A" <= w[-2:-1] <= LAST_LATIN and w[-2].isalpha()]
+        learned = new.difference(tails).union([w[:-1] for w in tails]).difference(known)
+        long = [w for w in learned if len(w) > LONGEST_WORD]
+        full = len(known) > KEPT_WORDS
+        self._learn([w for w in learned if len(w) <= LONGEST_WORD])
         for w in long:
-            self.known[w] = self._one(w)
-        get = self.known.__getitem__
+            known[w] = self._one(w)
+        for w in tails:
+            known[w] = known[w[:-1]] + self.tail[w[-1]]
+        get = known.__getitem__
         out = [b"".join(map(get, own)) for own in split]
-        for w in long:
-            del self.known[w]
+        for w in [*tails, *learned] if full else long:
+            del known[w]
         return out
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def _words(path: str) -> WordTable:
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    return _TABLES[path]
+    held = cache_of("packing")
+    if path not in held:
+        held[path] = WordTable(path)
+    return held[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -100,20 +115,18 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
 
     def pieces(batches):
         model = _words(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), model.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[s : s + 4 * capacity]
-                        rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(cols[0], part.column(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
-                if with_ids:
-                    arrays.append(pa.array(cols[5], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+        for part in parts(batches, 1):
+            rows = []
+            for doc, ids in zip(part.column(0).to_pylist(), model.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                ids += end
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    cut = ids[s : s + 4 * capacity]
+                    rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), cut))
+            cols = list(zip(*rows, strict=True))
+            arrays = [pa.array(cols[0], part.column(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+            if with_ids:
+                arrays.append(pa.array(cols[5], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)

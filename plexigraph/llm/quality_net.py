@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import table
+from plexigraph.llm._common import cache_of, parts, table
 from plexigraph.llm.language_id import remainder
 
 CHUNK, STEP = 512, 448
@@ -167,10 +167,9 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        cache_of("quality_net")
+        for part in parts(batches, 1, 64):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
