@@ -101,7 +101,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def findings_of(versions: DataFrame, findings: DataFrame) -> DataFrame:
     """versions(path, blob) with `found`: the sorted spans of its blob, empty where none."""
-    own = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("found"))
+    # Stored first: a join whose sides are plain exchanges can be split where one blob has many paths.
+    own = stash(findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("found")), "findings")
     return versions.join(own, "blob", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start bigint, rank int, `end` bigint, kind string>>)")))
 
 
