@@ -1,7 +1,8 @@
 """Sharding by histogram sort: near-equal bytes per shard from exact counts below candidate boundaries.
 
-Documents are ordered by (64-bit hash of the text, place in the stored narrow table). The second
-part makes every key distinct, so a group of equal texts of any size can be cut anywhere. Then:
+Documents are ordered by (64-bit hash of id and text, place in the stored narrow table). A group of
+equal texts spreads over all shards, and the second part makes every key distinct, so even rows
+repeated as a whole can be cut anywhere. Then:
 
 1. One scan stores (doc_id, size, crc, hash) without the text.
 2. Rounds of probes: each of the shards-1 boundaries has an interval of keys known to hold its
@@ -93,7 +94,7 @@ def find_splitters(keys: DataFrame, shards: int, total: int, rows: int, toleranc
 def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, range_rows: int = 500_000) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    keys = stash(docs.select("doc_id", (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h")), "shard-keys").withColumn("u", F.monotonically_increasing_id())
+    keys = stash(docs.select("doc_id", (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64("doc_id", body).alias("h")), "shard-keys").withColumn("u", F.monotonically_increasing_id())
     top = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long"), F.count("*")).first()
     total, rows = int(top[0]), int(top[1])
     cuts = find_splitters(keys, shards, total, rows, max(1, int(tolerance * total / shards)))
