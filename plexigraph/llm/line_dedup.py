@@ -71,15 +71,14 @@ def build_index(counts: DataFrame, min_docs: int, shard_keys: int = 50_000) -> D
     often = stash(counts.filter(F.col("n") >= min_docs), "lines")
     shards = max(1, -(-often.count() // shard_keys))
 
-    def build(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["h1", "h2"])
-        blob = CountShard(pdf["h1"].to_numpy().astype(np.uint64), pdf["h2"].to_numpy().astype(np.uint64), pdf["n"].to_numpy()).to_bytes()
-        return pd.DataFrame({"shard": [key[0]], "shards": [shards], "blob": [blob], "bytes": [len(blob)]})
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h1", "ascending"), ("h2", "ascending")])
+        h1, h2, n = (table.column(c).to_numpy() for c in ("h1", "h2", "n"))
+        blob = CountShard(h1.astype(np.uint64), h2.astype(np.uint64), n).to_bytes()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "blob": pa.array([blob], pa.binary()), "bytes": pa.array([len(blob)], pa.int64())})
 
     dealt = often.withColumn("shard", F.expr(f"cast(pmod(h1, {shards}) as int)"))
-    return stash(dealt.groupBy("shard").applyInPandas(build, "shard int, shards int, blob binary, bytes long"), "line-index")
+    return stash(dealt.groupBy("shard").applyInArrow(build, "shard int, shards int, blob binary, bytes long"), "line-index")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", block_bytes: int = 64 << 20) -> DataFrame:

@@ -23,7 +23,6 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,7 +31,7 @@ from plexigraph.llm._common import cache_of, parts, stash, table
 CAPACITY = 4096
 SEPARATOR = "\x01"
 #: Words that a worker keeps, first come; later ones are encoded again where they occur.
-KEPT_WORDS, LONGEST_WORD = 450_000, 40
+KEPT_WORDS, LONGEST_WORD = 600_000, 40
 LAST_LATIN = "\u024f"
 
 
@@ -167,10 +166,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _packer(capacity: int, level: int, slack: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__row")
-        b, off, fill = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pd.DataFrame({"__row": pdf["__row"], "sequence_id": (level << 56) + (int(key[0]) << 24) + b, "offset": off, "length": pdf["length"], "closed": capacity - fill[b] <= slack})
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("__row")
+        b, off, fill = sum_of_squares(table.column("length").to_numpy(), capacity)
+        ids = (level << 56) + (key[0].as_py() << 24) + b
+        return pa.table({"__row": table.column("__row"), "sequence_id": ids, "offset": off, "length": table.column("length"), "closed": capacity - fill[b] <= slack})
 
     return run
 
@@ -186,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000,
         lower = capacity if shards == 1 else int(slack * capacity)
 
         dealt = loose.withColumn("__shard", F.expr(f"pmod(xxhash64(__row, {level}), {shards})"))
-        done = stash(dealt.groupBy("__shard").applyInPandas(_packer(capacity, level, lower), out_schema), f"packed{level}")
+        done = stash(dealt.groupBy("__shard").applyInArrow(_packer(capacity, level, lower), out_schema), f"packed{level}")
         if shards == 1:
             placed.append(done)
             break
