@@ -7,7 +7,7 @@ what a policy would keep without one of its rules, never reads a text again.
 Measurements over words `[^\x20\x09-\x0D]+` of the whole text: n_words, word_chars (code points in
 words), n_symbols (characters of `[#*$%&|<>]`), n_lines (\n-split lines with a word), n_dup_lines
 (those equal to an earlier one), n_repeat_words (words inside 5-word windows that occur twice or
-more in the text), n_capitals (A-Z).
+more in the text), n_capitals (A-Z), n_echo_words (words equal to the one before).
 
 Each document is its own row from scan to result: no exchange, so no skew. Repeated windows are
 looked for by 64-bit hashes in linear time first; only texts with two equal hashes go through the
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plexigraph.llm._common import table
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_echo_words"]
 WINDOW = 5
 
 #: (bit, name, condition for failing); integers only, so every engine agrees.
@@ -33,9 +33,10 @@ RULES = [
     (0, "few_words", "n_words < 10"),
     (1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     (2, "symbols", "10 * n_symbols > 2 * n_words"),
-    (3, "duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    (3, "duplicate_lines", "100 * n_dup_lines > 60 * n_lines"),
     (4, "word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     (5, "capitals", "100 * n_capitals > 50 * word_chars"),
+    (6, "echoes", "100 * n_echo_words > 30 * n_words"),
 ]
 BASE = 0b11
 
@@ -47,7 +48,7 @@ class Policy:
 
 
 #: Policies by version; the last is the one in force.
-POLICIES = (Policy(1, BASE), Policy(2, BASE | 0b111100))
+POLICIES = (Policy(1, BASE), Policy(2, BASE | 0b111100), Policy(3, BASE | 0b1111100))
 
 
 def _repeat_words(words: Column, sorted_windows: Column) -> Column:
@@ -84,6 +85,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("__s").isNull(), 0).otherwise(_repeat_words(F.col("__w"), F.col("__s"))).cast("long").alias("n_repeat_words"),
         F.regexp_count("__t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.size(F.filter("__w", lambda w, k: (k > 0) & (w == F.get("__w", k - 1)))).cast("long").alias("n_echo_words"),
     )
     bits = " | ".join(f"if({cond}, {1 << bit}L, 0L)" for bit, _, cond in RULES)
     return d.withColumn("failed", F.expr(bits))
@@ -126,7 +128,8 @@ hit AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM rep, range(0, 5) t(k)
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
-             len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals
+             len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals,
+             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_echo_words
       FROM w LEFT JOIN hit USING (r)),
 f AS (SELECT *, ({_SQL_BITS})::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {BASE}) <> 0 AS base_failed,
