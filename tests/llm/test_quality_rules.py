@@ -11,7 +11,7 @@ def brute(t):
     win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     hit = {k for i, x in enumerate(win) if win.count(x) > 1 for k in range(i, i + 5)}
     lines = [x for x in t.split("\n") if W.search(x)]
-    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines), len(lines) - len(set(lines)), len(hit), sum("A" <= c <= "Z" for c in t))
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines), len(lines) - len(set(lines)), len(hit), sum("A" <= c <= "Z" for c in t), sum(a == b for a, b in zip(w, w[1:])))
 
 
 ROWS = [
