@@ -7,7 +7,8 @@ most stay exactly zero); a temperature fitted on held-back rows of the sample ca
 
 Document frequencies are counted over all training documents, as partial vectors per task that
 Spark sums (2^bits rows at most). The fit uses a bounded sample: `per_language` documents of each
-language in expectation, chosen by a hash of id and text, `most` in all. Both are parameters.
+language in expectation, chosen by a hash of id and text, `most` in all, none of more than `longest`
+characters, so the driver holds a bounded number of features. All three are parameters.
 Every text is read whole; its score is a sum over its n-grams, gathered in numpy batch by batch.
 
 Prediction uses the text only. Null texts and texts without a letter are `und` with score 0, as are
@@ -172,7 +173,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, per_language: int = 600, most: int = 6000, epochs: int = 4, scale: float = 50.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> Model | None:
+def train(docs: DataFrame, per_language: int = 600, most: int = 4000, longest: int = 50_000, epochs: int = 4, scale: float = 50.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> Model | None:
     """A model from docs(doc_id, text, lang), all of which may be learned from."""
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
@@ -182,7 +183,7 @@ def train(docs: DataFrame, per_language: int = 600, most: int = 6000, epochs: in
     idf = np.log((1 + n) / (1 + df)) + 1
     share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, min(1.0, per_language / v))])[F.col("lang")]
     draw = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 11) * F.lit(2.0**-53)).cast("double")
-    chosen = labelled.withColumn("draw", draw).filter(F.col("draw") < share).select("text", "lang", (F.col("draw") / share).alias("draw")).limit(most)
+    chosen = labelled.filter(F.length("text") <= longest).withColumn("draw", draw).filter(F.col("draw") < share).select("text", "lang", (F.col("draw") / share).alias("draw")).limit(most)
     langs, rows = sorted(counts), []
     for lang, draw_, b, c in sample_features(chosen):
         x = c * idf[b]
