@@ -224,14 +224,9 @@ def _prefix_step(depth: int):
     return F.expr(f"substring(sig, ((tree * {DEPTH} + {depth}) % {COLUMNS}) * 4 + 1, 4)")
 
 
-def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
-    """(a, b) between classes (rid, sig, keys): steps of the walks in all regions of all trees."""
-    each = classes.select("rid", F.posexplode("keys").alias("tree", "key"))
-    common = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stash(each.join(common, "key"), "regions")
-    members = members.join(classes.select("rid", "sig"), "rid").select("key", "tree", "rid", "sig", "n")
-    ready, depth = [members.filter(F.col("n") <= region)], DEPTH
-    large = members.filter(F.col("n") > region)
+def _cut_regions(large: DataFrame, region: int) -> DataFrame:
+    """Members of regions over the bound, dealt to the longer prefixes that bring them under it."""
+    ready, depth = [], DEPTH
     while depth < COLUMNS and large.limit(1).count():
         large = stash(large.drop("n").withColumn("child", F.xxhash64("key", _prefix_step(depth))), "large")
         cuts = large.groupBy("key", "child").agg(F.count("*").alias("n"), F.min("rid").alias("top"))
@@ -245,10 +240,21 @@ def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
     # What no prefix parts has signatures that agree everywhere: dealt out, with one shared member.
     same = large.withColumn("part", F.expr(f"pmod(xxhash64(rid), cast(ceil(n / {region}) as int))"))
     shared = large.groupBy("key", "tree").agg(F.min(F.struct("rid", "sig", "n")).alias("m")).select("key", "tree", "m.*").withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(n / {region}) as int) - 1)")))
-    ready.append(same.unionByName(shared.select(same.columns)).dropDuplicates(["key", "part", "rid"]).select(F.xxhash64("key", "part").alias("key"), "tree", "rid", "sig", "n"))
-    every = ready[0]
-    for x in ready[1:]:
+    every = same.unionByName(shared.select(same.columns)).dropDuplicates(["key", "part", "rid"]).select(F.xxhash64("key", "part").alias("key"), "tree", "rid", "sig", "n")
+    for x in ready:
         every = every.unionByName(x)
+    return every
+
+
+def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
+    """(a, b) between classes (rid, sig, keys): steps of the walks in all regions of all trees."""
+    each = classes.select("rid", F.posexplode("keys").alias("tree", "key"))
+    common = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    narrow = stash(each.join(common, "key"), "regions")
+    members = narrow.join(classes.select("rid", "sig"), "rid").select("key", "tree", "rid", "sig", "n")
+    every = members
+    if narrow.filter(F.col("n") > region).limit(1).count():
+        every = members.filter(F.col("n") <= region).unionByName(_cut_regions(members.filter(F.col("n") > region), region))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
