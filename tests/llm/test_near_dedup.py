@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from plexigraph.llm import near_dedup
+from plexigraph.llm.components import components
 from tests.llm.brute import near_components, shingles
 
 
@@ -77,6 +78,18 @@ def test_empty_table(make):
     assert near_dedup.dedup_near(make([(1, None)])).count() == 1
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, one_task):
+    r = random.Random(6)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(40)]
+    want = {x: x for p in pairs for x in p}
+    for _ in range(400):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {x["id"]: x["component"] for x in components(spark.createDataFrame(pairs, "a long, b long"), one_task).collect()}
+    assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(5)
     a = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64))
