@@ -44,9 +44,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 class WordTable:
     """Ids of a text as little-endian 32-bit bytes, from the ids of its words."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         if array("I").itemsize != 4 or sys.byteorder != "little":
@@ -85,7 +86,7 @@ class WordTable:
         tails = [w for w in new if w[-1] in ".," and "A" <= w[-2:-1] <= LAST_LATIN and w[-2].isalpha()]
         learned = new.difference(tails).union([w[:-1] for w in tails]).difference(known)
         long = [w for w in learned if len(w) > LONGEST_WORD]
-        full = len(known) > KEPT_WORDS
+        full = len(known) > self.kept
         self._learn([w for w in learned if len(w) <= LONGEST_WORD])
         for w in long:
             known[w] = self._one(w)
@@ -98,22 +99,23 @@ class WordTable:
         return out
 
 
-def _words(path: str) -> WordTable:
+def _words(path: str, kept: int) -> WordTable:
     held = cache_of("packing")
-    if path not in held:
-        held[path] = WordTable(path)
-    return held[path]
+    if (path, kept) not in held:
+        held[path, kept] = WordTable(path, kept)
+    return held[path, kept]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document.
 
-    `tokenizer` is a path that every executor has (part of the Python environment).
+    `tokenizer` is a path that every executor has (part of the Python environment). `kept_words`
+    trades a worker's memory, about 250 bytes a word, for time; it doesn't change the ids.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches):
-        model = _words(tokenizer)
+        model = _words(tokenizer, kept_words)
         for part in parts(batches, 1):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), model.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
@@ -202,8 +204,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000,
     return pieces.join(both.select("__row", "sequence_id", "offset"), "__row").drop("__row")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    return pack(tokenize(docs, tokenizer or tokenizer_file(), end_id, capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
+    return pack(tokenize(docs, tokenizer or tokenizer_file(), end_id, capacity, kept_words=kept_words), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
