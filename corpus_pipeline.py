@@ -17,6 +17,8 @@ from plexigraph.llm._common import stash, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Four languages at equal odds are 0.25 each; a score under this says the model has no idea.
 LEAST_SCORE = 0.3
+#: Words that packing's workers remember: fewer than its default, as executors have run four stages before.
+KEPT_WORDS = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, kept_words=KEPT_WORDS)
 
 
 STAGES = [
