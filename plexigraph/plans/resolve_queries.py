@@ -31,7 +31,7 @@ imports AS (SELECT module, CASE WHEN p_size % 10 = 0 THEN '*' ELSE p_name END AS
 def _refs(spark, d):
     p = t.parts(spark, d)
     n = t.table(spark, d, "part").count()
-    li = t.table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), "l_partkey", ((F.col("l_partkey") * 31) % n).alias("__a"))
+    li = t.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), "l_partkey", ((F.col("l_partkey") * 31) % n).alias("__a"))
     a = p.select(F.col("id").alias("__a"), "module", "package", "file")
     b = p.select(F.col("id").alias("l_partkey"), "name")
     return li.join(a, "__a").join(b, "l_partkey").groupBy("ref").agg(*[F.min(c).alias(c) for c in ("name", "module", "package", "file")])
@@ -39,7 +39,7 @@ def _refs(spark, d):
 
 def _imports(spark, d):
     wild = F.col("p_size") % 10 == 0
-    x = t.table(spark, d, "part").filter("p_partkey % 40 = 0").withColumn("module", F.concat(F.lit("Brand#"), (1 + F.col("p_partkey") % 5).cast("string"), (1 + F.col("p_size") % 5).cast("string")))
+    x = t.table(spark, d, "part").withColumn("module", F.concat(F.lit("Brand#"), (1 + F.col("p_partkey") % 5).cast("string"), (1 + F.col("p_size") % 5).cast("string")))
     x = x.withColumn("name", F.when(wild, "*").otherwise(F.col("p_name"))).withColumn("g", F.when(wild, F.col("p_brand")))
     return x.groupBy("module", "name", "g").agg(F.min(F.when(wild, F.col("p_brand")).otherwise(F.concat(F.lit("part"), F.col("p_partkey").cast("string")))).alias("target")).drop("g")
 
