@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plexigraph.operators import core, scores, traverse
+from plexigraph.operators.resolve import ends
 
 #: Tools by question: (tool, operators it is made of). A lookup, nothing is computed from it.
 TOOLS = [
@@ -96,8 +97,8 @@ def receiver_of(calls: DataFrame, types: DataFrame) -> DataFrame:
 def cangjie_references(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(ref, target, confidence, reason) of refs(ref, file, name, confidence): the file's only symbol of the name keeps the
     reference's own confidence; else its imports: the single one, else the only explicit one, else the only alias."""
-    own = refs.join(symbols.select("file", "name", F.col("id").alias("t")), ["file", "name"]).groupBy("ref").agg(F.count_distinct("t").alias("n"), F.min("t").alias("own")).filter("n = 1").select("ref", "own")
-    i = refs.join(imports.select("file", "name", "kind", F.col("target").alias("t")), ["file", "name"])
+    own = refs.join(ends(symbols.select("file", "name", F.col("id").alias("t")), ["file", "name"], "t"), ["file", "name"]).groupBy("ref").agg(F.count_distinct("t").alias("n"), F.min("t").alias("own")).filter("n = 1").select("ref", "own")
+    i = refs.join(imports.select("file", "name", "kind", F.col("target").alias("t")).distinct(), ["file", "name"])
     one = lambda cond: F.when(F.count_distinct(F.when(cond, F.col("t"))) == 1, F.min(F.when(cond, F.col("t"))))
     by = i.groupBy("ref").agg(one(F.lit(True)).alias("single"), F.min("kind").alias("k"), F.count_distinct("kind").alias("nk"), one(F.col("kind") == "explicit").alias("explicit"), one(F.col("kind") == "alias").alias("alias"))
     j = refs.join(own, "ref", "left").join(by, "ref", "left")

@@ -18,6 +18,13 @@ def unique_or_nothing(candidates: DataFrame, key: str = "ref", target: str = "ta
     return by.select(key, "n", F.when(F.col("n") == 1, F.col("__t")).alias(target))
 
 
+def ends(symbols: DataFrame, on: list[str], target: str = "target") -> DataFrame:
+    """(on, target): the least and the greatest target per key, one row where they are equal. A cascade's stage tells
+    one target from several and names the least, so it ends the same as with every target of the key."""
+    by = symbols.groupBy(*on).agg(F.min(target).alias("__a"), F.max(target).alias("__z"))
+    return by.select(*on, F.explode(F.array_distinct(F.array("__a", "__z"))).alias(target))
+
+
 def cascade(refs: DataFrame, stages: list[tuple[str, float, DataFrame, bool]], key: str = "ref") -> DataFrame:
     """(key, target, confidence, reason) for refs(key) through stages (reason, confidence, candidates, blocks).
 
@@ -137,7 +144,7 @@ def qualified_cascade(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def method_cascade(calls: DataFrame, symbols: DataFrame, std_traits: DataFrame, receivers: DataFrame) -> DataFrame:
     """Method calls(ref, name, receiver): the only method of that name, else a standard trait's, else the receiver type's."""
-    only = calls.join(symbols.filter("kind = 'method'").select("name", F.col("id").alias("target")), "name").select("ref", "target")
+    only = calls.join(ends(symbols.filter("kind = 'method'").select("name", F.col("id").alias("target")), ["name"]), "name").select("ref", "target")
     trait = calls.join(F.broadcast(std_traits.select("name", F.concat(F.lit("std::"), "name").alias("target"))), "name").select("ref", "target")
     typed = calls.join(F.broadcast(receivers.select(F.col("type").alias("receiver"), "name", F.concat_ws("::", "type", "name").alias("target"))), ["receiver", "name"]).select("ref", "target")
     return cascade(calls, [("method-name", 0.65, only, False), ("std-trait", 0.55, trait, False), ("receiver-type", 0.65, typed, True)])
@@ -147,12 +154,13 @@ def preferred_kind(calls: DataFrame, symbols: DataFrame, imports: DataFrame, lad
     """TypeScript-like calls: imported name, same file, project-wide; in each, the first kind of the ladder that is unique."""
     rank = F.array_position(F.array(*[F.lit(k) for k in ladder]), F.col("kind"))
     s = symbols.withColumn("rank", rank).filter("rank > 0").select(F.col("id").alias("target"), "name", F.col("file").alias("s_file"), "rank")
+    held = ends(s, ["name", "s_file", "rank"])
 
     def best(c: DataFrame) -> DataFrame:
         by = c.groupBy("ref", "rank").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1")
         return by.groupBy("ref").agg(F.min(F.struct("rank", "target")).alias("m")).select("ref", F.col("m.target").alias("target"))
 
-    imported = calls.join(imports.select("file", "name", F.col("from_file").alias("s_file")), ["file", "name"]).join(s, ["name", "s_file"])
-    local = calls.join(s, (calls["name"] == s["name"]) & (calls["file"] == s["s_file"])).select("ref", "target", "rank")
-    project = calls.join(s, "name").select("ref", "target", "rank")
+    imported = calls.join(imports.select("file", "name", F.col("from_file").alias("s_file")), ["file", "name"]).join(held, ["name", "s_file"])
+    local = calls.join(held.withColumnRenamed("s_file", "file"), ["name", "file"]).select("ref", "target", "rank")
+    project = calls.join(ends(s, ["name", "rank"]), "name").select("ref", "target", "rank")
     return cascade(calls, [("imported", 0.88, best(imported), False), ("same-file", 0.85, best(local), False), ("project-unique", 0.55, best(project), True)])

@@ -38,10 +38,10 @@ x AS (SELECT r.ref, r.confidence, own, single, ex, al, CASE WHEN ex IS NOT NULL
 SELECT ref, coalesce(own, single, ex, al) AS target, (CASE WHEN own IS NOT NULL THEN confidence WHEN k = 'explicit' THEN 0.85 WHEN k = 'alias' THEN 0.8 WHEN k = 'wildcard' THEN 0.7 ELSE 0 END)::DOUBLE AS confidence, CASE WHEN own IS NOT NULL THEN 'same-file' ELSE coalesce(k, 'unresolved') END AS reason FROM x""")
 def cangjie_references(spark, d):
     p = t.parts(spark, d).select("id", F.col("module").alias("file"), F.split_part("name", F.lit(" "), F.lit(1)).alias("name"))
-    refs = p.filter("id % 3 = 0").select(F.col("id").alias("ref"), "file", "name", F.lit(0.8).alias("confidence"))
+    refs = p.select(F.col("id").alias("ref"), "file", "name", F.lit(0.8).alias("confidence"))
     k = F.col("id") % 3
-    imports = p.filter("id % 5 = 2").select("file", "name", F.when(k == 0, "explicit").when(k == 1, "alias").otherwise("wildcard").alias("kind"), F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("target"))
-    return reports.cangjie_references(refs, p.filter("id % 8 = 1").withColumn("id", F.col("id").cast("string")), imports)
+    imports = p.select("file", "name", F.when(k == 0, "explicit").when(k == 1, "alias").otherwise("wildcard").alias("kind"), F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("target"))
+    return reports.cangjie_references(refs, p.withColumn("id", F.col("id").cast("string")), imports)
 
 
 @query("runner_ladder", """WITH x AS (SELECT o_custkey, count(*) AS affected, count(*) FILTER (o_orderstatus = 'O') AS workflows FROM orders GROUP BY 1) SELECT o_custkey AS project, CASE WHEN affected >= 8 THEN 'critical' WHEN affected >= 4 OR workflows >= 3 THEN 'high' WHEN affected >= 2 THEN 'medium' WHEN affected >= 1 THEN 'low' ELSE 'none' END AS level FROM x""")

@@ -64,8 +64,8 @@ c3 AS (SELECT ref, receiver || '::' || name AS target FROM refs WHERE receiver I
 {_cascade_sql([("method-name", 0.65, "c1", False), ("std-trait", 0.55, "c2", False), ("receiver-type", 0.65, "c3", True)])}""")
 def method_unique(spark, d):
     p = t.parts(spark, d)
-    refs = p.filter("id % 3 = 0").select(F.col("id").alias("ref"), "name", F.col("module").alias("receiver"))
-    symbols = p.filter("id % 7 = 0").withColumn("id", F.concat(F.lit("part"), F.col("id").cast("string")))
+    refs = p.select(F.col("id").alias("ref"), "name", F.col("module").alias("receiver"))
+    symbols = p.withColumn("id", F.concat(F.lit("part"), F.col("id").cast("string")))
     traits = p.agg(F.min("name").alias("name"))
     receivers = p.filter(F.col("module").isin("Brand#11", "Brand#23")).select(F.col("module").alias("type"), "name").distinct()
     return resolve.method_cascade(refs, symbols, traits, receivers).select("ref", "target", "confidence", "reason")
@@ -97,10 +97,12 @@ c2 AS (SELECT ref, 'part' || p.id AS target FROM known k JOIN parts p ON p.modul
 def assoc_fn(spark, d):
     p = t.parts(spark, d).withColumn("type", F.split_part("name", F.lit(" "), F.lit(1)))
     types = p.filter("kind = 'struct'").select("module", "type").distinct()
-    refs = p.filter("id % 5 = 0").select(F.col("id").alias("ref"), "module", "type")
+    refs = p.select(F.col("id").alias("ref"), "module", "type")
     members = p.select("module", "type", "kind", F.concat(F.lit("part"), F.col("id").cast("string")).alias("target"))
-    known = refs.join(types, ["module", "type"], "left_semi").join(members, ["module", "type"])
-    return resolve.cascade(refs, [("associated", 0.75, known.filter("kind = 'associated-function'").select("ref", "target"), False), ("associated-any-kind", 0.70, known.select("ref", "target"), True)]).select("ref", "target", "confidence", "reason")
+    on = ["module", "type"]
+    known = refs.join(types, on, "left_semi")
+    own, every = (known.join(resolve.ends(m, on), on).select("ref", "target") for m in (members.filter("kind = 'associated-function'"), members))
+    return resolve.cascade(refs, [("associated", 0.75, own, False), ("associated-any-kind", 0.70, every, True)]).select("ref", "target", "confidence", "reason")
 
 
 @query("external_crate_calls", """WITH refs AS (SELECT p_partkey AS ref, CASE p_size % 4 WHEN 0 THEN 'std::' || p_type WHEN 1 THEN 'core::' || p_brand WHEN 2 THEN 'serde::' || p_type ELSE 'unknown::' || p_type END AS path FROM part)
@@ -191,10 +193,10 @@ c1 AS (SELECT ref, target FROM refs JOIN s USING (name) WHERE f = file), c2 AS (
 {_cascade_sql([("same-file", 0.85, "c1", False), ("project-unique", 0.55, "c2", True)])}""")
 def js_calls(spark, d):
     p = t.parts(spark, d).withColumn("file", F.concat("module", F.lit("/x")))
-    refs = p.filter("id % 11 = 0").select(F.col("id").alias("ref"), "name", "file")
-    s = p.filter("id % 4 = 0").select(F.col("id").alias("target"), "name", F.col("file").alias("f"))
-    every = refs.join(s, "name")
-    return resolve.cascade(refs, [("same-file", 0.85, every.filter("f = file").select("ref", "target"), False), ("project-unique", 0.55, every.select("ref", "target"), True)]).select("ref", "target", "confidence", "reason")
+    refs = p.select(F.col("id").alias("ref"), "name", "file")
+    s = p.select(F.col("id").alias("target"), "name", "file")
+    local, every = (refs.join(resolve.ends(s, on), on).select("ref", "target") for on in (["name", "file"], ["name"]))
+    return resolve.cascade(refs, [("same-file", 0.85, local, False), ("project-unique", 0.55, every, True)]).select("ref", "target", "confidence", "reason")
 
 
 _KINDS = ["function", "method", "struct"]
@@ -210,10 +212,10 @@ c1 AS (SELECT ref, arg_min(target, rank) AS target FROM b1 GROUP BY ref), c2 AS
 {_cascade_sql([("imported", 0.88, "c1", False), ("same-file", 0.85, "c2", False), ("project-unique", 0.55, "c3", True)])}""")
 def ts_calls(spark, d):
     p = t.parts(spark, d)
-    refs = p.filter("id % 13 = 0").select(F.col("id").alias("ref"), "name", "file")
+    refs = p.select(F.col("id").alias("ref"), "name", "file")
     a, b = p.select("id", "file", "name"), p.select(F.col("id").alias("bid"), F.col("file").alias("from_file"), F.col("name").alias("bname"))
-    imp = a.join(b, F.col("bid") == F.col("id") + 3).filter("bname = name").unionByName(a.filter("id % 13 = 0").join(b, F.col("bid") == F.col("id") - F.col("id") % 3)).select("file", "name", "from_file").distinct()
-    return resolve.preferred_kind(refs, p.filter("id % 3 = 0"), imp, _KINDS).select("ref", "target", "confidence", "reason")
+    imp = a.join(b, F.col("bid") == F.col("id") + 3).filter("bname = name").unionByName(a.join(b, F.col("bid") == F.col("id") - F.col("id") % 3)).select("file", "name", "from_file").distinct()
+    return resolve.preferred_kind(refs, p, imp, _KINDS).select("ref", "target", "confidence", "reason")
 
 
 @query("py_call_first_match", f"""WITH {P}, s AS (SELECT name, module || '.' || name AS qname, id FROM parts WHERE id % 4 = 0),
@@ -222,8 +224,8 @@ a AS (SELECT r.ref, min(s.id) AS target FROM refs r JOIN s ON s.qname = r.qname
 SELECT r.ref, coalesce(a.target, b.target) AS target, coalesce(a.target, b.target) IS NULL AS placeholder FROM refs r LEFT JOIN a USING (ref) LEFT JOIN b USING (ref)""")
 def py_calls(spark, d):
     p = t.parts(spark, d).withColumn("qname", F.concat_ws(".", "module", "name"))
-    s = p.filter("id % 4 = 0").select("name", "qname", "id")
-    refs = p.filter("id % 9 = 0").select(F.col("id").alias("ref"), "name", "qname")
+    s = p.select("name", "qname", "id")
+    refs = p.select(F.col("id").alias("ref"), "name", "qname")
     exact = resolve.first_match(refs, s.select("qname", F.col("id").alias("a")), ["qname"], [], "a")
     both = resolve.first_match(exact, s.select("name", F.col("id").alias("b")), ["name"], [], "b")
     return both.select("ref", F.coalesce("a", "b").alias("target"), F.coalesce("a", "b").isNull().alias("placeholder"))
@@ -235,8 +237,8 @@ h AS (SELECT ref, q, CASE WHEN q = name THEN 0 WHEN ends_with(q, '::' || name) T
 SELECT r.ref, r.name, arg_min(q, x * 1000) FILTER (x IS NOT NULL) AS target, min(x) = 0 AS exact FROM refs r LEFT JOIN (SELECT ref, x, min(q) AS q FROM h GROUP BY ref, x) USING (ref) GROUP BY r.ref, r.name""")
 def cpp_calls(spark, d):
     p = t.parts(spark, d).withColumn("s", F.split_part("name", F.lit(" "), F.lit(1)))
-    names = p.filter("id % 2 = 0").select(F.concat_ws("::", F.lit("ns"), "module", "s").alias("qname"))
-    refs = p.filter("id % 5 = 0").select(F.col("id").alias("ref"), F.when(F.col("id") % 3 == 0, F.concat_ws("::", F.lit("ns"), "module", "s")).when(F.col("id") % 3 == 1, F.concat_ws("::", "module", "s")).otherwise(F.concat("s", F.lit("x"))).alias("name"))
+    names = p.select(F.concat_ws("::", F.lit("ns"), "module", "s").alias("qname"))
+    refs = p.select(F.col("id").alias("ref"), F.when(F.col("id") % 3 == 0, F.concat_ws("::", F.lit("ns"), "module", "s")).when(F.col("id") % 3 == 1, F.concat_ws("::", "module", "s")).otherwise(F.concat("s", F.lit("x"))).alias("name"))
     return resolve.by_suffix(refs, names)
 
 
@@ -275,7 +277,7 @@ SELECT q.point, q.file, q.line, (SELECT r.id FROM parts r WHERE r.file = q.file
 def enclosing_scope(spark, d):
     p = t.parts(spark, d)
     n = t.table(spark, d, "part").count()
-    pts = t.table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 500 + 1).alias("line"), ((F.col("o_orderkey") * 17) % n).alias("id"))
+    pts = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 500 + 1).alias("line"), ((F.col("o_orderkey") * 17) % n).alias("id"))
     return resolve.enclosing(pts.join(p.select("id", "file"), "id").select("point", "file", "line"), p)
 
 

@@ -9,6 +9,14 @@ SF = "/root/testdata/sf0.001"
 #: Query: the filters that its SQL has beyond the job.
 CUTS = {
     "call_cascade_free": [" WHERE l.l_orderkey % 20 = 0", " WHERE p_partkey % 40 = 0"],
+    "js_call_resolution": [" WHERE id % 11 = 0", " WHERE id % 4 = 0"],
+    "ts_call_resolution": [" WHERE id % 13 = 0", "id % 3 = 0 AND ", " AND a.id % 13 = 0"],
+    "py_call_first_match": [" WHERE id % 9 = 0", " WHERE id % 4 = 0"],
+    "cpp_suffix_calls": [" WHERE id % 5 = 0", " WHERE id % 2 = 0"],
+    "method_unique_or_nothing": [" WHERE id % 3 = 0", " WHERE id % 7 = 0"],
+    "assoc_fn": [" WHERE id % 5 = 0"],
+    "enclosing_scope": [" WHERE o_orderkey % 5 = 0"],
+    "cangjie_references": [" WHERE id % 3 = 0", " WHERE id % 8 = 1", " WHERE id % 5 = 2"],
 }
 
 
