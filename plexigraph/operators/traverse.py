@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from plexigraph.model import WEAK_CAP, WEAK_KINDS
 
 
-def _hold(df: DataFrame) -> DataFrame:
+def hold(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, in the folder that the session names."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -31,7 +31,9 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, hold_after: int = 2) ->
         reached = step.groupBy(F.col("target").alias("id")).agg(F.max(F.least("__c", "confidence")).alias("confidence"))
         front = reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "confidence")
         if d > hold_after:
-            front = _hold(front)
+            front = hold(front)
+            if front.isEmpty():
+                break
         seen = seen.unionByName(front)
     return seen
 

@@ -189,9 +189,14 @@ def reachable(spark, d):
     return traverse.bfs(t.strong(spark, d), t.starts(spark), 3).select("id", "depth")
 
 
+def _from_entries(spark, d, edges):
+    """What the entry points reach within 8 hops; `edges` are read once a hop, so they should be held."""
+    return traverse.bfs(edges, scores.entry_points(t.parts(spark, d), edges).select("id"), 8, hold_after=0)
+
+
 @query("unreachable", f"WITH {P}, {S}, {_bfs_sql(3)} SELECT id, name FROM parts WHERE id NOT IN (SELECT id FROM bfs)")
 def unreachable(spark, d):
-    return traverse.unreachable(t.parts(spark, d), traverse.bfs(t.strong(spark, d), t.starts(spark), 3)).select("id", "name")
+    return traverse.unreachable(t.parts(spark, d), _from_entries(spark, d, traverse.hold(t.strong(spark, d)))).select("id", "name")
 
 
 _DEAD = f"""dead AS (SELECT id, file, round((CASE WHEN id NOT IN (SELECT target FROM strong) THEN 0.35 ELSE 0 END) + (CASE WHEN id NOT IN (SELECT id FROM bfs) THEN 0.25 ELSE 0 END)
@@ -200,8 +205,8 @@ _DEAD = f"""dead AS (SELECT id, file, round((CASE WHEN id NOT IN (SELECT target
 
 @query("dead_code_scores", f"""WITH {P}, {S}, {_bfs_sql(3)}, {_DEAD} SELECT id, file, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM dead WHERE score >= 0.45""")
 def dead_code(spark, d):
-    e = t.strong(spark, d)
-    return scores.dead_code(t.parts(spark, d), e, traverse.bfs(e, t.starts(spark), 3))
+    e = traverse.hold(t.strong(spark, d))
+    return scores.dead_code(t.parts(spark, d), e, _from_entries(spark, d, e))
 
 
 @query("dead_file_scores", f"""WITH {P}, {S}, {_bfs_sql(3)},
@@ -209,8 +214,8 @@ o AS (SELECT DISTINCT b.file FROM strong s JOIN parts a ON a.id = s.source JOIN
 f AS (SELECT file, max(CASE WHEN visibility = 'public' THEN 1 ELSE 0 END) AS pub, max(CASE WHEN id IN (SELECT id FROM bfs) THEN 1 ELSE 0 END) AS r FROM parts GROUP BY file)
 SELECT f.file, round(CASE WHEN o.file IS NULL THEN 0.35 ELSE -0.3 END + CASE WHEN r = 0 THEN 0.2 ELSE 0 END + CASE WHEN pub = 0 THEN 0.2 ELSE -0.4 END, 2)::DOUBLE AS score FROM f LEFT JOIN o ON o.file = f.file""")
 def dead_files(spark, d):
-    e = t.strong(spark, d)
-    return scores.dead_files(t.parts(spark, d), e, traverse.bfs(e, t.starts(spark), 3))
+    e = traverse.hold(t.strong(spark, d))
+    return scores.dead_files(t.parts(spark, d), e, _from_entries(spark, d, e))
 
 
 @query("two_cycles", f"WITH {C} SELECT a.source AS a, a.target AS b FROM calls a JOIN calls b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target")

@@ -2,11 +2,17 @@
 
 import pytest
 
-from plexigraph.plans import catalog
+from plexigraph.plans import catalog, graph_queries
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
-#: Query: the filters that its SQL has beyond the job.
+#: For a query whose rows are the same on the smallest tables either way.
+LARGER = "/root/testdata/sf0.01"
+#: A walk of 8 hops from the entry points, for that of 3 hops from six ids.
+ENTRIES = """SELECT id, 0 AS depth, 1.0::DOUBLE AS confidence FROM parts
+ WHERE lower(name) IN ('main', 'run', 'start', 'init') OR visibility = 'public' AND kind = 'function' AND id NOT IN (SELECT target FROM strong)"""
+WALK = (graph_queries._bfs_sql(3), graph_queries._bfs_sql(8).replace("SELECT range AS id, 0 AS depth, 1.0::DOUBLE AS confidence FROM range(6)", ENTRIES))
+#: Query: the filters that its SQL has beyond the job, or pairs of a part of its SQL and what the job says.
 CUTS = {
     "call_cascade_free": [" WHERE l.l_orderkey % 20 = 0", " WHERE p_partkey % 40 = 0"],
     "js_call_resolution": [" WHERE id % 11 = 0", " WHERE id % 4 = 0"],
@@ -17,16 +23,19 @@ CUTS = {
     "assoc_fn": [" WHERE id % 5 = 0"],
     "enclosing_scope": [" WHERE o_orderkey % 5 = 0"],
     "cangjie_references": [" WHERE id % 3 = 0", " WHERE id % 8 = 1", " WHERE id % 5 = 2"],
+    "unreachable": [WALK],
+    "dead_code_scores": [WALK],
+    "dead_file_scores": [WALK],
 }
 
 
 def whole(name):
     sql = catalog.SQL[name]
     for cut in CUTS[name]:
-        sql = sql.replace(cut, "")
+        sql = sql.replace(*cut) if isinstance(cut, tuple) else sql.replace(cut, "")
     return sql
 
 
 @pytest.mark.parametrize("name", sorted(CUTS))
 def test_query_covers_whole_tables(spark, name):
-    assert same(spark, catalog.QUERIES[name], whole(name), SF)
+    assert same(spark, catalog.QUERIES[name], whole(name), LARGER if name == "dead_code_scores" else SF)
