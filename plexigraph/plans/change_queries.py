@@ -309,9 +309,9 @@ def change_wide_impact(spark, d):
     from plexigraph.operators import resolve
 
     p = t.parts(spark, d)
-    changed = resolve.overlapping(t.hunks(spark, d).filter("hunk % 200 = 0"), p).select(F.col("symbol").alias("id")).distinct()
-    hit = traverse.bfs(traverse.reverse(t.strong(spark, d)), changed, 1)
-    return hit.join(p.select("id", "module"), "id").groupBy("module").agg(F.count_if(F.col("depth") == 0).alias("changed"), F.count_if(F.col("depth") == 1).alias("callers"))
+    changed = resolve.overlapping(t.hunks(spark, d), p).select(F.col("symbol").alias("id")).distinct()
+    hit = traverse.bfs(traverse.reverse(t.strong(spark, d)), changed, 2)
+    return hit.join(p.select("id", "module"), "id").groupBy("module").agg(F.count_if(F.col("depth") == 0).alias("changed"), F.count_if(F.col("depth") > 0).alias("callers"))
 
 
 @query("top_risk_symbols", f"WITH {t.CALLS_SQL} SELECT target AS id, count(*) AS callers FROM calls GROUP BY target ORDER BY callers DESC, id LIMIT 5")

@@ -120,7 +120,7 @@ FILES_SQL = "files AS (SELECT source || '/doc' || doc_id || '.txt' AS path, text
 def hunks(spark: SparkSession, d: str) -> DataFrame:
     """Change hunks over the parts' files, from lineitem: (hunk, file, new_start, new_end, change_kind)."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_type").alias("file"))
-    li = table(spark, d, "lineitem").filter("l_linenumber = 1 and l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"))
+    li = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"))
     start = (F.col("l_orderkey") * 13) % 450 + 1
     return li.join(part, "l_partkey").select(F.col("l_orderkey").alias("hunk"), "file", start.alias("new_start"), (start + F.col("l_orderkey") % 5).alias("new_end"), F.when(F.col("l_orderkey") % 3 == 0, "added").when(F.col("l_orderkey") % 3 == 1, "modified").otherwise("deleted").alias("change_kind"))
 

@@ -12,6 +12,10 @@ LARGER = "/root/testdata/sf0.01"
 ENTRIES = """SELECT id, 0 AS depth, 1.0::DOUBLE AS confidence FROM parts
  WHERE lower(name) IN ('main', 'run', 'start', 'init') OR visibility = 'public' AND kind = 'function' AND id NOT IN (SELECT target FROM strong)"""
 WALK = (graph_queries._bfs_sql(3), graph_queries._bfs_sql(8).replace("SELECT range AS id, 0 AS depth, 1.0::DOUBLE AS confidence FROM range(6)", ENTRIES))
+HUNKS = " AND l_orderkey % 10 = 0"
+#: Callers at depth 1 and 2, for those at depth 1.
+CALLERS = ("\nd AS (", "\nd1 AS ("), ("\nSELECT p.module", """, d AS (SELECT id FROM d1 UNION
+ SELECT source FROM strong WHERE target IN (SELECT id FROM d1) AND source NOT IN (SELECT id FROM o))\nSELECT p.module""")
 #: Query: the filters that its SQL has beyond the job, or pairs of a part of its SQL and what the job says.
 CUTS = {
     "call_cascade_free": [" WHERE l.l_orderkey % 20 = 0", " WHERE p_partkey % 40 = 0"],
@@ -26,6 +30,9 @@ CUTS = {
     "unreachable": [WALK],
     "dead_code_scores": [WALK],
     "dead_file_scores": [WALK],
+    "hunk_overlap": [HUNKS],
+    "unknown_hunks": [HUNKS],
+    "change_wide_impact": [HUNKS, " WHERE hunk % 200 = 0", *CALLERS],
 }
 
 
@@ -39,3 +46,13 @@ def whole(name):
 @pytest.mark.parametrize("name", sorted(CUTS))
 def test_query_covers_whole_tables(spark, name):
     assert same(spark, catalog.QUERIES[name], whole(name), LARGER if name == "dead_code_scores" else SF)
+
+
+def test_change_wide_impact_counts_second_callers(spark, tmp_path):
+    """A chain of calls 3 > 2 > 1 > 0, of which a hunk changes the last: two callers, not three and not one."""
+    part = [(k, "n", "Brand#1", f"T{k}", 10) for k in range(4)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(0, 1, 0), *[(10 + k, n, p) for k in range(3) for n, p in ((2, k + 1), (3, k))]]
+    rows = [(o, n, p, 1, 50.0, "d") for o, n, p in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in catalog.QUERIES["change_wide_impact"](spark, str(tmp_path)).collect()] == [("Brand#1", 1, 2)]
