@@ -201,8 +201,8 @@ def symbol_context(spark, d):
 @query("rename_preview", f"""WITH {P}, {t.CALLS_SQL} SELECT d.id, d.name, count(c.source) AS refs, count(DISTINCT u.file) AS files FROM parts d LEFT JOIN calls c ON c.target = d.id LEFT JOIN parts u ON u.id = c.source WHERE d.id < 50 GROUP BY d.id, d.name""")
 def rename_preview(spark, d):
     p = t.parts(spark, d)
-    uses = t.calls(spark, d).filter("target < 50").join(p.select(F.col("id").alias("source"), "file"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("refs"), F.count_distinct("file").alias("files"))
-    return p.filter("id < 50").select("id", "name").join(uses, "id", "left").select("id", "name", F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("files", F.lit(0)).alias("files"))
+    uses = t.calls(spark, d).join(p.select(F.col("id").alias("source"), "file"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("refs"), F.count_distinct("file").alias("files"))
+    return p.select("id", "name").join(uses, "id", "left").select("id", "name", F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
 #: (language, needle, framework, role): dependency names that point to a framework.

@@ -271,7 +271,7 @@ SELECT change, touched, CASE WHEN e = 1 THEN 'critical' WHEN touched >= 10 THEN
 def review_gate(spark, d):
     p = t.parts(spark, d)
     hot = scores.hotspot_scores(p, t.calls(spark, d)).orderBy(F.desc("score"), "id").limit(20)
-    o = t.table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("change"))
+    o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("change"))
     touched = o.join(t.table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("id")), "l_orderkey").select("change", "id").distinct()
     return scores.review_gate(touched, hot, p.filter(F.lower("name").isin("main", "run", "start", "init")))
 
@@ -290,6 +290,6 @@ n AS (SELECT DISTINCT target AS id FROM strong WHERE source IN (SELECT id FROM s
 SELECT p.id, p.file, CASE WHEN p.id IN (SELECT id FROM seed) THEN 2 ELSE 1 END AS weight FROM parts p WHERE p.id IN (SELECT id FROM seed UNION SELECT id FROM n)""")
 def context_pack(spark, d):
     p = t.parts(spark, d)
-    seed = p.filter(F.col("name").contains("a") & (F.col("id") % 20 == 0)).select("id")
+    seed = p.filter(F.col("name").contains("a")).select("id")
     near = traverse.bfs(t.strong(spark, d), seed, 1)
     return near.join(p.select("id", "file"), "id").select("id", "file", (2 - F.col("depth")).alias("weight"))

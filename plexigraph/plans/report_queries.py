@@ -25,7 +25,7 @@ s AS (SELECT min(id) AS id, split_part(name, ' ', 1) AS name FROM parts GROUP BY
 SELECT id, path, line_no FROM m JOIN s USING (name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY path, line_no) <= 5""")
 def doc_symbol_links(spark, d):
     part = t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
-    o = t.table(spark, d, "orders").filter("o_orderkey % 6 = 0").select(F.concat(F.lit("doc"), (F.col("o_custkey") % 30).cast("string")).alias("path"), (F.col("o_orderkey") % 90).alias("line_no"), (F.col("o_orderkey") % 199).alias("k"))
+    o = t.table(spark, d, "orders").select(F.concat(F.lit("doc"), (F.col("o_custkey") % 30).cast("string")).alias("path"), (F.col("o_orderkey") % 90).alias("line_no"), (F.col("o_orderkey") % 199).alias("k"))
     symbols = part.groupBy("name").agg(F.min("k").alias("id"))
     return reports.doc_links(o.join(part, "k").select("path", "line_no", F.concat(F.lit("a::"), "name").alias("name")), symbols)
 

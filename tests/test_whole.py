@@ -33,6 +33,10 @@ CUTS = {
     "hunk_overlap": [HUNKS],
     "unknown_hunks": [HUNKS],
     "change_wide_impact": [HUNKS, " WHERE hunk % 200 = 0", *CALLERS],
+    "review_gate": [" AND o_orderkey % 97 = 0"],
+    "context_pack": [" AND id % 20 = 0"],
+    "doc_symbol_links": [" WHERE o_orderkey % 6 = 0"],
+    "rename_preview": [" WHERE d.id < 50"],
 }
 
 
