@@ -110,7 +110,7 @@ def _projects(spark, d):
 
 def _workspace(spark, d):
     p = _projects(spark, d)
-    o = t.table(spark, d, "orders").filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     li = t.table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
     trade = o.join(li, "l_orderkey").join(t.table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(t.table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").filter("c_nationkey <> s_nationkey")
     key = lambda c: F.concat(F.lit("project:"), F.col(c).cast("string"))

@@ -37,6 +37,7 @@ CUTS = {
     "context_pack": [" AND id % 20 = 0"],
     "doc_symbol_links": [" WHERE o_orderkey % 6 = 0"],
     "rename_preview": [" WHERE d.id < 50"],
+    **dict.fromkeys(["workspace_graph", "ws_summary_top5", "cross_project_impact"], [" AND o_orderkey % 40 = 0"]),
 }
 
 
