@@ -97,7 +97,7 @@ def severity_max(spark, d):
 
 _PROJECTS = """projects AS (SELECT 'project:' || n_nationkey AS id, 'workspace:' || n_regionkey AS workspace, n_name AS name, n_nationkey % 4 <> 0 AS supported FROM nation)"""
 _WS = f"""{_PROJECTS}, trade AS (SELECT DISTINCT 'project:' || c_nationkey AS source, 'project:' || s_nationkey AS target, 0.85::DOUBLE AS confidence FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
- WHERE c_nationkey <> s_nationkey AND o_orderkey % 40 = 0 AND l_linenumber = 1),
+ WHERE c_nationkey <> s_nationkey AND l_linenumber = 1),
 adj AS (SELECT a.id AS source, b.id AS target FROM projects a JOIN projects b USING (workspace) WHERE a.id < b.id),
 bnd AS (SELECT a.id AS source, b.id AS target FROM projects a JOIN projects b USING (workspace) WHERE a.supported AND NOT b.supported),
 ws AS (SELECT source, target, 'depends_on' AS kind, confidence FROM trade UNION ALL SELECT source, target, 'adjacent_to', 0.35 FROM adj UNION ALL SELECT source, target, 'unsupported_boundary', 0.45 FROM bnd UNION ALL SELECT workspace, id, 'contains', 1.0 FROM projects)"""
@@ -198,7 +198,7 @@ def symbol_context(spark, d):
     return into.unionByName(out).groupBy("id", "dir", "edge_type").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
 
-@query("rename_preview", f"""WITH {P}, {t.CALLS_SQL} SELECT d.id, d.name, count(c.source) AS refs, count(DISTINCT u.file) AS files FROM parts d LEFT JOIN calls c ON c.target = d.id LEFT JOIN parts u ON u.id = c.source WHERE d.id < 50 GROUP BY d.id, d.name""")
+@query("rename_preview", f"""WITH {P}, {t.CALLS_SQL} SELECT d.id, d.name, count(c.source) AS refs, count(DISTINCT u.file) AS files FROM parts d LEFT JOIN calls c ON c.target = d.id LEFT JOIN parts u ON u.id = c.source GROUP BY d.id, d.name""")
 def rename_preview(spark, d):
     p = t.parts(spark, d)
     uses = t.calls(spark, d).join(p.select(F.col("id").alias("source"), "file"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("refs"), F.count_distinct("file").alias("files"))
@@ -302,8 +302,9 @@ def analyze_compact(spark, d):
     return entry.unionByName(sym).unionByName(mod)
 
 
-@query("change_wide_impact", f"""WITH {P}, {S}, {t.HUNKS_SQL}, o AS (SELECT DISTINCT p.id FROM hunks h JOIN parts p ON p.file = h.file AND new_start <= line_end AND new_end >= line_start WHERE hunk % 200 = 0),
-d AS (SELECT DISTINCT source AS id FROM strong WHERE target IN (SELECT id FROM o) AND source NOT IN (SELECT id FROM o))
+@query("change_wide_impact", f"""WITH {P}, {S}, {t.HUNKS_SQL}, o AS (SELECT DISTINCT p.id FROM hunks h JOIN parts p ON p.file = h.file AND new_start <= line_end AND new_end >= line_start),
+d1 AS (SELECT DISTINCT source AS id FROM strong WHERE target IN (SELECT id FROM o) AND source NOT IN (SELECT id FROM o)),
+d AS (SELECT id FROM d1 UNION SELECT source FROM strong WHERE target IN (SELECT id FROM d1) AND source NOT IN (SELECT id FROM o))
 SELECT p.module, count(*) FILTER (p.id IN (SELECT id FROM o)) AS changed, count(*) FILTER (p.id IN (SELECT id FROM d)) AS callers FROM parts p WHERE p.id IN (SELECT id FROM o UNION SELECT id FROM d) GROUP BY p.module""")
 def change_wide_impact(spark, d):
     from plexigraph.operators import resolve

@@ -140,9 +140,9 @@ def entry_points(spark, d):
     return scores.entry_points(t.parts(spark, d), t.strong(spark, d))
 
 
-def _bfs_sql(depth: int, forward: bool = True, starts: int = 6, name: str = "bfs") -> str:
+def _bfs_sql(depth: int, forward: bool = True, starts: str = "(SELECT range AS id FROM range(6))", name: str = "bfs") -> str:
     s, e = ("source", "target") if forward else ("target", "source")
-    out = f"{name}0 AS (SELECT range AS id, 0 AS depth, 1.0::DOUBLE AS confidence FROM range({starts}))"
+    out = f"{name}0 AS (SELECT id, 0 AS depth, 1.0::DOUBLE AS confidence FROM {starts})"
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT id FROM {name}{j}" for j in range(k))
         out += f",\n{name}{k} AS (SELECT {e} AS id, {k} AS depth, max(least(b.confidence, s.confidence)) AS confidence FROM {name}{k - 1} b JOIN strong s ON s.{s} = b.id WHERE {e} NOT IN ({seen}) GROUP BY {e})"
@@ -189,12 +189,15 @@ def reachable(spark, d):
     return traverse.bfs(t.strong(spark, d), t.starts(spark), 3).select("id", "depth")
 
 
+_ENTRY_WALK = _bfs_sql(8, starts=f"(SELECT id FROM parts WHERE {_ENTRY_NAME} OR visibility = 'public' AND kind = 'function' AND id NOT IN (SELECT target FROM strong))")
+
+
 def _from_entries(spark, d, edges):
     """What the entry points reach within 8 hops; `edges` are read once a hop, so they should be held."""
     return traverse.bfs(edges, scores.entry_points(t.parts(spark, d), edges).select("id"), 8, hold_after=0)
 
 
-@query("unreachable", f"WITH {P}, {S}, {_bfs_sql(3)} SELECT id, name FROM parts WHERE id NOT IN (SELECT id FROM bfs)")
+@query("unreachable", f"WITH {P}, {S}, {_ENTRY_WALK} SELECT id, name FROM parts WHERE id NOT IN (SELECT id FROM bfs)")
 def unreachable(spark, d):
     return traverse.unreachable(t.parts(spark, d), _from_entries(spark, d, traverse.hold(t.strong(spark, d)))).select("id", "name")
 
@@ -203,13 +206,13 @@ _DEAD = f"""dead AS (SELECT id, file, round((CASE WHEN id NOT IN (SELECT target
  + (CASE WHEN visibility <> 'public' THEN 0.15 ELSE -0.35 END) - (CASE WHEN {_ENTRY_NAME} THEN 0.4 ELSE 0 END) - (CASE WHEN kind = 'trait' THEN 0.15 ELSE 0 END), 2)::DOUBLE AS score FROM parts)"""
 
 
-@query("dead_code_scores", f"""WITH {P}, {S}, {_bfs_sql(3)}, {_DEAD} SELECT id, file, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM dead WHERE score >= 0.45""")
+@query("dead_code_scores", f"""WITH {P}, {S}, {_ENTRY_WALK}, {_DEAD} SELECT id, file, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM dead WHERE score >= 0.45""")
 def dead_code(spark, d):
     e = traverse.hold(t.strong(spark, d))
     return scores.dead_code(t.parts(spark, d), e, _from_entries(spark, d, e))
 
 
-@query("dead_file_scores", f"""WITH {P}, {S}, {_bfs_sql(3)},
+@query("dead_file_scores", f"""WITH {P}, {S}, {_ENTRY_WALK},
 o AS (SELECT DISTINCT b.file FROM strong s JOIN parts a ON a.id = s.source JOIN parts b ON b.id = s.target WHERE a.file <> b.file),
 f AS (SELECT file, max(CASE WHEN visibility = 'public' THEN 1 ELSE 0 END) AS pub, max(CASE WHEN id IN (SELECT id FROM bfs) THEN 1 ELSE 0 END) AS r FROM parts GROUP BY file)
 SELECT f.file, round(CASE WHEN o.file IS NULL THEN 0.35 ELSE -0.3 END + CASE WHEN r = 0 THEN 0.2 ELSE 0 END + CASE WHEN pub = 0 THEN 0.2 ELSE -0.4 END, 2)::DOUBLE AS score FROM f LEFT JOIN o ON o.file = f.file""")
@@ -265,7 +268,7 @@ def api_surface(spark, d):
 
 
 @query("review_gate", f"""WITH {P}, {C}, {_HOT}, tops AS (SELECT id FROM hot ORDER BY score DESC, id LIMIT 20),
-ch AS (SELECT DISTINCT o_custkey % 50 AS change, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 97 = 0),
+ch AS (SELECT DISTINCT o_custkey % 50 AS change, l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
 grp AS (SELECT change, count(*) AS touched, max(CASE WHEN id IN (SELECT id FROM tops) THEN 1 ELSE 0 END) AS h, max(CASE WHEN id IN (SELECT id FROM parts WHERE {_ENTRY_NAME}) THEN 1 ELSE 0 END) AS e FROM ch GROUP BY change)
 SELECT change, touched, CASE WHEN e = 1 THEN 'critical' WHEN touched >= 10 THEN 'high' WHEN touched >= 4 OR h = 1 THEN 'medium' ELSE 'low' END AS level FROM grp""")
 def review_gate(spark, d):
@@ -285,7 +288,7 @@ def containment_tree(spark, d):
     return up.select(F.expr("cast(substring(id, 7) as bigint)").alias("id"), F.col("id").alias("file"), "target", "package")
 
 
-@query("context_pack", f"""WITH {P}, {S}, seed AS (SELECT id FROM parts WHERE name LIKE '%a%' AND id % 20 = 0),
+@query("context_pack", f"""WITH {P}, {S}, seed AS (SELECT id FROM parts WHERE name LIKE '%a%'),
 n AS (SELECT DISTINCT target AS id FROM strong WHERE source IN (SELECT id FROM seed))
 SELECT p.id, p.file, CASE WHEN p.id IN (SELECT id FROM seed) THEN 2 ELSE 1 END AS weight FROM parts p WHERE p.id IN (SELECT id FROM seed UNION SELECT id FROM n)""")
 def context_pack(spark, d):

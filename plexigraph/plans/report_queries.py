@@ -20,7 +20,7 @@ def impact_analysis(spark, d):
     return reports.impact_analysis(t.strong(spark, d), spark.range(3, 4), entries, 2)
 
 
-@query("doc_symbol_links", f"""WITH {P}, m AS (SELECT DISTINCT 'doc' || o_custkey % 30 AS path, o_orderkey % 90 AS line_no, split_part(p_name, ' ', 1) AS name FROM orders JOIN part ON p_partkey = o_orderkey % 199 WHERE o_orderkey % 6 = 0),
+@query("doc_symbol_links", f"""WITH {P}, m AS (SELECT DISTINCT 'doc' || o_custkey % 30 AS path, o_orderkey % 90 AS line_no, split_part(p_name, ' ', 1) AS name FROM orders JOIN part ON p_partkey = o_orderkey % 199),
 s AS (SELECT min(id) AS id, split_part(name, ' ', 1) AS name FROM parts GROUP BY 2)
 SELECT id, path, line_no FROM m JOIN s USING (name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY path, line_no) <= 5""")
 def doc_symbol_links(spark, d):
@@ -30,8 +30,8 @@ def doc_symbol_links(spark, d):
     return reports.doc_links(o.join(part, "k").select("path", "line_no", F.concat(F.lit("a::"), "name").alias("name")), symbols)
 
 
-@query("cangjie_references", f"""WITH {P}, r AS (SELECT id AS ref, module AS file, split_part(name, ' ', 1) AS name, 0.8::DOUBLE AS confidence FROM parts WHERE id % 3 = 0), s AS (SELECT id, module AS file, split_part(name, ' ', 1) AS name FROM parts WHERE id % 8 = 1),
-i AS (SELECT DISTINCT module AS file, split_part(name, ' ', 1) AS name, CASE id % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'alias' ELSE 'wildcard' END AS kind, 't' || id % 4 AS t FROM parts WHERE id % 5 = 2),
+@query("cangjie_references", f"""WITH {P}, r AS (SELECT id AS ref, module AS file, split_part(name, ' ', 1) AS name, 0.8::DOUBLE AS confidence FROM parts), s AS (SELECT id, module AS file, split_part(name, ' ', 1) AS name FROM parts),
+i AS (SELECT DISTINCT module AS file, split_part(name, ' ', 1) AS name, CASE id % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'alias' ELSE 'wildcard' END AS kind, 't' || id % 4 AS t FROM parts),
 own AS (SELECT ref, min(s.id)::VARCHAR AS own FROM r JOIN s USING (file, name) GROUP BY ref HAVING count(DISTINCT s.id) = 1),
 m AS (SELECT ref, CASE WHEN count(DISTINCT t) = 1 THEN min(t) END AS single, CASE WHEN count(DISTINCT t) FILTER (kind = 'explicit') = 1 THEN min(t) FILTER (kind = 'explicit') END AS ex, CASE WHEN count(DISTINCT t) FILTER (kind = 'alias') = 1 THEN min(t) FILTER (kind = 'alias') END AS al FROM r JOIN i USING (file, name) GROUP BY ref),
 x AS (SELECT r.ref, r.confidence, own, single, ex, al, CASE WHEN ex IS NOT NULL AND coalesce(single, ex) = ex THEN 'explicit' WHEN al IS NOT NULL AND coalesce(single, al) = al THEN 'alias' WHEN single IS NOT NULL THEN 'wildcard' END AS k FROM r LEFT JOIN own USING (ref) LEFT JOIN m USING (ref))

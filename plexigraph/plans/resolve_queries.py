@@ -23,9 +23,9 @@ SELECT r.ref, CASE WHEN w.n = 1 THEN w.target END AS target, (CASE WHEN w.n = 1
 # Calls by name: a line item calls the part's name from the module and file of another part.
 _REFS_SQL = f"""{P},
 refs AS (SELECT l.l_orderkey * 10 + l.l_linenumber AS ref, min(b.name) AS name, min(a.module) AS module, min(a.package) AS package, min(a.file) AS file
-  FROM lineitem l JOIN parts a ON a.id = (l.l_partkey * 31) % (SELECT count(*) FROM part) JOIN parts b ON b.id = l.l_partkey WHERE l.l_orderkey % 20 = 0 GROUP BY 1),
+  FROM lineitem l JOIN parts a ON a.id = (l.l_partkey * 31) % (SELECT count(*) FROM part) JOIN parts b ON b.id = l.l_partkey GROUP BY 1),
 imports AS (SELECT module, CASE WHEN p_size % 10 = 0 THEN '*' ELSE p_name END AS name, min(CASE WHEN p_size % 10 = 0 THEN p_brand ELSE 'part' || p_partkey END) AS target
-  FROM (SELECT p.*, 'Brand#' || (1 + p_partkey % 5) || (1 + p_size % 5) AS module FROM part p WHERE p_partkey % 40 = 0) GROUP BY 1, 2, CASE WHEN p_size % 10 = 0 THEN p_brand END)"""
+  FROM (SELECT p.*, 'Brand#' || (1 + p_partkey % 5) || (1 + p_size % 5) AS module FROM part p) GROUP BY 1, 2, CASE WHEN p_size % 10 = 0 THEN p_brand END)"""
 
 
 def _refs(spark, d):
@@ -56,9 +56,8 @@ def call_cascade_free(spark, d):
     return resolve.call_cascade(_refs(spark, d), symbols, _imports(spark, d)).select("ref", "target", "confidence", "reason")
 
 
-@query("method_unique_or_nothing", f"""WITH {P}, k AS (SELECT * FROM parts WHERE id % 7 = 0),
-refs AS (SELECT id AS ref, name, module AS receiver FROM parts WHERE id % 3 = 0),
-c1 AS (SELECT ref, 'part' || k.id AS target FROM refs JOIN k USING (name) WHERE kind = 'method'),
+@query("method_unique_or_nothing", f"""WITH {P}, refs AS (SELECT id AS ref, name, module AS receiver FROM parts),
+c1 AS (SELECT ref, 'part' || k.id AS target FROM refs JOIN parts k USING (name) WHERE kind = 'method'),
 c2 AS (SELECT ref, 'std::' || name AS target FROM refs WHERE name IN (SELECT min(name) FROM parts)),
 c3 AS (SELECT ref, receiver || '::' || name AS target FROM refs WHERE receiver IN ('Brand#11', 'Brand#23')),
 {_cascade_sql([("method-name", 0.65, "c1", False), ("std-trait", 0.55, "c2", False), ("receiver-type", 0.65, "c3", True)])}""")
@@ -89,7 +88,7 @@ def qualified_path(spark, d):
 
 
 @query("assoc_fn", f"""WITH {P}, types AS (SELECT module, split_part(name, ' ', 1) AS type, min(id) AS type_id, count(*) AS n FROM parts WHERE kind = 'struct' GROUP BY 1, 2),
-refs AS (SELECT id AS ref, module, split_part(name, ' ', 1) AS type FROM parts WHERE id % 5 = 0),
+refs AS (SELECT id AS ref, module, split_part(name, ' ', 1) AS type FROM parts),
 known AS (SELECT r.ref, r.type, r.module FROM refs r JOIN types USING (module, type)),
 c1 AS (SELECT ref, 'part' || p.id AS target FROM known k JOIN parts p ON p.module = k.module AND split_part(p.name, ' ', 1) = k.type AND p.kind = 'associated-function'),
 c2 AS (SELECT ref, 'part' || p.id AS target FROM known k JOIN parts p ON p.module = k.module AND split_part(p.name, ' ', 1) = k.type),
@@ -188,7 +187,7 @@ def python_imports(spark, d):
     return imports.resolve_python(refs, files, reexports).select("ref", "target", "confidence", "reason")
 
 
-@query("js_call_resolution", f"""WITH {P}, refs AS (SELECT id AS ref, name, module || '/x' AS file FROM parts WHERE id % 11 = 0), s AS (SELECT id AS target, name, module || '/x' AS f FROM parts WHERE id % 4 = 0),
+@query("js_call_resolution", f"""WITH {P}, refs AS (SELECT id AS ref, name, module || '/x' AS file FROM parts), s AS (SELECT id AS target, name, module || '/x' AS f FROM parts),
 c1 AS (SELECT ref, target FROM refs JOIN s USING (name) WHERE f = file), c2 AS (SELECT ref, target FROM refs JOIN s USING (name)),
 {_cascade_sql([("same-file", 0.85, "c1", False), ("project-unique", 0.55, "c2", True)])}""")
 def js_calls(spark, d):
@@ -202,9 +201,9 @@ def js_calls(spark, d):
 _KINDS = ["function", "method", "struct"]
 
 
-@query("ts_call_resolution", f"""WITH {P}, refs AS (SELECT id AS ref, name, file FROM parts WHERE id % 13 = 0),
-s AS (SELECT id AS target, name, file AS f, list_position({_KINDS!r}, kind) AS rank FROM parts WHERE id % 3 = 0 AND kind <> 'associated-function'),
-imp AS (SELECT DISTINCT a.file, a.name, b.file AS f FROM parts a JOIN parts b ON b.id = a.id + 3 AND b.name = a.name OR b.id = a.id - (a.id % 3) AND a.id % 13 = 0),
+@query("ts_call_resolution", f"""WITH {P}, refs AS (SELECT id AS ref, name, file FROM parts),
+s AS (SELECT id AS target, name, file AS f, list_position({_KINDS!r}, kind) AS rank FROM parts WHERE kind <> 'associated-function'),
+imp AS (SELECT DISTINCT a.file, a.name, b.file AS f FROM parts a JOIN parts b ON b.id = a.id + 3 AND b.name = a.name OR b.id = a.id - (a.id % 3)),
 b1 AS (SELECT ref, rank, min(target) AS target FROM refs JOIN imp USING (file, name) JOIN s USING (name, f) GROUP BY ref, rank HAVING count(DISTINCT target) = 1),
 b2 AS (SELECT ref, rank, min(target) AS target FROM refs JOIN s USING (name) WHERE f = file GROUP BY ref, rank HAVING count(DISTINCT target) = 1),
 b3 AS (SELECT ref, rank, min(target) AS target FROM refs JOIN s USING (name) GROUP BY ref, rank HAVING count(DISTINCT target) = 1),
@@ -218,8 +217,8 @@ def ts_calls(spark, d):
     return resolve.preferred_kind(refs, p, imp, _KINDS).select("ref", "target", "confidence", "reason")
 
 
-@query("py_call_first_match", f"""WITH {P}, s AS (SELECT name, module || '.' || name AS qname, id FROM parts WHERE id % 4 = 0),
-refs AS (SELECT id AS ref, name, module || '.' || name AS qname FROM parts WHERE id % 9 = 0),
+@query("py_call_first_match", f"""WITH {P}, s AS (SELECT name, module || '.' || name AS qname, id FROM parts),
+refs AS (SELECT id AS ref, name, module || '.' || name AS qname FROM parts),
 a AS (SELECT r.ref, min(s.id) AS target FROM refs r JOIN s ON s.qname = r.qname GROUP BY 1), b AS (SELECT r.ref, min(s.id) AS target FROM refs r JOIN s ON s.name = r.name GROUP BY 1)
 SELECT r.ref, coalesce(a.target, b.target) AS target, coalesce(a.target, b.target) IS NULL AS placeholder FROM refs r LEFT JOIN a USING (ref) LEFT JOIN b USING (ref)""")
 def py_calls(spark, d):
@@ -231,8 +230,8 @@ def py_calls(spark, d):
     return both.select("ref", F.coalesce("a", "b").alias("target"), F.coalesce("a", "b").isNull().alias("placeholder"))
 
 
-@query("cpp_suffix_calls", f"""WITH {P}, n AS (SELECT DISTINCT 'ns::' || module || '::' || split_part(name, ' ', 1) AS q FROM parts WHERE id % 2 = 0),
-refs AS (SELECT id AS ref, CASE id % 3 WHEN 0 THEN 'ns::' || module || '::' || split_part(name, ' ', 1) WHEN 1 THEN module || '::' || split_part(name, ' ', 1) ELSE split_part(name, ' ', 1) || 'x' END AS name FROM parts WHERE id % 5 = 0),
+@query("cpp_suffix_calls", f"""WITH {P}, n AS (SELECT DISTINCT 'ns::' || module || '::' || split_part(name, ' ', 1) AS q FROM parts),
+refs AS (SELECT id AS ref, CASE id % 3 WHEN 0 THEN 'ns::' || module || '::' || split_part(name, ' ', 1) WHEN 1 THEN module || '::' || split_part(name, ' ', 1) ELSE split_part(name, ' ', 1) || 'x' END AS name FROM parts),
 h AS (SELECT ref, q, CASE WHEN q = name THEN 0 WHEN ends_with(q, '::' || name) THEN 1 END AS x FROM refs JOIN n ON split_part(q, '::', -1) = split_part(name, '::', -1))
 SELECT r.ref, r.name, arg_min(q, x * 1000) FILTER (x IS NOT NULL) AS target, min(x) = 0 AS exact FROM refs r LEFT JOIN (SELECT ref, x, min(q) AS q FROM h GROUP BY ref, x) USING (ref) GROUP BY r.ref, r.name""")
 def cpp_calls(spark, d):
@@ -271,7 +270,7 @@ def diag_annotates(spark, d):
     return j.select("event_id", F.coalesce(F.when(F.col("event_type") != "error", F.col("fid")), "pid", F.lit("repo:tpch")).alias("target"))
 
 
-@query("enclosing_scope", f"""WITH {P}, pts AS (SELECT DISTINCT o_orderkey AS point, (SELECT count(*) FROM part) AS np, o_orderkey % 500 + 1 AS line FROM orders WHERE o_orderkey % 5 = 0),
+@query("enclosing_scope", f"""WITH {P}, pts AS (SELECT DISTINCT o_orderkey AS point, (SELECT count(*) FROM part) AS np, o_orderkey % 500 + 1 AS line FROM orders),
 q AS (SELECT point, line, p.file FROM pts JOIN parts p ON p.id = (point * 17) % np)
 SELECT q.point, q.file, q.line, (SELECT r.id FROM parts r WHERE r.file = q.file AND q.line BETWEEN r.line_start AND r.line_end ORDER BY r.line_end - r.line_start, r.line_start DESC, r.id LIMIT 1) AS scope FROM q""")
 def enclosing_scope(spark, d):

@@ -128,5 +128,5 @@ def hunks(spark: SparkSession, d: str) -> DataFrame:
 HUNKS_SQL = """hunks AS (SELECT l_orderkey AS hunk, p_brand || '/' || p_type AS file, (l_orderkey * 13) % 450 + 1 AS new_start,
   (l_orderkey * 13) % 450 + 1 + l_orderkey % 5 AS new_end,
   CASE l_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END AS change_kind
-  FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0 GROUP BY l_orderkey)
+  FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)
   JOIN part ON p_partkey = l_partkey)"""
