@@ -3,11 +3,13 @@
 Each piece of a document goes where the sum, over all residual gaps, of the squared number of open
 sequences with that gap becomes smallest, so no gap piles up that later pieces can't fill.
 
-Scale: pieces are dealt into shards of about `shard_pieces` by a hash of (document, piece, place in
-the stored table), and every shard is packed by its own task from narrow rows (no text). Sequences
-that end up nearly full are closed; the pieces of all others go to the next round, which has far
-fewer of them, until they fit one shard. So the loss isn't one open sequence per gap and shard but
-per gap once, no task ever holds more than about a shard, and nothing depends on the driver.
+Scale: pieces get an id that is stored with them, are dealt into shards of about `shard_pieces` by
+its hash, and every shard is packed by its own task from narrow rows (no text). Sequences that end
+up nearly full are closed; the pieces of all others go to the next round, which has far fewer of
+them, until they fit one shard. So the loss isn't one open sequence per gap and shard but per gap
+once, no task ever holds more than about a shard, and nothing depends on the driver. Where most
+pieces leave gaps that no piece fills (lengths just over half of the capacity, say), rounds close
+little; then the open sequences themselves are packed into each other, round by round.
 
 Token ids come from a public tokenizer file; each ends with `end_id`. Tokens are made word by word
 through a table kept in the Python worker: the tokenizer splits at white space before anything
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import cache_of, parts, stash, table
+from plexigraph.llm._common import cache_of, parts, stash, table, without
 
 CAPACITY = 4096
 SEPARATOR = "\x01"
@@ -177,31 +179,52 @@ def _packer(capacity: int, level: int, slack: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000, slack: float = 0.002) -> DataFrame:
-    """pieces (with `length` of 1 to `capacity`) with sequence_id and offset added."""
-    out_schema = "__row long, sequence_id long, offset long, length long, closed boolean"
-    pieces = stash(pieces, "pieces").withColumn("__row", F.monotonically_increasing_id())
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000, slack: float = 0.002, gain: float = 0.001) -> DataFrame:
+    """pieces (with `length` of 1 to `capacity`) with sequence_id and offset added.
+
+    A round that closes under 30 % of its pieces is followed by merge rounds, in which open sequences
+    are packed as wholes, until one saves under `gain` of the sequences it was given.
+    """
+    # Ids are written with the rows: made on top of a stored table, they would follow each job's file splits.
+    pieces = stash(without(pieces, ["__row", "sequence_id", "offset"]).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     loose = pieces.select("__row", "length")
     placed, n, level = [], loose.count(), 0
     while True:
         shards = max(1, -(-n // shard_pieces))
-        lower = capacity if shards == 1 else int(slack * capacity)
-
-        dealt = loose.withColumn("__shard", F.expr(f"pmod(xxhash64(__row, {level}), {shards})"))
-        done = stash(dealt.groupBy("__shard").applyInArrow(_packer(capacity, level, lower), out_schema), f"packed{level}")
+        done = _round(loose, capacity, level, shards, capacity if shards == 1 else int(slack * capacity))
+        placed.append(done.filter("closed").select("__row", "sequence_id", "offset"))
         if shards == 1:
-            placed.append(done)
             break
         left = done.filter("not closed").count()
-        if left > 0.7 * n:  # rounds no longer pay; every piece has a place already
-            placed.append(done)
+        if left > 0.7 * n:
+            placed.append(_merge(done.filter("not closed").drop("closed"), capacity, level + 1, shard_pieces, gain))
             break
-        placed.append(done.filter("closed"))
         loose, n, level = done.filter("not closed").select("__row", "length"), left, level + 1
     both = placed[0]
     for x in placed[1:]:
         both = both.unionByName(x)
-    return pieces.join(both.select("__row", "sequence_id", "offset"), "__row").drop("__row")
+    return pieces.join(both, "__row").drop("__row")
+
+
+def _round(loose: DataFrame, capacity: int, level: int, shards: int, slack: int) -> DataFrame:
+    """(__row, sequence_id, offset, length, closed) of loose(__row, length), shard by shard."""
+    dealt = loose.select("__row", "length", F.expr(f"pmod(xxhash64(__row, {level}), {shards})").alias("__shard"))
+    return stash(dealt.groupBy("__shard").applyInArrow(_packer(capacity, level, slack), "__row long, sequence_id long, offset long, length long, closed boolean"), f"packed{level}")
+
+
+def _merge(opened: DataFrame, capacity: int, level: int, shard_pieces: int, gain: float) -> DataFrame:
+    """(__row, sequence_id, offset): open sequences packed into each other, their pieces moved along."""
+    now = opened.select("__row", "sequence_id", "offset", "length")
+    while True:
+        wholes = stash(now.groupBy(F.col("sequence_id").alias("__row")).agg(F.sum("length").alias("length")), f"open{level}")
+        n = wholes.count()
+        shards = max(1, -(-n // shard_pieces))
+        moved = _round(wholes, capacity, level, shards, capacity)
+        to = moved.select(F.col("__row").alias("sequence_id"), F.col("sequence_id").alias("__to"), F.col("offset").alias("__by"))
+        now = stash(now.join(to, "sequence_id").select("__row", F.col("__to").alias("sequence_id"), (F.col("offset") + F.col("__by")).alias("offset"), "length"), f"merged{level}")
+        if shards == 1 or n - moved.select("sequence_id").distinct().count() < gain * n:
+            return now.drop("length")
+        level += 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plexigraph.llm import packing
@@ -74,3 +75,46 @@ def test_documents(spark, make):
 
 def test_empty_table(make):
     assert packing.pack_documents(make([])).count() == 0
+
+
+def test_ids_survive_other_file_splits(spark):
+    """Jobs after the first see other splits of the stored pieces, as with a lost or an added executor."""
+    df = spark.range(0, 5000, 1, 24).select(F.col("id").alias("doc_id"), (F.col("id") % 700 + 1).alias("length"))
+    keys = ["spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"]
+    try:
+        spark.conf.set(keys[0], "1")
+        out = packing.pack(df, 1000, shard_pieces=400)
+        spark.conf.set(keys[0], "64")
+        spark.conf.set(keys[1], "0")
+        rows = out.collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000))
+    check(rows, 1000)
+
+
+def test_merge_rounds(spark):
+    """Pieces just over half of the capacity leave gaps; what could share a sequence still does."""
+    lengths = [510 + k % 7 for k in range(1500)] + [5] * 300
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = packing.pack(df, 1000, shard_pieces=100).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths)))
+    assert check(rows, 1000) == 1500
+    small = [400] * 3 + [530] * 901
+    rows = packing.pack(spark.createDataFrame(list(enumerate(small)), "doc_id long, length long"), 1000, shard_pieces=150).collect()
+    assert check(rows, 1000) == 901
+
+
+def test_query_columns(spark, sf):
+    out = packing.op1_best_fit_packing(spark, sf)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    rows = out.collect()
+    check(rows, 4096)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in rows} == set(docs)
+    model = Tokenizer.from_file(packing.tokenizer_file())
+    for r in rows:
+        ids = model.encode(docs[r["doc_id"]], add_special_tokens=False).ids + [1]
+        assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+        assert r["length"] == min(4096, len(ids) - r["start"]) and r["start"] == 4096 * r["piece"]
