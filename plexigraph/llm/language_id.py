@@ -6,9 +6,11 @@ trained with follow-the-regularised-leader (per-coordinate FTRL-proximal, elasti
 most stay exactly zero); a temperature fitted on held-back rows of the sample calibrates the scores.
 
 Document frequencies are counted over all training documents, as partial vectors per task that
-Spark sums (2^bits rows at most). The fit uses a bounded sample: `per_language` documents of each
-language in expectation, chosen by a hash of id and text, `most` in all, none of more than `longest`
-characters, so the driver holds a bounded number of features. All three are parameters.
+Spark sums (2^bits rows at most). The fit uses a bounded sample: of each language the `per_language`
+documents of least hash of id and text, fewer where all languages would give more than `most` (one
+each at least), none of more than `longest` characters unless a language has no other, so the driver
+holds a bounded number of features and no language is left out. All three are parameters. A fifth
+of each language's sample is held back for the temperature.
 Every text is read whole; its score is a sum over its n-grams, gathered in numpy batch by batch.
 
 Prediction uses the text only. Null texts and texts without a letter are `und` with score 0, as are
@@ -164,8 +166,15 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: i
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of 0.05 to 20 with the least negative log-likelihood (golden section on its log)."""
-    loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean()
+    """The temperature of 0.05 to 20 with the least negative log-likelihood (golden section on its log).
+
+    The labels count as right in n + 1 of n + 2 cases, as in Platt's scaling: held-back rows without
+    an error would else call for boundless confidence.
+    """
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + 2) / max(1, k - 1))
+    target[np.arange(n), labels] = (n + 1) / (n + 2)
+    loss = lambda t: -(target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-12))).sum(axis=1).mean()
     a, b, r = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(40):
         c, d = b - r * (b - a), a + r * (b - a)
@@ -173,26 +182,55 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def draw_sample(labelled: DataFrame, per_language: int, most: int, longest: int) -> DataFrame:
+    """(text, lang, draw): of each language the documents of least draw, at most its share of `most`.
+
+    A draw is a hash of id and text, so the sample depends on neither order nor parallelism, and
+    repeated rows are one. A language with only texts over `longest` gives an eighth of its share.
+    """
+    draw = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 11) * F.lit(2.0**-53)).cast("double")
+    drawn, short = labelled.select("text", "lang", draw.alias("draw")), F.length("text") <= longest
+    # Different draws are counted, as a row repeated many times is one of the sample; twice what is wanted is looked at.
+    counts = drawn.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.approx_count_distinct(F.when(short, F.col("draw"))).alias("short")).collect()  # a row per language
+    if not counts:
+        return drawn.limit(0)
+    share = max(1, min(per_language, most // len(counts)))
+    want = {r["lang"]: share if r["short"] else max(1, share // 8) for r in counts}
+    odds = {r["lang"]: min(1.0, (2.0 * want[r["lang"]] + 16) / max(1, r["short"] or r["n"])) for r in counts}
+    long = sorted(r["lang"] for r in counts if not r["short"])
+    of = lambda d: F.create_map(*[F.lit(x) for k in sorted(d) for x in (k, d[k])])[F.col("lang")]
+    drawn = drawn.filter(short | F.col("lang").isin(long) if long else short)
+    low: dict[str, list[float]] = {}
+    for r in drawn.filter(F.col("draw") < of(odds)).select("lang", "draw").distinct().collect():  # about 2 * share + 16 numbers a language
+        low.setdefault(r["lang"], []).append(r["draw"])
+    last = {k: sorted(v)[: want[k]][-1] for k, v in low.items()}
+    if not last:
+        return drawn.limit(0)
+    return drawn.filter(F.col("draw") <= of(last)).dropDuplicates(["lang", "draw"])
+
+
 def train(docs: DataFrame, per_language: int = 600, most: int = 4000, longest: int = 50_000, epochs: int = 4, scale: float = 50.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> Model | None:
     """A model from docs(doc_id, text, lang), all of which may be learned from."""
-    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
-        return None
+    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     df, n = document_frequency(labelled.select("text"))
+    if not n:
+        return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, min(1.0, per_language / v))])[F.col("lang")]
-    draw = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 11) * F.lit(2.0**-53)).cast("double")
-    chosen = labelled.filter(F.length("text") <= longest).withColumn("draw", draw).filter(F.col("draw") < share).select("text", "lang", (F.col("draw") / share).alias("draw")).limit(most)
-    langs, rows = sorted(counts), []
-    for lang, draw_, b, c in sample_features(chosen):
+    features = sample_features(draw_sample(labelled, per_language, most, longest))
+    langs, own = sorted({f[0] for f in features}), {}
+    for f in features:
+        own.setdefault(f[0], []).append(f)
+    # Languages take turns, each in the order of its draws; every fifth row of one is held back.
+    turns = sorted((((k + 0.5) / len(fs), langs.index(lang), k % 5 == 4, f) for lang, fs in own.items() for k, f in enumerate(fs)), key=lambda t: t[:2])
+    rows = []
+    for _, label, back, (_, _, b, c) in turns:
         x = c * idf[b]
-        rows.append((langs.index(lang), b, scale * x / max(x.sum(), 1e-12), draw_))
-    kept, held = [r for r in rows if r[3] < 0.8], [r for r in rows if r[3] >= 0.8]
-    w, bias = ftrl([r[:3] for r in kept or rows], len(langs), epochs, alpha, beta, l1, l2)
+        rows.append((label, b, scale * x / max(x.sum(), 1e-12), back))
+    kept, held = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+    w, bias = ftrl([r[:3] for r in kept], len(langs), epochs, alpha, beta, l1, l2)
     check = held or rows
-    temperature = fit_temperature(np.array([x @ w[b] + bias for _, b, x, _ in check]), np.array([r[0] for r in check])) if check else 1.0
-    return Model(langs, idf, w, bias, scale, temperature)
+    logits, labels = np.array([x @ w[b] + bias for _, b, x, _ in check]), np.array([r[0] for r in check])
+    return Model(langs, idf, w, bias, scale, fit_temperature(logits, labels))
 
 
 def _best(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

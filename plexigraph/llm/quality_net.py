@@ -6,12 +6,14 @@ within the `LAGS` bytes before), is rectified and max-pooled per chunk. The maxi
 document's chunks go through one logistic layer into a single probability.
 
 Training is plain back-propagation with Adam on the driver over a bounded, documented sample: `most`
-labelled rows chosen by a hash of the id, whose chunks are at most `most_chunks` in all. The
-rest of the corpus is only scored, by Arrow batches on the executors, whole texts always; chunks
-are scored a fixed number at a time, so memory doesn't grow with a text.
+labelled rows chosen by a hash of the id, none of more than `longest` chunks, `most_chunks` in all
+(14 MB of text). The bounds hold before a text is fetched. The rest of the corpus is only scored, by
+Arrow batches on the executors, whole texts always; chunks are cut and scored a fixed number at a
+time, so that beyond the text itself memory doesn't grow with it.
 
 Scores use the text alone. Null and empty texts are one chunk of padding and get its score. Labels
-of null quality are left out, repeated labels of a document count each. Where there is nothing to
+of null quality or id are left out; a document labelled repeatedly counts once, with its highest
+label, and of documents with the same id the fit takes one. Where there is nothing to
 learn from, or one class only, the score is that class's share (0.5 without any). Repeated rows are
 scored each. Extra columns are ignored.
 """
@@ -31,26 +33,46 @@ LAGS = 24
 AT_ONCE = 128
 
 
+def _spread(raw: bytes, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks lo to hi of a text's bytes: (bytes + 1 [chunk, CHUNK], repeats [chunk, CHUNK]); 0 pads."""
+    lead = LAGS if lo else 0  # what repeats may look back on
+    start, n = lo * STEP - lead, (hi - lo - 1) * STEP + CHUNK
+    own = np.frombuffer(raw, np.uint8)[start : start + lead + n + 3]
+    line = np.zeros(lead + n + 3, np.uint16)  # and the last grams ahead
+    line[: len(own)] = own
+    line[: len(own)] += 1
+    b = line.astype(np.uint64)
+    gram = b[:-3] | b[1:-2] << np.uint64(9) | b[2:-1] << np.uint64(18) | b[3:] << np.uint64(27)
+    same = np.zeros(len(gram), bool)
+    for lag in range(2, LAGS + 1):
+        same[lag:] |= gram[lag:] == gram[:-lag]
+    same &= line[:-3] > 0
+    cut = lambda x: np.lib.stride_tricks.sliding_window_view(x[lead : lead + n], CHUNK)[::STEP]
+    return cut(line), cut(same)
+
+
+def blocks_of(texts: list[str | None], at_once: int = AT_ONCE):
+    """(bytes + 1, repeats, text of each chunk) of all texts' chunks in order, about `at_once` at a time."""
+    codes, again, owner, held = [], [], [], 0
+    for k, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        count = max(1, -(-(len(raw) - (CHUNK - STEP)) // STEP))
+        for lo in range(0, count, at_once):
+            c, a = _spread(raw, lo, min(count, lo + at_once))
+            codes.append(c)
+            again.append(a)
+            owner += [k] * len(c)
+            held += len(c)
+            if held >= at_once:
+                yield np.concatenate(codes), np.concatenate(again), np.array(owner)
+                codes, again, owner, held = [], [], [], 0
+    if held:
+        yield np.concatenate(codes), np.concatenate(again), np.array(owner)
+
+
 def chunks_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes + 1 [chunk, CHUNK], repeats [chunk, CHUNK], text of each chunk); 0 pads."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    counts = [max(1, -(-(len(r) - (CHUNK - STEP)) // STEP)) for r in raw]
-    codes = np.zeros((sum(counts), CHUNK), np.uint16)
-    again = np.zeros((sum(counts), CHUNK), np.float32)
-    at = 0
-    for r, n in zip(raw, counts, strict=True):
-        line = np.zeros((n - 1) * STEP + CHUNK, np.uint16)
-        line[: len(r)] = np.frombuffer(r, np.uint8).astype(np.uint16) + 1
-        codes[at : at + n] = np.lib.stride_tricks.sliding_window_view(line, CHUNK)[::STEP][:n]
-        b = line.astype(np.uint64)
-        gram = (b[:-3] | b[1:-2] << np.uint64(9) | b[2:-1] << np.uint64(18) | b[3:] << np.uint64(27)) if len(b) > 3 else b
-        same = np.zeros(len(line), bool)
-        for lag in range(2, LAGS + 1):
-            same[lag : len(gram)] |= gram[lag:] == gram[:-lag]
-        same &= line > 0
-        again[at : at + n] = np.lib.stride_tricks.sliding_window_view(same, CHUNK)[::STEP][:n]
-        at += n
-    return codes, again, np.repeat(np.arange(len(raw)), counts)
+    """All blocks of some texts at once."""
+    return tuple(np.concatenate(x) for x in zip(*blocks_of(texts), strict=True))
 
 
 class Net:
@@ -61,18 +83,24 @@ class Net:
         self.p["embed"][0] = 0
         self.constant: float | None = None
 
-    def windows(self, codes: np.ndarray, again: np.ndarray) -> np.ndarray:
-        """[chunk, place, WIDTH * (EMBED + 1)] inputs of the filters."""
-        x = np.concatenate([self.p["embed"][codes], again[:, :, None]], axis=2)
-        v = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE]
-        return np.ascontiguousarray(v.transpose(0, 1, 3, 2)).reshape(len(codes), -1, WIDTH * (EMBED + 1))
+    def responses(self, codes: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """[chunk, place, filter] before the bias. A byte and its repeat mark select a row of a table per
+        place in the filter, so a response is a sum of WIDTH rows."""
+        w = self.p["w"].reshape(WIDTH, EMBED + 1, FILTERS)
+        tables = np.einsum("ce,kef->kcf", self.p["embed"], w[:, :EMBED])[:, :, None, :] + np.stack([np.zeros_like(w[:, EMBED]), w[:, EMBED]], axis=1)[:, None]
+        rows = codes.astype(np.intp) * 2 + again
+        places = (CHUNK - WIDTH) // STRIDE + 1
+        out = None
+        for k in range(WIDTH):
+            part = np.take(tables[k].reshape(-1, FILTERS), rows[:, k : k + STRIDE * places : STRIDE], axis=0)
+            out = part if out is None else np.add(out, part, out=out)
+        return out
 
     def pool(self, codes: np.ndarray, again: np.ndarray, places: bool = False):
         """Max-pooled, rectified responses [chunk, filter], and where the maxima stand."""
-        pooled, at = np.empty((len(codes), FILTERS), np.float32), np.empty((len(codes), FILTERS), np.int64) if places else None
+        pooled, at = np.empty((len(codes), FILTERS), self.p["b"].dtype), np.empty((len(codes), FILTERS), np.int64) if places else None
         for lo in range(0, len(codes), AT_ONCE):
-            x = self.windows(codes[lo : lo + AT_ONCE], again[lo : lo + AT_ONCE])
-            y = (x.reshape(-1, x.shape[2]) @ self.p["w"]).reshape(x.shape[0], x.shape[1], FILTERS)
+            y = self.responses(codes[lo : lo + AT_ONCE], again[lo : lo + AT_ONCE])
             pooled[lo : lo + AT_ONCE] = y.max(axis=1) + self.p["b"]
             if places:
                 at[lo : lo + AT_ONCE] = y.argmax(axis=1)
@@ -87,8 +115,13 @@ class Net:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        codes, again, owner = chunks_of(texts)
-        z = self.combine(self.pool(codes, again)[0], owner, len(texts)) @ self.p["v"] + self.p["c"]
+        most, total, count = np.zeros((len(texts), FILTERS), self.p["b"].dtype), np.zeros((len(texts), FILTERS), np.float64), np.zeros(len(texts))
+        for codes, again, owner in blocks_of(texts):  # a long text's chunks come in several blocks
+            pooled = self.pool(codes, again)[0]
+            np.maximum.at(most, owner, pooled)
+            np.add.at(total, owner, pooled)
+            np.add.at(count, owner, 1)
+        z = np.concatenate([most, total / count[:, None]], axis=1) @ self.p["v"] + self.p["c"]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def gradients(self, codes, again, owner, labels) -> dict[str, np.ndarray]:
@@ -143,23 +176,37 @@ class Net:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chunks: int = 30_000, epochs: int = 14) -> Net:
+def draw_sample(docs: DataFrame, labels: DataFrame, most: int, most_chunks: int, longest: int) -> list[tuple[str, int]]:
+    """(text, quality) of the labelled documents of least draw, at most `most` and `most_chunks` chunks in all.
+
+    A draw is a hash of the id. The rows to take are chosen by id, hash and size alone; only their
+    texts, at most `most_chunks` chunks, are then fetched.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), 11) * F.lit(2.0**-53)
+    marked = labels.filter("quality in (0, 1)").filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__d")).agg(F.max("quality").cast("int").alias("quality"))
+    total = marked.count()
+    chosen = marked.withColumnRenamed("__d", "doc_id").withColumn("draw", draw).filter(F.col("draw") < min(1.0, 1.5 * most / max(total, 1))).withColumnRenamed("doc_id", "__d")
+    full = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).withColumn("chunks", F.greatest(F.lit(1), F.ceil((F.octet_length("text") - (CHUNK - STEP)) / STEP)))
+    fits = full.filter(F.col("chunks") <= longest)
+    # About 1.5 * most ids, each once; of texts with the same id the one of least hash.
+    narrow = fits.join(F.broadcast(chosen), fits["doc_id"] == chosen["__d"]).groupBy("doc_id", "quality", "draw").agg(F.min(F.struct("h", "chunks")).alias("t"))
+    rows, room, used = sorted(narrow.select("doc_id", "quality", "draw", "t.h", "t.chunks").collect(), key=lambda r: (r["draw"], r["doc_id"])), most_chunks, []
+    for r in rows[:most]:
+        if r["chunks"] <= room:
+            used.append(r)
+            room -= r["chunks"]
+    if not used:
+        return []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    want = docs.sparkSession.createDataFrame([(r["doc_id"], r["h"]) for r in used], f"doc_id {kind}, h long")
+    texts = {r["doc_id"]: r["text"] for r in fits.join(F.broadcast(want), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").collect()}
+    return [(texts[r["doc_id"]], r["quality"]) for r in used]
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chunks: int = 30_000, longest: int = 3750, epochs: int = 14) -> Net:
     """A network from docs(doc_id, text) and labels(doc_id, quality), all of which may be learned from."""
-    marked = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("__d"), F.col("quality").cast("int").alias("quality"))
-    counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("__d").cast("string"), F.lit(5)), 11) * F.lit(2.0**-53)
-    chosen = marked.filter(draw < min(1.0, most / max(total, 1))).withColumn("draw", draw).limit(2 * most)
-    full = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    chosen = full.join(F.broadcast(chosen), full["doc_id"] == chosen["__d"]).withColumn("chunks", F.ceil(F.octet_length("text") / STEP))
-    rows = chosen.filter(F.col("chunks") <= most_chunks // 8).select("text", "quality", "draw", "chunks").limit(2 * most).collect()
-    rows, room = sorted(rows, key=lambda r: (r["draw"], r["text"])), most_chunks
-    used = []
-    for r in rows:
-        if (room := room - r["chunks"]) < 0:
-            break
-        used.append(r)
-    return Net().fit([r["text"] for r in used], np.array([r["quality"] for r in used], np.float64), epochs=epochs)
+    rows = draw_sample(docs, labels, most, most_chunks, longest)
+    return Net().fit([t for t, _ in rows], np.array([q for _, q in rows], np.float64), epochs=epochs)
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
