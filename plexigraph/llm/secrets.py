@@ -6,9 +6,9 @@ missing, and only with the missing rules, stores what it found by blob, and join
 every path that has or had the blob. Changing a rule's version rescans that rule alone.
 
 A group of copies costs one scan: blobs are reduced by map-side aggregation before their exchange.
-Matches come from `regexp_extract_all`; positions from the lengths of the pieces between matches
-(`split` by the same pattern), so they are code points, end exclusive, leftmost and
-non-overlapping per kind. Kinds over whole texts: see RULES. Base kinds are assign, access and hex;
+Matches come from `regexp_extract_all`; positions from running sums over the lengths of the matches
+and of the pieces between them (`split` by the same pattern), so they are code points, end
+exclusive, leftmost and non-overlapping per kind, and a text with many matches costs a sort of them. Kinds over whole texts: see RULES. Base kinds are assign, access and hex;
 `pem` (private-key blocks' first lines) and `bearer` (authorization headers) are added ones.
 
 Null text is an empty text. Repeated rows are paths of their own and get the same findings. An empty
@@ -19,12 +19,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from plexigraph.llm._common import stash, table
-
-FINDING = "array<struct<kind string, start: bigint, end: bigint>>"
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from plexigraph.llm._common import if_small, stash, table
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,49 +50,62 @@ RULES = (
 )
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, rank, start, end>> of the rule's matches in text."""
+#: A match as lengths: of the piece before it, of the match, of the group that must have `least` code points.
+_MATCHES = "array<struct<rank:int,i:int,p:bigint,w:bigint,g:int>>"
+
+
+def matches_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches in text, in order. Lengths only: adding them up is left to a running sum."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    lengths = F.transform(F.arrays_zip(whole.alias("w"), F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("p"), groups.alias("g")), lambda m: F.struct(F.length(m["p"]).cast("long").alias("p"), F.length(m["w"]).cast("long").alias("w"), F.length(m["g"]).alias("g")))
-    empty = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<kind string, rank int, start bigint, `end` bigint>>))")
-
-    def step(acc, m):
-        start = acc["at"] + m["p"]
-        end = start + m["w"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.rank).alias("rank"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["g"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(lengths, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.probe), found).otherwise(F.expr("cast(array() as array<struct<kind string, rank int, start bigint, `end` bigint>>)"))
+    zipped = F.arrays_zip(whole.alias("w"), F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("p"), groups.alias("g"))
+    found = F.transform(zipped, lambda m, i: F.struct(F.lit(rule.rank).alias("rank"), i.alias("i"), F.length(m["p"]).cast("long").alias("p"), F.length(m["w"]).cast("long").alias("w"), F.length(m["g"]).alias("g")))
+    return F.when(text.rlike(rule.probe), found).otherwise(F.array().cast(_MATCHES))
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def missing(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, todo): blobs(blob) for which the ledger lacks a rule's version, with those rules' kinds. No text is read."""
+    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])
+    done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "rule_version")).alias("__done"))
+    todo = F.transform(F.array_except(now, F.coalesce("__done", F.array().cast("array<struct<kind:string,rule_version:int>>"))), lambda x: x["kind"])
+    return blobs.distinct().join(done, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger) for versions(path, text).
 
     findings(blob, kind, rule_version, rank, start, end) are of this run's newly scanned pairs.
     ledger(blob, kind, rule_version) is the given one with them added. Keep both; `findings_of`
-    joins any number of runs' findings back to paths.
+    joins any number of runs' findings back to paths. With a ledger, hashes meet it first, and only
+    texts of blobs that lack a pair are fetched.
     """
     blobs = versions.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
-    if ledger is not None:
-        now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])
-        done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "rule_version")).alias("__done"))
-        blobs = blobs.join(done, "blob", "left").withColumn("todo", F.transform(F.array_except(now, F.coalesce("__done", F.array().cast("array<struct<kind:string,rule_version:int>>"))), lambda x: x["kind"]))
-        blobs = blobs.filter(F.size("todo") > 0).drop("__done")
+    if ledger is None:
+        unseen = blobs.dropDuplicates(["blob"]).withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
     else:
-        blobs = blobs.withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
-    unseen = blobs.dropDuplicates(["blob"])
-    parts = [F.when(F.array_contains("todo", r.kind), spans_of(F.col("text"), r)).otherwise(F.expr("cast(array() as array<struct<kind string, rank int, start bigint, `end` bigint>>)")) for r in rules]
-    scanned = stash(unseen.select("blob", "todo", F.concat(*parts).alias("found")), "blobs")
-    versions_of = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    findings = scanned.select("blob", F.inline("found")).withColumn("rule_version", versions_of[F.col("kind")])
-    new = scanned.select("blob", F.explode("todo").alias("kind")).withColumn("rule_version", versions_of[F.col("kind")])
+        todo = stash(missing(blobs.select("blob"), ledger, rules), "todo")
+        held = if_small(todo, broadcast_rows)
+        if held is not todo:  # few: texts of other blobs don't leave their tasks
+            blobs = blobs.join(held.select("blob"), "blob", "left_semi")
+        unseen = blobs.dropDuplicates(["blob"]).join(held, "blob")
+    none = F.array().cast(_MATCHES)
+    parts = [F.when(F.array_contains("todo", r.kind), matches_of(F.col("text"), r)).otherwise(none) for r in rules]
+    mark = F.array(F.struct(F.lit(-1).alias("rank"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("g"))).cast(_MATCHES)
+    rows = unseen.select("blob", F.concat(mark, *parts).alias("m"), "todo").select("blob", "todo", F.inline("m"))
+    # A match ends where all pieces and matches up to it add up to; blobs are partitioned by their hash already.
+    end = F.sum(F.col("p") + F.col("w")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.create_map(*[x for r in rules for x in (F.lit(r.rank), F.lit(r.least))])
+    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("w"))
+    kept = placed.filter((F.col("rank") < 0) | (F.col("g") >= F.coalesce(least[F.col("rank")], F.lit(0))))
+    scanned = stash(kept.select("blob", F.when(F.col("rank") < 0, F.col("todo")).alias("todo"), "rank", "start", "end"), "blobs")
+    version = lambda key, by: F.create_map(*[x for r in rules for x in (F.lit(getattr(r, key)), F.lit(getattr(r, by)))])
+    findings = scanned.filter("rank >= 0").select("blob", version("rank", "kind")[F.col("rank")].alias("kind"), "rank", "start", "end", version("rank", "version")[F.col("rank")].alias("rule_version"))
+    new = scanned.filter("rank < 0").select("blob", F.explode("todo").alias("kind")).withColumn("rule_version", version("kind", "version")[F.col("kind")])
     return findings, (new if ledger is None else ledger.select("blob", "kind", "rule_version").unionByName(new))
 
 
@@ -111,9 +121,16 @@ def _joined(found: Column) -> Column:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a history in two steps: documents of the lower half of the ids, then all others.
+
+    The second step scans only pairs of blob and rule version that the first one's ledger lacks.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    findings, _ = scan(docs)
-    out = findings_of(docs.select("doc_id", blob_of(F.col("text")).alias("blob")), findings)
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    early = F.coalesce(F.col("doc_id") <= F.lit(None if ends[0] is None else (ends[0] + ends[1]) // 2).cast("long"), F.lit(False))
+    first, ledger = scan(docs.filter(early))
+    second, _ = scan(docs.filter(~early), ledger)
+    out = findings_of(docs.select("doc_id", blob_of(F.col("text")).alias("blob")), first.unionByName(second))
     base = F.filter("found", lambda x: x["rank"] <= 2)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
