@@ -58,3 +58,17 @@ def test_text_and_null(make):
 
 def test_empty_table(make):
     assert line_dedup.dedup_lines(make([])).count() == 0
+
+
+def test_an_index_too_large_to_send_is_probed_at_its_shards(make, monkeypatch):
+    """Tiny bounds: a shard per few lines, several tasks a shard; no stored table has a text."""
+    stored = []
+    real, real_stash = line_dedup.build_index, line_dedup.stash
+    monkeypatch.setattr(line_dedup, "build_index", lambda c, m: real(c, m, shard_keys=2))
+    monkeypatch.setattr(line_dedup, "stash", lambda df, tag: stored.append(df.columns) or real_stash(df, tag))
+    docs = make(ROWS).withColumnRenamed("source", "n_lines")
+    for least, chars in ((10, 1), (3, 1), (3, 9)):
+        assert result(line_dedup.dedup_lines(docs, least, min_chars=chars, block_bytes=0, task_lines=5)) == brute(ROWS, least, chars)
+    hot = [(i, "same\nsame\nalso same") for i in range(300)] + [(900, "own")]
+    assert result(line_dedup.dedup_lines(make(hot), 10, block_bytes=0, task_lines=20)) == brute(hot, 10)
+    assert stored and not any("text" in c or "t" in c for c in stored)
