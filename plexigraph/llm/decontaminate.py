@@ -38,13 +38,12 @@ PREFIX = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Characters beyond ASCII that lower() would change.
-OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
 
 
 def _low(text: Column) -> Column:
-    """A-Z lower-cased only. lower() does that, and fast, where no other character has a lower case."""
-    plain = (F.length(text) == F.octet_length(text)) | ~text.rlike(OTHER_CAPITALS)
+    """A-Z lower-cased only. lower() does that, and fast, where it leaves what isn't ASCII as it is."""
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    plain = (F.length(text) == F.octet_length(text)) | (other == F.lower(other))
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
@@ -66,11 +65,12 @@ def _words(parts: str) -> Column:
     return F.slice(F.col(parts), _empty_first(F.col(parts)) + 1, _n_words(F.col(parts)))
 
 
-def items_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(iid, w array<string>, ids array<string>, len, win): distinct items by words, with the length of their windows."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item"), _split("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0)
-    each = words.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    return each.select(F.monotonically_increasing_id().alias("iid"), "w", "ids", F.size("w").alias("len"), F.least(F.size("w"), F.lit(size)).alias("win"))
+def items_of(benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """(iid, w array<string>, len, win): distinct items by words, with the length of their windows; and (iid, item)."""
+    words = stash(benchmark.select(F.col("item_id").cast("string").alias("item"), _split("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0), "item-words")
+    items = stash(words.select("w").distinct().select(F.monotonically_increasing_id().alias("iid"), "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(size)).alias("win")), "items")
+    named = words.filter(F.col("item").isNotNull()).distinct().join(items.select("iid", "w"), "w").select("iid", "item")
+    return items, stash(named, "item-ids")
 
 
 def anchors_of(items: DataFrame, counts: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     `items` is the sorted list of item ids as strings; a document is contaminated if it has a hit
     and at least `percent` per cent of its words are hit.
     """
-    items = stash(items_of(benchmark, size), "items")
-    small = items.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0] <= broadcast_rows
+    items, named = items_of(benchmark, size)
+    small = items.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0] <= broadcast_rows and named.count() <= broadcast_rows
     held = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
     # 1. Rarity of the benchmark's words over all documents. (An outer generator, as the optimiser would
@@ -112,22 +112,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     near = at.join(held(anchors), "word").withColumn("diag", F.col("k") - F.col("skip") - F.col("q"))
     overlap = F.least("n_words", F.col("diag") + F.col("len")) - F.greatest("diag", F.lit(0))
     agreed = near.filter(overlap >= F.col("win")).groupBy("doc_id", "text_hash", "iid", "diag", "win").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
-    candidates = stash(agreed.filter((F.col("lo") < F.col("hi")) | (F.col("win") < PREFIX)).select("doc_id", "text_hash", "iid", "diag"), "candidates")
+    candidates = stash(agreed.filter((F.col("lo") < F.col("hi")) | (F.col("win") < PREFIX)).select("doc_id", "text_hash", "iid", "diag", "win"), "candidates")
 
-    # 4. Exact verification against the words, then what each document has been hit by.
-    keys = candidates.select(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).distinct()
+    # 4. Exact verification against the words, then what each document has been hit by. A window of one word is
+    # verified by the join itself.
+    single = candidates.filter("win = 1").select("doc_id", "text_hash", "diag", "win", "iid", F.lit(0).alias("k"))
+    several = candidates.filter("win > 1")
+    keys = several.select(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).distinct()
     full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))
     some = full.join(if_small(keys, broadcast_rows), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    c = candidates.join(held(items), "iid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("diag", F.col("w").alias("iw"), "win", "ids")).alias("c"))
+    c = several.join(held(items.select("iid", "w")), "iid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("diag", F.col("w").alias("iw"), "win", "iid")).alias("c"))
     both = some.join(c, same).select("doc_id", "text_hash", _split("text").alias("parts"), "c").select("doc_id", "text_hash", _words("parts").alias("w"), F.explode("c").alias("x"))
     lo, hi = F.greatest(-F.col("x.diag"), F.lit(0)), F.least(F.size("x.iw"), F.size("w") - F.col("x.diag")) - F.col("x.win")
     hit = F.filter(F.sequence(lo, hi), lambda k: F.slice("w", F.col("x.diag") + k + 1, F.col("x.win")) == F.slice("x.iw", k + 1, F.col("x.win")))
-    true = both.select("doc_id", "text_hash", F.col("x.diag").alias("diag"), F.col("x.win").alias("win"), F.col("x.ids").alias("ids"), F.explode(hit).alias("k"))
-    spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_list(F.struct((F.col("diag") + F.col("k")).alias("s"), (F.col("diag") + F.col("k") + F.col("win")).alias("e")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    true = both.select("doc_id", "text_hash", "x.diag", "x.win", "x.iid", F.explode(hit).alias("k")).unionByName(single)
+    start = F.col("diag") + F.col("k")
+    spans = true.groupBy(F.col("doc_id").alias("hd"), F.col("text_hash").alias("hh")).agg(F.sort_array(F.collect_set(F.struct(start.alias("s"), (start + F.col("win")).alias("e")))).alias("found"), F.sort_array(F.collect_set("iid")).alias("iids"))
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
     covered = F.aggregate("found", zero, lambda a, x: F.struct((a["total"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("total"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["total"])
-    hits = stash(spans.select("hd", "hh", covered.alias("n_hit"), "items"), "hits")
+    hits = stash(spans.select("hd", "hh", covered.alias("n_hit"), "iids"), "hits")
+
+    # Item ids come in once per set of items that documents share, not with each candidate.
+    sets = hits.select("iids").distinct()
+    lists = sets.select("iids", F.explode("iids").alias("iid")).join(held(named), "iid").groupBy("iids").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = stash(hits.join(lists, "iids", "left").drop("iids"), "hit-items")
 
     sizes = keyed.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
     out = sizes.join(if_small(hits, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("text_hash") == F.col("hh")), "left")

@@ -63,3 +63,12 @@ def test_clean_keeps_the_rest(spark, make):
 def test_empty_tables(spark, make, docs, items):
     got = decontaminate.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string"))
     assert result(got) == brute(docs, items)
+
+
+def test_only_a_to_z_are_lower_cased(spark, make):
+    """Capitals that newer character tables know, the long Greek and Turkish cases, and one-word items by the hundred."""
+    odd = ["Ⱟ", "Ꟁ", "\U00010570", "İ", "Σ", "ẞ"]
+    items = [(k, f"item {c} x{k}") for k, c in enumerate(odd)] + [(90, "Mono"), (91, "mono"), (92, "duo duo")]
+    docs = [(k, f"ITEM {c} X{k}") for k, c in enumerate(odd)] + [(20 + k, f"item {c.lower()} x{k}") for k, c in enumerate(odd)] + [(50, "mono " * 400 + "duo duo duo"), (51, "duo mono")]
+    got = decontaminate.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(got) == brute(docs, items)
