@@ -3,12 +3,13 @@
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary trained on that
 archive's own first records; every record after it is a frame of its own, compressed with that
 dictionary, so one record can be read without the others. The reader loads the dictionary from the
-leading frame, decodes frame by frame, and checks version line, header syntax, record type,
-Content-Length against the block, and the digest of every response payload.
+leading frame, decodes frame by frame, and checks version line, header syntax, Content-Length against the
+block, and the digest of every payload. `read_archives` is for archives written here and stops at
+the first breach; `read_records` takes any writer's and reports breaches as rows.
 
 Archives travel as rows (archive, content binary): a task writes its archives of at most
 `archive_records` records or `archive_bytes` bytes of payload, whichever comes first, into the
-shared folder through Spark, so no local path is involved. `read_archives` takes any table with a
+shared folder through Spark, so no local path is involved. The readers take any table with a
 `content` column, among them Spark's `binaryFile` source over *.warc.zst files.
 
 Of records with equal payloads of at least `min_bytes` bytes, the one with the largest page_id is a
@@ -38,8 +39,11 @@ SKIPPABLE, FRAME_MAGIC, DICT_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-NEEDED = ("warc-record-id", "warc-type", "warc-date", "content-length", "warc-payload-digest")
+#: Versions that are read.
+VERSIONS = ("WARC/1.1", "WARC/1.0")
+NEEDED = ("warc-record-id", "warc-type", "warc-date", "content-length")
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+FOUND = "record_id string, record_type string, target_uri string, date string, payload_bytes long, payload_digest string, refers_to string, error string"
 
 
 class WarcError(ValueError):
@@ -74,36 +78,68 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, sha1_hex:
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a record, or WarcError."""
+def split_record(raw: bytes) -> tuple[dict[str, list[str]], bytes]:
+    """(header fields by lower-case name, block) of a record, or WarcError. Names may repeat; lines may be folded."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not sep or lines[0] != VERSION:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not sep or lines[0] not in VERSIONS:
         raise WarcError("version line or end of header missing")
-    fields = {}
+    fields: dict[str, list[str]] = {}
+    last: list[str] = []
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:
+            last[-1] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name or name.lower() in fields:
+        if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
             raise WarcError(f"header line {line!r}")
-        fields[name.lower()] = value.strip()
+        last = fields.setdefault(name.lower(), [])
+        last.append(value.strip())
     if missing := [k for k in NEEDED if k not in fields]:
         raise WarcError(f"headers missing: {missing}")
-    if fields["warc-type"] not in ("response", "revisit"):
-        raise WarcError(f"record type {fields['warc-type']!r}")
-    length = int(fields["content-length"])
+    if not fields["content-length"][0].isdigit():
+        raise WarcError(f"length {fields['content-length'][0]!r}")
+    length = int(fields["content-length"][0])
     if rest[length:] != b"\r\n\r\n":
         raise WarcError(f"block isn't {length} bytes long")
-    http, sep, payload = rest[:length].partition(b"\r\n\r\n")
+    return fields, rest[:length]
+
+
+def _sha1_of(value: str | None) -> str | None:
+    """Hex SHA-1 of a digest header in base 32 or hex; null for other algorithms."""
+    m = re.fullmatch(r"(?i)sha1:([a-z2-7]{32}|[0-9a-f]{40})", value or "")
+    return None if not m else m[1].lower() if len(m[1]) == 40 else base64.b32decode(m[1].upper()).hex()
+
+
+def describe(raw: bytes) -> tuple:
+    """The FOUND columns up to `error` for a record of any type and writer, or WarcError."""
+    fields, block = split_record(raw)
+    get = lambda k: fields[k][0] if k in fields else None
+    payload, kind = block, fields["warc-type"][0].lower()
+    if (get("content-type") or "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    digest, given = hashlib.sha1(payload).hexdigest(), _sha1_of(get("warc-payload-digest"))
+    if kind != "revisit" and given and digest != given and b"\r\ntransfer-encoding:" not in block[:8192].lower():
+        raise WarcError("payload differs from its digest")
+    return get("warc-record-id"), kind, get("warc-target-uri"), get("warc-date"), len(payload), given if kind == "revisit" else digest, get("warc-refers-to")
+
+
+def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a record as written here, or WarcError."""
+    fields, block = split_record(raw)
+    kind, digest = fields["warc-type"][0], _sha1_of(fields.get("warc-payload-digest", [None])[0])
+    if kind not in ("response", "revisit") or not digest:
+        raise WarcError(f"record type {kind!r} or digest")
+    http, sep, payload = block.partition(b"\r\n\r\n")
     m = re.search(rb"\r\nContent-Length: (\d+)$", http)
     if not sep or not m:
         raise WarcError("HTTP header missing")
-    n, kind = int(m[1]), fields["warc-type"]
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    n = int(m[1])
     if kind == "response" and (n != len(payload) or hashlib.sha1(payload).hexdigest() != digest):
         raise WarcError("payload differs from its length or digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         raise WarcError("revisit with a payload or without a target")
-    return _page_id(fields["warc-record-id"]), n, digest, kind, _page_id(fields["warc-refers-to"]) if kind == "revisit" else None
+    return _page_id(fields["warc-record-id"][0]), n, digest, kind, _page_id(fields["warc-refers-to"][0]) if kind == "revisit" else None
 
 
 def build_archive(records: list[bytes], level: int = 3, dict_bytes: int = 32 << 10, train_bytes: int = 1 << 20) -> bytes:
@@ -139,6 +175,9 @@ def iter_records(content: bytes):
         own, at = z.ZstdCompressionDict(held), 8 + size
     reader = z.ZstdDecompressor(dict_data=own) if own else z.ZstdDecompressor()
     while at < len(view):
+        if len(view) - at >= 8 and struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0 == SKIPPABLE & 0xFFFFFFF0:
+            at += 8 + struct.unpack_from("<I", view, at + 4)[0]  # another skippable frame
+            continue
         if bytes(view[at : at + 4]) != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
         frame, parts, start = reader.decompressobj(), [], at
@@ -146,7 +185,10 @@ def iter_records(content: bytes):
         while not frame.eof:
             if start >= len(view):
                 raise WarcError("frame cut short")
-            parts.append(frame.decompress(view[start : start + step]))
+            try:
+                parts.append(frame.decompress(view[start : start + step]))
+            except z.ZstdError as e:
+                raise WarcError(f"frame at byte {at}: {e}") from e
             start += step
         at = min(start, len(view)) - len(frame.unused_data)
         yield b"".join(parts)
@@ -203,6 +245,38 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(read, RECORDS)
 
 
+def read_records(archives: DataFrame) -> DataFrame:
+    """The records of any *.warc.zst archives (column `content`): FOUND, one row per record.
+
+    Versions 1.0 and 1.1, all record types, repeated and folded headers. A record that breaks the
+    format is a row with `error` set, and so is the rest of an archive whose frames break off.
+    """
+    names, kinds = [x.split()[0] for x in FOUND.split(", ")], [pa.int64() if x.endswith("long") else pa.string() for x in FOUND.split(", ")]
+
+    def rows(content: bytes):
+        frames = iter_records(content)
+        while True:
+            try:
+                raw = next(frames, None)
+            except WarcError as e:
+                yield (*[None] * 7, str(e))
+                return
+            if raw is None:
+                return
+            try:
+                yield (*describe(raw), None)
+            except WarcError as e:
+                yield (*[None] * 7, str(e))
+
+    def read(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                if found := list(rows(content.as_py() or b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    return archives.select("content").mapInArrow(read, FOUND)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(mark_revisits(table(spark, sf_dir, "pages"))))
 

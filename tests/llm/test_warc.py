@@ -90,3 +90,21 @@ def test_cut_archives_are_found():
     for cut in (5, len(content) - 3):
         with pytest.raises(warc.WarcError):
             list(warc.iter_records(content[:cut]))
+
+
+def test_foreign_archives_yield_rows(spark):
+    """Version 1.0, a warcinfo record, repeated and folded headers, another record id, no digest; then damage."""
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 5\r\n\r\na: b\n\r\n\r\n"
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    reply = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Concurrent-To: <urn:uuid:1>\r\nWARC-Concurrent-To: <urn:uuid:\r\n 3>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://a/\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    broken = reply.replace(b"Content-Length: ", b"Content-Length: 9")
+    content = warc.build_archive([info, reply, broken, info])
+    size = struct.unpack_from("<I", content, 4)[0]
+    content = content[: 8 + size] + struct.pack("<II", 0x184D2A50, 3) + b"abc" + content[8 + size :]
+    cut = warc.build_archive([reply, reply])[:-4]
+    df = spark.createDataFrame([(bytearray(content),), (bytearray(cut),), (bytearray(b""),), (None,)], "content binary")
+    rows = [(r["record_id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["error"] is None) for r in warc.read_records(df).collect()]
+    fine = ("<urn:uuid:2>", "response", 5, hashlib.sha1(b"hello").hexdigest(), True)
+    head = ("<urn:uuid:1>", "warcinfo", 5, hashlib.sha1(b"a: b\n").hexdigest(), True)
+    bad = (None, None, None, None, False)
+    assert rows == [head, fine, bad, head, fine, bad]
