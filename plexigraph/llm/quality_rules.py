@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import table
+from plexigraph.llm._common import stash, table
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_echo_words"]
 WINDOW = 5
@@ -111,10 +111,10 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(table(spark, sf_dir, "documents"))
+    # The ledger is stored: policies, and any later question about them, read its narrow rows only.
+    rows = apply_policies(stash(ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
     base = F.col("failed").bitwiseAND(F.lit(BASE)) != 0
-    verdict = F.col("failed").bitwiseAND(F.lit(POLICIES[-1].mask)) == 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict).alias("kept"), "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col(f"kept_v{POLICIES[-1].version}")).alias("kept"), "failed")
 
 
 _SQL_BITS = " + ".join(f"(CASE WHEN {cond} THEN {1 << bit} ELSE 0 END)" for bit, _, cond in RULES)
