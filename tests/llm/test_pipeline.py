@@ -11,6 +11,8 @@ from tests.llm.brute import near_components
 from tests.llm.test_decontaminate import brute as contaminated
 
 GERMAN, ENGLISH = "der die das und nicht ein mit auf für werden haben über".split(), "the and of to in that with from have which they this".split()
+#: Texts of no language that can be learned (their rows are no training rows).
+UNKNOWN = [("これは日本語の文章です。天気がいいので散歩に行きます。", None), ("Привет мир, это русский текст о погоде и природе", None), ("Το ελληνικό κείμενο είναι εδώ για δοκιμή", None)]
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 
 
@@ -25,13 +27,14 @@ def corpus():
         if i % 17 == 0:
             body.append(ITEM)
         rows.append([i, "\n".join(body), "de" if i % 3 == 0 else "en"])
+    rows += [[110 + k, t, lang] for k, (t, lang) in enumerate(UNKNOWN)]
     rows += [[100, rows[3][1], "de"], [101, rows[4][1].replace("\n", "  ", 1), "en"], [102, rows[7][1] + " extra", "en"], [103, None, "en"], [104, "", "en"], [105, "12 34 !!", "en"], [6, rows[6][1], "de"]]
     return [tuple(x) for x in rows]
 
 
 def brute(rows, items):
     """Ids and texts that the filtering stages keep, in plain Python."""
-    rows = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
+    rows = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t) and t not in dict(UNKNOWN)]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
     counts = {}
     for _, t in rows:
@@ -72,6 +75,22 @@ def test_stages_keep_the_columns(spark, make, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language id", "line dedup", "minhash near-dedup", "benchmark decontamination", "best-fit packing"]
 
 
+def test_language_stage_keeps_known_and_rejects_unknown_texts(spark, make, tmp_path):
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, make(corpus()), str(tmp_path)).collect()}
+    assert kept == {i for i, t, _ in corpus() if t and any(c.isalpha() for c in t) and t not in dict(UNKNOWN)}
+
+
+def test_long_texts_and_clashing_columns(spark, make, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [*corpus(), (500, " ".join(f"the{k % 977} and{k % 89} of" for k in range(60_000)), "en"), (None, "the and of to in that with from", None)]
+    docs = make(rows)
+    docs.selectExpr("*", "'x' as n_lines", "1 as kept", "2 as component_id", "3 as `offset`", "4 as score").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in got}
+    assert None in ids and sorted(r["piece"] for r in got if r["doc_id"] == 500) == list(range(sum(r["doc_id"] == 500 for r in got)))
+    assert sum(r["doc_id"] == 500 for r in got) > 10
+
+
 def test_empty_documents(spark, make, tmp_path):
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
