@@ -8,14 +8,15 @@ empty set and is linked with nothing.
 1. Sketch. One pass makes, per document, the size of its set, a 128-bit digest of the set, and a
    signature of `TREES * DEPTH + 4` minimum hashes. Documents with equal sets are one class from
    here on, reduced on the map side, so a group of exact copies is one row.
-2. Forest. Every tree sorts the classes by its own order of the signature's columns. Classes that
-   share a prefix of DEPTH columns form a region of that tree. A region of more than `region`
-   classes is cut by ever longer common prefixes, each cut's smallest member staying in the region
-   above, so near neighbours meet at the depth that their region needs and cuts stay joined.
-   In a region, a walk from member to member compares signatures with those not yet reached (never
-   all pairs) and keeps the tree of its steps: estimates of `loose` or more, about five standard
-   deviations under the threshold. The steps' components are candidate groups: every true link of
-   one of the trees lies inside one.
+2. Forest. Every tree has its own order of the signature's columns and sorts the classes by it.
+   The order is cut where neighbours share fewer than DEPTH columns; what lies between is a region,
+   sorted and walked as a whole. Neighbours, whose common prefixes are the longest, are compared
+   first and form runs; then members of different runs are, until all are joined or compared:
+   estimates of `loose` or more, about five standard deviations under the threshold. Depth adapts:
+   a region of more than `region` classes is cut at ever longer common prefixes, each cut's smallest
+   member staying in the region above, so cuts stay joined. Members of cut regions that this leaves
+   in several components are sorted by EXTRA further orders. The steps' components are candidate
+   groups: every true link that shares a region lies inside one.
 3. Confirmation. The texts of candidate groups, and only those, are read again, and a walk over
    exact intersections (postings of shingles, members not yet reached only) gives their true
    components. A group of more than `block` members is cut into blocks that are walked apart;
@@ -24,7 +25,9 @@ empty set and is linked with nothing.
 4. A document's component is the smallest doc_id among all documents of all linked classes.
 
 At a similarity of 0.8, a pair shares a region in one of 20 trees of depth 3 with probability
-1 - (1 - 0.512)^20 = 0.9999994.
+1 - (1 - 0.512)^20 = 0.9999994. A region is cut only inside crowds of over `region` different texts
+that are alike, but not near-copies (half of their words, say); for pairs in those the README gives
+the recall as measured.
 
 Null text has no words. Null doc_ids link like others but never become a component's id unless all
 of it are null, in which case one class of them is kept. Repeated rows are kept alike (they share
@@ -38,12 +41,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plexigraph.llm._common import cache_of, if_small, parts, stash, table, trim
 from plexigraph.llm.components import components
 
 TREES, DEPTH = 20, 3
+#: Further orders for members of cut regions.
+EXTRA = 60
 COLUMNS = TREES * DEPTH + 4
 #: Counted rows (ids and hashes) up to which a side is broadcast rather than exchanged with the texts.
 BROADCAST_ROWS = 500_000
@@ -157,17 +162,29 @@ def runs_of(batches, process, schema: pa.Schema):
         yield from process(pa.Table.from_batches(held))
 
 
-def walk_signatures(sigs: np.ndarray, loose: float) -> list[tuple[int, int]]:
-    """Steps (from, to) of walks that reach each member from one with an estimate of `loose` or more."""
-    left, steps = np.arange(len(sigs)), []
+def walk_order(sigs: np.ndarray, loose: float) -> list[tuple[int, int]]:
+    """Steps (from, to) that join what estimates of `loose` or more join, for a region in its tree's order.
+
+    Neighbours in the order, which share the longest prefixes, are compared first and make runs. From
+    the first run on, a walk then compares each member reached with the members of runs not reached
+    yet, so a pair that is joined already costs nothing; members that are near to none cost the region.
+    """
+    near = (sigs[1:] == sigs[:-1]).mean(axis=1) >= loose
+    steps = [(int(i), int(i) + 1) for i in np.flatnonzero(near)]
+    run = np.concatenate([[0], np.cumsum(~near)])
+    left = np.arange(len(sigs))
     while len(left):
-        front, left = [int(left[0])], left[1:]
+        front = left[run[left] == run[left[0]]].tolist()
+        left = left[run[left] != run[left[0]]]
         while front and len(left):
             x = front.pop()
-            near = (sigs[left] == sigs[x]).mean(axis=1) >= loose
-            steps += [(x, int(y)) for y in left[near]]
-            front += left[near].tolist()
-            left = left[~near]
+            hit = left[(sigs[left] == sigs[x]).mean(axis=1) >= loose]
+            if len(hit):
+                runs, at = np.unique(run[hit], return_index=True)
+                steps += [(x, int(y)) for y in hit[at]]
+                new = np.isin(run[left], runs)
+                front += left[new].tolist()
+                left = left[~new]
     return steps
 
 
@@ -219,49 +236,44 @@ def walk_sets(sets: list[np.ndarray], percent: int, group: np.ndarray, seeds: np
     return links
 
 
-def _prefix_step(depth: int):
-    """The signature's next column in the order of the row's tree."""
-    return F.expr(f"substring(sig, ((tree * {DEPTH} + {depth}) % {COLUMNS}) * 4 + 1, 4)")
+def _rotated() -> Column:
+    """The signature in the order of the row's tree: from the tree's first column on, and round."""
+    return F.expr(f"concat(substring(sig, tree * {4 * DEPTH} + 1), substring(sig, 1, tree * {4 * DEPTH}))")
 
 
 def _cut_regions(large: DataFrame, region: int) -> DataFrame:
     """Members of regions over the bound, dealt to the longer prefixes that bring them under it."""
     ready, depth = [], DEPTH
     while depth < COLUMNS and large.limit(1).count():
-        large = stash(large.drop("n").withColumn("child", F.xxhash64("key", _prefix_step(depth))), "large")
+        large = stash(large.drop("n").withColumn("child", F.xxhash64("key", F.expr(f"substring(ordered, {4 * depth + 1}, 4)"))), "large")
         cuts = large.groupBy("key", "child").agg(F.count("*").alias("n"), F.min("rid").alias("top"))
         tops = large.join(cuts.select("key", "child", F.col("top").alias("rid")), ["key", "child", "rid"], "left_semi").dropDuplicates(["key", "child"])
         cut_counts = cuts.groupBy("key").agg(F.count("*").alias("n"))
-        tops = tops.join(cut_counts, "key").select(F.xxhash64("key", F.lit("tops")).alias("key"), "tree", "rid", "sig", "n")
-        inner = large.join(cuts.select("child", "n").distinct(), "child").select(F.col("child").alias("key"), "tree", "rid", "sig", "n").filter("n > 1")
+        tops = tops.join(cut_counts, "key").select(F.xxhash64("key", F.lit("tops")).alias("key"), "rid", "ordered", "n")
+        inner = large.join(cuts.select("child", "n").distinct(), "child").select(F.col("child").alias("key"), "rid", "ordered", "n").filter("n > 1")
         both = stash(tops.unionByName(inner), "cut")
         ready.append(both.filter(F.col("n") <= region))
         large, depth = both.filter(F.col("n") > region), depth + 1
     # What no prefix parts has signatures that agree everywhere: dealt out, with one shared member.
     same = large.withColumn("part", F.expr(f"pmod(xxhash64(rid), cast(ceil(n / {region}) as int))"))
-    shared = large.groupBy("key", "tree").agg(F.min(F.struct("rid", "sig", "n")).alias("m")).select("key", "tree", "m.*").withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(n / {region}) as int) - 1)")))
-    every = same.unionByName(shared.select(same.columns)).dropDuplicates(["key", "part", "rid"]).select(F.xxhash64("key", "part").alias("key"), "tree", "rid", "sig", "n")
+    shared = large.groupBy("key").agg(F.min(F.struct("rid", "ordered", "n")).alias("m")).select("key", "m.*").withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(n / {region}) as int) - 1)")))
+    every = same.unionByName(shared.select(same.columns)).dropDuplicates(["key", "part", "rid"]).select(F.xxhash64("key", "part").alias("key"), "rid", "ordered", "n")
     for x in ready:
         every = every.unionByName(x)
     return every
 
 
-def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
-    """(a, b) between classes (rid, sig, keys): steps of the walks in all regions of all trees."""
-    each = classes.select("rid", F.posexplode("keys").alias("tree", "key"))
-    common = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    narrow = stash(each.join(common, "key"), "regions")
-    members = narrow.join(classes.select("rid", "sig"), "rid").select("key", "tree", "rid", "sig", "n")
-    every = members
-    if narrow.filter(F.col("n") > region).limit(1).count():
-        every = members.filter(F.col("n") <= region).unionByName(_cut_regions(members.filter(F.col("n") > region), region))
+def _walk(members: DataFrame, region: int, loose: float) -> DataFrame:
+    """(a, b): steps of the walks through members(key, rid, ordered, n), every region in its tree's order."""
+    if members.filter(F.col("n") > region).limit(1).count():
+        members = members.filter(F.col("n") <= region).unionByName(_cut_regions(members.filter(F.col("n") > region), region))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         def walk(t: pa.Table):
             ids = t.column(1).to_numpy()
             sigs = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint32).reshape(len(ids), COLUMNS)
-            if steps := walk_signatures(sigs, loose):
+            if steps := walk_order(sigs, loose):
                 s = np.array(steps)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s[:, 0]]), pa.array(ids[s[:, 1]])], schema=schema)
 
@@ -275,7 +287,49 @@ def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
         if buffer:
             yield pa.Table.from_batches(buffer).combine_chunks().to_batches()[0]
 
-    return every.select("key", "rid", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return members.select("key", "rid", "ordered").repartition("key").sortWithinPartitions("key", "ordered").mapInArrow(run, "a long, b long")
+
+
+def _shared(each: DataFrame) -> DataFrame:
+    """each(key, rid, ...) with n, the members of its region, where there are two or more; stored."""
+    return stash(each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "regions")
+
+
+def _more_orders(crowd: DataFrame) -> DataFrame:
+    """(key, rid, ordered) of crowd(rid, sig) in EXTRA further orders: permutations of the columns."""
+    orders = [np.random.default_rng([20, t]).permutation(COLUMNS) for t in range(EXTRA)]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, COLUMNS)
+                for t, order in enumerate(orders):
+                    own = np.ascontiguousarray(sigs[:, order])
+                    keys = np.full(len(own), TREES + 1 + t, U)
+                    for k in range(DEPTH):
+                        keys = _mix(keys * U(0xA0761D6478BD642F) + own[:, k].astype(U))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), part.column(0), pa.array([r.tobytes() for r in own], pa.binary())], ["key", "rid", "ordered"])
+
+    return crowd.select("rid", "sig").mapInArrow(run, "key long, rid long, ordered binary")
+
+
+def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
+    """(a, b) between classes (rid, sig, keys): steps of the walks in all regions of all trees."""
+    narrow = _shared(classes.select("rid", F.posexplode("keys").alias("tree", "key")))
+    members = narrow.join(classes.select("rid", "sig"), "rid").select("key", "rid", _rotated().alias("ordered"), "n")
+    steps = _walk(members, region, loose)
+    crowded = narrow.filter(F.col("n") > region)
+    if not crowded.limit(1).count():
+        return steps
+    # Cut regions: a pair may have parted in every tree. What isn't joined yet meets in further orders.
+    steps = stash(steps, "steps")
+    joined = crowded.join(components(steps).withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component"))
+    open_ = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    crowd = stash(classes.select("rid", "sig").join(joined.join(open_, "key", "left_semi").select("rid").distinct(), "rid", "left_semi"), "crowd")
+    if not crowd.limit(1).count():
+        return steps
+    return steps.unionByName(_walk(_shared(_more_orders(crowd)), region, loose))
 
 
 def _confirm(tasks: DataFrame, words: int, percent: int) -> DataFrame:
@@ -338,7 +392,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, word
     return links.unionByName(_confirm(dealt.select("task", "rid", "label", (~F.col("in_main")).alias("seed"), "text"), words, percent))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 2000, block: int = 1500) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 1000, block: int = 1500) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept): one row per document."""
     rows = stash(sketch(docs, words), "sketch")
     full = rows.filter("n_shingles > 0")
@@ -350,7 +404,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region:
     named = classes.select("digest", "rid", "low").join(joined.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("component", "rid"))
     lows = named.filter(F.col("component").isNotNull()).groupBy("root").agg(F.min("low").alias("least"))
     ids = named.join(lows, "root", "left").select("digest", F.coalesce("least", "low").alias("component_id"), (F.col("rid") == F.col("root")).alias("is_root"))
-    out = rows.select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left")
+    # Documents without words stay out of the join: all of them would share its null key.
+    wordless = rows.filter("digest is null").select("digest", "doc_id", "h", "n_shingles", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id"), F.lit(None).cast("boolean").alias("is_root"))
+    out = rows.filter("digest is not null").select("doc_id", "h", "n_shingles", "digest").join(ids, "digest", "left").select(wordless.columns).unionByName(wordless)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNotNull() | F.coalesce("is_root", F.lit(True)))
     return out.select("doc_id", F.col("h").alias("text_hash"), "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plexigraph.llm import near_dedup
-from plexigraph.llm.components import components
+from plexigraph.llm.components import components, label_least
 from tests.llm.brute import near_components, shingles
 
 
@@ -95,3 +95,56 @@ def test_signature_estimates_similarity():
     a = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64))
     b = np.concatenate([a[:2400], np.unique(r.integers(0, 2**63, 600, dtype=np.uint64))])
     assert abs((near_dedup.signature(a) == near_dedup.signature(b)).mean() - 2400 / 3600) < 0.2
+
+
+def crowd(n, twins, shared, seed=8):
+    """n texts of which any two share `shared` of their 4-word shingles, and twins at a similarity of just over 0.8."""
+    r = random.Random(seed)
+    common = [f"c{k}" for k in range(200)]
+    own = int(200 * (1 - shared) / (2 * shared))
+    rows = []
+    for i in range(n):
+        words = common + [f"u{i}x{k}" for k in range(own)]
+        rows.append((2 * i, " ".join(words)))
+        if i < twins:
+            w = list(words)
+            for k in r.sample(range(4, len(w) - 4), 1):
+                w[k] = f"t{i}"
+            tail = max(0, len(w) // 11 - 4)
+            rows.append((2 * i + 1, " ".join(w[: len(w) - tail] + [f"y{i}x{k}" for k in range(tail)])))
+    r.shuffle(rows)
+    return rows
+
+
+def pair_recall(df, rows):
+    """(links of twins found, twins that are links) by component."""
+    want = near_components(rows)
+    truth = {rows[n][0]: c for n, (_, c) in want.items()}
+    got = {r["doc_id"]: r["component_id"] for r in df.collect()}
+    twins = [i for i, _ in rows if i % 2 and truth[i] == truth[i - 1]]
+    assert all(truth[c] == truth[i] for i, c in got.items())  # nothing is joined that isn't linked
+    return sum(got[i] == got[i - 1] for i in twins), len(twins)
+
+
+@pytest.mark.parametrize("shared", [0.5, 0.6])
+def test_recall_in_cut_regions(make, shared):
+    """A bound of 20 classes a region cuts a crowd of 700 alike texts some seven columns deep; twins at 0.8 still meet."""
+    rows = crowd(600, 100, shared)
+    found, all_ = pair_recall(near_dedup.near_duplicates(make(rows), words=4, region=20), rows)
+    assert all_ >= 90 and found >= 0.9 * all_
+
+
+def test_walk_in_order_joins_what_estimates_join():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        base = r.integers(0, 50, (5, near_dedup.COLUMNS), dtype=np.uint32)
+        sigs = base[r.integers(0, 5, 60)]
+        sigs = np.where(r.random(sigs.shape) < 0.25, r.integers(0, 50, sigs.shape, dtype=np.uint32), sigs)
+        sigs = sigs[np.lexsort(sigs.T[::-1])]
+        a, b = np.nonzero((sigs[:, None] == sigs[None]).mean(axis=2) >= 0.55)
+        steps = np.array(near_dedup.walk_order(sigs, 0.55)).reshape(-1, 2)
+        own, want = np.arange(60), label_least(a, b)[1]
+        if len(steps):
+            ids, least = label_least(steps[:, 0], steps[:, 1])
+            own[ids] = least
+        assert (own == want).all() and len(steps) == 60 - len(np.unique(want))
