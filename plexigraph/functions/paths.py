@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from plexigraph.model import PRELUDE_TYPES, RECEIVER_TYPES, TRAIT_METHODS
+
 
 def split_last(path: Column, sep: str = "::") -> tuple[Column, Column]:
     """(all before the last separator or '', last segment)."""
@@ -36,8 +38,9 @@ def percent_delta(old: Column, new: Column) -> Column:
 
 
 def line_of(text: Column, byte_offset: Column) -> Column:
-    """1-based line of a character offset."""
-    return F.size(F.split(text.substr(F.lit(1), byte_offset), "\n", -1))
+    """1-based line of an offset in the text's UTF-8 bytes."""
+    head = F.decode(F.encode(text, "UTF-8").substr(F.lit(1), byte_offset), "ISO-8859-1")  # a byte a character
+    return F.size(F.split(head, "\n", -1))
 
 
 def redact(text: Column) -> Column:
@@ -50,11 +53,39 @@ def relative(path: Column, root: Column) -> Column:
 
 
 def normalise(path: Column) -> Column:
-    """./ and a/../ resolved, as far as two parent steps in a row."""
-    p = F.regexp_replace(path, r"(^|/)\./", "$1")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return p
+    """./ and empty segments gone, a/../ resolved; parent steps that lead out of the path stay in front."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != ".") & (x != ""))
+    none = F.array().cast("array<string>")
+    last = lambda acc: F.try_element_at(acc, F.size(acc))
+    step = lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (last(acc) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, x))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(parts, none, step), "/"))
+
+
+def crate_segments(path: Column) -> Column:
+    """`crate::a::b` as [a, b]; the root, and what doesn't start with crate::, as []."""
+    rest = F.when(path.startswith("crate::"), path.substr(F.lit(8), F.length(path))).otherwise("")
+    return F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(rest, "::"))
+
+
+def valid_name(text: Column) -> Column:
+    """A shell function or variable name: a letter or _, then letters, digits and _."""
+    return text.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def prelude_path(name: Column) -> Column:
+    """Path of a type that needs no import, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in PRELUDE_TYPES.items() for x in kv]), name)
+
+
+def trait_path(method: Column) -> Column:
+    """Path of a method that one standard trait alone has, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TRAIT_METHODS.items() for x in kv]), method)
+
+
+def receiver_path(written: Column, method: Column) -> Column:
+    """Path of a method on a written receiver type: the first known type that it starts with and that has the method."""
+    starts = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.startswith(written, m) | (written == F.trim(m)))
+    return F.coalesce(*[F.when(starts(marks) & method.isin(methods), F.concat(F.lit(f"{path}::"), method)) for path, marks, methods in RECEIVER_TYPES])
 
 
 def strip_comment(line: Column) -> Column:

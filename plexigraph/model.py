@@ -93,6 +93,29 @@ WEAK_KINDS = ["adjacent_to", "unsupported_boundary"]
 TIERS = [("high", 0.80), ("medium", 0.60)]
 
 
+#: Types that need no import, and their paths.
+PRELUDE_TYPES = {"Vec": "std::vec::Vec", "String": "std::string::String", "Box": "std::boxed::Box", "Option": "std::option::Option", "Result": "std::result::Result"}
+
+#: Methods that one trait of the standard library alone has, and their paths.
+TRAIT_METHODS = {"to_string": "std::string::ToString::to_string", "clone": "std::clone::Clone::clone", "collect": "std::iter::Iterator::collect"}
+
+#: (type path, what a written type starts with, methods), tried in this order.
+RECEIVER_TYPES = [
+    ("std::vec::Vec", ["Vec"], ["push", "len", "is_empty", "pop", "contains", "get", "last", "first", "remove", "clear", "insert"]),
+    ("std::string::String", ["String"], ["len", "is_empty", "push_str", "push", "remove", "contains", "replace", "as_str", "trim"]),
+    ("str", ["&str", "&'static str", "str "], ["starts_with", "ends_with", "contains", "find", "replace", "trim", "trim_start", "trim_end", "split", "len", "is_empty"]),
+    ("std::option::Option", ["Option"], ["unwrap", "unwrap_or", "is_some", "is_none", "map", "and_then"]),
+    ("std::result::Result", ["Result"], ["unwrap", "unwrap_or", "is_ok", "is_err", "map", "map_err"]),
+    ("std::collections::HashMap", ["HashMap"], ["len", "is_empty", "contains_key", "get", "insert", "remove", "clear"]),
+    ("std::collections::HashSet", ["HashSet"], ["len", "is_empty", "contains", "insert", "remove", "clear", "get"]),
+    ("std::collections::BTreeMap", ["BTreeMap"], ["len", "is_empty", "contains_key", "get", "insert", "remove", "clear"]),
+    ("std::path::PathBuf", ["PathBuf"], ["as_path", "push", "pop", "exists", "is_dir", "is_file", "to_str", "display", "join", "parent", "file_name", "extension", "strip_prefix"]),
+]
+
+#: Constructors whose type is known.
+CONSTRUCTORS = {"Vec::new": "Vec", "Vec::with_capacity": "Vec", "String::new": "String", "String::from": "String", "HashMap::new": "HashMap", "HashMap::with_capacity": "HashMap", "HashSet::new": "HashSet", "PathBuf::new": "PathBuf", "PathBuf::from": "PathBuf", "BTreeMap::new": "BTreeMap"}
+
+
 def confidence(family: str, reason: str) -> float:
     return next(c for f, r, c in CONFIDENCE if (f, r) == (family, reason))
 

@@ -17,12 +17,38 @@ def change_counts(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("unchanged", "modified", "added", "removed")])
 
 
-def phases(path: Column) -> Column:
-    """Phases to redo for a changed path: a manifest redoes all, sources theirs, others none."""
+#: Extensions of sources and of documents, names and extensions of manifests and configuration.
+SOURCE_EXTENSIONS = ["rs", "cj", "ets", "ts", "tsx", "js", "jsx", "c", "h", "cpp", "hpp", "py", "sh"]
+DOC_EXTENSIONS = ["md", "mdx", "rst"]
+MANIFESTS = ["Cargo.toml", "Cargo.lock", "cjpm.toml", "oh-package.json5", "tsconfig.json", "package.json", "compile_commands.json", "pyproject.toml", "setup.py", "requirements.txt"]
+CONFIG_EXTENSIONS = ["yaml", "yml", "toml", "json", "json5"]
+#: Reason and phases to redo by what a dirty file is, first match first.
+DIRTY = {
+    "removed": ("tracked-file-removed", ["discover", "fingerprint", "parse", "symbols", "imports", "calls", "diagnostics", "graph"]),
+    "source": ("source-file-metadata-changed", ["fingerprint", "parse", "symbols", "imports", "calls", "diagnostics", "graph"]),
+    "config": ("manifest-or-config-metadata-changed", ["discover", "fingerprint", "imports", "calls", "diagnostics", "graph"]),
+    "document": ("documentation-metadata-changed", ["fingerprint", "diagnostics"]),
+    "other": ("tracked-file-metadata-changed", ["fingerprint", "diagnostics", "graph"]),
+}
+
+
+def dirty_kind(path: Column, status: Column) -> Column:
+    """Key of DIRTY for a changed file: removed whatever it was, else by extension, name and folder."""
     name = F.substring_index(path, "/", -1)
-    manifest = name.isin("Cargo.toml", "package.json", "tsconfig.json", "cjpm.toml", "pyproject.toml", "compile_commands.json")
-    source = name.rlike(r"\.(rs|ts|tsx|js|py|c|h|cpp|hpp|cj|ets|sh)$")
-    return F.when(manifest, F.array(*[F.lit(x) for x in ("manifest", "parse", "symbols", "imports", "references", "graph")])).when(source, F.array(*[F.lit(x) for x in ("parse", "symbols", "imports", "references", "graph")])).otherwise(F.array().cast("array<string>"))
+    ext = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
+    config = name.isin(MANIFESTS) | ext.isin(CONFIG_EXTENSIONS) | path.contains("/config/")
+    return F.when(status == "removed", "removed").when(ext.isin(SOURCE_EXTENSIONS), "source").when(config, "config").when(ext.isin(DOC_EXTENSIONS), "document").otherwise("other")
+
+
+def dirty_reason(path: Column, status: Column) -> Column:
+    kind = dirty_kind(path, status)
+    return F.coalesce(*[F.when(kind == k, reason) for k, (reason, _) in DIRTY.items()])
+
+
+def phases(path: Column, status: Column) -> Column:
+    """Phases to redo for a changed file, in order."""
+    kind = dirty_kind(path, status)
+    return F.coalesce(*[F.when(kind == k, F.array(*[F.lit(x) for x in own])) for k, (_, own) in DIRTY.items()])
 
 
 def incremental_plan(diff: DataFrame, had_previous: bool = True, preview: int = 20) -> DataFrame:
@@ -76,29 +102,46 @@ def changed_symbols(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("symbol").agg(F.count("*").alias("hunks"), F.array_join(F.sort_array(F.collect_set("change_kind")), ",").alias("kinds"))
 
 
-def surface(path: Column) -> Column:
-    """unsupported, fixture, test, docs, webui, script or production, in this order of rules."""
-    p = F.lower(path)
-    return F.when(p.rlike(r"\.(bin|exe|lock)$"), "unsupported").when(p.rlike(r"(^|/)fixtures?/"), "fixture").when(p.rlike(r"(^|/)tests?/|_test\.|\.test\.|\.spec\."), "test").when(p.rlike(r"(^|/)docs?/|\.md$"), "docs").when(p.rlike(r"(^|/)webui/"), "webui").when(p.rlike(r"(^|/)scripts?/|\.sh$"), "script").otherwise("production")
+#: Fixed values of the surface rules.
+UNSUPPORTED_LANGUAGES = ["csharp", "java", "go", "swift", "kotlin"]
+FIXTURE_LIKE = ["fixture", "test", "docs"]
+#: Root folders of tools' own state.
+PRIVATE_FOLDERS = [".claude", ".arts", ".sisyphus"]
+
+
+def surface(path: Column, label: Column, language: Column, owner_kind: Column) -> Column:
+    """unsupported, fixture, test, docs, webui, script or production of a workspace file or project, first rule first."""
+    p, name = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), F.lower(label)
+    under = lambda x: p.contains(f"/{x}/") | p.startswith(f"{x}/")
+    return (
+        F.when((owner_kind == "unsupported") | F.lower(language).isin(UNSUPPORTED_LANGUAGES), "unsupported")
+        .when(under("fixtures") | p.contains("/fixture/") | p.contains("portable-smoke") | name.rlike("fixture|smoke|corpus"), "fixture")
+        .when(under("tests") | p.contains("/__tests__/") | p.contains("/test/") | name.contains("test"), "test")
+        .when(under("docs"), "docs")
+        .when(under("webui"), "webui")
+        .when(under("scripts"), "script")
+        .otherwise("production")
+    )
 
 
-def impact_group(kind: Column, surface_: Column, confidence: Column) -> Column:
-    """direct, unsupportedBoundary, fixtureOnly, highConfidence (from .65) or lowConfidence."""
-    return F.when(kind == "direct", "direct").when(kind == "unsupported_boundary", "unsupportedBoundary").when(surface_ == "fixture", "fixtureOnly").when(confidence >= 0.65, "highConfidence").otherwise("lowConfidence")
+def impact_group(change_type: Column, surface_: Column, confidence: Column, supported: Column) -> Column:
+    """direct, unsupportedBoundary, fixtureOnly (fixtures, tests, documents), highConfidence (from .65) or lowConfidence."""
+    return F.when(change_type == "direct", "direct").when(~supported | (surface_ == "unsupported"), "unsupportedBoundary").when(surface_.isin(FIXTURE_LIKE), "fixtureOnly").when(confidence >= 0.65, "highConfidence").otherwise("lowConfidence")
 
 
-def suppressed(group: Column, policy: str) -> Column:
-    """daily hides fixtures, low confidence and boundaries; include-fixtures shows fixtures; strict hides all but direct and high confidence."""
-    if policy == "daily":
-        return group.isin("fixtureOnly", "lowConfidence", "unsupportedBoundary")
-    if policy == "include-fixtures":
-        return group.isin("lowConfidence", "unsupportedBoundary")
-    return ~group.isin("direct", "highConfidence")
+def suppressed(change_type: Column, surface_: Column, group: Column, include_fixtures: bool = False, strict: bool = False) -> Column:
+    """What a report leaves out: with `strict` nothing, and never what changed itself; else fixtures and low confidence,
+    of which `include_fixtures` shows all that are fixture-like, whatever their group."""
+    if strict:
+        return F.lit(False)
+    hidden = (change_type != "direct") & group.isin("fixtureOnly", "lowConfidence")
+    return hidden & ~surface_.isin(FIXTURE_LIKE) if include_fixtures else hidden
 
 
 def private_path(path: Column) -> Column:
-    """Paths of tools' own state that reports leave out."""
-    return path.rlike(r"(^|/)\.(agents?|cache|idea|vscode)(/|$)")
+    """Paths of tools' own state at the root, that changes leave out."""
+    p = F.regexp_replace(path, r"^(\./)+", "")
+    return F.split(p, "/")[0].isin(PRIVATE_FOLDERS)
 
 
 def duration_bucket(files: Column) -> Column:

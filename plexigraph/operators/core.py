@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plexigraph.model import TIERS
+from plexigraph.session import hold
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -60,19 +61,24 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def quality_gates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gate, failures, passed) for the seven gates; the last two can't fail."""
-    ids = nodes.select("id").distinct()
-    dup = lambda df, *keys: df.groupBy(*keys).agg((F.count("*") - 1).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("failures"))
-    missing = lambda df, end: df.select(F.col(end).alias("id")).join(ids, "id", "left_anti").agg(F.count("*").alias("failures"))
-    calls = edges.filter(F.col("edge_type") == "CALLS")
-    ends = calls.select(F.col("source").alias("id")).unionByName(calls.select(F.col("target").alias("id")))
-    zero = nodes.limit(0).agg(F.count("*").alias("failures"))
-    parts = [("duplicate_nodes", dup(nodes, "id")), ("duplicate_edges", dup(edges, "edge_type", "source", "target")), ("dangling_source", missing(edges, "source")), ("dangling_target", missing(edges, "target")), ("deterministic", zero), ("calls_endpoint_integrity", missing(ends.withColumnRenamed("id", "end"), "end")), ("external_symbol_marking", zero)]
-    out = None
-    for name, df in parts:
-        row = df.select(F.lit(name).alias("gate"), "failures", (F.col("failures") == 0).alias("passed"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(gate, failures, passed) for the seven gates; the last two can't fail.
+
+    One pass over the nodes counts their ids. One over the edges counts each (type, source, target) once; its two ends,
+    as rows with a weight, meet the ids in one join, and one aggregate adds up all gates.
+    """
+    ids = nodes.groupBy("id").agg(F.count("*").alias("copies"))
+    unique = edges.groupBy("edge_type", "source", "target").agg(F.count("*").alias("n"))
+    calls = F.col("edge_type") == "CALLS"
+    end = lambda c, side: F.struct(F.col(c).alias("id"), F.lit(side).alias("side"))
+    ends = unique.select("n", calls.alias("call"), F.inline(F.array(end("source", 0), end("target", 1)))).groupBy("id").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("call"), F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("side") == 0, F.col("n") - 1).otherwise(0)).alias("more")
+    )
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    lost = lambda c: total(F.when(F.col("copies").isNull(), F.col(c)))
+    row = ids.join(ends, "id", "full").agg(total(F.col("copies") - 1).alias("duplicate_nodes"), total("more").alias("duplicate_edges"), lost("s").alias("dangling_source"), lost("t").alias("dangling_target"), lost("c").alias("calls_endpoint_integrity"))
+    zero = F.lit(0).cast("long")
+    gates = [(g, F.col(g)) for g in ("duplicate_nodes", "duplicate_edges", "dangling_source", "dangling_target", "calls_endpoint_integrity")] + [("deterministic", zero), ("external_symbol_marking", zero)]
+    return row.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), n.alias("failures")) for g, n in gates]))).withColumn("passed", F.col("failures") == 0)
 
 
 def tier(confidence: str | Column) -> Column:
@@ -134,13 +140,21 @@ def page_slice(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return rows.join(F.broadcast(total)).withColumn("has_more", (F.lit(size) > 0) & (F.col("total") > end)).withColumn("has_prev", F.lit(size > 0 and page > 0))
 
 
-def renumber(df: DataFrame, order: list[str], prefix: str = "n") -> DataFrame:
-    """Stable ids n0, n1, ... in a total order. Range-partitioned: ranks are local, offsets by partition."""
-    ranked = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ranked.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with `name`, its 1-based place in a total order. Range-partitioned: places are local, offsets by partition.
+
+    The parts and their places are written once, so the counts and the rows come from the same partitioning.
+    """
+    ranked = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    local = hold(ranked.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     counts = local.groupBy("__p").agg(F.count("*").alias("__n"))
     base = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    return local.join(F.broadcast(base.select("__p", "__b")), "__p").withColumn("stable_id", F.concat(F.lit(prefix), (F.col("__b") + F.col("__r") - 1).cast("string"))).drop("__p", "__r", "__b")
+    return local.join(F.broadcast(base.select("__p", "__b")), "__p").withColumn(name, (F.col("__b") + F.col("__r")).cast("long")).drop("__p", "__r", "__b")
+
+
+def renumber(df: DataFrame, order: list[str], prefix: str = "n") -> DataFrame:
+    """Stable ids n0, n1, ... in a total order."""
+    return numbered(df, order, "__place").withColumn("stable_id", F.concat(F.lit(prefix), (F.col("__place") - 1).cast("string"))).drop("__place")
 
 
 def merge_artifacts(parts: list[DataFrame], order: list[str]) -> DataFrame:
@@ -149,3 +163,25 @@ def merge_artifacts(parts: list[DataFrame], order: list[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return first_by(out, ["id"], order)
+
+
+#: Node kinds that count as symbols whatever their label.
+SYMBOL_KINDS = ["function", "struct", "enum", "trait", "method", "associated-function", "class", "const", "static"]
+
+
+def symbols_of(nodes: DataFrame) -> DataFrame:
+    """(id, name, kind, file, line, module, visibility) of the symbols among mixed nodes.
+
+    nodes(id, label, name, file, line, properties map<string,string>): what the properties say of a name, kind, file or
+    line comes before the node's own columns, symbolKind before kind; an unsaid visibility is unknown.
+    """
+    p = lambda k: F.col("properties")[k]
+    kind = F.coalesce(p("symbolKind"), p("kind"))
+    found = nodes.filter((F.col("label") == "symbol") | F.coalesce(kind.isin(SYMBOL_KINDS), F.lit(False)))
+    text = lambda *c: F.coalesce(*c, F.lit(""))
+    return found.select("id", text(p("name"), F.col("name")).alias("name"), F.coalesce(kind, F.lit("symbol")).alias("kind"), text(p("sourcePath"), F.col("file")).alias("file"), F.coalesce(p("lineStart").cast("long"), F.col("line").cast("long")).alias("line"), text(p("modulePath")).alias("module"), F.coalesce(p("visibility"), F.lit("unknown")).alias("visibility"))
+
+
+def external_crate_totals(calls: DataFrame) -> DataFrame:
+    """One row: calls into external crates, and those whose crate is known."""
+    return calls.agg(F.count_if(F.col("call_kind") == "external-crate").alias("total"), F.count_if(F.col("known_crate").isNotNull()).alias("classified"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plexigraph.functions.paths import crate_segments, prelude_path, receiver_path, split_last, strip_generics, trait_path
+
 
 def unique_or_nothing(candidates: DataFrame, key: str = "ref", target: str = "target") -> DataFrame:
     """(key, n, target): the target where a key has exactly one distinct candidate, else null."""
@@ -114,17 +116,31 @@ def call_cascade(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
 
     calls(ref, name, module, package, file), symbols(id, name, kind, module, package, file),
     imports(module, name, target) and wildcard imports as rows with name '*' and the module as target.
+    Each stage meets symbols reduced to the ends of its own key, so a name that many symbols hold costs two rows.
     """
-    s = symbols.select(F.col("id").alias("target"), "name", "kind", F.col("module").alias("s_module"), F.col("package").alias("s_package"), F.col("file").alias("s_file"))
-    same_module = calls.join(s, "name").filter("s_module = module").select("ref", "target")
-    bound = calls.join(imports.filter("name <> '*'").select(F.col("module"), "name", F.col("target")), ["module", "name"]).select("ref", "target")
-    elsewhere = calls.join(s.filter("kind = 'function'"), "name").filter("s_package = package and s_file <> file")
-    package = elsewhere.select("ref", "target")
-    wild = elsewhere.join(imports.filter("name = '*'").select("module", F.col("target").alias("s_module")), ["module", "s_module"], "left_semi").select("ref", "target")
-    same_file = calls.join(s.filter("kind = 'function'"), "name").filter("s_file = file").select("ref", "target")
+    s = symbols.select(F.col("id").alias("target"), "name", "kind", "module", "package", "file")
+    functions = s.filter("kind = 'function'")
+    same_module = calls.join(ends(s, ["name", "module"]), ["name", "module"]).select("ref", "target")
+    bound = calls.join(ends(imports.filter("name <> '*'"), ["module", "name"]), ["module", "name"]).select("ref", "target")
+    # Elsewhere in the package: the least and greatest symbol of each file's least and greatest, less the call's own file.
+    by_file = functions.groupBy("name", "package", "file").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    package = calls.select("ref", "name", "package", "file").join(_two_files(by_file, ["name", "package"]), ["name", "package"]).filter("s_file <> file").select("ref", F.explode(F.array("lo", "hi")).alias("target"))
+    in_module = functions.groupBy("name", "package", F.col("module").alias("s_module"), "file").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    glob = imports.filter("name = '*'").select("module", F.col("target").alias("s_module")).distinct()
+    wild = calls.select("ref", "name", "package", "file", "module").join(glob, "module").join(_two_files(in_module, ["name", "package", "s_module"]), ["name", "package", "s_module"]).filter("s_file <> file").select("ref", F.explode(F.array("lo", "hi")).alias("target"))
+    same_file = calls.join(ends(functions, ["name", "file"]), ["name", "file"]).select("ref", "target")
     return cascade(calls, [("same-module", 0.90, same_module, True), ("import", 0.85, bound, True), ("same-crate", 0.80, package, False), ("same-crate", 0.80, wild, False), ("same-file-unique", 0.70, same_file, True)])
 
 
+def _two_files(by_file: DataFrame, key: list[str]) -> DataFrame:
+    """by_file(key, file, lo, hi) cut to three files a key: enough to tell one symbol outside any one file from several."""
+    row = F.struct("file", "lo", "hi")
+    first = by_file.groupBy(*key).agg(F.min(row).alias("a"), F.max(row).alias("z"))
+    inner = by_file.join(first, key).filter((F.col("file") != F.col("a.file")) & (F.col("file") != F.col("z.file"))).groupBy(*key).agg(F.min(row).alias("m"))
+    ends_ = first.select(*key, F.explode(F.array_distinct(F.array("a", "z"))).alias("x"))
+    return ends_.unionByName(inner.withColumnRenamed("m", "x")).select(*key, F.col("x.file").alias("s_file"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+
+
 def qualified_cascade(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Path calls `crate::a::f`, `self::f`, `super::f`, `a::f`, by (module, name) after expansion.
 
@@ -142,12 +158,124 @@ def qualified_cascade(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return cascade(calls, [("self-super", 0.80, hits.filter(local).select("ref", "target"), True), ("crate-path", 0.90, hits.filter(root).select("ref", "target"), True), ("module-path", 0.85, hits.filter(~local & ~root).select("ref", "target"), True)])
 
 
-def method_cascade(calls: DataFrame, symbols: DataFrame, std_traits: DataFrame, receivers: DataFrame) -> DataFrame:
-    """Method calls(ref, name, receiver): the only method of that name, else a standard trait's, else the receiver type's."""
+def method_cascade(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Method calls(ref, name, receiver): the only method of that name, else the one standard trait's that has it, else
+    the known method of the receiver's written type. Several methods and none of these: ambiguous."""
     only = calls.join(ends(symbols.filter("kind = 'method'").select("name", F.col("id").alias("target")), ["name"]), "name").select("ref", "target")
-    trait = calls.join(F.broadcast(std_traits.select("name", F.concat(F.lit("std::"), "name").alias("target"))), "name").select("ref", "target")
-    typed = calls.join(F.broadcast(receivers.select(F.col("type").alias("receiver"), "name", F.concat_ws("::", "type", "name").alias("target"))), ["receiver", "name"]).select("ref", "target")
-    return cascade(calls, [("method-name", 0.65, only, False), ("std-trait", 0.55, trait, False), ("receiver-type", 0.65, typed, True)])
+    trait = calls.select("ref", trait_path(F.col("name")).alias("target")).filter("target is not null")
+    typed = calls.select("ref", receiver_path(F.col("receiver"), F.col("name")).alias("target")).filter("target is not null")
+    return cascade(calls, [("method-name", 0.65, only, False), ("std-trait", 0.55, trait, False), ("receiver-type", 0.65, typed, False), ("method-name", 0.65, only, True)])
+
+
+def expand_use(path: Column, module: Column) -> Column:
+    """struct(kind, expanded) of a use path written in a module `crate::a::b`: self and super steps turned into a path
+    from the crate root. Kinds: crate, self, super, external; a super step above the root has no expansion."""
+    here = F.split(module, "::")
+    ups = F.regexp_extract(path, "^((super::)*)", 1)
+    n = F.length(ups) / 7
+    rest = path.substr(F.length(ups) + 1, F.length(path))
+    base = F.when(n < F.size(here), F.array_join(F.slice(here, F.lit(1), (F.size(here) - n).cast("int")), "::"))
+    up = F.when(rest == "", base).otherwise(F.concat(base, F.lit("::"), rest))
+    own = F.concat(module, F.lit("::"), F.regexp_replace(path, "^self::", ""))
+    kind = F.when(path.rlike("^crate(::|$)"), "crate").when(path.startswith("self::"), "self").when(path.startswith("super::"), "super").otherwise("external")
+    return F.struct(kind.alias("kind"), F.when(kind == "crate", path).when(kind == "self", own).when(kind == "super", up).alias("expanded"))
+
+
+def resolve_uses(uses: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref, kind, level, target, module_target, confidence, reason) of uses(ref, path, alias, reexport, module, package).
+
+    modules(package, module, file) are those whose whole chain of declarations has files; a use of one is resolved to
+    it: .90 for the crate root, .85 one step below, .80 deeper, .75 by self or super. Then the only symbol(id, name,
+    module, package) of the last segment in the module before it takes over: .90, .85 for an alias or a re-export, .80
+    by self or super. Several symbols leave the module, or nothing. External and wildcard uses are skipped.
+    """
+    u = uses.withColumn("__u", expand_use(F.col("path"), F.col("module"))).select("ref", "package", "alias", "reexport", "__u.kind", F.col("__u.expanded").alias("expanded"), "path")
+    head, name = split_last(F.col("expanded"))
+    u = u.withColumn("head", head).withColumn("name", name)
+    by_module = u.join(modules.select("package", F.col("module").alias("expanded"), F.col("file").alias("module_target")), ["package", "expanded"], "left")
+    of = symbols.groupBy("package", F.col("module").alias("head"), "name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    j = by_module.join(of, ["package", "head", "name"], "left")
+    skipped = (F.col("kind") == "external") | (F.col("name") == "*") | F.col("path").endswith("::*")
+    found = ~skipped & F.col("expanded").isNotNull() & (F.col("n") == 1)
+    depth = F.size(crate_segments(F.col("expanded")))
+    near = F.col("kind").isin("self", "super")
+    module_conf = F.when(F.col("module_target").isNull() | (F.col("kind") == "external"), 0.0).when(near, 0.75).when(depth == 0, 0.90).when(depth == 1, 0.85).otherwise(0.80)
+    symbol_conf = F.when(near, 0.80).when(F.col("reexport") | F.col("alias").isNotNull(), 0.85).otherwise(0.90)
+    level = F.when(skipped, "skipped").when(found, "symbol").when(F.col("module_target").isNotNull(), "module").otherwise("unresolved")
+    reason = F.when(F.col("kind") == "external", "external").when((F.col("kind") == "super") & F.col("expanded").isNull(), "super-at-root").when(found, F.when(near, F.col("kind")).when(F.col("reexport"), "reexport").when(F.col("alias").isNotNull(), "alias").otherwise("crate")).when(F.col("module_target").isNotNull(), F.when(near, "module-self-super").otherwise("module")).when(~skipped & (F.col("n") > 1), "ambiguous").otherwise("unresolved")
+    return j.select("ref", "kind", level.alias("level"), F.when(found, F.col("id")).alias("target"), F.when(F.col("kind") != "external", F.col("module_target")).alias("module_target"), F.when(found, symbol_conf).otherwise(module_conf).alias("confidence"), reason.alias("reason"))
+
+
+def associated_cascade(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """Associated calls `a::Type::method`: (calls' columns, target, confidence, reason).
+
+    calls(ref, path, module, package, file); symbols(id, name, kind, module, package, file, impl_target); imports(module,
+    name, target, external): `target` is a symbol's id, or the path of an external type. The type's module is the
+    call's own (or the written one) if it holds that name, else that of the only symbol imported under it, else that of
+    the package's only struct or enum of the name in another file. There the only method of the type (.75), or, where
+    it has none, the only symbol of the method's name (.70). Without a module an external import or a type that needs
+    none gives the path (.80).
+    """
+    prefix, method = split_last(F.col("path"))
+    c = calls.withColumn("__tp", prefix).withColumn("__method", method)
+    owner, type_ = split_last(F.col("__tp"))
+    c = c.withColumn("__type", type_).withColumn("__owner", owner)
+    bare = (F.col("__owner") == "") | (F.col("__owner") == "crate")
+    c = c.withColumn("__at", F.when(bare, F.col("module")).otherwise(F.regexp_replace("__owner", "^(crate|self|super)::", ""))).select("ref", "package", "file", "__at", "__type", "__method")
+
+    held = symbols.groupBy(F.col("module").alias("__at"), F.col("name").alias("__type")).agg(F.lit(True).alias("__same"))
+    bound = imports.filter("not external").groupBy(F.col("module").alias("__at"), F.col("name").alias("__type")).agg(F.count("*").alias("n"), F.min("target").alias("id")).filter("n = 1").join(symbols.select("id", F.col("module").alias("__bound")), "id").select("__at", "__type", "__bound")
+    outside = imports.filter("external").groupBy(F.col("module").alias("__at"), F.col("name").alias("__type")).agg(F.min("target").alias("__external"))
+    j = c.join(held, ["__at", "__type"], "left").join(bound, ["__at", "__type"], "left").join(outside, ["__at", "__type"], "left")
+    # Types of the package by file: those of all files, less those of the call's own.
+    types = symbols.filter(F.col("kind").isin("struct", "enum"))
+    every = types.groupBy("package", F.col("name").alias("__type")).agg(F.count("*").alias("__n"), F.min(F.struct("file", "module")).alias("__lo"), F.max(F.struct("file", "module")).alias("__hi"))
+    own = types.groupBy("package", F.col("name").alias("__type"), "file").agg(F.count("*").alias("__own"))
+    j = j.join(every, ["package", "__type"], "left").join(own, ["package", "__type", "file"], "left")
+    left = F.col("__n") - F.coalesce("__own", F.lit(0))
+    other = F.when(left == 1, F.when(F.col("__lo.file") != F.col("file"), F.col("__lo.module")).when(F.col("__hi.file") != F.col("file"), F.col("__hi.module")))
+    # One other type may lie between two of the call's own file, so it's looked up where neither end is it.
+    j = j.withColumn("__crate", other).withColumn("__mid", (left == 1) & other.isNull())
+    mid = j.filter("__mid").select("ref", "package", "__type", F.col("file").alias("__f")).join(types.select("package", F.col("name").alias("__type"), "file", "module"), ["package", "__type"]).filter("file <> __f").groupBy("ref").agg(F.min("module").alias("__middle"))
+    j = j.join(mid, "ref", "left")
+    j = j.withColumn("__m", F.when(F.col("__same"), F.col("__at")).otherwise(F.coalesce("__bound", "__crate", "__middle"))).select("ref", "__type", "__method", "__m", "__external")
+
+    members = symbols.select(F.col("module").alias("__m"), F.col("name").alias("__method"), F.col("id").alias("__id"), F.col("kind").isin("method", "associated-function").alias("__fn"), "impl_target")
+    counted = members.groupBy("__m", "__method").agg(F.count("*").alias("__all"), F.min("__id").alias("__any"), F.count_if(F.col("impl_target").isNull() & F.col("__fn")).alias("__free"), F.min(F.when(F.col("impl_target").isNull() & F.col("__fn"), F.col("__id"))).alias("__free_id"))
+    typed = members.filter("impl_target is not null").groupBy("__m", "__method", F.col("impl_target").alias("__type")).agg(F.count("*").alias("__impl"), F.min("__id").alias("__impl_id"))
+    j = j.join(counted, ["__m", "__method"], "left").join(typed, ["__m", "__method", "__type"], "left")
+    n = F.coalesce("__free", F.lit(0)) + F.coalesce("__impl", F.lit(0))
+    known = F.col("__m").isNotNull()
+    path = F.when(~known, F.concat(strip_generics(F.coalesce(F.col("__external"), prelude_path(F.col("__type")))), F.lit("::"), F.col("__method")))
+    one, any_ = known & (n == 1), known & (n == 0) & (F.col("__all") == 1)
+    target = F.when(one, F.coalesce("__impl_id", "__free_id")).when(any_, F.col("__any")).otherwise(path)
+    conf = F.when(one, 0.75).when(any_, 0.70).when(path.isNotNull(), 0.80).otherwise(0.0)
+    reason = F.when(one, "associated").when(any_, "associated-any-kind").when(path.isNotNull(), "std-path").when(known & (n > 1), "ambiguous").otherwise("unresolved")
+    return calls.join(j.select("ref", target.alias("target"), conf.alias("confidence"), reason.alias("reason")), "ref")
+
+
+def external_calls(calls: DataFrame, indexed: list[str], crates: list[str]) -> DataFrame:
+    """calls(ref, path) with `confidence`: standard paths .80, .85 where their item is in the index; known crates .60; else 0."""
+    crate, item = F.split_part("path", F.lit("::"), F.lit(1)), F.split_part("path", F.lit("::"), F.lit(2))
+    std = crate.isin("std", "core", "alloc")
+    return calls.select("ref", "path", F.when(std & item.isin(indexed), 0.85).when(std, 0.80).when(crate.isin(crates), 0.60).otherwise(0.0).alias("confidence"))
+
+
+def first_of_python(calls: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(ref, source, target, placeholder, confidence) of Python calls(ref, name, qname, file, line, confidence).
+
+    The first symbol(id, name, qname, file, ord), in the order of files and of places in them, by qualified name, else by
+    the name that an import alias(alias, symbol) stands for, else by the plain name; else a placeholder of its own. The
+    source is the file and the confidence the call's own.
+    """
+    place = ["file", "ord"]
+    by = lambda key, out: symbols.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(*place, "id")).alias("__s")).select("__k", F.col("__s.id").alias(out))
+    name, qname = by("name", "__n"), by("qname", "__q")
+    alias = aliases.filter("symbol is not null").groupBy(F.col("alias").alias("__a")).agg(F.max("symbol").alias("__k")).join(name.withColumnRenamed("__n", "__i"), "__k").drop("__k")
+    j = calls.join(qname, F.col("qname") == F.col("__k"), "left").drop("__k").join(alias, F.col("name") == F.col("__a"), "left").join(name, F.col("name") == F.col("__k"), "left")
+    found = F.coalesce("__q", "__i", "__n")
+    target = F.coalesce(found.cast("string"), F.concat_ws(":", F.lit("py"), F.lit("call-target"), "file", "name", F.col("line").cast("string")))
+    return j.select("ref", F.col("file").alias("source"), target.alias("target"), found.isNull().alias("placeholder"), "confidence")
 
 
 def preferred_kind(calls: DataFrame, symbols: DataFrame, imports: DataFrame, ladder: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plexigraph.operators.core import fan_in_out
 
@@ -60,15 +60,16 @@ def hotspot_scores(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def top_share(scores: DataFrame, share_of: int = 5) -> DataFrame:
-    """Rows whose rank by score (then id) lies in the first n/share_of (rounded up), without a global window:
-    the cut is found by counting rows per score."""
-    by = scores.groupBy("score").agg(F.count("*").alias("n"))
-    total = scores.agg(F.ceil(F.count("*") / share_of).alias("want"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # scores are rounded: few distinct ones
-    cut = by.withColumn("before", before).join(F.broadcast(total)).filter("before < want")
-    j = scores.join(F.broadcast(cut.select("score", "before", "want")), "score")
-    rank = F.row_number().over(Window.partitionBy("score").orderBy("id"))
-    return j.withColumn("rank", (F.col("before") + rank).cast("long")).filter("rank <= want").drop("before", "want")
+    """Rows whose rank by score (then id) lies in the first n/share_of, rounded up.
+
+    Ranks come from a range-partitioned order: a task numbers its own part of it, and counts of the
+    parts place it, so neither a global window nor a mass of equal scores is one task's.
+    """
+    from plexigraph.operators.core import numbered
+
+    total = scores.agg(F.ceil(F.count("*") / share_of).alias("want"))  # one row
+    ranked = numbered(scores, [F.desc("score"), F.asc("id")], "rank")
+    return ranked.join(F.broadcast(total)).filter("rank <= want").drop("want")
 
 
 def entry_points(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,19 +121,46 @@ def api_surface(symbols: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFr
 
 
 def health(projects: DataFrame) -> DataFrame:
-    """(…, score, band) of projects(status, gate_failures, high_risks, density, unsupported, symbols).
+    """(…, score, risk) of projects(status, gate_failures, automation_risks, source_files, edges, unsupported, symbols).
+
+    100 less: 35 for status failed, 20 for any other than succeeded; 8 a failed gate, up to 50; 8 an
+    automation risk, up to 40; 15 for over 20 source files without an edge, or 10 for under one edge a
+    file; 10 for files without any edge; 5 an unsupported module nearby, up to 15. At least 0. From
+    85 the risk is low, from 65 medium.
+    """
+    files, edges = F.col("source_files"), F.coalesce("edges", F.lit(0))
+    off = F.when(F.col("status") == "failed", 35).when(F.col("status") != "succeeded", 20).otherwise(0)
+    off = off + F.least(8 * F.col("gate_failures"), F.lit(50)) + F.least(8 * F.col("automation_risks"), F.lit(40))
+    off = off + F.when((files > 20) & (edges == 0), 15).when((files > 0) & (edges > 0) & (edges < files), 10).otherwise(0)
+    off = off + F.when((files > 0) & (edges == 0), 10).otherwise(0) + F.least(5 * F.col("unsupported"), F.lit(15))
+    return projects.withColumn("score", F.greatest(F.lit(0), 100 - off).cast("long")).withColumn("risk", risk_level(F.col("score")))
+
+
+def risk_level(score: Column) -> Column:
+    return F.when(score >= 85, "low").when(score >= 65, "medium").otherwise("high")
+
+
+def recommendations(scored: DataFrame) -> DataFrame:
+    """(list, project, priority, rank): what to read, review and clean up first, of `health` rows with `project`.
 
-    100 less 35 for status failed or 20 for partial, 8 a failed gate up to 50, 8 a high risk up to
-    40, 10 for a density over 5, 5 an unsupported part up to 15; at least 0. Bands from 85 and 65.
+    Read: the five succeeded projects with the most symbols, P0 over 50. Review: scores under 65 (P0 under 50) and failed
+    projects (P0), worst first. Clean up: over 20 source files without an edge (P1), else unsupported modules nearby (P2).
     """
-    off = F.when(F.col("status") == "failed", 35).when(F.col("status") == "partial", 20).otherwise(0) + F.least(8 * F.col("gate_failures"), F.lit(50)) + F.least(8 * F.col("high_risks"), F.lit(40)) + F.when(F.col("density") > 5, 10).otherwise(0) + F.least(5 * F.col("unsupported"), F.lit(15))
-    out = projects.withColumn("score", F.greatest(F.lit(0), 100 - off).cast("long"))
-    return out.withColumn("band", F.when(F.col("score") >= 85, "healthy").when(F.col("score") >= 65, "watch").otherwise("risk"))
+    edges = F.coalesce("edges", F.lit(0))
+    read = scored.filter("status = 'succeeded'").orderBy(F.desc("symbols"), "project").limit(5)
+    read = read.select(F.lit("read").alias("list"), "project", F.when(F.col("symbols") > 50, "P0").otherwise("P1").alias("priority"), (-F.col("symbols")).cast("long").alias("rank"))
+    low = F.col("score") < 65
+    review = scored.filter(low | (F.col("status") == "failed")).select(F.lit("review").alias("list"), "project", F.when(low & (F.col("score") >= 50), "P1").otherwise("P0").alias("priority"), F.col("score").alias("rank"))
+    large = (F.col("source_files") > 20) & (edges == 0)
+    clean = scored.filter(large | (F.col("unsupported") > 0)).select(F.lit("cleanup").alias("list"), "project", F.when(large, "P1").otherwise("P2").alias("priority"), F.lit(0).cast("long").alias("rank"))
+    return read.unionByName(review).unionByName(clean)
 
 
 def overall_health(scored: DataFrame) -> DataFrame:
-    """One row: the mean score weighted by symbols, rounded half to even."""
-    return scored.agg(F.bround(F.sum(F.col("score") * F.col("symbols")) / F.greatest(F.sum("symbols"), F.lit(1)), 0).cast("long").alias("overall"), F.count("*").alias("projects"))
+    """One row: the mean score weighted by symbols (one at least), rounded half to even, and its risk; 0 and `unknown` without projects."""
+    w = F.greatest(F.col("symbols"), F.lit(1))
+    out = scored.agg(F.bround(F.sum(F.col("score") * w) / F.sum(w), 0).cast("long").alias("overall"), F.count("*").alias("projects"))
+    return out.select(F.coalesce("overall", F.lit(0)).alias("overall"), F.when(F.col("projects") == 0, "unknown").otherwise(risk_level(F.col("overall"))).alias("risk"), "projects")
 
 
 def review_gate(touched: DataFrame, hot: DataFrame, entry: DataFrame) -> DataFrame:

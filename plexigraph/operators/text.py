@@ -27,9 +27,30 @@ def risk_flags(rows: DataFrame, risks: list[tuple[str, str, str]] | None = None)
 
 
 def local_refs(rows: DataFrame) -> DataFrame:
-    """(path, ref): path-like words of a file's lines, each once: a slash inside, no scheme, no edge punctuation."""
-    words = F.transform(F.split("line", r"[ \t\"'(),;<>=]+"), lambda w: F.regexp_replace(w, r"^\./", ""))
-    return rows.select("path", F.explode(F.filter(words, lambda w: w.rlike(r"^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+$"))).alias("ref")).distinct()
+    """(path, ref): local paths that a file's lines name, each once.
+
+    The source of a COPY; words with a slash inside, over three bytes, without colon or `${`, that start with neither a
+    slash nor a dash; and what follows `cd`. Closing punctuation goes: `;`, then `&`, `|`, quotes and commas, in this order.
+    """
+    words = F.filter(F.split("line", r"(?U)\s+"), lambda w: w != "")
+    w = rows.select("path", words.alias("w"), F.col("line").rlike(r"^\s*COPY ").alias("copy"))
+    copied = F.filter(F.slice("w", 2, 1), lambda x: F.col("copy") & ~x.startswith("/") & ~x.contains(":") & x.contains("/"))
+    plain = F.transform("w", lambda x: F.regexp_replace(x, r""",*'*"*\|*&*;*$""", ""))
+    plain = F.filter(plain, lambda x: x.contains("/") & ~x.startswith("/") & ~x.startswith("-") & ~x.contains(":") & ~x.contains("${") & (F.octet_length(x) > 3))
+    after = F.transform("w", lambda x, k: F.when((k > 0) & (F.get("w", k - 1) == "cd"), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r'^"+|"+$', ""), r"^'+|'+$", ""), r"\|*&*;*$", "")))
+    entered = F.filter(F.array_compact(after), lambda x: (x != "") & ~x.isin(".", "..") & ~x.startswith("/") & ~x.startswith("-") & ~x.contains("$"))
+    return w.select("path", F.explode(F.array_distinct(F.concat(copied, plain, entered))).alias("ref")).distinct()
+
+
+#: Parts of a lower-cased path that mark documents, and tests.
+DOC_MARKS = [".md", ".rst", ".txt", "doc/", "docs/", "readme"]
+TEST_MARKS = ["test_", "_test.", "tests/", "spec.", "mock.", "fixture"]
+
+
+def path_roles(path: Column) -> Column:
+    """struct(doc, test) of a path; both may hold."""
+    has = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.lower(path), m))
+    return F.struct(has(DOC_MARKS).alias("doc"), has(TEST_MARKS).alias("test"))
 
 
 def snippet(text: Column, start: Column, end: Column, context: int) -> Column:

@@ -12,18 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plexigraph.model import WEAK_CAP, WEAK_KINDS
-
-
-def hold(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, in the folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
+from plexigraph.session import hold
 
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, hold_after: int = 2) -> DataFrame:
-    """(id, depth, confidence) of nodes reached from starts(id) within `depth` hops, starts at depth 0."""
+    """(id, depth, confidence) of nodes reached from starts(id) within `depth` hops, starts at depth 0.
+
+    Beyond `hold_after` hops fronts are written, each in a job of its own, so the edges are written
+    first: a job then reads them instead of deriving them anew.
+    """
+    if depth > hold_after:
+        edges = hold(edges.select("source", "target", "confidence"))
     seen = starts.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
     front = seen
     for d in range(1, depth + 1):

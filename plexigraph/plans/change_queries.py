@@ -36,12 +36,6 @@ def incremental_plan(spark, d):
     return change.incremental_plan(change.snapshot_diff(*_snapshots(spark, d)))
 
 
-@query("dirty_phases", f"""WITH {_SNAP.replace('o_totalprice::BIGINT', 'round(o_totalprice)::BIGINT')} SELECT phase, count(*) AS n FROM (SELECT unnest(['parse', 'symbols', 'imports', 'references', 'graph']) AS phase, path, status FROM diff WHERE status <> 'unchanged' AND NOT ends_with(path, '.md')) GROUP BY phase""")
-def dirty_phases(spark, d):
-    diff = change.snapshot_diff(*_snapshots(spark, d)).filter("status <> 'unchanged'")
-    return diff.select(F.explode(change.phases(F.col("path"))).alias("phase")).groupBy("phase").agg(F.count("*").alias("n"))
-
-
 @query("compare_runs", f"""WITH {S}, o AS (SELECT source, target FROM strong WHERE source % 9 <> 0), n AS (SELECT source, target FROM strong WHERE target % 8 <> 0)
 SELECT source, target, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT source, target, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def compare_runs(spark, d):
@@ -64,28 +58,6 @@ def fingerprint(spark, d):
     return change.fingerprint(t.table(spark, d, "part").withColumn("package", F.col("p_brand")), ["p_partkey", "p_name", "p_size"], ["package"])
 
 
-_PATHS = "paths AS (SELECT p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'src/a' || p_partkey || '.rs' WHEN 1 THEN 'tests/t' || p_partkey || '.rs' WHEN 2 THEN 'docs/d' || p_partkey || '.md' WHEN 3 THEN 'fixtures/f' || p_partkey || '.json' WHEN 4 THEN 'webui/w' || p_partkey || '.ts' WHEN 5 THEN 'scripts/s' || p_partkey || '.sh' ELSE 'lib/x' || p_partkey || '.bin' END AS path, CASE p_size % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'unsupported_boundary' ELSE 'depends_on' END AS kind, round(p_size / 50.0, 2)::DOUBLE AS confidence FROM part)"
-
-
-def _paths(spark, d):
-    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
-    path = F.when(s % 7 == 0, F.concat(F.lit("src/a"), k, F.lit(".rs"))).when(s % 7 == 1, F.concat(F.lit("tests/t"), k, F.lit(".rs"))).when(s % 7 == 2, F.concat(F.lit("docs/d"), k, F.lit(".md"))).when(s % 7 == 3, F.concat(F.lit("fixtures/f"), k, F.lit(".json"))).when(s % 7 == 4, F.concat(F.lit("webui/w"), k, F.lit(".ts"))).when(s % 7 == 5, F.concat(F.lit("scripts/s"), k, F.lit(".sh"))).otherwise(F.concat(F.lit("lib/x"), k, F.lit(".bin")))
-    kind = F.when(s % 5 == 0, "direct").when(s % 5 == 1, "unsupported_boundary").otherwise("depends_on")
-    return t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), path.alias("path"), kind.alias("kind"), F.round(s / 50.0, 2).alias("confidence"))
-
-
-_SURFACE = "CASE WHEN ends_with(path, '.bin') THEN 'unsupported' WHEN starts_with(path, 'fixtures/') THEN 'fixture' WHEN starts_with(path, 'tests/') THEN 'test' WHEN starts_with(path, 'docs/') THEN 'docs' WHEN starts_with(path, 'webui/') THEN 'webui' WHEN starts_with(path, 'scripts/') THEN 'script' ELSE 'production' END"
-
-
-@query("surface_groups", f"""WITH {_PATHS}, s AS (SELECT *, {_SURFACE} AS surface FROM paths), g AS (SELECT *, CASE WHEN kind = 'direct' THEN 'direct' WHEN kind = 'unsupported_boundary' THEN 'unsupportedBoundary' WHEN surface = 'fixture' THEN 'fixtureOnly' WHEN confidence >= 0.65 THEN 'highConfidence' ELSE 'lowConfidence' END AS grp FROM s)
-SELECT surface, grp, count(*) AS raw, count(*) FILTER (grp NOT IN ('fixtureOnly', 'lowConfidence', 'unsupportedBoundary')) AS daily, count(*) FILTER (grp NOT IN ('lowConfidence', 'unsupportedBoundary')) AS with_fixtures, count(*) FILTER (grp IN ('direct', 'highConfidence')) AS strict FROM g GROUP BY surface, grp""")
-def surface_groups(spark, d):
-    p = _paths(spark, d).withColumn("surface", change.surface(F.col("path")))
-    p = p.withColumn("grp", change.impact_group(F.col("kind"), F.col("surface"), F.col("confidence")))
-    shown = lambda policy: F.count_if(~change.suppressed(F.col("grp"), policy))
-    return p.groupBy("surface", "grp").agg(F.count("*").alias("raw"), shown("daily").alias("daily"), shown("include-fixtures").alias("with_fixtures"), shown("strict").alias("strict"))
-
-
 @query("severity_max", """SELECT p_brand AS project, max(greatest(CASE WHEN p_size > 45 THEN 4 WHEN p_size > 30 THEN 3 ELSE 1 END, CASE p_type WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 2 ELSE 0 END)) AS rank,
 CASE max(greatest(CASE WHEN p_size > 45 THEN 4 WHEN p_size > 30 THEN 3 ELSE 1 END, CASE p_type WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 2 ELSE 0 END)) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS level FROM part GROUP BY p_brand""")
 def severity_max(spark, d):
@@ -145,27 +117,6 @@ def cross_project_impact(spark, d):
     return workspace.impact_report(_workspace(spark, d), spark.createDataFrame([("project:1",)], "id string"), _projects(spark, d), 2)
 
 
-_HEALTH = """pr AS (SELECT p_brand AS project, CASE WHEN min(p_size) > 1 THEN 'ok' WHEN count(*) % 2 = 0 THEN 'partial' ELSE 'failed' END AS status, count(*) FILTER (p_size > 48) AS gate_failures, count(*) FILTER (p_retailprice > 1990) AS high_risks,
- (count(*) / 16.0)::DOUBLE AS density, count(*) FILTER (p_size = 13) AS unsupported, count(*) AS symbols FROM part GROUP BY p_brand),
-h AS (SELECT *, greatest(0, 100 - (CASE status WHEN 'failed' THEN 35 WHEN 'partial' THEN 20 ELSE 0 END + least(8 * gate_failures, 50) + least(8 * high_risks, 40) + CASE WHEN density > 5 THEN 10 ELSE 0 END + least(5 * unsupported, 15)))::BIGINT AS score FROM pr)"""
-
-
-def _health(spark, d):
-    p = t.table(spark, d, "part").groupBy(F.col("p_brand").alias("project")).agg(F.min("p_size").alias("m"), F.count("*").alias("symbols"), F.count_if(F.col("p_size") > 48).alias("gate_failures"), F.count_if(F.col("p_retailprice") > 1990).alias("high_risks"), F.count_if(F.col("p_size") == 13).alias("unsupported"))
-    p = p.withColumn("status", F.when(F.col("m") > 1, "ok").when(F.col("symbols") % 2 == 0, "partial").otherwise("failed")).withColumn("density", F.col("symbols") / 16.0)
-    return scores.health(p.drop("m"))
-
-
-@query("health_scores", f"WITH {_HEALTH} SELECT project, score, CASE WHEN score >= 85 THEN 'healthy' WHEN score >= 65 THEN 'watch' ELSE 'risk' END AS band FROM h")
-def health_scores(spark, d):
-    return _health(spark, d).select("project", "score", "band")
-
-
-@query("health_overall", f"WITH {_HEALTH} SELECT round_even(sum(score * symbols) / sum(symbols), 0)::BIGINT AS overall, count(*) AS projects FROM h")
-def health_overall(spark, d):
-    return scores.overall_health(_health(spark, d))
-
-
 @query("module_rollup", f"WITH {P} SELECT module, count(*) AS symbol_count, count(*) FILTER (visibility = 'public') AS public_count FROM parts GROUP BY module ORDER BY symbol_count DESC, module LIMIT 20")
 def module_rollup(spark, d):
     return core.module_rollup(t.parts(spark, d)).orderBy(F.desc("symbol_count"), "module").limit(20)
@@ -239,13 +190,6 @@ def risk_flags(spark, d):
     return text.risk_flags(text.lines(t.files(spark, d)), [("mail", "low", "@"), ("license", "medium", "license"), ("shout", "high", "!!")])
 
 
-@query("local_refs", """SELECT DISTINCT source AS path, u.ref FROM (SELECT source, unnest([source || '/' || lang, 'd' || doc_id % 7 || '/x.txt']) AS ref FROM documents) u""")
-def local_refs(spark, d):
-    k = (F.col("doc_id") % 7).cast("string")
-    body = F.concat(F.lit("COPY "), "source", F.lit("/"), "lang", F.lit(" ./d"), k, F.lit("/x.txt\nsee http://a.example/b and and/or? no"))
-    return text.local_refs(text.lines(t.table(spark, d, "documents").select(F.col("source").alias("path"), body.alias("text")))).filter("ref <> 'and/or?'")
-
-
 @query("line_snippets", """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(l[greatest(doc_id % 5 - 1, 1):doc_id % 5 + 2], chr(10)) AS snippet FROM x""")
 def line_snippets(spark, d):
     k = (F.col("doc_id") % 5).cast("int")

@@ -56,20 +56,6 @@ def call_cascade_free(spark, d):
     return resolve.call_cascade(_refs(spark, d), symbols, _imports(spark, d)).select("ref", "target", "confidence", "reason")
 
 
-@query("method_unique_or_nothing", f"""WITH {P}, refs AS (SELECT id AS ref, name, module AS receiver FROM parts),
-c1 AS (SELECT ref, 'part' || k.id AS target FROM refs JOIN parts k USING (name) WHERE kind = 'method'),
-c2 AS (SELECT ref, 'std::' || name AS target FROM refs WHERE name IN (SELECT min(name) FROM parts)),
-c3 AS (SELECT ref, receiver || '::' || name AS target FROM refs WHERE receiver IN ('Brand#11', 'Brand#23')),
-{_cascade_sql([("method-name", 0.65, "c1", False), ("std-trait", 0.55, "c2", False), ("receiver-type", 0.65, "c3", True)])}""")
-def method_unique(spark, d):
-    p = t.parts(spark, d)
-    refs = p.select(F.col("id").alias("ref"), "name", F.col("module").alias("receiver"))
-    symbols = p.withColumn("id", F.concat(F.lit("part"), F.col("id").cast("string")))
-    traits = p.agg(F.min("name").alias("name"))
-    receivers = p.filter(F.col("module").isin("Brand#11", "Brand#23")).select(F.col("module").alias("type"), "name").distinct()
-    return resolve.method_cascade(refs, symbols, traits, receivers).select("ref", "target", "confidence", "reason")
-
-
 @query("qualified_path_calls", f"""WITH {P}, s AS (SELECT 'part' || id AS target, split_part(name, ' ', 1) AS name, 'crate::m' || id % 9 || '::' || split_part(module, '#', 2) AS m FROM parts),
 refs AS (SELECT id AS ref, 'crate::m' || id % 9 || '::' || split_part(module, '#', 2) AS module, split_part(name, ' ', 1) AS name, id % 4 AS k, 'm' || (id * 7) % 9 || '::' || split_part(module, '#', 2) AS other FROM parts),
 x AS (SELECT ref, name, CASE k WHEN 0 THEN module WHEN 1 THEN 'crate::m' || (ref % 9) ELSE 'crate::' || other END AS m, k FROM refs),
@@ -87,36 +73,6 @@ def qualified_path(spark, d):
     return resolve.qualified_cascade(refs, symbols).select("ref", "target", "confidence", "reason")
 
 
-@query("assoc_fn", f"""WITH {P}, types AS (SELECT module, split_part(name, ' ', 1) AS type, min(id) AS type_id, count(*) AS n FROM parts WHERE kind = 'struct' GROUP BY 1, 2),
-refs AS (SELECT id AS ref, module, split_part(name, ' ', 1) AS type FROM parts),
-known AS (SELECT r.ref, r.type, r.module FROM refs r JOIN types USING (module, type)),
-c1 AS (SELECT ref, 'part' || p.id AS target FROM known k JOIN parts p ON p.module = k.module AND split_part(p.name, ' ', 1) = k.type AND p.kind = 'associated-function'),
-c2 AS (SELECT ref, 'part' || p.id AS target FROM known k JOIN parts p ON p.module = k.module AND split_part(p.name, ' ', 1) = k.type),
-{_cascade_sql([("associated", 0.75, "c1", False), ("associated-any-kind", 0.70, "c2", True)])}""")
-def assoc_fn(spark, d):
-    p = t.parts(spark, d).withColumn("type", F.split_part("name", F.lit(" "), F.lit(1)))
-    types = p.filter("kind = 'struct'").select("module", "type").distinct()
-    refs = p.select(F.col("id").alias("ref"), "module", "type")
-    members = p.select("module", "type", "kind", F.concat(F.lit("part"), F.col("id").cast("string")).alias("target"))
-    on = ["module", "type"]
-    known = refs.join(types, on, "left_semi")
-    own, every = (known.join(resolve.ends(m, on), on).select("ref", "target") for m in (members.filter("kind = 'associated-function'"), members))
-    return resolve.cascade(refs, [("associated", 0.75, own, False), ("associated-any-kind", 0.70, every, True)]).select("ref", "target", "confidence", "reason")
-
-
-@query("external_crate_calls", """WITH refs AS (SELECT p_partkey AS ref, CASE p_size % 4 WHEN 0 THEN 'std::' || p_type WHEN 1 THEN 'core::' || p_brand WHEN 2 THEN 'serde::' || p_type ELSE 'unknown::' || p_type END AS path FROM part)
-SELECT ref, path, CASE WHEN split_part(path, '::', 1) IN ('std', 'core', 'alloc') THEN CASE WHEN split_part(path, '::', 2) IN ('PROMO', 'ECONOMY', 'Brand#12') THEN 0.85 ELSE 0.8 END WHEN split_part(path, '::', 1) = 'serde' THEN 0.6 ELSE 0 END::DOUBLE AS confidence FROM refs""")
-def external_crates(spark, d):
-    s = F.col("p_size") % 4
-    refs = t.table(spark, d, "part").select(F.col("p_partkey").alias("ref"), F.when(s == 0, F.concat(F.lit("std::"), "p_type")).when(s == 1, F.concat(F.lit("core::"), "p_brand")).when(s == 2, F.concat(F.lit("serde::"), "p_type")).otherwise(F.concat(F.lit("unknown::"), "p_type")).alias("path"))
-    index = spark.createDataFrame([("PROMO",), ("ECONOMY",), ("Brand#12",)], "item string").withColumn("__i", F.lit(True))
-    deps = spark.createDataFrame([("serde",)], "crate string").withColumn("__d", F.lit(True))
-    j = refs.withColumn("crate", F.split_part("path", F.lit("::"), F.lit(1))).withColumn("item", F.split_part("path", F.lit("::"), F.lit(2)))
-    j = j.join(F.broadcast(index), "item", "left").join(F.broadcast(deps), "crate", "left")
-    std = F.col("crate").isin("std", "core", "alloc")
-    return j.select("ref", "path", F.when(std & F.col("__i").isNotNull(), 0.85).when(std, 0.80).when(F.col("__d").isNotNull(), 0.60).otherwise(0.0).alias("confidence"))
-
-
 # Pages: links of one page as import candidates, ranked: exact url, url with index, host only.
 _LINKS_SQL = r"""links AS (SELECT DISTINCT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
 
@@ -217,19 +173,6 @@ def ts_calls(spark, d):
     return resolve.preferred_kind(refs, p, imp, _KINDS).select("ref", "target", "confidence", "reason")
 
 
-@query("py_call_first_match", f"""WITH {P}, s AS (SELECT name, module || '.' || name AS qname, id FROM parts),
-refs AS (SELECT id AS ref, name, module || '.' || name AS qname FROM parts),
-a AS (SELECT r.ref, min(s.id) AS target FROM refs r JOIN s ON s.qname = r.qname GROUP BY 1), b AS (SELECT r.ref, min(s.id) AS target FROM refs r JOIN s ON s.name = r.name GROUP BY 1)
-SELECT r.ref, coalesce(a.target, b.target) AS target, coalesce(a.target, b.target) IS NULL AS placeholder FROM refs r LEFT JOIN a USING (ref) LEFT JOIN b USING (ref)""")
-def py_calls(spark, d):
-    p = t.parts(spark, d).withColumn("qname", F.concat_ws(".", "module", "name"))
-    s = p.select("name", "qname", "id")
-    refs = p.select(F.col("id").alias("ref"), "name", "qname")
-    exact = resolve.first_match(refs, s.select("qname", F.col("id").alias("a")), ["qname"], [], "a")
-    both = resolve.first_match(exact, s.select("name", F.col("id").alias("b")), ["name"], [], "b")
-    return both.select("ref", F.coalesce("a", "b").alias("target"), F.coalesce("a", "b").isNull().alias("placeholder"))
-
-
 @query("cpp_suffix_calls", f"""WITH {P}, n AS (SELECT DISTINCT 'ns::' || module || '::' || split_part(name, ' ', 1) AS q FROM parts),
 refs AS (SELECT id AS ref, CASE id % 3 WHEN 0 THEN 'ns::' || module || '::' || split_part(name, ' ', 1) WHEN 1 THEN module || '::' || split_part(name, ' ', 1) ELSE split_part(name, ' ', 1) || 'x' END AS name FROM parts),
 h AS (SELECT ref, q, CASE WHEN q = name THEN 0 WHEN ends_with(q, '::' || name) THEN 1 END AS x FROM refs JOIN n ON split_part(q, '::', -1) = split_part(name, '::', -1))
@@ -305,19 +248,6 @@ def owner_prefix(spark, d):
     return resolve.longest_prefix(p, roots).withColumn("confidence", F.when(F.col("root").isNull(), 0.0).otherwise(1.0))
 
 
-@query("impact_target_ladder", f"""WITH {t.NODES_SQL}, q(query) AS (VALUES ('package:1'), ('ASIA'), ('asia'), ('customer'), ('nonexistent'), ('file:c7')), r AS (
-SELECT query, id, 0 AS rank, 1.0 AS confidence FROM q JOIN nodes ON id = query UNION ALL SELECT query, id, 1, 0.9 FROM q JOIN nodes ON name = query AND label <> 'symbol'
-UNION ALL SELECT query, id, 2, 0.65 FROM q JOIN nodes ON lower(name) = lower(query) AND label <> 'symbol' UNION ALL SELECT query, id, 3, 0.45 FROM q JOIN nodes ON kind = query)
-SELECT q.query, r.id, coalesce(r.confidence, 0)::DOUBLE AS confidence FROM q LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, id) = 1) r USING (query)""")
-def target_ladder(spark, d):
-    q = spark.createDataFrame([("package:1",), ("ASIA",), ("asia",), ("customer",), ("nonexistent",), ("file:c7",)], "query string")
-    n = t.nodes(spark, d)
-    named = n.filter("label <> 'symbol'")
-    hit = lambda df, cond, rank, c: F.broadcast(q).join(df, cond).select("query", F.struct(F.lit(rank).alias("rank"), "id", F.lit(c).alias("confidence")).alias("h"))
-    r = hit(n, F.col("id") == F.col("query"), 0, 1.0).unionByName(hit(named, F.col("name") == F.col("query"), 1, 0.9)).unionByName(hit(named, F.lower("name") == F.lower("query"), 2, 0.65)).unionByName(hit(n, F.col("kind") == F.col("query"), 3, 0.45))
-    return q.join(r.groupBy("query").agg(F.min("h").alias("h")), "query", "left").select("query", F.col("h.id").alias("id"), F.coalesce("h.confidence", F.lit(0.0)).alias("confidence"))
-
-
 @query("scalar_functions", r"""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_brand || '::' || p_type ELSE '' END AS head, p_name AS last, p_brand || '::new' AS plain, replace(p_brand, '#', '_') AS safe,
 CASE WHEN p_size = 0 THEN 0 ELSE round(100.0 * (p_partkey - p_size) / p_size, 2) END::DOUBLE AS delta, 'a.b' AS module FROM part""")
 def scalar_functions(spark, d):

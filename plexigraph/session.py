@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,22 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. One is made only for a local session without it."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="plexigraph-")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint, in the folder that the session names."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

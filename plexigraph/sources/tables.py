@@ -130,3 +130,13 @@ HUNKS_SQL = """hunks AS (SELECT l_orderkey AS hunk, p_brand || '/' || p_type AS
   CASE l_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END AS change_kind
   FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)
   JOIN part ON p_partkey = l_partkey)"""
+
+
+def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(budget, value) and (target, metric, value) of a regression baseline in JSON: {budgets, targets: {name: {metrics, qualityMetrics, elapsedSeconds}}}."""
+    kind = "struct<budgets: map<string, double>, targets: map<string, struct<metrics: map<string, double>, qualityMetrics: map<string, double>, elapsedSeconds: double>>>"
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("j"))
+    budgets = j.select(F.explode("j.budgets").alias("budget", "value"))
+    t = j.select(F.explode("j.targets").alias("target", "t"))
+    every = F.map_concat(F.coalesce("t.metrics", F.create_map().cast("map<string,double>")), F.coalesce("t.qualityMetrics", F.create_map().cast("map<string,double>")), F.when(F.col("t.elapsedSeconds").isNull(), F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.lit("elapsedSeconds"), "t.elapsedSeconds")))
+    return budgets, t.select("target", F.explode(every).alias("metric", "value"))

@@ -153,14 +153,111 @@ def test_paths(spark):
     assert one(spark, paths.call_names(F.col("p")), p="a.b.c") == ["a.b.c", "c"]
     assert one(spark, paths.unquote(F.col("p")), p="'q'") == "q"
     assert one(spark, paths.line_of(F.col("p"), F.lit(4)), p="a\nb\nc") == 3
+    assert one(spark, paths.line_of(F.col("p"), F.lit(5)), p="éé\nb\nc") == 2  # bytes, not characters
+    assert one(spark, paths.normalise(F.col("p")), p="a/b/c/d/../../../../../x") == "../x"
     assert one(spark, paths.relative(F.col("p"), F.lit("/r")), p="/r/x") == "x"
 
 
-def test_surface_and_policies(spark):
-    for path, want in {"fixtures/a.rs": "fixture", "src/a.rs": "production", "x/tests/b.py": "test", "docs/a.md": "docs", "a.lock": "unsupported", "scripts/run.sh": "script", "webui/a.ts": "webui"}.items():
-        assert one(spark, change.surface(F.col("p")), p=path) == want
-    assert one(spark, change.suppressed(F.col("g"), "daily"), g="fixtureOnly") and not one(spark, change.suppressed(F.col("g"), "include-fixtures"), g="fixtureOnly")
-    assert one(spark, change.suppressed(F.col("g"), "strict"), g="lowConfidence") and not one(spark, change.suppressed(F.col("g"), "strict"), g="direct")
+def test_surface_rules(spark):
+    cases = [("a.rs", "x", "Kotlin", "project", "unsupported"), ("a.rs", "x", "", "unsupported", "unsupported"), ("fixtures/a.rs", "x", "rust", "project", "fixture"), ("a\\Fixture\\b", "x", "rust", "project", "fixture"), ("a", "big-CORPUS", "rust", "project", "fixture"), ("x/tests/b.py", "x", "python", "project", "test"), ("x/__tests__/b", "x", "", "project", "test"), ("test/b", "x", "", "project", "production"), ("a", "web-test", "", "project", "test"), ("docs/a.md", "x", "", "project", "docs"), ("a.md", "x", "", "project", "production"), ("webui/a.ts", "x", "", "project", "webui"), ("x/scripts/run.sh", "x", "", "project", "script"), ("a.lock", "x", "", "project", "production")]
+    df = spark.createDataFrame(cases, "p string, l string, g string, o string, want string")
+    assert df.filter(change.surface(F.col("p"), F.col("l"), F.col("g"), F.col("o")) != F.col("want")).collect() == []
+
+
+def test_impact_groups_and_policies(spark):
+    cases = [("direct", "fixture", 0.1, False, "direct"), ("indirect", "production", 0.9, False, "unsupportedBoundary"), ("indirect", "unsupported", 0.9, True, "unsupportedBoundary"), ("indirect", "docs", 0.9, True, "fixtureOnly"), ("indirect", "test", 0.9, True, "fixtureOnly"), ("indirect", "webui", 0.65, True, "highConfidence"), ("indirect", "webui", 0.64, True, "lowConfidence")]
+    df = spark.createDataFrame(cases, "t string, s string, c double, ok boolean, want string")
+    g = change.impact_group(F.col("t"), F.col("s"), F.col("c"), F.col("ok"))
+    assert df.filter(g != F.col("want")).collect() == []
+    hidden = lambda **k: [r["want"] for r in df.filter(change.suppressed(F.col("t"), F.col("s"), F.col("want"), **k)).collect()]
+    assert hidden() == ["fixtureOnly", "fixtureOnly", "lowConfidence"] and hidden(include_fixtures=True) == ["lowConfidence"] and hidden(strict=True) == []
+    low = spark.createDataFrame([("indirect", "test", "lowConfidence")], "t string, s string, g string")
+    assert low.filter(change.suppressed(F.col("t"), F.col("s"), F.col("g"), include_fixtures=True)).count() == 0
+
+
+@pytest.mark.parametrize(("path", "status", "reason", "n"), [("src/lib.rs", "modified", "source-file-metadata-changed", 7), ("src/lib.rs", "removed", "tracked-file-removed", 8), ("Cargo.toml", "added", "manifest-or-config-metadata-changed", 6), ("setup.py", "added", "source-file-metadata-changed", 7), ("a/config/x", "added", "manifest-or-config-metadata-changed", 6), ("ci.yml", "modified", "manifest-or-config-metadata-changed", 6), ("README.md", "modified", "documentation-metadata-changed", 2), (".md", "modified", "tracked-file-metadata-changed", 3), ("bin/x", "modified", "tracked-file-metadata-changed", 3)])
+def test_dirty_files(spark, path, status, reason, n):
+    p, s = F.lit(path), F.lit(status)
+    r = spark.range(1).select(change.dirty_reason(p, s).alias("r"), change.phases(p, s).alias("p")).first()
+    assert r["r"] == reason and len(r["p"]) == n and ("graph" in r["p"]) == (reason != "documentation-metadata-changed")
+
+
+def test_private_paths(spark):
+    for path, want in {".claude": True, "./.claude/x": True, ".arts/x": True, ".sisyphus": True, "src/.claude/x": False, ".claudex": False, ".cache/x": False}.items():
+        assert one(spark, change.private_path(F.col("p")), p=path) == want
+
+
+def test_health_and_recommendations(spark):
+    rows = [("a", "succeeded", 0, 0, 10, 30, 0, 60), ("b", "failed", 7, 6, 21, 0, 4, 5), ("c", "partial", 0, 0, 10, 9, 1, 5), ("d", "succeeded", 0, 0, 0, 0, 0, 0), ("e", "failed", 0, 0, 3, None, 0, 1), ("f", "succeeded", 1, 1, 10, 10, 0, 40)]
+    df = spark.createDataFrame(rows, "project string, status string, gate_failures long, automation_risks long, source_files long, edges long, unsupported long, symbols long")
+    scored = scores.health(df)
+    assert {r["project"]: (r["score"], r["risk"]) for r in scored.collect()} == {"a": (100, "low"), "b": (0, "high"), "c": (65, "medium"), "d": (100, "low"), "e": (55, "high"), "f": (84, "medium")}
+    got = {(r["list"], r["project"]): r["priority"] for r in scores.recommendations(scored).collect()}
+    assert got == {("read", "a"): "P0", ("read", "f"): "P1", ("read", "d"): "P1", ("review", "b"): "P0", ("review", "e"): "P1", ("cleanup", "b"): "P1", ("cleanup", "c"): "P2"}
+    empty = scores.overall_health(scored.limit(0)).first()
+    assert (empty["overall"], empty["risk"], empty["projects"]) == (0, "unknown", 0)
+
+
+def test_local_refs(spark):
+    lines = ["  COPY src/a /dst", "COPY /abs x", "run ./scripts/x.sh; a/b, c/d\"'", "x http://h/p -o/p ${Y}/z a/b/c|", 'cd "ts-ui" && cd ../pkg;', "cd . cd /x cd $HOME"]
+    rows = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "path string, line_no int, line string")
+    assert ids(text.local_refs(rows), "ref") == {"src/a", "./scripts/x.sh", "c/d\"", "a/b/c", "ts-ui", "../pkg"}
+
+
+def test_uses_of_every_kind(spark):
+    uses = [(1, "crate::a::Foo", None, False, "crate::b"), (2, "self::Foo", None, False, "crate::a"), (3, "super::a::Foo", "F", False, "crate::b"), (4, "super::X", None, False, "crate"), (5, "std::io", None, False, "crate"), (6, "crate::a", None, False, "crate"), (7, "crate::a::*", None, False, "crate"), (8, "crate::a::Foo", "G", True, "crate"), (9, "crate::a::Two", None, False, "crate"), (10, "crate::a::Gone", None, False, "crate"), (11, "crate::a::Foo", "G", False, "crate")]
+    u = spark.createDataFrame(uses, "ref int, path string, alias string, reexport boolean, module string").withColumn("package", F.lit("p"))
+    m = spark.createDataFrame([("p", "crate", "lib.rs"), ("p", "crate::a", "a.rs")], "package string, module string, file string")
+    s = spark.createDataFrame([("s1", "Foo", "crate::a", "p"), ("s2", "Two", "crate::a", "p"), ("s3", "Two", "crate::a", "p"), ("x", "Foo", "crate::a", "q")], "id string, name string, module string, package string")
+    got = {r["ref"]: (r["level"], r["target"], r["confidence"], r["reason"]) for r in resolve.resolve_uses(u, m, s).collect()}
+    assert got == {1: ("symbol", "s1", 0.9, "crate"), 2: ("symbol", "s1", 0.8, "self"), 3: ("symbol", "s1", 0.8, "super"), 4: ("unresolved", None, 0.0, "super-at-root"), 5: ("skipped", None, 0.0, "external"), 6: ("module", None, 0.85, "module"), 7: ("skipped", None, 0.0, "unresolved"), 8: ("symbol", "s1", 0.85, "reexport"), 9: ("unresolved", None, 0.0, "ambiguous"), 10: ("unresolved", None, 0.0, "unresolved"), 11: ("symbol", "s1", 0.85, "alias")}
+
+
+def test_methods_by_name_trait_and_receiver(spark):
+    calls = spark.createDataFrame([(1, "only", None), (2, "clone", "x"), (3, "push", "Vec<u8>"), (4, "twice", "Own"), (5, "gone", "Own"), (6, "trim", "&'static str"), (7, "twice", None)], "ref int, name string, receiver string")
+    s = spark.createDataFrame([("m1", "only", "method"), ("m2", "twice", "method"), ("m3", "twice", "method"), ("m4", "clone", "method"), ("m5", "clone", "method")], "id string, name string, kind string")
+    got = {r["ref"]: (r["target"], r["confidence"], r["reason"]) for r in resolve.method_cascade(calls, s).collect()}
+    assert got == {1: ("m1", 0.65, "method-name"), 2: ("std::clone::Clone::clone", 0.55, "std-trait"), 3: ("std::vec::Vec::push", 0.65, "receiver-type"), 4: (None, 0.0, "ambiguous"), 5: (None, 0.0, "unresolved"), 6: ("str::trim", 0.65, "receiver-type"), 7: (None, 0.0, "ambiguous")}
+
+
+def test_associated_functions(spark):
+    s = spark.createDataFrame([("T", "T", "struct", "crate::a", "p", "a.rs", None), ("T::new", "new", "associated-function", "crate::a", "p", "a.rs", "T"), ("U::new", "new", "associated-function", "crate::a", "p", "a.rs", "U"), ("E", "E", "enum", "crate::c", "p", "c.rs", None), ("E::make", "make", "function", "crate::c", "p", "c.rs", None), ("D1", "D", "struct", "crate::c", "p", "c.rs", None), ("D2", "D", "struct", "crate::d", "p", "d.rs", None)], "id string, name string, kind string, module string, package string, file string, impl_target string")
+    calls = [(1, "T::new", "crate::a", "a.rs"), (2, "T::new", "crate::b", "b.rs"), (3, "E::make", "crate::b", "b.rs"), (4, "Vec::new", "crate::b", "b.rs"), (5, "D::new", "crate::b", "b.rs"), (6, "Ext::open", "crate::b", "b.rs"), (7, "T::gone", "crate::a", "a.rs"), (8, "D::new", "crate::x", "c.rs")]
+    c = spark.createDataFrame(calls, "ref int, path string, module string, file string").withColumn("package", F.lit("p"))
+    i = spark.createDataFrame([("crate::b", "Ext", "ext::Ext<T>", True)], "module string, name string, target string, external boolean")
+    got = {r["ref"]: (r["target"], r["confidence"], r["reason"]) for r in resolve.associated_cascade(c, s, i).collect()}
+    assert got == {1: ("T::new", 0.75, "associated"), 2: ("T::new", 0.75, "associated"), 3: ("E::make", 0.70, "associated-any-kind"), 4: ("std::vec::Vec::new", 0.80, "std-path"), 5: (None, 0.0, "unresolved"), 6: ("ext::Ext::open", 0.80, "std-path"), 7: (None, 0.0, "unresolved"), 8: (None, 0.0, "unresolved")}
+
+
+def test_owners_and_report(spark):
+    files = spark.createDataFrame([("core/src/a.rs",), ("core/ui/b.ts",), ("Dockerfile.dev",), (".github/workflows/ci.yml",), ("run.sh",), ("other/x",), ("corex/y",)], "path string")
+    projects = spark.createDataFrame([("core/", "core", "rust", True), ("core/ui", "ui", "go", False)], "path string, label string, language string, supported boolean")
+    own = workspace.file_owners(files, projects)
+    got = {r["path"]: (r["owner"], r["owner_kind"], r["confidence"]) for r in own.collect()}
+    assert got == {"core/src/a.rs": ("project:core", "project", 1.0), "core/ui/b.ts": ("project:core:ui", "unsupported", 1.0), "Dockerfile.dev": ("config:Dockerfile.dev", "config", 0.9), ".github/workflows/ci.yml": ("workflow:.github:workflows:ci.yml", "config", 0.9), "run.sh": ("script:run.sh", "script", 0.9), "other/x": (None, "unknown", 0.0), "corex/y": (None, "unknown", 0.0)}
+    root = projects.unionByName(spark.createDataFrame([(".", "all", "rust", True)], projects.schema))
+    assert {r["path"]: r["confidence"] for r in workspace.file_owners(files, root).collect()}["other/x"] == 0.5
+    nodes = spark.createDataFrame([("project:core", "project", "core", "core", "rust", True), ("project:app", "project", "app", "app", "rust", True), ("project:far", "project", "far-test", "far", "rust", True)], "id string, kind string, label string, path string, language string, supported boolean")
+    e = spark.createDataFrame([("project:core", "project:app", "depends_on", 0.85), ("project:app", "project:far", "depends_on", 0.85)], "source string, target string, kind string, confidence double")
+    hit = workspace.affected_projects(own, nodes, e)
+    assert {r["id"]: (r["distance"], r["grp"], r["suppressed"]) for r in hit.collect()} == {"project:core": (0, "direct", False), "project:app": (1, "highConfidence", False), "project:far": (2, "fixtureOnly", True)}
+    r = workspace.change_report(own, hit, 3).first()
+    assert (r["raw"], r["reported"], r["suppressed"], r["high_confidence"], r["risk"]) == (3, 2, 1, 1, "high")
+
+
+def test_numbered_is_a_total_order(spark):
+    df = spark.range(0, 5000, 1, 7).select(F.lit(1).alias("score"), "id")
+    rows = core.numbered(df, [F.desc("score"), F.asc("id")], "place").collect()
+    assert sorted((r["id"], r["place"]) for r in rows) == [(k, k + 1) for k in range(5000)]
+
+
+def test_baseline_reader(spark, tmp_path):
+    from plexigraph.sources.tables import read_baseline
+
+    (tmp_path / "b.json").write_text('{"budgets": {"warn": 10.0}, "targets": {"x": {"name": "X", "metrics": {"nodeCount": 5}, "qualityMetrics": {"rate": 0.5}, "elapsedSeconds": 3.5}, "y": {"metrics": {"nodeCount": 1}}}}')
+    budgets, targets = read_baseline(spark, str(tmp_path / "b.json"))
+    assert [tuple(r) for r in budgets.collect()] == [("warn", 10.0)]
+    assert {tuple(r) for r in targets.collect()} == {("x", "nodeCount", 5.0), ("x", "rate", 0.5), ("x", "elapsedSeconds", 3.5), ("y", "nodeCount", 1.0)}
 
 
 def test_dependency_edges(spark):
