@@ -261,6 +261,23 @@ def external_calls(calls: DataFrame, indexed: list[str], crates: list[str]) -> D
     return calls.select("ref", "path", F.when(std & item.isin(indexed), 0.85).when(std, 0.80).when(crate.isin(crates), 0.60).otherwise(0.0).alias("confidence"))
 
 
+def cpp_tiers(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """calls(kind, name, ...) with `confidence`, by what the project's functions, names(qname), say of them.
+
+    Plain calls are kept if a function has the name (.90) or ends in it (.60). Qualified ones are .80 with a function of
+    the last name, else .75; of `this` .80, of another receiver .75, either .45 where no function has the name; of a
+    template .40.
+    """
+    last = lambda c: F.substring_index(c, "::", -1)
+    exact = names.select(F.col("qname").alias("name")).distinct().withColumn("__e", F.lit(True))
+    tails = names.filter(F.col("qname").contains("::")).select(last(F.col("qname")).alias("__l")).distinct().withColumn("__s", F.lit(True))
+    j = calls.withColumn("__l", last(F.col("name"))).join(exact, "name", "left").join(tails, "__l", "left")
+    here, any_ = F.col("__e").isNotNull(), F.col("__e").isNotNull() | F.col("__s").isNotNull()
+    kind = F.col("kind")
+    conf = F.when(kind == "plain", F.when(here, 0.90).when(any_, 0.60)).when(kind == "qualified", F.when(any_, 0.80).otherwise(0.75)).when(kind == "template", 0.40).when((kind == "this") & any_, 0.80).when(any_, 0.75).otherwise(0.45)
+    return j.select(*calls.columns, conf.alias("confidence")).filter("confidence is not null")
+
+
 def first_of_python(calls: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ref, source, target, placeholder, confidence) of Python calls(ref, name, qname, file, line, confidence).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plexigraph.operators import core, traverse
-from plexigraph.plans import change_queries, graph_queries, report_queries, resolve_queries, rule_queries  # noqa: F401  they register their queries
+from plexigraph.plans import change_queries, graph_queries, report_queries, resolve_queries, rule_queries, source_queries  # noqa: F401  they register their queries
 from plexigraph.plans.registry import QUERIES, SQL  # noqa: F401
 from plexigraph.sources import tables
 

@@ -28,7 +28,7 @@ LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescrip
 ENUM_CONSTRUCTORS = {"Some", "None", "Ok", "Err"}
 
 #: Words that are followed by a parenthesis without being calls.
-NOT_CALLS = {"if", "while", "for", "match", "switch", "return", "fn", "func", "function", "catch", "sizeof", "loop", "in", "as", "let", "const", "await", "typeof", "new", "super", "import", "constructor", "else", "do", "defined", "alignof", "decltype", "static_assert", "pub", "where", "move", "impl"}
+NOT_CALLS = {"if", "while", "for", "match", "switch", "return", "fn", "func", "function", "catch", "sizeof", "loop", "in", "as", "let", "const", "await", "typeof", "new", "super", "import", "constructor", "else", "do", "defined", "alignof", "decltype", "static_assert", "pub", "where", "move", "impl", "export", "default"}
 
 
 def row(fact: str, name: str | None = None, kind: str | None = None, scope: str | None = None, visibility: str | None = None, start: int | None = None, end: int | None = None, target: str | None = None, confidence: float | None = None, detail: str | None = None) -> tuple:
@@ -92,10 +92,71 @@ def _rust_visibility(vis: str | None) -> str:
     return {"": "private", "pub": "public", "pub(crate)": "pub-crate", "pub(super)": "pub-super"}.get(v, "pub-restricted" if v.startswith("pub(") else "private")
 
 
+def _until(lines: list[str], at: int, end: int, mark: str) -> str:
+    """The lines from `at` on, joined, before the first `mark`."""
+    out = []
+    for line in lines[at : end + 1]:
+        head, found, _ = line.partition(mark)
+        out.append(head)
+        if found:
+            break
+    return " ".join(out)
+
+
+def _body_of(lines: list[str], at: int, end: int) -> tuple[int, int]:
+    """(line, column) where the body of the function whose head starts on line `at` opens; after `end` where there is none."""
+    depth = 0
+    for k in range(at, end + 1):
+        for col, ch in enumerate(lines[k]):
+            depth += (ch in "([") - (ch in ")]")
+            if depth == 0 and ch == "{":
+                return k, col + 1
+            if depth == 0 and ch == ";":
+                return end + 1, 0
+    return end + 1, 0
+
+
+def _after_generics(text: str) -> str:
+    """The text after a leading `<...>`, whose arrows don't close it."""
+    depth = 0
+    for k, ch in enumerate(text):
+        depth += (ch == "<") - (ch == ">" and text[k - 1] not in "-=")
+        if depth <= 0:
+            return text[k + 1 :].lstrip() if ch == ">" else text
+    return text
+
+
+def _takes_self(lines: list[str], at: int, end: int, name: str) -> bool:
+    """Whether the first parameter of the function `name`, after its generics, is self."""
+    depth, before, text = 0, "", None
+    for line in lines[at : end + 1]:
+        if text is None:
+            found = re.search(rf"\bfn\s+{name}\b", line)
+            if not found:
+                continue
+            text, line = "", line[found.end() :]
+        for ch in line + " ":
+            if text:
+                text += ch
+                if ch in ",):" and text[1:].strip(" ,:)"):
+                    return bool(re.match(r"\(\s*(&\s*('\w+\s+)?)?(mut\s+)?self\s*[,):]", text))
+                if ch == ")":
+                    return False
+            elif ch == "(" and depth == 0:
+                text = ch
+            elif ch == "<":
+                depth += 1
+            elif ch == ">" and before not in "-=":
+                depth -= 1
+            before = ch
+    return False
+
+
 def rust(path: str, text: str) -> Iterator[tuple]:
     raw = text.split("\n")
     lines = [blank_literals(x) for x in raw]
     stack: list[tuple[str, str, int]] = []  # (kind, name, last line)
+    body: tuple[int, int] | None = None  # where the last function head met ends
     k = 0
     while k < len(lines):
         stack = [s for s in stack if s[2] >= k]
@@ -103,11 +164,11 @@ def rust(path: str, text: str) -> Iterator[tuple]:
         owner = next((s for s in reversed(stack) if s[0] in ("impl", "trait")), None)
         inside = any(s[0] == "fn" for s in stack)
         if m := re.match(r"^\s*(pub(?:\([^)]*\))?\s+)?use\s+(.*)", lines[k]):
-            body, e = m[2], k
-            while ";" not in body and e + 1 < len(lines):
+            tree, e = m[2], k
+            while ";" not in tree and e + 1 < len(lines):
                 e += 1
-                body += " " + lines[e].strip()
-            for target, alias in expand_use(body.split(";")[0]):
+                tree += " " + lines[e].strip()
+            for target, alias in expand_use(tree.split(";")[0]):
                 first = target.split("::")[0]
                 kind = first if first in ("crate", "self", "super") else "external"
                 yield row("import", alias or target.split("::")[-1], kind, mods, _rust_visibility(m[1]), k + 1, e + 1, target, detail="reexport" if m[1] else "alias" if alias else None)
@@ -116,17 +177,17 @@ def rust(path: str, text: str) -> Iterator[tuple]:
         if m := _RUST_ITEM.match(lines[k]):
             kw, rest, end = m["kw"], m["rest"], block_end(lines, k)
             if kw == "impl":
-                body = " ".join(lines[k : min(k + 4, len(lines))]).split("{")[0]
-                sig = re.sub(r"^.*?\bimpl\b\s*(<[^{]*?>(?=\s))?\s*", "", body)
+                sig = _after_generics(re.sub(r"^.*?\bimpl\b\s*", "", _until(lines, k, end, "{")))
                 trait, _, typ = sig.partition(" for ")
                 name = re.split(r"[<\s{]", (typ or trait).strip())[0]
                 yield row("symbol", name, "impl-block", mods, "private", k + 1, end + 1, target=name, detail=re.split(r"[<\s{]", trait.strip())[0] if typ else None)
                 stack.append(("impl", name, end))
             elif n := re.match(r"\s*([A-Za-z_]\w*)", rest):
                 name, kind = n[1], _RUST_KINDS.get(kw, kw)
+                if kw == "fn":
+                    body = _body_of(lines, k, end)
                 if kw == "fn" and owner:
-                    head = " ".join(lines[k : end + 1])[:400]
-                    kind = "method" if re.search(r"\(\s*(&\s*('\w+\s+)?)?(mut\s+)?self\b", head) else "associated-function"
+                    kind = "method" if _takes_self(lines, k, end, name) else "associated-function"
                 if not (inside and kw in ("const", "static", "type")):
                     yield row("symbol", name, kind, "::".join(filter(None, [mods, owner[1] if owner else ""])), _rust_visibility(m["vis"]), k + 1, end + 1)
                 if kw == "enum":
@@ -135,7 +196,10 @@ def rust(path: str, text: str) -> Iterator[tuple]:
                             yield row("symbol", v[1], "enum-variant", name, "public", j + 1)
                 if "{" in "".join(lines[k : end + 1]):
                     stack.append(("mod" if kw == "mod" else "fn" if kw == "fn" else "trait" if kw == "trait" else kw, name, end))
-        code = re.sub(r"\bfn\s+\w+", "", lines[k])
+        code = lines[k]
+        if body:  # no calls in heads: bounds and patterns look like some
+            code = "" if k < body[0] else code[body[1] :] if k == body[0] else code
+            body = body if k < body[0] else None
         for c in _CALL.finditer(code):
             name = c["name"]
             last = re.split(r"::|\.", name)[-1]
@@ -190,7 +254,7 @@ _SCRIPT_METHOD = re.compile(r"^\s*(?:(?P<vis>public|private|protected)\s+)?(?:st
 
 def script(path: str, text: str) -> Iterator[tuple]:
     lines = [blank_literals(x) if not re.match(r"\s*(import|export)\b", x) and "require(" not in x else x for x in text.split("\n")]
-    classes: list[tuple[str, int]] = []
+    classes: list[tuple[str, int, str]] = []
     for k, line in enumerate(lines):
         classes = [c for c in classes if c[1] >= k]
         if m := re.match(r"^\s*import\s+(?:type\s+)?(?:(.*?)\s+from\s+)?['\"]([^'\"]+)['\"]", line):
@@ -204,6 +268,7 @@ def script(path: str, text: str) -> Iterator[tuple]:
             yield row("import", m[1].strip("{} "), "require", start=k + 1, target=m[2])
         for m in re.finditer(r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)", line):
             yield row("import", None, "dynamic", start=k + 1, target=m[1])
+        code, method = line, None
         if m := _SCRIPT_ITEM.match(line):
             kw = m["kw"].rstrip("*")
             arrow = kw in ("const", "let", "var") and re.search(r"=>|=\s*(async\s+)?function\b", m["rest"])
@@ -212,16 +277,28 @@ def script(path: str, text: str) -> Iterator[tuple]:
                 end = block_end(lines, k)
                 yield row("symbol", m["name"], kind, classes[-1][0] if classes else "", "public" if m["vis"] else "private", k + 1, end + 1)
                 if kw in ("class", "struct", "interface"):
-                    classes.append((m["name"], end))
-        elif classes and (m := _SCRIPT_METHOD.match(line)) and m["name"] not in NOT_CALLS:
-            yield row("symbol", m["name"], "method", classes[-1][0], "private" if m["vis"] in ("private", "protected") or m["name"].startswith("#") else "public", k + 1, block_end(lines, k) + 1)
+                    classes.append((m["name"], end, kw))
+                    code = line.partition("{")[2]
+                    method = _SCRIPT_METHOD.match(code) if kw != "interface" else None
+            if kw == "function":
+                code = re.sub(r"^.*?\bfunction\*?\s+[\w$]+\s*(?:<[^>]*>)?\s*\([^)]*\)", "", line)
+        elif classes and not _is_view(line, classes):
+            method = _SCRIPT_METHOD.match(line)
+        if method and method["name"] not in NOT_CALLS:
+            yield row("symbol", method["name"], "method", classes[-1][0], "private" if method["vis"] in ("private", "protected") or method["name"].startswith("#") else "public", k + 1, block_end(lines, k) + 1)
+            code = code[method.end() :]
+        if re.match(r"^\s*(import|export)\b.*['\"]", line) or classes and classes[-1][2] == "interface":
             continue
-        if re.match(r"^\s*(import|export)\b.*['\"]", line):
-            continue
-        for m in re.finditer(r"(\bnew\s+)?\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*(?:<[\w, ]*>)?\(", re.sub(r"\bfunction\*?\s+\w+", "", line)):
+        for m in re.finditer(r"(\bnew\s+)?\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*(?:<[\w, ]*>)?\(", re.sub(r"\bfunction\*?\s+\w+", "", code)):
             last = m[2].split(".")[-1]
             if last not in NOT_CALLS and last != "require":
-                yield row("call", last, "new-expression" if m[1] else "member-access" if "." in m[2] else "call", start=k + 1, target=m[2])
+                view = classes and classes[-1][2] == "struct" and last[:1].isupper() and not m[1] and "." not in m[2]
+                yield row("call", last, "view" if view else "new-expression" if m[1] else "member-access" if "." in m[2] else "call", start=k + 1, target=m[2])
+
+
+def _is_view(line: str, classes: list[tuple[str, int, str]]) -> bool:
+    """`Column() {` in a component's struct: a view with children, not a method."""
+    return classes[-1][2] == "struct" and bool(re.match(r"^\s*[A-Z][\w$]*\s*\(", line))
 
 
 def arkts(path: str, text: str) -> Iterator[tuple]:
@@ -253,7 +330,8 @@ def _c_like(path: str, text: str, cpp: bool) -> Iterator[tuple]:
         if m := re.match(r"^\s*#\s*define\s+(\w+)", line):
             yield row("symbol", m[1], "macro", scope, "public", k + 1)
             continue
-        in_function = any(s[0] == "function" for s in scopes)
+        in_function, code = any(s[0] == "function" for s in scopes), line
+        head = line[: line.index("{") + 1] if "{" in line else line  # a body may follow on the same line
         if m := re.match(r"^\s*(?:typedef\s+)?(struct|union|enum(?:\s+class)?|class|namespace)\s+(\w+)[^;()]*(\{|$)", line):
             end = block_end(lines, k)
             kind = m[1].split()[0]
@@ -264,18 +342,18 @@ def _c_like(path: str, text: str, cpp: bool) -> Iterator[tuple]:
         if m := re.match(r"^\s*typedef\b.*?(\w+)\s*;", line):
             yield row("symbol", m[1], "typedef", scope, "public", k + 1)
             continue
-        if not in_function and (m := _C_FUNCTION.match(line)) and (m["ret"] or cpp and scopes) and m["name"] not in NOT_CALLS:
+        if not in_function and (m := _C_FUNCTION.match(head)) and (m["ret"] or cpp and scopes) and m["name"] not in NOT_CALLS:
             opened = m["end"] == "{" or (not m["end"] and k + 1 < len(lines) and lines[k + 1].strip().startswith("{"))
             if opened:
                 end = block_end(lines, k)
                 inside = scopes and scopes[-1][0] in ("class", "struct")
                 yield row("symbol", m["name"].split("::")[-1], "method" if inside or "::" in m["name"] else "function", "::".join(filter(None, [scope, *m["name"].split("::")[:-1]])), "private" if "static " in (m["ret"] or "") else "public", k + 1, end + 1)
                 scopes.append(("function", m["name"], end))
+                in_function, code = True, line[len(head) :] if m["end"] == "{" else ""
             elif m["end"] == ";" and m["ret"]:
                 yield row("symbol", m["name"], "declaration", scope, "public", k + 1)
-            continue
         if in_function:
-            for c in re.finditer(r"(this->|[\w\])]+(?:\.|->))?\b([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*)\s*(<[\w:, *&]*>)?\s*\(", line):
+            for c in re.finditer(r"(this->|[\w\])]+(?:\.|->))?\b([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*)\s*(<[\w:, *&]*>)?\s*\(", code):
                 if c[2] in NOT_CALLS:
                     continue
                 kind = "this" if c[1] == "this->" else "receiver" if c[1] else "template" if c[3] else "qualified" if "::" in c[2] else "plain"
@@ -309,7 +387,7 @@ def cangjie(path: str, text: str) -> Iterator[tuple]:
                 yield row("symbol", name, {"func": "method" if owners else "function", "let": "variable", "var": "variable"}.get(kw, kw), owners[-1][0] if owners else "", vis, k + 1, end + 1)
                 if end > k:
                     owners.append((name + "()" if kw in ("func", "init", "main") else name, end))
-        for m in re.finditer(r"(?<!func )\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\(", re.sub(r"\bfunc\s+\w+", "", line)):
+        for m in re.finditer(r"(?<!func )\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\(", re.sub(r"^.*?\b(func\s+\w+|init|main)\s*(<[^>]*>)?\s*\([^)]*\)", "", line)):
             if m[1].split(".")[-1] not in NOT_CALLS | {"init", "main"}:
                 yield row("call", m[1].split(".")[-1], "call", start=k + 1, target=m[1], confidence=0.80)
 

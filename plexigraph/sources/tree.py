@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plexigraph.operators import core, resolve
+from plexigraph.session import hold
 from plexigraph.sources.extract import facts
 
-#: Folders that scans leave out.
+#: Folders that scans leave out.
 SKIPPED = ["target", ".git", "node_modules", "vendor", "fixtures"]
 
 
@@ -76,6 +77,30 @@ def module_paths(files: DataFrame, fact: DataFrame, depth: int = 16) -> DataFram
     return rust.join(best, "path", "left").select("path", F.coalesce("b.module", F.lit("crate")).alias("module"), F.coalesce(-F.col("b.c"), F.lit(0.50)).alias("confidence"))
 
 
+def module_states(files: DataFrame, fact: DataFrame, depth: int = 16) -> DataFrame:
+    """(root, module, state, file, confidence) of each declared Rust module of each crate folder `root`.
+
+    A declaration `mod x` leads to x.rs or x/mod.rs in the folder of its file's module: to one of them (resolved: the crate
+    root .90, one step below .85, deeper .80), to both (ambiguous, 0) or to none (missing, .50); the last two lead no further.
+    """
+    rust = files.filter(F.col("path").endswith(".rs")).select("path")
+    decl = fact.filter("fact = 'symbol' and kind = 'module' and language = 'rust' and line_start = line_end").select(F.col("path").alias("file"), F.col("name").alias("child")).distinct()
+    folder = F.regexp_replace("path", "(^|/)[^/]*$", "")
+    now = rust.filter(F.col("path").rlike(r"(^|/)(lib|main)\.rs$")).select(folder.alias("root"), F.lit("crate").alias("module"), F.lit("resolved").alias("state"), F.col("path").alias("file"), F.lit(0.90).alias("confidence"), folder.alias("at"))
+    out = now
+    for d in range(1, depth + 1):
+        base = F.when(F.col("at") == "", F.col("child")).otherwise(F.concat_ws("/", "at", "child"))
+        step = now.filter("state = 'resolved'").join(decl, "file").select("root", F.concat_ws("::", "module", "child").alias("module"), base.alias("at"))
+        cand = step.withColumn("path", F.explode(F.array(F.concat("at", F.lit(".rs")), F.concat("at", F.lit("/mod.rs"))))).join(rust.withColumn("there", F.lit(1)), "path", "left")
+        found = cand.groupBy("root", "module", "at").agg(F.count("there").alias("n"), F.min(F.when(F.col("there") == 1, F.col("path"))).alias("only"))
+        one = F.col("n") == 1
+        now = hold(found.select("root", "module", F.when(one, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("state"), F.when(one, F.col("only")).alias("file"), F.when(one, 0.85 if d == 1 else 0.80).when(F.col("n") > 1, 0.0).otherwise(0.50).alias("confidence"), "at"))
+        if now.isEmpty():
+            break
+        out = out.unionByName(now)
+    return out.drop("at")
+
+
 def graph(files: DataFrame, fact: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a tree: files, symbols, DEFINES, HAS_PARENT by scope, CALLS by unique name, externals completed.
 

@@ -128,3 +128,14 @@ def test_tree_end_to_end(spark, tmp_path):
     inv = {r["dir"]: r["language"] for r in tree.inventory(files).collect()}
     assert inv[""] is None and inv["src"] == "rust"
     assert tree.snapshot(files).filter(F.length("content_hash") == 64).count() == 4
+
+
+def test_long_heads_are_read_to_their_ends():
+    """A self after long generics, a self only in the body, and an impl header over many lines."""
+    bounds = ",\n".join(f"        T{k}: Into<String> + Fn(u8) -> Option<u{8 * (k % 4 + 1)}>" for k in range(12))
+    text = f"impl<\n{bounds}\n>\n    Shape\n    for\n    Circle<T0>\n    where T0: Copy\n{{\n    fn area<\n{bounds}\n    >(\n        &'a mut self,\n    ) {{}}\n    fn make(x: u8) -> Self {{ own(self_, (self)); x }}\n    fn by_box(self: Box<Self>) {{}}\n    fn none() {{ (self).x() }}\n}}\n"
+    rows = [r for r in extract.rust("a.rs", text) if r[0] == "symbol"]
+    kinds = {r[1]: r[2] for r in rows}
+    assert {k: kinds[k] for k in ("area", "make", "by_box", "none")} == {"area": "method", "make": "associated-function", "by_box": "method", "none": "associated-function"}
+    block = next(r for r in rows if r[2] == "impl-block")
+    assert block[1] == "Circle" and block[9] == "Shape"
