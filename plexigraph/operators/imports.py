@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plexigraph.functions.paths import normalise
 from plexigraph.model import confidence
-from plexigraph.operators.resolve import ranked
+from plexigraph.operators.resolve import prefixes, ranked
 
 
 def _dir(path: Column) -> Column:
@@ -26,8 +26,12 @@ def _candidates(df: DataFrame, lists: list[tuple[Column, str, float]], stop: Col
     return df.select("ref", (stop if stop is not None else F.lit(False)).alias("stop"), F.inline(F.concat(*[F.coalesce(p, F.expr("cast(array() as array<struct<path string, rank int, confidence double, reason string>>)")) for p in parts])))
 
 
+#: What is tried after a path, in this order.
+SUFFIXES = ["", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"]
+
+
 def _with_extensions(base: Column) -> Column:
-    return F.array(*[F.concat(base, F.lit(x)) for x in ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")])
+    return F.array(*[F.concat(base, F.lit(x)) for x in SUFFIXES])
 
 
 def resolve_ts(refs: DataFrame, files: DataFrame, mappings: DataFrame, packages: DataFrame) -> DataFrame:
@@ -41,16 +45,17 @@ def resolve_ts(refs: DataFrame, files: DataFrame, mappings: DataFrame, packages:
     relative = refs.filter(spec.rlike(r"^\.|^/"))
     rel = _candidates(relative.withColumn("b", normalise(_under(_dir(F.col("file")), spec))), [(_with_extensions(F.col("b")), "relative", confidence("ts-import", "relative"))], F.lit(False))
     bare = refs.filter(~spec.rlike(r"^\.|^/"))
-    m = F.broadcast(mappings)
-    exact = bare.join(m.filter(~F.col("pattern").contains("*")), F.col("pattern") == spec)
-    wild = bare.join(m.filter(F.col("pattern").endswith("*")).withColumn("p", F.expr("substring(pattern, 1, length(pattern) - 1)")), spec.startswith(F.col("p")) & (F.length("p") > 0))
+    exact = bare.join(mappings.filter(~F.col("pattern").contains("*")), F.col("pattern") == spec)
+    # The patterns that a spec starts with, by an equi-join on its prefixes.
+    starts = bare.select("ref", "spec", F.explode(F.sequence(F.lit(1), F.length("spec"))).alias("n")).select("ref", "spec", F.expr("substring(spec, 1, n)").alias("p"))
+    wild = starts.join(mappings.filter(F.col("pattern").endswith("*")).select(F.expr("substring(pattern, 1, length(pattern) - 1)").alias("p"), "substitution"), "p")
     best = wild.groupBy("ref", "spec").agg(F.max(F.struct(F.length("p").alias("n"), "p", "substitution")).alias("m"))
     wild = best.select("ref", F.replace(F.col("m.substitution"), F.lit("*"), F.expr("substring(spec, m.n + 1)")).alias("b"))
     e = _candidates(exact.withColumn("b", F.col("substitution")), [(_with_extensions(F.col("b")), "path-exact", confidence("ts-import", "path-exact"))], F.lit(True))
     w = _candidates(wild, [(_with_extensions(F.col("b")), "path-wildcard", confidence("ts-import", "path-wildcard"))], F.lit(True)).withColumn("rank", F.col("rank") + 100)
-    pk = F.broadcast(packages)
-    whole = _candidates(bare.join(pk, F.col("name") == spec), [(F.array(*[F.concat("root", F.lit(x)) for x in ("/src/index.ts", "/index.ts")]), "workspace", confidence("ts-import", "workspace"))]).withColumn("rank", F.col("rank") + 300)
-    sub = bare.join(pk, spec.startswith(F.concat("name", F.lit("/"))))
+    whole = _candidates(bare.join(packages, F.col("name") == spec), [(F.array(*[F.concat("root", F.lit(x)) for x in ("/src/index.ts", "/index.ts")]), "workspace", confidence("ts-import", "workspace"))]).withColumn("rank", F.col("rank") + 300)
+    folders = bare.select("ref", "spec", F.explode(prefixes(spec)).alias("name")).filter("name <> '' and name <> spec")
+    sub = folders.join(packages, "name")
     sub = sub.groupBy("ref", "spec").agg(F.max(F.struct(F.length("name").alias("n"), "root")).alias("m")).withColumn("b", F.concat(F.col("m.root"), F.lit("/src/"), F.expr("substring(spec, m.n + 2)")))
     s = _candidates(sub, [(_with_extensions(F.col("b")), "subpath", confidence("ts-import", "subpath"))]).withColumn("rank", F.col("rank") + 400)
     every = rel.unionByName(e).unionByName(w).unionByName(whole).unionByName(s)
@@ -67,13 +72,13 @@ def resolve_includes(refs: DataFrame, files: DataFrame, quote_dirs: list[str], p
     """
     under = lambda dirs: F.array(*[F.concat(F.lit(x + "/"), "name") for x in dirs]) if dirs else F.array().cast("array<string>")
     quoted = refs.filter("quoted")
-    q = _candidates(quoted, [(F.array(normalise(_under(_dir(F.col("file")), F.col("name")))), "same-dir", 0.95), (under(quote_dirs), "quote-dir", 0.90), (under(project_dirs), "project-dir", 0.85), (F.array("name"), "project-root", 0.85)])
-    a = _candidates(refs.filter("not quoted"), [(under(project_dirs), "angle", 0.75)])
+    q = _candidates(quoted, [(F.array(normalise(_under(_dir(F.col("file")), F.col("name")))), "same-dir", confidence("c-include", "same-dir")), (under(quote_dirs), "quote-dir", confidence("c-include", "quote-dir")), (under(project_dirs), "project-dir", confidence("c-include", "project-dir")), (F.array("name"), "project-root", confidence("c-include", "project-root"))])
+    a = _candidates(refs.filter("not quoted"), [(under(project_dirs), "angle", confidence("c-include", "angle"))])
     found = ranked(refs.select("ref", "name", "quoted"), q.unionByName(a), files)
     base = files.groupBy(F.substring_index("path", "/", -1).alias("__b")).agg(F.count("*").alias("__n"), F.min("path").alias("__p"))
     j = found.join(base, (F.substring_index("name", "/", -1) == F.col("__b")) & F.col("target").isNull() & F.col("quoted"), "left")
     only = F.col("__n") == 1
-    return j.select("ref", F.coalesce("target", F.when(only, F.col("__p"))).alias("target"), F.when(F.col("target").isNull() & only, 0.60).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("target").isNotNull(), F.col("reason")).when(only, "unique-basename").when(F.col("__n") > 1, "ambiguous").when(~F.col("quoted"), "external").otherwise("unresolved").alias("reason"))
+    return j.select("ref", F.coalesce("target", F.when(only, F.col("__p"))).alias("target"), F.when(F.col("target").isNull() & only, confidence("c-include", "unique-basename")).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("target").isNotNull(), F.col("reason")).when(only, "unique-basename").when(F.col("__n") > 1, "ambiguous").when(~F.col("quoted"), "external").otherwise("unresolved").alias("reason"))
 
 
 def resolve_python(refs: DataFrame, files: DataFrame, reexports: DataFrame) -> DataFrame:
@@ -87,9 +92,9 @@ def resolve_python(refs: DataFrame, files: DataFrame, reexports: DataFrame) -> D
     dotted = F.replace(F.coalesce("module", F.lit("")), F.lit("."), F.lit("/"))
     r = refs.withColumn("b", F.when(F.col("level") > 0, F.when(dotted == "", up).otherwise(_under(up, dotted))).otherwise(dotted)).withColumn("rel", F.col("level") > 0)
     first = r.join(reexports.select(F.col("name").alias("__n"), "init", F.col("path").alias("__x")), (F.col("name") == F.col("__n")) & (F.concat("b", F.lit("/__init__.py")) == F.col("init")))
-    re = first.select("ref", F.lit(False).alias("stop"), F.col("__x").alias("path"), F.lit(-1).alias("rank"), F.lit(0.75).alias("confidence"), F.lit("reexport").alias("reason"))
+    re = first.select("ref", F.lit(False).alias("stop"), F.col("__x").alias("path"), F.lit(-1).alias("rank"), F.lit(confidence("py-import", "reexport")).alias("confidence"), F.lit("reexport").alias("reason"))
     exact = F.array(F.concat("b", F.lit(".py")), F.concat("b", F.lit("/__init__.py")))
     above = F.when(F.col("b").contains("/"), F.array(F.concat(_dir(F.col("b")), F.lit("/__init__.py"))))
-    absolute = _candidates(r.filter("not rel"), [(exact, "absolute", 0.90), (above, "package", 0.80)])
-    relative = _candidates(r.filter("rel"), [(exact, "relative", 0.85), (above, "relative", 0.85)])
+    absolute = _candidates(r.filter("not rel"), [(exact, "absolute", confidence("py-import", "absolute")), (above, "package", confidence("py-import", "package"))])
+    relative = _candidates(r.filter("rel"), [(exact, "relative", confidence("py-import", "relative")), (above, "relative", confidence("py-import", "relative"))])
     return ranked(refs.select("ref"), re.unionByName(absolute).unionByName(relative), files)

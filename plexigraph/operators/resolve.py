@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plexigraph.functions.paths import crate_segments, prelude_path, receiver_path, split_last, strip_generics, trait_path
+from plexigraph.functions.paths import crate_segments, normalise, prelude_path, receiver_path, split_last, strip_generics, trait_path
 
 
 def unique_or_nothing(candidates: DataFrame, key: str = "ref", target: str = "target") -> DataFrame:
@@ -278,6 +278,32 @@ def cpp_tiers(calls: DataFrame, names: DataFrame) -> DataFrame:
     return j.select(*calls.columns, conf.alias("confidence")).filter("confidence is not null")
 
 
+def shell_calls(commands: DataFrame, functions: DataFrame) -> DataFrame:
+    """commands(owner, name, ...) with target, confidence and reason: the first function(name, id, ord) of the name (.80), else
+    a node of the outside command (.55)."""
+    first = functions.groupBy("name").agg(F.min(F.struct("ord", "id")).alias("__f")).select("name", F.col("__f.id").alias("__id"))
+    j = commands.join(first, "name", "left")
+    own = F.col("__id").isNotNull()
+    return j.select(*commands.columns, F.coalesce("__id", F.concat(F.lit("shell:command:"), "name")).alias("target"), F.when(own, 0.80).otherwise(0.55).alias("confidence"), F.when(own, "function").otherwise("external").alias("reason"))
+
+
+def shell_sources(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """sources(file, spec, ...) with target and confidence: the file that a sourced path names from its own folder (.85), else nothing."""
+    folder = F.regexp_replace("file", "(^|/)[^/]*$", "")
+    at = normalise(F.when((folder == "") | F.col("spec").startswith("/"), F.col("spec")).otherwise(F.concat_ws("/", folder, "spec")))
+    j = sources.withColumn("__p", at).join(files.select(F.col("path").alias("__p"), F.lit(True).alias("__k")).distinct(), "__p", "left")
+    return j.select(*sources.columns, F.when(F.col("__k"), F.col("__p")).alias("target"), F.when(F.col("__k"), 0.85).otherwise(0.0).alias("confidence"))
+
+
+def annotated(diagnostics: DataFrame, rungs: list[tuple[str, DataFrame]], root: str) -> DataFrame:
+    """diagnostics with `target`: the node of the first rung that knows them, else `root`. A rung is a column of theirs and
+    (key, id) rows."""
+    out = diagnostics
+    for k, (col, nodes) in enumerate(rungs):
+        out = out.join(nodes.select(F.col("key").alias(f"__k{k}"), F.col("id").alias(f"__id{k}")), F.col(col) == F.col(f"__k{k}"), "left")
+    return out.select(*diagnostics.columns, F.coalesce(*[F.col(f"__id{k}") for k in range(len(rungs))], F.lit(root)).alias("target"))
+
+
 def first_of_python(calls: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ref, source, target, placeholder, confidence) of Python calls(ref, name, qname, file, line, confidence).
 

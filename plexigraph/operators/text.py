@@ -10,20 +10,24 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     return files.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("__p", "line")).select("path", (F.col("__p") + 1).alias("line_no"), "line")
 
 
-#: (flag, level, pattern): risk patterns of shell lines, each matched against the lower-cased line.
-RISKS = [
-    ("curl_pipe_shell", "high", r"(curl|wget)[^|]*\|[ ]*(ba|z)?sh"),
-    ("rm_rf", "medium", r"rm[ ]+-(rf|fr)"),
-    ("chmod_777", "medium", r"chmod[ ]+777"),
-    ("sudo", "medium", r"(^|[ ;&|])sudo[ ]"),
-]
-
-
-def risk_flags(rows: DataFrame, risks: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(path, line_no, flag, level) of lines(path, line_no, line); all patterns in one pass."""
-    low = F.lower("line")
-    found = F.array_compact(F.array(*[F.when(low.rlike(p), F.struct(F.lit(f).alias("flag"), F.lit(lv).alias("level"))) for f, lv, p in risks or RISKS]))
-    return rows.select("path", "line_no", F.inline(found))
+#: Fixed values: (flag, level, all of these parts, one of these parts) of shell lines with A-Z lower-cased.
+RISKS = [("curl_pipe_shell", "high", ["curl", "|"], [" sh", " bash"]), ("rm_rf", "medium", ["rm -rf"], []), ("chmod_777", "medium", ["chmod 777"], [])]
+
+
+def risk_flags(rows: DataFrame) -> DataFrame:
+    """(path, line_no, flag, level) of lines(path, line_no, line), all rules in one pass; `sudo` counts as a word of its own."""
+    low = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def holds(every: list[str], some: list[str]) -> Column:
+        out = F.lit(True)
+        for x in every:
+            out = out & low.contains(x)
+        return out & F.exists(F.array(*[F.lit(x) for x in some]), lambda x: F.contains(low, x)) if some else out
+
+    flag = lambda f, lv: F.struct(F.lit(f).alias("flag"), F.lit(lv).alias("level"))
+    found = [F.when(holds(every, some), flag(f, lv)) for f, lv, every, some in RISKS]
+    found.append(F.when(F.array_contains(F.split(low, r"(?U)\s+"), "sudo"), flag("sudo_command", "medium")))
+    return rows.select("path", "line_no", F.inline(F.array_compact(F.array(*found))))
 
 
 def local_refs(rows: DataFrame) -> DataFrame:

@@ -140,15 +140,6 @@ def query_graph(spark, d):
     return core.drop_dangling(n, t.edges(spark, d).filter("edge_type = 'CALLS'"))
 
 
-@query("symbol_context_edges", f"""WITH {t.NODES_SQL}, {t.EDGES_SQL}, x AS (SELECT target AS id, 'in' AS dir, edge_type, confidence FROM edges UNION ALL SELECT source, 'out', edge_type, confidence FROM edges)
-SELECT id, dir, edge_type, count(*) AS n, max(confidence) AS best FROM x WHERE id IN ('symbol:p1', 'symbol:p2', 'symbol:p3') GROUP BY ALL""")
-def symbol_context(spark, d):
-    ids, e = ["symbol:p1", "symbol:p2", "symbol:p3"], t.edges(spark, d)
-    into = e.filter(F.col("target").isin(ids)).select(F.col("target").alias("id"), F.lit("in").alias("dir"), "edge_type", "confidence")
-    out = e.filter(F.col("source").isin(ids)).select(F.col("source").alias("id"), F.lit("out").alias("dir"), "edge_type", "confidence")
-    return into.unionByName(out).groupBy("id", "dir", "edge_type").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
-
-
 @query("rename_preview", f"""WITH {P}, {t.CALLS_SQL} SELECT d.id, d.name, count(c.source) AS refs, count(DISTINCT u.file) AS files FROM parts d LEFT JOIN calls c ON c.target = d.id LEFT JOIN parts u ON u.id = c.source GROUP BY d.id, d.name""")
 def rename_preview(spark, d):
     p = t.parts(spark, d)
@@ -156,22 +147,6 @@ def rename_preview(spark, d):
     return p.select("id", "name").join(uses, "id", "left").select("id", "name", F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
-#: (language, needle, framework, role): dependency names that point to a framework.
-_FRAMEWORKS = [("rust", "plate", "plate-web", "server"), ("rust", "widget", "widget-ui", "client"), ("python", "red ring", "ring-orm", "storage")]
-
-
-@query("framework_hints", f"""WITH f(language, needle, framework, role) AS (VALUES {", ".join(str(x) for x in _FRAMEWORKS)}) SELECT DISTINCT p_brand AS project, framework, role, 0.88::DOUBLE AS confidence FROM part JOIN f ON contains(lower(p_name), needle)""")
-def framework_hints(spark, d):
-    f = spark.createDataFrame(_FRAMEWORKS, "language string, needle string, framework string, role string")
-    return t.table(spark, d, "part").join(F.broadcast(f), F.lower("p_name").contains(F.col("needle"))).select(F.col("p_brand").alias("project"), "framework", "role", F.lit(0.88).alias("confidence")).distinct()
-
-
-@query("language_detect", """SELECT source AS root, CASE WHEN bool_or(lang = 'es') THEN 'rust' WHEN bool_or(lang = 'fr') THEN 'typescript' WHEN bool_or(lang = 'de') THEN 'python' ELSE 'unknown' END AS language FROM documents GROUP BY source""")
-def language_detect(spark, d):
-    has = lambda x: F.bool_or(F.col("lang") == x)
-    return t.table(spark, d, "documents").groupBy(F.col("source").alias("root")).agg(F.when(has("es"), "rust").when(has("fr"), "typescript").when(has("de"), "python").otherwise("unknown").alias("language"))
-
-
 @query("majority_lang", """SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1""")
 def majority_lang(spark, d):
     return text.majority(t.table(spark, d, "documents").select("source", "lang"), ["source"], "lang")
@@ -185,11 +160,6 @@ def language_summary(spark, d):
 _LINES = f"{t.FILES_SQL}, lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files)"
 
 
-@query("risk_flags", f"""WITH {_LINES}, r(flag, level, needle) AS (VALUES ('mail', 'low', '@'), ('license', 'medium', 'license'), ('shout', 'high', '!!')) SELECT path, line_no, flag, level FROM lines JOIN r ON contains(lower(line), needle)""")
-def risk_flags(spark, d):
-    return text.risk_flags(text.lines(t.files(spark, d)), [("mail", "low", "@"), ("license", "medium", "license"), ("shout", "high", "!!")])
-
-
 @query("line_snippets", """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(l[greatest(doc_id % 5 - 1, 1):doc_id % 5 + 2], chr(10)) AS snippet FROM x""")
 def line_snippets(spark, d):
     k = (F.col("doc_id") % 5).cast("int")

@@ -105,44 +105,6 @@ def import_candidates(spark, d):
     return resolve.ranked(refs.select("ref"), cand, targets)
 
 
-_TSFILES = [("src/app.ts",), ("src/lib/index.ts",), ("src/util.d.ts",), ("packages/core/src/index.ts",), ("packages/core/src/io.ts",)]
-_TSREFS = [
-    (1, "src/main.ts", "./app"), (2, "src/main.ts", "./lib"), (3, "src/main.ts", "./gone"), (4, "src/main.ts", "@lib/util"),
-    (5, "src/main.ts", "@lib/missing"), (6, "src/main.ts", "core"), (7, "src/main.ts", "core/io"), (8, "src/main.ts", "react"), (9, "src/main.ts", "exact"),
-]
-
-
-@query("ts_import_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'src/app.ts', 0.9, 'relative'), (2, 'src/lib/index.ts', 0.9, 'relative'), (3, NULL, 0.0, 'unresolved'), (4, 'src/util.d.ts', 0.85, 'path-wildcard'), (5, NULL, 0.0, 'unresolved'),
-(6, 'packages/core/src/index.ts', 0.8, 'workspace'), (7, 'packages/core/src/io.ts', 0.75, 'subpath'), (8, NULL, 0.0, 'unresolved'), (9, 'src/app.ts', 0.9, 'path-exact')) v(ref, target, confidence, reason)""")
-def ts_imports(spark, d):
-    from plexigraph.operators import imports
-
-    refs = spark.createDataFrame(_TSREFS, "ref int, file string, spec string")
-    mappings = spark.createDataFrame([("@lib/*", "src/*"), ("exact", "src/app")], "pattern string, substitution string")
-    packages = spark.createDataFrame([("core", "packages/core")], "name string, root string")
-    out = imports.resolve_ts(refs, spark.createDataFrame(_TSFILES, "path string"), mappings, packages)
-    return out.select("ref", "target", F.col("confidence").cast("decimal(3,2)").cast("double").alias("confidence"), "reason")
-
-
-@query("include_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'src/a.h', 0.95, 'same-dir'), (2, 'inc/b.h', 0.85, 'project-dir'), (3, 'deep/x/only.h', 0.6, 'unique-basename'), (4, NULL, 0.0, 'ambiguous'), (5, 'inc/b.h', 0.75, 'angle'), (6, NULL, 0.0, 'external'), (7, 'top.h', 0.85, 'project-root')) v(ref, target, confidence, reason)""")
-def include_resolution(spark, d):
-    from plexigraph.operators import imports
-
-    refs = spark.createDataFrame([(1, "src/m.c", "a.h", True), (2, "src/m.c", "b.h", True), (3, "src/m.c", "only.h", True), (4, "src/m.c", "twice.h", True), (5, "src/m.c", "b.h", False), (6, "src/m.c", "stdio.h", False), (7, "src/m.c", "top.h", True)], "ref int, file string, name string, quoted boolean")
-    files = spark.createDataFrame([("src/a.h",), ("inc/b.h",), ("deep/x/only.h",), ("p/twice.h",), ("q/twice.h",), ("top.h",)], "path string")
-    return imports.resolve_includes(refs, files, quote_dirs=[], project_dirs=["inc"]).select("ref", "target", "confidence", "reason")
-
-
-@query("python_import_resolution", """SELECT ref, target, confidence::DOUBLE AS confidence, reason FROM (VALUES (1, 'pkg/a.py', 0.9, 'absolute'), (2, 'pkg/a.py', 0.85, 'relative'), (3, 'pkg/__init__.py', 0.9, 'absolute'), (4, 'pkg/sub/b.py', 0.75, 'reexport'), (5, NULL, 0.0, 'unresolved'), (6, 'pkg/__init__.py', 0.8, 'package')) v(ref, target, confidence, reason)""")
-def python_imports(spark, d):
-    from plexigraph.operators import imports
-
-    refs = spark.createDataFrame([(1, "main.py", "pkg.a", 0, None), (2, "pkg/c.py", "a", 1, None), (3, "main.py", "pkg", 0, None), (4, "main.py", "pkg.sub", 0, "b_name"), (5, "main.py", "nowhere", 0, None), (6, "main.py", "pkg.zzz", 0, None)], "ref int, file string, module string, level int, name string")
-    files = spark.createDataFrame([("main.py",), ("pkg/__init__.py",), ("pkg/a.py",), ("pkg/sub/__init__.py",), ("pkg/sub/b.py",)], "path string")
-    reexports = spark.createDataFrame([("pkg/sub/__init__.py", "b_name", "pkg/sub/b.py")], "init string, name string, path string")
-    return imports.resolve_python(refs, files, reexports).select("ref", "target", "confidence", "reason")
-
-
 @query("js_call_resolution", f"""WITH {P}, refs AS (SELECT id AS ref, name, module || '/x' AS file FROM parts), s AS (SELECT id AS target, name, module || '/x' AS f FROM parts),
 c1 AS (SELECT ref, target FROM refs JOIN s USING (name) WHERE f = file), c2 AS (SELECT ref, target FROM refs JOIN s USING (name)),
 {_cascade_sql([("same-file", 0.85, "c1", False), ("project-unique", 0.55, "c2", True)])}""")
@@ -184,15 +146,6 @@ def cpp_calls(spark, d):
     return resolve.by_suffix(refs, names)
 
 
-@query("shell_command_targets", """WITH c(ref, cmd) AS (VALUES (1, 'build'), (2, 'curl'), (3, 'deploy'), (4, 'curl')), f(name) AS (VALUES ('build'), ('deploy'))
-SELECT ref, CASE WHEN name IS NOT NULL THEN 'function:' || cmd ELSE 'command:' || cmd END AS target, CASE WHEN name IS NOT NULL THEN 0.8 ELSE 0.55 END::DOUBLE AS confidence FROM c LEFT JOIN f ON name = cmd""")
-def shell_targets(spark, d):
-    c = spark.createDataFrame([(1, "build"), (2, "curl"), (3, "deploy"), (4, "curl")], "ref int, cmd string")
-    f = spark.createDataFrame([("build",), ("deploy",)], "cmd string").withColumn("f", F.lit(True))
-    j = c.join(F.broadcast(f), "cmd", "left")
-    return j.select("ref", F.concat(F.when(F.col("f"), "function:").otherwise("command:"), "cmd").alias("target"), F.when(F.col("f"), 0.8).otherwise(0.55).alias("confidence"))
-
-
 @query("designation_first_match", f"""WITH {P}, f AS (SELECT name, min(id) AS first_id FROM parts WHERE kind = 'struct' GROUP BY name)
 SELECT 'DESIGNATION' AS edge_type, p.id AS source, first_id AS target, 0.95::DOUBLE AS confidence FROM parts p JOIN f USING (name) WHERE kind = 'method' UNION ALL
 SELECT 'ACCESSES', p.id, first_id, 0.85 FROM parts p JOIN f USING (name) WHERE kind = 'function'""")
@@ -203,16 +156,6 @@ def designation(spark, d):
     return first.select(F.when(m, "DESIGNATION").otherwise("ACCESSES").alias("edge_type"), F.col("id").alias("source"), "target", F.when(m, 0.95).otherwise(0.85).alias("confidence"))
 
 
-@query("diag_annotates", """SELECT event_id, coalesce('file:c' || c.c_custkey, 'package:' || r.r_regionkey, 'repo:tpch') AS target FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND e.event_type <> 'error'
-LEFT JOIN region r ON r.r_regionkey = e.user_id % 10""")
-def diag_annotates(spark, d):
-    e = t.table(spark, d, "events").select("event_id", "event_type", F.col("user_id").alias("c_custkey"), (F.col("user_id") % 10).cast("int").alias("r_regionkey"))
-    c = t.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("file:c"), F.col("c_custkey").cast("string")).alias("fid"))
-    r = t.table(spark, d, "region").select("r_regionkey", F.concat(F.lit("package:"), F.col("r_regionkey").cast("string")).alias("pid"))
-    j = e.join(c, "c_custkey", "left").join(F.broadcast(r), "r_regionkey", "left")
-    return j.select("event_id", F.coalesce(F.when(F.col("event_type") != "error", F.col("fid")), "pid", F.lit("repo:tpch")).alias("target"))
-
-
 @query("enclosing_scope", f"""WITH {P}, pts AS (SELECT DISTINCT o_orderkey AS point, (SELECT count(*) FROM part) AS np, o_orderkey % 500 + 1 AS line FROM orders),
 q AS (SELECT point, line, p.file FROM pts JOIN parts p ON p.id = (point * 17) % np)
 SELECT q.point, q.file, q.line, (SELECT r.id FROM parts r WHERE r.file = q.file AND q.line BETWEEN r.line_start AND r.line_end ORDER BY r.line_end - r.line_start, r.line_start DESC, r.id LIMIT 1) AS scope FROM q""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plexigraph.operators import resolve
+from plexigraph.operators import imports, reports, resolve, text
 from plexigraph.plans.registry import query
 from plexigraph.sources import extract, tables as t, tree
 
@@ -439,3 +439,110 @@ def cpp_call_tiers(spark, d):
     own = F.col("kind") == "class"
     member = f.filter(F.col("kind").isin("class", "namespace")).select("path", (F.col("line_start") + 200).alias("line"), F.when(own, "this").otherwise("receiver").alias("kind"), F.when(own, "run").otherwise("gone").alias("name"))
     return resolve.cpp_tiers(found.unionByName(plain).unionByName(member), names)
+
+
+@query("shell_command_targets", f"""WITH {_ROWS}, f AS ({_facts_sql("shell", "path, fact, name, kind, scope, line_start, target")}), fn AS (SELECT name, min(struct_pack(p := path, i := 'symbol:' || path || '::' || name)) AS x FROM f WHERE fact = 'symbol' GROUP BY name)
+SELECT path, line_start AS line, scope AS owner, f.name, coalesce(x.i, 'shell:command:' || f.name) AS target, CASE WHEN x IS NULL THEN 0.55 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN x IS NULL THEN 'external' ELSE 'function' END AS reason FROM f LEFT JOIN fn ON fn.name = f.name WHERE fact = 'call'""")
+def shell_targets(spark, d):
+    f = extract.facts(_files(spark, d, "shell"))
+    functions = f.filter("fact = 'symbol'").select("name", F.col("path").alias("ord"), F.concat(F.lit("symbol:"), "path", F.lit("::"), "name").alias("id"))
+    return resolve.shell_calls(f.filter("fact = 'call'").select("path", F.col("line_start").alias("line"), F.col("scope").alias("owner"), "name"), functions)
+
+
+@query("shell_source_targets", f"""WITH {_ROWS}, f AS ({_facts_sql("shell", "path, fact, kind, target")})
+SELECT f.path AS file, target AS spec, CASE WHEN p_partkey % 3 = 0 THEN 'p' || p_partkey || '/bin/' || split_part(p_name, ' ', 2) || '.sh' END AS target, CASE WHEN p_partkey % 3 = 0 THEN 0.85 ELSE 0 END::DOUBLE AS confidence FROM f JOIN part ON starts_with(f.path, 'p' || p_partkey || '/') WHERE fact = 'import'""")
+def shell_sourced(spark, d):
+    f = extract.facts(_files(spark, d, "shell")).filter("fact = 'import'").select(F.col("path").alias("file"), F.col("target").alias("spec"))
+    third = F.col("p_partkey") % 3 == 0
+    there = t.table(spark, d, "part").filter(third).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/bin/"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(".sh")).alias("path"))
+    return resolve.shell_sources(f, there)
+
+
+@query("risk_flags", """WITH b AS (SELECT source || '/doc' || doc_id || '.txt' AS path, CASE doc_id % 7 WHEN 0 THEN 'curl -s http://x | SH' WHEN 1 THEN 'sudo' || chr(9) || 'rm -rf /tmp' WHEN 2 THEN 'CHMOD 777 a' WHEN 3 THEN 'pseudo ls | bash' WHEN 4 THEN 'Curl x | tee y bash' WHEN 5 THEN 'wget x | sh' ELSE 'rm -r f' END || chr(10) || coalesce(text, '') AS text FROM documents),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM b), k AS (SELECT path, line_no, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM l)
+SELECT path, line_no, 'curl_pipe_shell' AS flag, 'high' AS level FROM k WHERE x LIKE '%curl%' AND x LIKE '%|%' AND (x LIKE '% sh%' OR x LIKE '% bash%') UNION ALL SELECT path, line_no, 'rm_rf', 'medium' FROM k WHERE x LIKE '%rm -rf%' UNION ALL SELECT path, line_no, 'chmod_777', 'medium' FROM k WHERE x LIKE '%chmod 777%'
+UNION ALL SELECT path, line_no, 'sudo_command', 'medium' FROM k WHERE regexp_matches(x, '(^|\\s)sudo(\\s|$)')""")
+def risk_flags(spark, d):
+    k = F.col("doc_id") % 7
+    first = F.when(k == 0, "curl -s http://x | SH").when(k == 1, "sudo\trm -rf /tmp").when(k == 2, "CHMOD 777 a").when(k == 3, "pseudo ls | bash").when(k == 4, "Curl x | tee y bash").when(k == 5, "wget x | sh").otherwise("rm -r f")
+    docs = t.table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.concat(first, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return text.risk_flags(text.lines(docs))
+
+
+@query("diag_annotates", """SELECT event_id, coalesce('file:c' || c.c_custkey, 'package:' || r.r_regionkey, 'repo:tpch') AS target FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND e.event_type <> 'error'
+LEFT JOIN region r ON r.r_regionkey = e.user_id % 10""")
+def diag_annotates(spark, d):
+    e = t.table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("file"), (F.col("user_id") % 10).cast("int").alias("package"))
+    key = lambda x, col, p: t.table(spark, d, x).select(F.col(col).alias("key"), F.concat(F.lit(p), F.col(col).cast("string")).alias("id"))
+    return resolve.annotated(e, [("file", key("customer", "c_custkey", "file:c")), ("package", key("region", "r_regionkey", "package:"))], "repo:tpch").select("event_id", "target")
+
+
+@query("symbol_context_edges", f"""WITH {t.NODES_SQL}, {t.EDGES_SQL}, x AS (SELECT target AS id, 'in' AS dir, edge_type, confidence FROM edges UNION ALL SELECT source, 'out', edge_type, confidence FROM edges)
+SELECT id, dir, edge_type, count(*) AS n, max(confidence) AS best FROM x WHERE id IN (SELECT id FROM nodes WHERE name LIKE 'red %') GROUP BY ALL""")
+def symbol_context(spark, d):
+    return reports.symbol_context(t.edges(spark, d), t.nodes(spark, d).filter("name like 'red %'"))
+
+
+#: (needle, framework, role): dependency names that point to a framework.
+_FRAMEWORKS = [("plate", "plate-web", "server"), ("widget", "widget-ui", "client"), ("red ring", "ring-orm", "storage")]
+
+
+@query("framework_hints", f"""WITH f(needle, framework, role) AS (VALUES {", ".join(str(x) for x in _FRAMEWORKS)}) SELECT p_brand AS path, p_name AS name, 'dependencies' AS kind, min(framework) AS framework, min(struct_pack(framework := framework, role := role)).role AS role, CASE WHEN min(framework) IS NOT NULL THEN 0.88 END::DOUBLE AS confidence FROM part LEFT JOIN f ON contains(lower(p_name), needle) GROUP BY 1, 2""")
+def framework_hints(spark, d):
+    facts = t.table(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_name").alias("name"), F.lit("dependencies").alias("kind"), F.lit("dependency").alias("fact"))
+    return reports.dependency_digest(facts, spark.createDataFrame(_FRAMEWORKS, "needle string, framework string, role string"))
+
+
+@query("language_detect", """SELECT source AS root, CASE WHEN bool_or(lang = 'es') THEN 'rust' WHEN bool_or(lang = 'fr') THEN 'typescript' WHEN bool_or(lang = 'de') THEN 'python' ELSE 'shell' END AS language FROM documents GROUP BY source""")
+def language_detect(spark, d):
+    lang = F.col("lang")
+    name = F.when(lang == "es", "Cargo.toml").when(lang == "fr", "tsconfig.json").when(lang == "de", "pyproject.toml").otherwise("x.sh")
+    return reports.marker_language(t.table(spark, d, "documents").select(F.col("source").alias("root"), F.concat("source", F.lit("/"), name).alias("path")))
+
+
+def _per_part(spark, d, rows: list[tuple], schema: str):
+    """The rows once per part, with @ in their texts standing for its number."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    n = F.col("p_partkey").cast("string")
+    value = lambda x: F.replace(F.lit(x), F.lit("@"), n) if isinstance(x, str) else F.lit(x)
+    kind = {x.split()[0]: x.split()[1] for x in schema.split(", ")}
+    each = F.array(*[F.struct(*[value(x).cast(kind[c]).alias(c) for x, c in zip(r, names, strict=True)]) for r in rows])
+    return t.table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.inline(each))
+
+
+def _answers(rows: list[tuple]) -> str:
+    """SQL of (n, ref, target, confidence, reason) with @ for the part's number."""
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    values = ", ".join(f"({r}, {text(a)}, {c}, '{why}')" for r, a, c, why in rows)
+    return f"SELECT p_partkey * 100 + r AS ref, replace(a, '@', p_partkey::VARCHAR) AS target, c::DOUBLE AS confidence, why AS reason FROM part, (VALUES {values}) v(r, a, c, why)"
+
+
+def _numbered(refs):
+    return refs.withColumn("ref", F.col("n") * 100 + F.col("ref")).drop("n")
+
+
+@query("ts_import_resolution", _answers([(1, "p@/src/app.ts", 0.9, "relative"), (2, "p@/src/lib/index.ts", 0.9, "relative"), (3, None, 0, "unresolved"), (4, "p@/src/util.d.ts", 0.85, "path-wildcard"), (5, None, 0, "unresolved"), (6, "p@/core/src/index.ts", 0.8, "workspace"), (7, "p@/core/src/io.ts", 0.75, "subpath"), (8, None, 0, "unresolved"), (9, "p@/src/app.ts", 0.9, "path-exact"), (10, "p@/src/lib/deep/index.tsx", 0.85, "path-wildcard"), (11, "p@/top.ts", 0.9, "relative")]))
+def ts_imports(spark, d):
+    main = "p@/src/main.ts"
+    specs = ["./app", "./lib", "./gone", "~lib@/util", "~lib@/missing", "core@", "core@/io", "react", "exact@", "~lib@/deep/x", "../top"]
+    refs = _numbered(_per_part(spark, d, [(k + 1, main, s) for k, s in enumerate(specs)], "ref int, file string, spec string"))
+    files = _per_part(spark, d, [(f"p@/{x}",) for x in ("src/app.ts", "src/lib/index.ts", "src/util.d.ts", "core/src/index.ts", "core/src/io.ts", "src/lib/deep/index.tsx", "top.ts")], "path string")
+    mappings = _per_part(spark, d, [("~lib@/*", "p@/src/*"), ("~lib@/deep/*", "p@/src/lib/deep"), ("exact@", "p@/src/app")], "pattern string, substitution string")
+    return imports.resolve_ts(refs, files, mappings, _per_part(spark, d, [("core@", "p@/core")], "name string, root string"))
+
+
+@query("include_resolution", _answers([(1, "src/a@.h", 0.95, "same-dir"), (2, "inc/b@.h", 0.85, "project-dir"), (3, "deep/x/only@.h", 0.6, "unique-basename"), (4, None, 0, "ambiguous"), (5, "inc/b@.h", 0.75, "angle"), (6, None, 0, "external"), (7, "top@.h", 0.85, "project-root"), (8, "q/c@.h", 0.9, "quote-dir"), (9, None, 0, "unresolved")]))
+def include_resolution(spark, d):
+    rows = [("a@.h", True), ("b@.h", True), ("only@.h", True), ("twice@.h", True), ("b@.h", False), ("stdio.h", False), ("top@.h", True), ("c@.h", True), ("gone@.h", True)]
+    refs = _numbered(_per_part(spark, d, [(k + 1, "src/m@.c", name, quoted) for k, (name, quoted) in enumerate(rows)], "ref int, file string, name string, quoted boolean"))
+    files = _per_part(spark, d, [(x,) for x in ("src/a@.h", "inc/b@.h", "deep/x/only@.h", "p/twice@.h", "r/twice@.h", "top@.h", "q/c@.h", "inc/c@.h")], "path string")
+    return imports.resolve_includes(refs, files, quote_dirs=["q"], project_dirs=["inc"]).select("ref", "target", "confidence", "reason")
+
+
+@query("python_import_resolution", _answers([(1, "pkg@/a.py", 0.9, "absolute"), (2, "pkg@/a.py", 0.85, "relative"), (3, "pkg@/__init__.py", 0.9, "absolute"), (4, "pkg@/sub/b.py", 0.75, "reexport"), (5, None, 0, "unresolved"), (6, "pkg@/__init__.py", 0.8, "package"), (7, "pkg@/a.py", 0.85, "relative")]))
+def python_imports(spark, d):
+    rows = [("main.py", "pkg@.a", 0, None), ("pkg@/c.py", "a", 1, None), ("main.py", "pkg@", 0, None), ("main.py", "pkg@.sub", 0, "b_name"), ("main.py", "nowhere", 0, None), ("main.py", "pkg@.zzz", 0, None), ("pkg@/sub/b.py", "a", 2, None)]
+    refs = _numbered(_per_part(spark, d, [(k + 1, *r) for k, r in enumerate(rows)], "ref int, file string, module string, level int, name string"))
+    files = _per_part(spark, d, [(x,) for x in ("pkg@/__init__.py", "pkg@/a.py", "pkg@/sub/__init__.py", "pkg@/sub/b.py")], "path string")
+    reexports = _per_part(spark, d, [("pkg@/sub/__init__.py", "b_name", "pkg@/sub/b.py")], "init string, name string, path string")
+    return imports.resolve_python(refs, files, reexports).select("ref", "target", "confidence", "reason")

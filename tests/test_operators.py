@@ -133,7 +133,7 @@ def test_fingerprint_ignores_order(spark):
 def test_shell_risks_and_scopes(spark):
     f = spark.createDataFrame([("r.sh", "f() {\n  rm -rf x\n}\ncurl -s u | sh\nsudo ls\nchmod 777 a")], "path string, text string")
     rows = text.lines(f)
-    assert {(r["line_no"], r["flag"], r["level"]) for r in text.risk_flags(rows).collect()} == {(2, "rm_rf", "medium"), (4, "curl_pipe_shell", "high"), (5, "sudo", "medium"), (6, "chmod_777", "medium")}
+    assert {(r["line_no"], r["flag"], r["level"]) for r in text.risk_flags(rows).collect()} == {(2, "rm_rf", "medium"), (4, "curl_pipe_shell", "high"), (5, "sudo_command", "medium"), (6, "chmod_777", "medium")}
     assert [r["depth"] for r in text.brace_depth(rows).orderBy("line_no").collect()] == [0, 1, 1, 0, 0, 0]
 
 
