@@ -32,7 +32,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plexigraph.llm._common import stash, table
+from plexigraph.llm._common import stash, table, trim
 
 #: Fixed values of the format: skippable-frame magic numbers, Zstandard frame and dictionary magics.
 SKIPPABLE, FRAME_MAGIC, DICT_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
@@ -227,6 +227,8 @@ def write_archives(marked: DataFrame, archive_records: int = 2000, archive_bytes
                     held, size, k = [], 0, k + 1
         if held:
             yield close()
+        held.clear()
+        trim()
 
     return stash(marked.select("page_id", "url", "payload", "digest", "revisit", "refers_to").mapInArrow(write, "archive string, records int, content binary"), "warc")
 
@@ -241,6 +243,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
+        trim()
 
     return archives.select("content").mapInArrow(read, RECORDS)
 
@@ -273,6 +276,7 @@ def read_records(archives: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 if found := list(rows(content.as_py() or b"")):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        trim()
 
     return archives.select("content").mapInArrow(read, FOUND)
 
