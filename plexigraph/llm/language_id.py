@@ -1,6 +1,7 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
-Features are hashed n-grams of 1 to 3 code points of the lower-cased text, term frequencies relative
+Features are hashed n-grams of 1 to 3 code points of the lower-cased text, whose ASCII other than
+letters counts as spaces, term frequencies relative
 to the text's length, weighted by inverse document frequency and normalised to sum 1. Weights are
 trained with follow-the-regularised-leader (per-coordinate FTRL-proximal, elastic-net penalties, so
 most stay exactly zero); a temperature fitted on held-back rows of the sample calibrates the scores.
@@ -30,6 +31,8 @@ BITS, ORDERS = 16, (1, 2, 3)
 U = np.uint64
 _ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 SLICE_CHARS, ROWS = 1 << 18, 512
+#: ASCII that isn't a letter says nothing of a language and counts as a space; so numbers and addresses don't drown words.
+_ASCII = np.array([c if chr(c).isalpha() else 0x20 for c in range(128)], U)
 
 
 def has_letter(text: str | None) -> bool:
@@ -39,15 +42,18 @@ def has_letter(text: str | None) -> bool:
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every n-gram, text of every n-gram); texts are joined so numpy sees them at once.
 
-    Grams that would reach into the next text are those of the text padded with line ends.
+    Grams that would reach into the next text are those of the text padded with spaces. Runs of
+    spaces count as one.
     """
-    pad = "\n" * (max(ORDERS) - 1)
+    pad = " " * (max(ORDERS) - 1)
     low = [t.lower() + pad for t in texts]
     chars = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+    chars[chars < 128] = _ASCII[chars[chars < 128]]
     owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
     n = len(chars) - (max(ORDERS) - 1)
     owner = owner[:n]
     inside = np.concatenate([np.arange(len(t)) < len(t) - len(pad) for t in low])[:n] if low else np.zeros(0, bool)
+    inside &= (chars[:n] != U(0x20)) | (chars[1 : n + 1] != U(0x20))
     h, found = np.zeros(n, U), []
     for k in range(max(ORDERS)):
         h = (h + chars[k : k + n] + U(k + 1)) * _ODD[k % 3]

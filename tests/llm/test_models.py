@@ -59,9 +59,11 @@ def test_sample_leaves_no_language_out(spark, make):
 def plain_scores(model, text):
     """The model's probabilities for one text, n-gram by n-gram."""
     mask, odd = 2**64 - 1, [int(x) for x in language_id._ODD]
-    low, sums, norm = text.lower(), [0.0] * len(model.langs), 0.0
-    padded = low + "\n\n"
+    low, sums, norm = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()), [0.0] * len(model.langs), 0.0
+    padded = low + "  "
     for i in range(len(low)):
+        if padded[i : i + 2] == "  ":
+            continue
         h = 0
         for k in range(3):
             h = (h + ord(padded[i + k]) + k + 1) * odd[k] & mask
