@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plexigraph.session import checkpoint_dir
+
 
 #: Bytes of an Arrow batch on its way to a Python worker. Spark's own default is 64 MB, of which a
 #: worker holds several copies (Arrow, strings, arrays).
@@ -28,23 +30,16 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir, one of its own for local sessions without it."""
+    return checkpoint_dir(spark)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a table that outlives any executor, so a lost executor costs a
-    re-read and not a recomputation, and values such as monotonically_increasing_id are stable
-    from here on.
+    re-read and not a recomputation. What is in the table is stable from here on, also values such
+    as monotonically_increasing_id; one made on top of it is not, as it follows each job's splits.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -102,15 +97,25 @@ def parts(batches, column: int, rows: int = 256, size: int = 1 << 20):
 _STASHED: list[str] = []
 
 
-def clear_stashed(spark: SparkSession) -> int:
-    """Delete the tables that this driver has stashed, once nothing lazy needs them; returns how many."""
+def clear_stashed(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete tables that this driver has stashed, once nothing lazy needs them; returns how many.
+
+    `since` spares those that were there at an earlier `stashed()`, `keep` the last few.
+    """
+    gone = _STASHED[since : len(_STASHED) - keep]
+    del _STASHED[since : len(_STASHED) - keep]
     n = 0
-    while _STASHED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
 
+def stashed() -> int:
+    """How many tables are stashed now."""
+    return len(_STASHED)
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, counted now; else as it is.
 

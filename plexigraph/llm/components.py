@@ -1,4 +1,9 @@
-"""Connected components by alternating large and small stars, on DataFrames only."""
+"""Connected components by alternating large and small stars, on DataFrames only.
+
+Ids are longs. Edges with a null end and loops say nothing and are left out; repeated edges and either
+direction count once. An id without an edge isn't in the result. No edges give no rows. Other columns
+are ignored. Ties don't arise: a component is named by its smallest id.
+"""
 
 from __future__ import annotations
 

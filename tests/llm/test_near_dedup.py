@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plexigraph.llm import near_dedup
 from plexigraph.llm.components import components, label_least
@@ -148,3 +149,18 @@ def test_walk_in_order_joins_what_estimates_join():
             ids, least = label_least(steps[:, 0], steps[:, 1])
             own[ids] = least
         assert (own == want).all() and len(steps) == 60 - len(np.unique(want))
+
+
+def test_components_of_odd_edges(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (5, None), (2, 7)], "a long, b long").withColumn("id", F.lit(0)).withColumn("component", F.lit(0))
+    for one_task in (0, 100):
+        assert {(r["id"], r["component"]) for r in components(e, one_task).collect()} == {(1, 1), (2, 1), (7, 1)}
+        assert components(e.limit(0), one_task).count() == 0
+
+
+def test_query_against_brute_force(spark, sf):
+    out = near_dedup.op10_minhash_near_dedup(spark, sf)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert result(out) == want(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.collect())
