@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plexigraph.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from plexigraph.llm._common import stash, table
+from plexigraph.llm._common import clear_stashed, stash, stashed, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is rejected if its best language scores under LIFT times the odds of one language among all: the model
@@ -66,7 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), stashed()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear_stashed(spark, since=before, keep=1)  # all but this stage's table
     return STAGES[-1][1](spark, docs, sf_dir)
