@@ -94,4 +94,5 @@ def strip_comment(line: Column) -> Column:
 
 
 def unquote(text: Column) -> Column:
-    return F.regexp_replace(text, r"^(['\"])(.*)\1$", "$2")
+    """Double quotes at both ends gone, then single ones, then commas at the end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, '^"+|"+$', ""), "^'+|'+$", ""), ",+$", "")

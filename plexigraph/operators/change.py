@@ -71,6 +71,30 @@ def compare_runs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return n.join(o, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(o.join(n, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def run_deltas(sections: list[tuple[str, DataFrame, DataFrame, list[str]]]) -> DataFrame:
+    """(section, old, new, delta, added, removed) of runs' tables, given as (section, old, new, keys)."""
+    out = None
+    for name, old, new, keys in sections:
+        side = lambda df, o, n: df.select(*keys, F.lit(o).alias("__o"), F.lit(n).alias("__n"))  # noqa: B023, E731
+        by = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(*keys).agg(F.max("__o").alias("o"), F.max("__n").alias("n"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        row = by.agg(total("o").alias("old"), total("n").alias("new"), total((F.col("n") > F.col("o")).cast("int")).alias("added"), total((F.col("o") > F.col("n")).cast("int")).alias("removed"))
+        row = row.select(F.lit(name).alias("section"), "old", "new", (F.col("new") - F.col("old")).alias("delta"), "added", "removed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def breaking_changes(old: DataFrame, new: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, change, callers): public symbols(id, kind, visibility) of the old version that the new one lacks (removed), no longer
+    shows (hidden) or has as another kind (kind), with how many callers, calls(source, target), each has."""
+    shown = old.filter(F.col("visibility").isin("pub", "public")).select("id", F.col("kind").alias("__k"))
+    j = shown.join(new.select("id", "kind", "visibility"), "id", "left")
+    change = F.when(F.col("kind").isNull(), "removed").when(~F.col("visibility").isin("pub", "public"), "hidden").when(F.col("kind") != F.col("__k"), "kind")
+    hit = j.select("id", change.alias("change")).filter("change is not null")
+    callers = calls.groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("callers"))
+    return hit.join(callers, "id", "left").select("id", "change", F.coalesce("callers", F.lit(0)).alias("callers"))
+
+
 def baseline_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(target, metric, change, level) of (target, metric, value) tables.
 

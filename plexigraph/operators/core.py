@@ -185,3 +185,17 @@ def symbols_of(nodes: DataFrame) -> DataFrame:
 def external_crate_totals(calls: DataFrame) -> DataFrame:
     """One row: calls into external crates, and those whose crate is known."""
     return calls.agg(F.count_if(F.col("call_kind") == "external-crate").alias("total"), F.count_if(F.col("known_crate").isNotNull()).alias("classified"))
+
+
+#: Names of functions that programs start from.
+ENTRY_NAMES = ["main", "run", "start", "init"]
+
+
+def compact_profile(symbols: DataFrame, risks: DataFrame) -> DataFrame:
+    """(section, item, rank): at most 10 entry points, 30 public symbols in file order, the 20 largest modules and 10 risks(item, rank)."""
+    s = lambda section, df, item, rank: df.select(F.lit(section).alias("section"), item.alias("item"), rank.cast("long").alias("rank"))
+    entry = symbols.filter(F.lower("name").isin(ENTRY_NAMES)).orderBy("file", "line_start", "id").limit(10)
+    shown = symbols.filter(F.col("visibility").isin("pub", "public")).orderBy("file", "line_start", "name", "id").limit(30)
+    modules = module_rollup(symbols).orderBy(F.desc("symbol_count"), "module").limit(20)
+    risky = risks.orderBy(F.desc("rank"), "item").limit(10)
+    return s("entry", entry, F.col("name"), F.col("id")).unionByName(s("symbol", shown, F.col("name"), F.col("id"))).unionByName(s("module", modules, F.col("module"), F.col("symbol_count"))).unionByName(s("risk", risky, F.col("item"), F.col("rank")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plexigraph.operators import core, scores, traverse
+from plexigraph.operators import core, scores, text, traverse
 from plexigraph.operators.resolve import ends
 
 #: Tools by question: (tool, operators it is made of). A lookup, nothing is computed from it.
@@ -22,7 +22,12 @@ TOOLS = [
     ("query_graph", "query_graph_filter"),
     ("project_overview", "graph_overview_kinds quality_metrics hotspots_top"),
     ("rename_preview", "rename_preview"),
-    ("compare_runs", "compare_runs"),
+    ("compare_runs", "compare_runs run_deltas"),
+    ("detect_changes", "file_owners affected_projects change_report"),
+    ("breaking_change_review", "breaking_changes"),
+    ("automation_graph", "automation_graph risk_flags local_refs"),
+    ("workspace_health", "health_scores health_overall recommendations"),
+    ("impact_target", "impact_target_ladder"),
     ("changed_symbols", "hunk_overlap unknown_hunks"),
     ("production_assist", "hunk_overlap top_risk_symbols"),
     ("dead_code_candidates", "dead_code_scores dead_file_scores"),
@@ -110,14 +115,13 @@ def cangjie_references(refs: DataFrame, symbols: DataFrame, imports: DataFrame)
 
 def marker_language(files: DataFrame, root: str = "root") -> DataFrame:
     """(root, language) by marker files first, in the order of the rules, then by the most common source suffix."""
-    from plexigraph.operators.text import majority
     from plexigraph.sources.extract import LANGUAGES
 
     name = F.substring_index("path", "/", -1)
     has = lambda *n: F.bool_or(name.isin(*n))
     by = files.groupBy(root).agg(F.when(has("Cargo.toml"), "rust").when(has("cjpm.toml"), "cangjie").when(has("oh-package.json5"), "arkts").when(has("tsconfig.json"), "typescript").when(has("package.json"), "javascript").when(has("pyproject.toml", "setup.py", "requirements.txt"), "python").when(has("CMakeLists.txt"), "cpp").when(has("compile_commands.json", "Makefile"), "c").alias("marked"))
     names = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for x in (k, v)])
-    most = majority(files.withColumn("language", F.try_element_at(names, F.regexp_extract("path", r"\.([^./]+)$", 1))).filter("language is not null"), [root], "language").select(root, "language")
+    most = text.majority(files.withColumn("language", F.try_element_at(names, F.regexp_extract("path", r"\.([^./]+)$", 1))).filter("language is not null"), [root], "language").select(root, "language")
     return by.join(most, root, "left").select(root, F.coalesce("marked", "language", F.lit("unknown")).alias("language"))
 
 
@@ -138,6 +142,16 @@ def reexports(facts: DataFrame) -> DataFrame:
     return i.filter(F.col("target").startswith(".") & ~F.col("target").startswith("..")).select(F.col("path").alias("init"), "name", F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), F.replace(module, F.lit("."), F.lit("/")), F.lit(".py")).alias("path"))
 
 
+def automation_graph(files: DataFrame, fact: DataFrame) -> DataFrame:
+    """(path, kind, target) of scripts: commands they call, scripts they source, local paths they name, and risks of their lines."""
+    f = fact.filter("language = 'shell'")
+    rows = text.lines(files.join(f.select("path").distinct(), "path", "left_semi"))
+    row = lambda df, kind, target: df.select("path", F.lit(kind).alias("kind"), target.alias("target"))
+    calls = row(f.filter("fact = 'call'"), "calls", F.col("name"))
+    sources = row(f.filter("fact = 'import'"), "sources", F.col("target"))
+    return calls.unionByName(sources).unionByName(row(text.local_refs(rows), "refers", F.col("ref"))).unionByName(row(text.risk_flags(rows), "risk", F.col("flag"))).distinct()
+
+
 def runner_ladder(workflows: Column, affected: Column) -> Column:
     """critical from 8 affected, high from 4 or 3 workflows, medium from 2, low from 1."""
     return F.when(affected >= 8, "critical").when((affected >= 4) | (workflows >= 3), "high").when(affected >= 2, "medium").when(affected >= 1, "low").otherwise("none")

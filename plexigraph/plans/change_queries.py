@@ -206,16 +206,6 @@ def artifact_merge(spark, d):
     return core.merge_artifacts([p.filter("id % 3 <> 0"), p.filter("id % 2 = 0"), p.filter("id % 3 = 0")], ["module", "name"])
 
 
-@query("analyze_compact", f"""WITH {P}, e AS (SELECT 'entry' AS section, name AS item, id::BIGINT AS rank FROM parts WHERE lower(name) LIKE 'a%' ORDER BY id LIMIT 10), s AS (SELECT 'symbol', name, id FROM parts WHERE visibility = 'public' ORDER BY file, line_start, name, id LIMIT 30),
-m AS (SELECT 'module', module, count(*) FROM parts GROUP BY module ORDER BY count(*) DESC, module LIMIT 20) SELECT * FROM e UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m""")
-def analyze_compact(spark, d):
-    p = t.parts(spark, d)
-    entry = p.filter(F.lower("name").startswith("a")).orderBy("id").limit(10).select(F.lit("entry").alias("section"), F.col("name").alias("item"), F.col("id").alias("rank"))
-    sym = p.filter("visibility = 'public'").orderBy("file", "line_start", "name", "id").limit(30).select(F.lit("symbol").alias("section"), F.col("name").alias("item"), F.col("id").alias("rank"))
-    mod = core.module_rollup(p).orderBy(F.desc("symbol_count"), "module").limit(20).select(F.lit("module").alias("section"), F.col("module").alias("item"), F.col("symbol_count").alias("rank"))
-    return entry.unionByName(sym).unionByName(mod)
-
-
 @query("change_wide_impact", f"""WITH {P}, {S}, {t.HUNKS_SQL}, o AS (SELECT DISTINCT p.id FROM hunks h JOIN parts p ON p.file = h.file AND new_start <= line_end AND new_end >= line_start),
 d1 AS (SELECT DISTINCT source AS id FROM strong WHERE target IN (SELECT id FROM o) AND source NOT IN (SELECT id FROM o)),
 d AS (SELECT id FROM d1 UNION SELECT source FROM strong WHERE target IN (SELECT id FROM d1) AND source NOT IN (SELECT id FROM o))

@@ -338,10 +338,50 @@ def symbol_projection(spark, d):
 
 @query("name_functions", r"""SELECT doc_id, len(string_split(CASE doc_id % 4 WHEN 0 THEN 'a::b' WHEN 1 THEN 'x' ELSE 'a' END, '::')) * (doc_id % 4 <> 2)::INT AS segments, (doc_id % 5 < 2) AS valid,
  length(decode(encode(coalesce(text, ''))[1:doc_id % 300])) * 0 + len(regexp_extract_all(hex(encode(coalesce(text, ''))[1:doc_id % 300]), '(?:0A)|(?:[0-9A-F]{2})')) - len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))[1:doc_id % 300]), '[0-9A-F]{2}'), lambda x: x <> '0A')) + 1 AS line,
- CASE doc_id % 3 WHEN 0 THEN '../c' WHEN 1 THEN 'a/d' ELSE '/q' END AS normal FROM documents""".replace("length(decode(encode(coalesce(text, ''))[1:doc_id % 300])) * 0 + ", ""))
+ CASE doc_id % 3 WHEN 0 THEN '../c' WHEN 1 THEN 'a/d' ELSE '/q' END AS normal, CASE doc_id % 3 WHEN 0 THEN source || '.b' WHEN 1 THEN source ELSE source || '.b.c' END AS module,
+ CASE doc_id % 3 WHEN 0 THEN 'a.b.c,c' WHEN 1 THEN 'run' ELSE 'x.y,y' END AS names, CASE doc_id % 4 WHEN 0 THEN source || '''' WHEN 1 THEN 'it''s' WHEN 2 THEN 'a"b' ELSE '' END AS bare FROM documents""".replace("length(decode(encode(coalesce(text, ''))[1:doc_id % 300])) * 0 + ", ""))
 def name_functions(spark, d):
     k = F.col("doc_id")
     path = F.when(k % 4 == 0, "crate::a::b").when(k % 4 == 1, "crate::x").when(k % 4 == 2, "serde::y").otherwise("crate::a")
     name = F.when(k % 5 == 0, "run_1").when(k % 5 == 1, "_x").when(k % 5 == 2, "1x").when(k % 5 == 3, "a-b").otherwise("")
     place = F.when(k % 3 == 0, "./a/../../b/../c").when(k % 3 == 1, "a//b/c/../../d").otherwise("/p/../q/.")
-    return t.table(spark, d, "documents").select("doc_id", F.size(paths.crate_segments(path)).alias("segments"), paths.valid_name(name).alias("valid"), paths.line_of(F.coalesce("text", F.lit("")), (k % 300).cast("int")).alias("line"), paths.normalise(place).alias("normal"))
+    module = F.when(k % 3 == 0, F.concat("source", F.lit("/b.py"))).when(k % 3 == 1, F.concat("source", F.lit("/__init__.py"))).otherwise(F.concat("source", F.lit("/b/c.py")))
+    called = F.when(k % 3 == 0, "a.b.c").when(k % 3 == 1, "run").otherwise("x.y")
+    quoted = F.when(k % 4 == 0, F.concat(F.lit("\"'"), "source", F.lit("',\""))).when(k % 4 == 1, "it's").when(k % 4 == 2, '"a"b"').otherwise("''")
+    return t.table(spark, d, "documents").select("doc_id", F.size(paths.crate_segments(path)).alias("segments"), paths.valid_name(name).alias("valid"), paths.line_of(F.coalesce("text", F.lit("")), (k % 300).cast("int")).alias("line"), paths.normalise(place).alias("normal"), paths.module_name(module).alias("module"), F.array_join(paths.call_names(called), ",").alias("names"), paths.unquote(quoted).alias("bare"))
+
+
+_NAMED = f"{P}, ns AS (SELECT id, CASE line_start WHEN 1 THEN 'Main' WHEN 8 THEN 'run' ELSE name END AS name, module, file, line_start, visibility FROM parts)"
+
+
+@query("analyze_compact", f"""WITH {_NAMED}, {t.CALLS_SQL}, e AS (SELECT 'entry' AS section, name AS item, id::BIGINT AS rank FROM ns WHERE lower(name) IN ('main', 'run', 'start', 'init') ORDER BY file, line_start, id LIMIT 10), s AS (SELECT 'symbol', name, id FROM ns WHERE visibility = 'public' ORDER BY file, line_start, name, id LIMIT 30),
+m AS (SELECT 'module', module, count(*) FROM ns GROUP BY module ORDER BY count(*) DESC, module LIMIT 20), r AS (SELECT 'risk', target::VARCHAR, count(*) AS n FROM calls GROUP BY target ORDER BY n DESC, target::VARCHAR LIMIT 10) SELECT * FROM e UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM r""")
+def analyze_compact(spark, d):
+    named = t.parts(spark, d).withColumn("name", F.when(F.col("line_start") == 1, "Main").when(F.col("line_start") == 8, "run").otherwise(F.col("name")))
+    risks = t.calls(spark, d).groupBy(F.col("target").cast("string").alias("item")).agg(F.count("*").alias("rank"))
+    return core.compact_profile(named, risks)
+
+
+_VERSIONS = f"""{P}, v2 AS (SELECT id, CASE WHEN file LIKE '%/PROMO' THEN 'trait' ELSE kind END AS kind, CASE WHEN module = 'Brand#1' THEN 'private' ELSE visibility END AS visibility FROM parts WHERE name NOT LIKE 'hot %')"""
+
+
+def _versions(spark, d):
+    old = t.parts(spark, d).select("id", "kind", "visibility", "name", "module", "file")
+    new = old.filter("name not like 'hot %'").select("id", F.when(F.col("file").like("%/PROMO"), "trait").otherwise(F.col("kind")).alias("kind"), F.when(F.col("module") == "Brand#1", "private").otherwise(F.col("visibility")).alias("visibility"))
+    return old, new
+
+
+@query("breaking_changes", f"""WITH {_VERSIONS}, {t.CALLS_SQL} SELECT id, change, (SELECT count(DISTINCT source) FROM calls WHERE target = x.id) AS callers FROM (SELECT p.id, CASE WHEN v2.id IS NULL THEN 'removed' WHEN v2.visibility <> 'public' THEN 'hidden' WHEN v2.kind <> p.kind THEN 'kind' END AS change FROM parts p LEFT JOIN v2 ON v2.id = p.id WHERE p.visibility = 'public') x WHERE change IS NOT NULL""")
+def breaking_changes(spark, d):
+    return change.breaking_changes(*_versions(spark, d), t.calls(spark, d))
+
+
+@query("run_deltas", f"""WITH {_VERSIONS}, {t.CALLS_SQL}, e2 AS (SELECT source, target FROM calls WHERE confidence < 0.5 UNION SELECT target, source FROM calls WHERE confidence < 0.1)
+SELECT 'nodes' AS section, (SELECT count(*) FROM parts) AS old, (SELECT count(*) FROM v2) AS new, (SELECT count(*) FROM v2) - (SELECT count(*) FROM parts) AS delta, (SELECT count(*) FROM v2 WHERE id NOT IN (SELECT id FROM parts)) AS added, (SELECT count(*) FROM parts WHERE id NOT IN (SELECT id FROM v2)) AS removed
+UNION ALL SELECT 'edges', (SELECT count(*) FROM calls), (SELECT count(*) FROM e2), (SELECT count(*) FROM e2) - (SELECT count(*) FROM calls), (SELECT count(*) FROM (SELECT * FROM e2 EXCEPT SELECT source, target FROM calls)), (SELECT count(*) FROM (SELECT source, target FROM calls EXCEPT SELECT * FROM e2))""")
+def run_deltas(spark, d):
+    old, new = _versions(spark, d)
+    c = t.calls(spark, d)
+    kept = c.filter("confidence < 0.5").select("source", "target")
+    turned = c.filter("confidence < 0.1").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return change.run_deltas([("nodes", old, new, ["id"]), ("edges", c, kept.unionByName(turned).distinct(), ["source", "target"])])

@@ -546,3 +546,11 @@ def python_imports(spark, d):
     files = _per_part(spark, d, [(x,) for x in ("pkg@/__init__.py", "pkg@/a.py", "pkg@/sub/__init__.py", "pkg@/sub/b.py")], "path string")
     reexports = _per_part(spark, d, [("pkg@/sub/__init__.py", "b_name", "pkg@/sub/b.py")], "init string, name string, path string")
     return imports.resolve_python(refs, files, reexports).select("ref", "target", "confidence", "reason")
+
+
+@query("automation_graph", f"""WITH {_ROWS}, f AS ({_facts_sql("shell", "path, fact, name, kind, scope, line_start, target")}), p AS (SELECT DISTINCT path FROM f)
+SELECT DISTINCT path, 'calls' AS kind, name AS target FROM f WHERE fact = 'call' UNION ALL SELECT DISTINCT path, 'sources', target FROM f WHERE fact = 'import' UNION ALL SELECT DISTINCT path, 'refers', target FROM f WHERE fact = 'import'
+UNION ALL SELECT path, 'refers', '#!/bin/sh' FROM p UNION ALL SELECT path, 'risk', r FROM p, (VALUES ('rm_rf'), ('sudo_command'), ('curl_pipe_shell')) v(r)""")
+def automation_graph(spark, d):
+    files = _files(spark, d, "shell")
+    return reports.automation_graph(files, extract.facts(files))
