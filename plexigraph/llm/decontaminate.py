@@ -36,19 +36,22 @@ SIZE = 13
 #: Places of a window that documents' words are joined with: two rare words at their distance hardly meet by chance.
 PREFIX = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What stands between words once A-Z are lower-cased.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before or after A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _low(text: Column) -> Column:
-    """A-Z lower-cased only. lower() does that, and fast, where it leaves what isn't ASCII as it is."""
-    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    plain = (F.length(text) == F.octet_length(text)) | (other == F.lower(other))
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z lower-cased only: lower() does that, and fast, where all is ASCII."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _split(text: str) -> Column:
-    """The words, with an empty string first or last where the text starts or ends in a gap."""
+    """The words in their own case, with an empty string first or last where the text starts or ends in a gap."""
+    return F.split(F.coalesce(F.col(text), F.lit("")), GAP, -1)
+
+
+def _split_low(text: str) -> Column:
+    """The same with A-Z lower-cased; where words are exploded, lower-casing each of them costs less."""
     return F.split(_low(F.coalesce(F.col(text), F.lit(""))), GAP, -1)
 
 
@@ -67,7 +70,7 @@ def _words(parts: str) -> Column:
 
 def items_of(benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(iid, w array<string>, len, win): distinct items by words, with the length of their windows; and (iid, item)."""
-    words = stash(benchmark.select(F.col("item_id").cast("string").alias("item"), _split("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0), "item-words")
+    words = stash(benchmark.select(F.col("item_id").cast("string").alias("item"), _split_low("text").alias("parts")).select("item", _words("parts").alias("w")).filter(F.size("w") > 0), "item-words")
     items = stash(words.select("w").distinct().select(F.monotonically_increasing_id().alias("iid"), "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(size)).alias("win")), "items")
     named = words.filter(F.col("item").isNotNull()).distinct().join(items.select("iid", "w"), "w").select("iid", "item")
     return items, stash(named, "item-ids")
@@ -98,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     # 1. Rarity of the benchmark's words over all documents. (An outer generator, as the optimiser would
     # else filter by the size of the words first, and so split each text twice; there is always one.)
     vocabulary = items.select(F.explode("w").alias("word")).distinct()
-    spoken = docs.select(F.explode_outer(_split("text")).alias("word"))
+    spoken = docs.select(F.explode_outer(_split("text")).alias("word")).select(_low(F.col("word")).alias("word"))
     counts = stash(spoken.join(held(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "word-counts")
 
     # 2. Prefixes.
@@ -108,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _split("text").alias("parts"))
     # Counted under the generator: above it, the words' array would be copied to each of its rows.
     keyed = keyed.select("doc_id", "text_hash", _n_words(F.col("parts")).alias("n_words"), _empty_first(F.col("parts")).alias("skip"), "parts")
-    at = keyed.select("doc_id", "text_hash", "n_words", "skip", F.posexplode_outer("parts").alias("k", "word"))
+    at = keyed.select("doc_id", "text_hash", "n_words", "skip", F.posexplode_outer("parts").alias("k", "word")).withColumn("word", _low(F.col("word")))
     near = at.join(held(anchors), "word").withColumn("diag", F.col("k") - F.col("skip") - F.col("q"))
     overlap = F.least("n_words", F.col("diag") + F.col("len")) - F.greatest("diag", F.lit(0))
     agreed = near.filter(overlap >= F.col("win")).groupBy("doc_id", "text_hash", "iid", "diag", "win").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
@@ -123,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, perce
     same = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_hash") == F.col("ch"))
     some = full.join(if_small(keys, broadcast_rows), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     c = several.join(held(items.select("iid", "w")), "iid").groupBy(F.col("doc_id").alias("cd"), F.col("text_hash").alias("ch")).agg(F.collect_list(F.struct("diag", F.col("w").alias("iw"), "win", "iid")).alias("c"))
-    both = some.join(c, same).select("doc_id", "text_hash", _split("text").alias("parts"), "c").select("doc_id", "text_hash", _words("parts").alias("w"), F.explode("c").alias("x"))
+    both = some.join(c, same).select("doc_id", "text_hash", _split_low("text").alias("parts"), "c").select("doc_id", "text_hash", _words("parts").alias("w"), F.explode("c").alias("x"))
     lo, hi = F.greatest(-F.col("x.diag"), F.lit(0)), F.least(F.size("x.iw"), F.size("w") - F.col("x.diag")) - F.col("x.win")
     hit = F.filter(F.sequence(lo, hi), lambda k: F.slice("w", F.col("x.diag") + k + 1, F.col("x.win")) == F.slice("x.iw", k + 1, F.col("x.win")))
     true = both.select("doc_id", "text_hash", "x.diag", "x.win", "x.iid", F.explode(hit).alias("k")).unionByName(single)
