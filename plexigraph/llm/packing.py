@@ -179,11 +179,11 @@ def _packer(capacity: int, level: int, slack: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000, slack: float = 0.002, gain: float = 0.001) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000, slack: float = 0.002, gain: float = 0.001, merges: int = 8) -> DataFrame:
     """pieces (with `length` of 1 to `capacity`) with sequence_id and offset added.
 
     A round that closes under 30 % of its pieces is followed by merge rounds, in which open sequences
-    are packed as wholes, until one saves under `gain` of the sequences it was given.
+    are packed as wholes, until one saves under `gain` of the sequences it was given, `merges` at most.
     """
     # Ids are written with the rows: made on top of a stored table, they would follow each job's file splits.
     pieces = stash(without(pieces, ["__row", "sequence_id", "offset"]).withColumn("__row", F.monotonically_increasing_id()), "pieces")
@@ -197,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 4000,
             break
         left = done.filter("not closed").count()
         if left > 0.7 * n:
-            placed.append(_merge(done.filter("not closed").drop("closed"), capacity, level + 1, shard_pieces, gain))
+            placed.append(_merge(done.filter("not closed").drop("closed"), capacity, level + 1, shard_pieces, gain, merges))
             break
         loose, n, level = done.filter("not closed").select("__row", "length"), left, level + 1
     both = placed[0]
@@ -212,19 +212,19 @@ def _round(loose: DataFrame, capacity: int, level: int, shards: int, slack: int)
     return stash(dealt.groupBy("__shard").applyInArrow(_packer(capacity, level, slack), "__row long, sequence_id long, offset long, length long, closed boolean"), f"packed{level}")
 
 
-def _merge(opened: DataFrame, capacity: int, level: int, shard_pieces: int, gain: float) -> DataFrame:
+def _merge(opened: DataFrame, capacity: int, level: int, shard_pieces: int, gain: float, merges: int) -> DataFrame:
     """(__row, sequence_id, offset): open sequences packed into each other, their pieces moved along."""
     now = opened.select("__row", "sequence_id", "offset", "length")
-    while True:
-        wholes = stash(now.groupBy(F.col("sequence_id").alias("__row")).agg(F.sum("length").alias("length")), f"open{level}")
+    for k in range(merges):
+        wholes = stash(now.groupBy(F.col("sequence_id").alias("__row")).agg(F.sum("length").alias("length")), f"open{level + k}")
         n = wholes.count()
         shards = max(1, -(-n // shard_pieces))
-        moved = _round(wholes, capacity, level, shards, capacity)
+        moved = _round(wholes, capacity, level + k, shards, capacity)
         to = moved.select(F.col("__row").alias("sequence_id"), F.col("sequence_id").alias("__to"), F.col("offset").alias("__by"))
-        now = stash(now.join(to, "sequence_id").select("__row", F.col("__to").alias("sequence_id"), (F.col("offset") + F.col("__by")).alias("offset"), "length"), f"merged{level}")
+        now = stash(now.join(to, "sequence_id").select("__row", F.col("__to").alias("sequence_id"), (F.col("offset") + F.col("__by")).alias("offset"), "length"), f"merged{level + k}")
         if shards == 1 or n - moved.select("sequence_id").distinct().count() < gain * n:
-            return now.drop("length")
-        level += 1
+            break
+    return now.drop("length")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
