@@ -91,7 +91,7 @@ def coupled_modules(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 def layer_violations(symbols: DataFrame, edges: DataFrame, layers: DataFrame, rules: DataFrame) -> DataFrame:
     """(from_layer, to_layer, n): edges between layers(module, layer) that rules(layer, allowed_dep) don't allow."""
-    s = symbols.join(F.broadcast(layers), "module").select("id", "layer")
+    s = symbols.join(layers, "module").select("id", "layer")
     by = edges.join(s.select(F.col("id").alias("source"), F.col("layer").alias("from_layer")), "source").join(s.select(F.col("id").alias("target"), F.col("layer").alias("to_layer")), "target")
     counts = by.filter("from_layer <> to_layer").groupBy("from_layer", "to_layer").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(rules.select(F.col("layer").alias("from_layer"), F.col("allowed_dep").alias("to_layer"))), ["from_layer", "to_layer"], "left_anti")

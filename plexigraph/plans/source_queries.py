@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plexigraph.operators import imports, reports, resolve, text
 from plexigraph.plans.registry import query
-from plexigraph.sources import extract, tables as t, tree
+from plexigraph.sources import extract, manifests, tables as t, tree
 
 #: Fixed texts with marks: @W@ and @V@ words, @N@ a number, @P@ `pub ` or `export ` where the item is public; and the facts they hold.
 SOURCES = {
@@ -554,3 +554,30 @@ UNION ALL SELECT path, 'refers', '#!/bin/sh' FROM p UNION ALL SELECT path, 'risk
 def automation_graph(spark, d):
     files = _files(spark, d, "shell")
     return reports.automation_graph(files, extract.facts(files))
+
+
+# Workspaces and configurations of each part: members by path and by star, configurations that extend others.
+_TREE = [
+    ("p@/Cargo.toml", '[workspace]\nmembers = ["one", "crates/*", "gone", "deep/**", "x/*/y"]\n'), ("p@/one/src/lib.rs", ""), ("p@/crates/a/Cargo.toml", '[package]\nname = "a@"\n'), ("p@/crates/b/src/lib.rs", ""), ("p@/crates/target/Cargo.toml", ""), ("p@/crates/c/Cargo.toml", ""), ("p@/deep/z/Cargo.toml", ""),
+    ("p@/tsconfig.json", '{\n  "extends": "./base/tsconfig.base", // the parent\n  "compilerOptions": {"paths": {"a@/*": ["own/*"], "u": ["http://x/*y*/"]}, /* none */ "x": 1,}\n}'),
+    ("p@/base/tsconfig.json", '{"extends": "../top/tsconfig.top.json", "compilerOptions": {"paths": {"a@/*": ["lost/*"], "b": ["b1", "b2"]}}}'),
+    ("p@/top/tsconfig.top.json", '{"compilerOptions": {"baseUrl": "./src/.."}}'), ("p@/lone/tsconfig.json", '{"extends": "./nowhere"}'),
+]
+
+
+@query("workspace_members", """SELECT 'p' || p_partkey AS root, pattern, 'p' || p_partkey || '/' || d AS dir FROM part, (VALUES ('one', 'one'), ('crates/*', 'crates/a'), ('crates/*', 'crates/c')) v(pattern, d)""")
+def workspace_members(spark, d):
+    files = _per_part(spark, d, _TREE, "path string, text string").drop("n")
+    return manifests.workspace_members(files, extract.facts(files))
+
+
+@query("tsconfig_bases", """SELECT 'p' || p_partkey || '/' || f AS path, 'p' || p_partkey || '/top' AS base_url FROM part, (VALUES ('tsconfig.json'), ('base/tsconfig.json'), ('top/tsconfig.top.json')) v(f)""")
+def tsconfig_bases(spark, d):
+    fact = extract.facts(_per_part(spark, d, _TREE, "path string, text string").drop("n"))
+    return manifests.config_bases(fact, manifests.config_chain(fact))
+
+
+@query("tsconfig_mappings", """SELECT 'p' || p_partkey || '/' || f AS path, replace(k, '@', p_partkey::VARCHAR) AS pattern, x AS target FROM part, (VALUES ('tsconfig.json', 'a@/*', 'own/*'), ('tsconfig.json', 'u', 'http://x/*y*/'), ('tsconfig.json', 'b', 'b1'), ('tsconfig.json', 'b', 'b2'), ('base/tsconfig.json', 'a@/*', 'lost/*'), ('base/tsconfig.json', 'b', 'b1'), ('base/tsconfig.json', 'b', 'b2')) v(f, k, x)""")
+def tsconfig_mappings(spark, d):
+    fact = extract.facts(_per_part(spark, d, _TREE, "path string, text string").drop("n"))
+    return manifests.config_mappings(fact, manifests.config_chain(fact))

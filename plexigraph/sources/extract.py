@@ -449,6 +449,11 @@ def markdown(path: str, text: str) -> Iterator[tuple]:
 SCANNERS = {"rust": rust, "python": python, "typescript": script, "javascript": script, "arkts": arkts, "c": c, "cpp": cpp, "cangjie": cangjie, "shell": shell, "markdown": markdown}
 
 
+def strip_json_comments(text: str) -> str:
+    """JSON without // and /* */ comments; those inside strings stay."""
+    return re.sub(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', lambda m: m[0] if m[0][0] == '"' else "", text, flags=re.S)
+
+
 def manifest(path: str, text: str) -> Iterator[tuple]:
     """Packages, targets, workspace members and dependencies of a manifest, by its file name."""
     name = path.rsplit("/", 1)[-1]
@@ -489,7 +494,7 @@ def manifest(path: str, text: str) -> Iterator[tuple]:
             if m := re.match(r"^\s*([A-Za-z0-9][\w.-]*)\s*(.*)$", line.split("#")[0]):
                 yield row("dependency", m[1], "dependencies", start=k + 1, target=m[2].strip() or None)
     elif name.startswith("tsconfig") and name.endswith(".json"):
-        data = json.loads(re.sub(r",(\s*[}\]])", r"\1", re.sub(r"^\s*//.*$", "", text, flags=re.M)))
+        data = json.loads(re.sub(r",(\s*[}\]])", r"\1", strip_json_comments(text)))
         options = data.get("compilerOptions", {})
         if "extends" in data:
             yield row("extends", name, "extends", target=data["extends"])
