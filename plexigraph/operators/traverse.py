@@ -15,13 +15,13 @@ from plexigraph.model import WEAK_CAP, WEAK_KINDS
 from plexigraph.session import hold
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, hold_after: int = 2) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, depth: int, hold_after: int = 2, held: bool = False) -> DataFrame:
     """(id, depth, confidence) of nodes reached from starts(id) within `depth` hops, starts at depth 0.
 
     Beyond `hold_after` hops fronts are written, each in a job of its own, so the edges are written
-    first: a job then reads them instead of deriving them anew.
+    first, unless they are `held` already: a job then reads them instead of deriving them anew.
     """
-    if depth > hold_after:
+    if depth > hold_after and not held:
         edges = hold(edges.select("source", "target", "confidence"))
     seen = starts.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
     front = seen

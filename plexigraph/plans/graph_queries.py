@@ -193,8 +193,8 @@ _ENTRY_WALK = _bfs_sql(8, starts=f"(SELECT id FROM parts WHERE {_ENTRY_NAME} OR
 
 
 def _from_entries(spark, d, edges):
-    """What the entry points reach within 8 hops; `edges` are read once a hop, so they should be held."""
-    return traverse.bfs(edges, scores.entry_points(t.parts(spark, d), edges).select("id"), 8, hold_after=0)
+    """What the entry points reach within 8 hops; `edges`, which are held, are read once a hop."""
+    return traverse.bfs(edges, scores.entry_points(t.parts(spark, d), edges).select("id"), 8, hold_after=0, held=True)
 
 
 @query("unreachable", f"WITH {P}, {S}, {_ENTRY_WALK} SELECT id, name FROM parts WHERE id NOT IN (SELECT id FROM bfs)")
