@@ -64,6 +64,22 @@ def resolve_ts(refs: DataFrame, files: DataFrame, mappings: DataFrame, packages:
     return ranked(refs.select("ref"), every.withColumn("stop", F.lit(False)).unionByName(late), files, stop="stop")
 
 
+#: Extensions that a JavaScript import may leave out, in this order.
+JS_EXTENSIONS = ["js", "jsx", "mjs", "cjs"]
+
+
+def resolve_js(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(ref, target, confidence, reason) of refs(ref, file, spec): a relative spec that is a file or a folder as it stands,
+    else with another extension in place of its own; all others are external packages."""
+    there = files.select(F.explode(prefixes(F.col("path"))).alias("path")).filter("path <> ''").distinct()
+    r = refs.filter(F.col("spec").startswith(".")).withColumn("b", normalise(_under(_dir(F.col("file")), F.col("spec"))))
+    bare = F.regexp_replace("b", r"([^/])\.[^./]*$", "$1")
+    lists = [(F.array("b"), "existing", confidence("js-import", "existing")), (F.array(*[F.concat(bare, F.lit(f".{x}")) for x in JS_EXTENSIONS]), "extension", confidence("js-import", "extension"))]
+    found = ranked(refs.select("ref", "spec"), _candidates(r, lists), there)
+    outside = ~F.col("spec").startswith(".")
+    return found.select("ref", "target", F.when(outside, confidence("js-import", "external")).otherwise(F.col("confidence")).alias("confidence"), F.when(outside, "external").otherwise(F.col("reason")).alias("reason"))
+
+
 def resolve_includes(refs: DataFrame, files: DataFrame, quote_dirs: list[str], project_dirs: list[str]) -> DataFrame:
     """(ref, target, confidence, reason) of refs(ref, file, name, quoted).
 

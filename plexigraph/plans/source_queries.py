@@ -581,3 +581,10 @@ def tsconfig_bases(spark, d):
 def tsconfig_mappings(spark, d):
     fact = extract.facts(_per_part(spark, d, _TREE, "path string, text string").drop("n"))
     return manifests.config_mappings(fact, manifests.config_chain(fact))
+
+
+@query("js_import_resolution", _answers([(1, "p@/src/a.js", 0.85, "extension"), (2, "p@/src/b.mjs", 0.9, "existing"), (3, "p@/src/lib", 0.9, "existing"), (4, None, 0, "unresolved"), (5, None, 0.5, "external"), (6, "p@/top.cjs", 0.85, "extension"), (7, "p@/src/x.y.js", 0.9, "existing"), (8, "p@/src/a.js", 0.85, "extension"), (9, "p@/src/b.mjs", 0.85, "extension")]))
+def js_imports(spark, d):
+    specs = ["./a", "./b.mjs", "./lib", "./gone", "react", "../top", "./x.y.js", "./a.ts", "./b"]
+    refs = _numbered(_per_part(spark, d, [(k + 1, "p@/src/main.js", s) for k, s in enumerate(specs)], "ref int, file string, spec string"))
+    return imports.resolve_js(refs, _per_part(spark, d, [(f"p@/{x}",) for x in ("src/a.js", "src/a.jsx", "src/b.mjs", "src/lib/index.js", "top.cjs", "src/x.y.js")], "path string"))
