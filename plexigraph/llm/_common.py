@@ -11,7 +11,7 @@ from plexigraph.session import checkpoint_dir
 
 #: Bytes of an Arrow batch on its way to a Python worker. Spark's own default is 64 MB, of which a
 #: worker holds several copies (Arrow, strings, arrays).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
