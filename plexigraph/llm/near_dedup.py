@@ -48,7 +48,7 @@ from plexigraph.llm.components import components
 
 TREES, DEPTH = 20, 3
 #: Further orders for members of cut regions.
-EXTRA = 60
+EXTRA = 16
 COLUMNS = TREES * DEPTH + 4
 #: Counted rows (ids and hashes) up to which a side is broadcast rather than exchanged with the texts.
 BROADCAST_ROWS = 500_000
