@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plexigraph.functions.paths import normalise
 from plexigraph.model import confidence
 from plexigraph.operators.resolve import prefixes, ranked
+from plexigraph.session import by_exchange
 
 
 def _dir(path: Column) -> Column:
@@ -86,15 +87,24 @@ def resolve_includes(refs: DataFrame, files: DataFrame, quote_dirs: list[str], p
     Quoted: own folder, quote folders, project folders, project root, then the only file of that
     name, several being ambiguous. Angle: project folders, else external.
     """
-    under = lambda dirs: F.array(*[F.concat(F.lit(x + "/"), "name") for x in dirs]) if dirs else F.array().cast("array<string>")
-    quoted = refs.filter("quoted")
-    q = _candidates(quoted, [(F.array(normalise(_under(_dir(F.col("file")), F.col("name")))), "same-dir", confidence("c-include", "same-dir")), (under(quote_dirs), "quote-dir", confidence("c-include", "quote-dir")), (under(project_dirs), "project-dir", confidence("c-include", "project-dir")), (F.array("name"), "project-root", confidence("c-include", "project-root"))])
-    a = _candidates(refs.filter("not quoted"), [(under(project_dirs), "angle", confidence("c-include", "angle"))])
-    found = ranked(refs.select("ref", "name", "quoted"), q.unionByName(a), files)
+    name, last = F.col("name"), F.substring_index("name", "/", -1)
+    under = lambda dirs, rung: [(F.concat(F.lit(x + "/"), name), rung) for x in dirs]
+    ladder = [(normalise(_under(_dir(F.col("file")), name)), "same-dir"), *under(quote_dirs, "quote-dir"), *under(project_dirs, "project-dir"), (name, "project-root")]
+    angle = under(project_dirs, "angle")
+    paths = lambda rungs: F.array(*[p for p, _ in rungs]).cast("array<string>")
+    tried = refs.select("ref", F.posexplode(F.when(F.col("quoted"), paths(ladder)).when(~F.col("quoted"), paths(angle))).alias("rank", "path"))
+    hits = tried.join(by_exchange(files.select("path")), "path", "left_semi").select("ref", "rank", "path")
+    # The last rung of quoted names: the only file of that name, or null where there are several.
     base = files.groupBy(F.substring_index("path", "/", -1).alias("__b")).agg(F.count("*").alias("__n"), F.min("path").alias("__p"))
-    j = found.join(base, (F.substring_index("name", "/", -1) == F.col("__b")) & F.col("target").isNull() & F.col("quoted"), "left")
-    only = F.col("__n") == 1
-    return j.select("ref", F.coalesce("target", F.when(only, F.col("__p"))).alias("target"), F.when(F.col("target").isNull() & only, confidence("c-include", "unique-basename")).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("target").isNotNull(), F.col("reason")).when(only, "unique-basename").when(F.col("__n") > 1, "ambiguous").when(~F.col("quoted"), "external").otherwise("unresolved").alias("reason"))
+    named = refs.filter("quoted").select("ref", last.alias("__b")).join(by_exchange(base), "__b").select("ref", F.lit(len(ladder)).alias("rank"), F.when(F.col("__n") == 1, F.col("__p")).alias("path"))
+    best = hits.unionByName(named).groupBy("ref").agg(F.min(F.struct("rank", "path")).alias("__m"))
+    rung = lambda names: F.get(F.array(*[F.struct(F.lit(confidence("c-include", x)).alias("c"), F.lit(x).alias("r")) for x in names]), F.col("__m.rank"))
+    quoted = F.coalesce("quoted", F.lit(False))
+    at = F.when(quoted, rung([r for _, r in ladder] + ["unique-basename"]))
+    j = refs.join(by_exchange(best), "ref", "left").withColumn("__r", at.otherwise(rung([r for _, r in angle])) if angle else at)
+    found = F.col("__m.path").isNotNull()
+    missed = F.when(F.col("__m").isNotNull(), "ambiguous").when(~F.col("quoted"), "external").otherwise("unresolved")
+    return j.select("ref", F.col("__m.path").alias("target"), F.when(found, F.col("__r.c")).otherwise(0.0).alias("confidence"), F.when(found, F.col("__r.r")).otherwise(missed).alias("reason"))
 
 
 def resolve_python(refs: DataFrame, files: DataFrame, reexports: DataFrame) -> DataFrame:
