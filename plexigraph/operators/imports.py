@@ -31,8 +31,10 @@ def _candidates(df: DataFrame, lists: list[tuple[Column, str, float]], stop: Col
 SUFFIXES = ["", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"]
 
 
-def _with_extensions(base: Column) -> Column:
-    return F.array(*[F.concat(base, F.lit(x)) for x in SUFFIXES])
+def _by_base(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """(base, k): the first suffix, by its place, with which a base is one of files(path)."""
+    cut = [F.when(F.endswith("path", F.lit(x)), F.struct(F.expr(f"substring(path, 1, length(path) - {len(x)})").alias("base"), F.lit(k).alias("k"))) for k, x in enumerate(suffixes)]
+    return files.select(F.inline(F.array(*cut))).filter("base is not null").groupBy("base").agg(F.min("k").alias("k"))
 
 
 def resolve_ts(refs: DataFrame, files: DataFrame, mappings: DataFrame, packages: DataFrame) -> DataFrame:
@@ -43,26 +45,31 @@ def resolve_ts(refs: DataFrame, files: DataFrame, mappings: DataFrame, packages:
     (name, root), whole or by their longest prefix and subpath; everything else is external.
     """
     spec = F.col("spec")
-    relative = refs.filter(spec.rlike(r"^\.|^/"))
-    rel = _candidates(relative.withColumn("b", normalise(_under(_dir(F.col("file")), spec))), [(_with_extensions(F.col("b")), "relative", confidence("ts-import", "relative"))], F.lit(False))
-    bare = refs.filter(~spec.rlike(r"^\.|^/"))
-    exact = bare.join(mappings.filter(~F.col("pattern").contains("*")), F.col("pattern") == spec)
-    # The patterns that a spec starts with, by an equi-join on its prefixes.
-    starts = bare.select("ref", "spec", F.explode(F.sequence(F.lit(1), F.length("spec"))).alias("n")).select("ref", "spec", F.expr("substring(spec, 1, n)").alias("p"))
-    wild = starts.join(mappings.filter(F.col("pattern").endswith("*")).select(F.expr("substring(pattern, 1, length(pattern) - 1)").alias("p"), "substitution"), "p")
-    best = wild.groupBy("ref", "spec").agg(F.max(F.struct(F.length("p").alias("n"), "p", "substitution")).alias("m"))
-    wild = best.select("ref", F.replace(F.col("m.substitution"), F.lit("*"), F.expr("substring(spec, m.n + 1)")).alias("b"))
-    e = _candidates(exact.withColumn("b", F.col("substitution")), [(_with_extensions(F.col("b")), "path-exact", confidence("ts-import", "path-exact"))], F.lit(True))
-    w = _candidates(wild, [(_with_extensions(F.col("b")), "path-wildcard", confidence("ts-import", "path-wildcard"))], F.lit(True)).withColumn("rank", F.col("rank") + 100)
-    whole = _candidates(bare.join(packages, F.col("name") == spec), [(F.array(*[F.concat("root", F.lit(x)) for x in ("/src/index.ts", "/index.ts")]), "workspace", confidence("ts-import", "workspace"))]).withColumn("rank", F.col("rank") + 300)
+    said = spec.rlike(r"^\.|^/")
+    bare = refs.filter(~said)
+    relative = refs.filter(said).select("ref", F.lit(0).alias("rung"), normalise(_under(_dir(F.col("file")), spec)).alias("base"))
+    exact = bare.join(by_exchange(mappings.filter(~F.col("pattern").contains("*"))), F.col("pattern") == spec).select("ref", F.lit(1).alias("rung"), F.col("substitution").alias("base"))
+    # The patterns that a spec starts with, by an equi-join on those prefixes that end as some pattern does.
+    stems = mappings.filter(F.col("pattern").endswith("*")).select(F.expr("substring(pattern, 1, length(pattern) - 1)").alias("p"), "substitution")
+    ends = stems.agg(F.collect_set(F.right("p", F.lit(1))).alias("ends"))  # one row of single characters
+    starts = bare.join(F.broadcast(ends)).select("ref", "spec", F.explode(F.filter(F.sequence(F.lit(1), F.length("spec")), lambda n: F.array_contains("ends", F.substring("spec", n, F.lit(1))))).alias("n")).select("ref", "spec", F.expr("substring(spec, 1, n)").alias("p"))
+    longest = starts.join(by_exchange(stems), "p").groupBy("ref", "spec").agg(F.max(F.struct(F.length("p").alias("n"), "p", "substitution")).alias("m"))
+    wild = longest.select("ref", F.lit(2).alias("rung"), F.replace(F.col("m.substitution"), F.lit("*"), F.expr("substring(spec, m.n + 1)")).alias("base"))
+    whole = bare.join(by_exchange(packages), F.col("name") == spec).select("ref", F.inline(F.array(*[F.struct(F.lit(3 + k).alias("rung"), F.concat("root", F.lit(x)).alias("base")) for k, x in enumerate(("/src/index.ts", "/index.ts"))])))
     folders = bare.select("ref", "spec", F.explode(prefixes(spec)).alias("name")).filter("name <> '' and name <> spec")
-    sub = folders.join(packages, "name")
-    sub = sub.groupBy("ref", "spec").agg(F.max(F.struct(F.length("name").alias("n"), "root")).alias("m")).withColumn("b", F.concat(F.col("m.root"), F.lit("/src/"), F.expr("substring(spec, m.n + 2)")))
-    s = _candidates(sub, [(_with_extensions(F.col("b")), "subpath", confidence("ts-import", "subpath"))]).withColumn("rank", F.col("rank") + 400)
-    every = rel.unionByName(e).unionByName(w).unionByName(whole).unionByName(s)
-    # A stop counts after its own candidates have all been tried.
-    late = every.filter("stop").groupBy("ref").agg(F.max("rank").alias("r")).select("ref", F.lit(None).cast("string").alias("path"), (F.col("r") + 1).alias("rank"), F.lit(0.0).alias("confidence"), F.lit("stopped").alias("reason"), F.lit(True).alias("stop"))
-    return ranked(refs.select("ref"), every.withColumn("stop", F.lit(False)).unionByName(late), files, stop="stop")
+    sub = folders.join(by_exchange(packages), "name").groupBy("ref", "spec").agg(F.max(F.struct(F.length("name").alias("n"), "root")).alias("m"))
+    sub = sub.select("ref", F.lit(5).alias("rung"), F.concat(F.col("m.root"), F.lit("/src/"), F.expr("substring(spec, m.n + 2)")).alias("base"))
+    tried = relative.unionByName(exact).unionByName(wild).unionByName(whole).unionByName(sub)
+    # One row a base, not one for each suffix; workspace entries name a whole file.
+    j = tried.join(by_exchange(_by_base(files, SUFFIXES)), "base", "left")
+    found, mapped = F.col("k").isNotNull() & (~F.col("rung").isin(3, 4) | (F.col("k") == 0)), F.col("rung").isin(1, 2)
+    path = F.concat("base", F.get(F.array(*[F.lit(x) for x in SUFFIXES]), F.col("k")))
+    best = j.filter(found | mapped).groupBy("ref").agg(F.min(F.when(found, F.struct("rung", "k", path.alias("path")))).alias("m"), F.bool_or(mapped).alias("stop"))
+    best = best.withColumn("m", F.when((F.col("m.rung") < 3) | ~F.col("stop"), F.col("m")))
+    names = ["relative", "path-exact", "path-wildcard", "workspace", "workspace", "subpath"]
+    rung = F.get(F.array(*[F.struct(F.lit(confidence("ts-import", x)).alias("c"), F.lit(x).alias("r")) for x in names]), F.col("m.rung"))
+    out = refs.select("ref").join(by_exchange(best), "ref", "left").withColumn("rung", rung)
+    return out.select("ref", F.col("m.path").alias("target"), F.coalesce("rung.c", F.lit(0.0)).alias("confidence"), F.coalesce("rung.r", F.lit("unresolved")).alias("reason"))
 
 
 #: Extensions that a JavaScript import may leave out, in this order.

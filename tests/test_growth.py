@@ -1,5 +1,6 @@
 """What holds at any size: sides that grow with the input meet by exchanges, however small Spark takes them for."""
 
+from plexigraph.operators import imports
 from plexigraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +17,18 @@ def gathered(spark, name):
 
 def test_include_resolution_gathers_nothing(spark):
     assert gathered(spark, "include_resolution") == 0
+
+
+def test_ts_import_resolution_gathers_one_row(spark):
+    """The only side sent around is the row of characters that patterns end in."""
+    assert gathered(spark, "ts_import_resolution") == 1
+
+
+def test_ts_mappings_stop_and_rank_by_suffix(spark):
+    """A mapping without a file stops before packages; of two substitutions the earlier suffix counts; patterns may end anywhere."""
+    refs = spark.createDataFrame([(1, "a.ts", "@x/lost"), (2, "a.ts", "two"), (3, "a.ts", "pre-y"), (4, "a.ts", "@x"), (5, "a.ts", "./d")], "ref int, file string, spec string")
+    files = spark.createDataFrame([("src/t.d.ts",), ("alt/t.ts",), ("lib/y.tsx",), ("r/index.ts",), ("r/index.ts",), ("d.d.ts",), ("d/index.ts",)], "path string")
+    mappings = spark.createDataFrame([("@x/*", "none/*"), ("two", "src/t"), ("two", "alt/t"), ("pre-*", "lib/*"), ("pr*", "nope/*")], "pattern string, substitution string")
+    packages = spark.createDataFrame([("@x", "r")], "name string, root string")
+    got = {r["ref"]: (r["target"], r["reason"]) for r in imports.resolve_ts(refs, files, mappings, packages).collect()}
+    assert got == {1: (None, "unresolved"), 2: ("alt/t.ts", "path-exact"), 3: ("lib/y.tsx", "path-wildcard"), 4: ("r/index.ts", "workspace"), 5: ("d.d.ts", "relative")}
