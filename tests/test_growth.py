@@ -1,7 +1,10 @@
 """What holds at any size: sides that grow with the input meet by exchanges, however small Spark takes them for."""
 
+import pytest
+
 from plexigraph.operators import imports
 from plexigraph.plans import catalog
+from plexigraph.sources import extract
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,15 @@ def test_ts_mappings_stop_and_rank_by_suffix(spark):
     packages = spark.createDataFrame([("@x", "r")], "name string, root string")
     got = {r["ref"]: (r["target"], r["reason"]) for r in imports.resolve_ts(refs, files, mappings, packages).collect()}
     assert got == {1: (None, "unresolved"), 2: ("alt/t.ts", "path-exact"), 3: ("lib/y.tsx", "path-wildcard"), 4: ("r/index.ts", "workspace"), 5: ("d.d.ts", "relative")}
+
+
+@pytest.mark.parametrize("name", ["workspace_members", "tsconfig_bases", "tsconfig_mappings", "js_import_resolution"])
+def test_sides_of_files_are_not_gathered(spark, name):
+    assert gathered(spark, name) == 0
+
+
+def test_facts_share_batches(spark):
+    """Many small files and a large one lose no fact; null texts and empty ones have none."""
+    files = spark.range(3000).selectExpr("concat('a', id, '.rs') AS path", "CASE WHEN id % 3 = 0 THEN 'mod x;' WHEN id % 3 = 1 THEN '' END AS text").coalesce(1)
+    large = spark.createDataFrame([("b.rs", "mod y;\n" * 2500)], "path string, text string")
+    assert extract.facts(files).count() == 1000 and extract.facts(large).filter("fact = 'symbol'").count() == 2500
