@@ -2,9 +2,9 @@
 
 import pytest
 
-from plexigraph.operators import imports
+from plexigraph.operators import change, imports, resolve
 from plexigraph.plans import catalog
-from plexigraph.sources import extract
+from plexigraph.sources import extract, tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,7 @@ def test_facts_share_batches(spark):
     files = spark.range(3000).selectExpr("concat('a', id, '.rs') AS path", "CASE WHEN id % 3 = 0 THEN 'mod x;' WHEN id % 3 = 1 THEN '' END AS text").coalesce(1)
     large = spark.createDataFrame([("b.rs", "mod y;\n" * 2500)], "path string, text string")
     assert extract.facts(files).count() == 1000 and extract.facts(large).filter("fact = 'symbol'").count() == 2500
+
+
+def test_module_paths_gathers_nothing(spark):
+    assert gathered(spark, "module_paths") == 0
