@@ -51,3 +51,9 @@ def test_facts_share_batches(spark):
 
 def test_module_paths_gathers_nothing(spark):
     assert gathered(spark, "module_paths") == 0
+
+
+def test_a_module_that_lib_and_main_declare_has_one_file(spark):
+    files = spark.createDataFrame([("c/lib.rs", "mod a;"), ("c/main.rs", "mod a;"), ("c/a.rs", "")], "path string, text string")
+    got = {(r["module"], r["state"], r["file"]) for r in tree.module_states(files, extract.facts(files)).collect()}
+    assert ("crate::a", "resolved", "c/a.rs") in got and len(got) == 3
