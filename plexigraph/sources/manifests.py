@@ -58,13 +58,13 @@ def config_chain(fact: DataFrame, depth: int = 8) -> DataFrame:
 def config_bases(fact: DataFrame, chain: DataFrame) -> DataFrame:
     """(path, base_url): the nearest base folder on each configuration's chain, from the folder of the one that says it."""
     b = fact.filter("fact = 'base-url'").select(F.col("path").alias("ancestor"), normalise(_join(folder(F.col("path")), F.col("target"))).alias("base"))
-    best = chain.join(b, "ancestor").groupBy("path").agg(F.min(F.struct("distance", "base")).alias("m"))
+    best = chain.join(by_exchange(b), "ancestor").groupBy("path").agg(F.min(F.struct("distance", "base")).alias("m"))
     return best.select("path", F.col("m.base").alias("base_url"))
 
 
 def config_mappings(fact: DataFrame, chain: DataFrame) -> DataFrame:
     """(path, pattern, target): path mappings of each configuration; of one pattern, the nearest configuration's count."""
     m = fact.filter("fact = 'mapping'").select(F.col("path").alias("ancestor"), F.col("name").alias("pattern"), "target")
-    every = chain.join(m, "ancestor")
+    every = chain.join(by_exchange(m), "ancestor")
     near = every.groupBy("path", "pattern").agg(F.min("distance").alias("distance"))
-    return every.join(near, ["path", "pattern", "distance"], "left_semi").select("path", "pattern", "target").distinct()
+    return every.join(by_exchange(near), ["path", "pattern", "distance"], "left_semi").select("path", "pattern", "target").distinct()
