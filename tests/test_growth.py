@@ -57,3 +57,15 @@ def test_a_module_that_lib_and_main_declare_has_one_file(spark):
     files = spark.createDataFrame([("c/lib.rs", "mod a;"), ("c/main.rs", "mod a;"), ("c/a.rs", "")], "path string, text string")
     got = {(r["module"], r["state"], r["file"]) for r in tree.module_states(files, extract.facts(files)).collect()}
     assert ("crate::a", "resolved", "c/a.rs") in got and len(got) == 3
+
+
+def test_source_graph_gathers_nothing(spark):
+    assert gathered(spark, "source_graph") == 0
+
+
+def test_a_name_of_many_files_costs_a_row_a_file(spark):
+    """200 files that define and call one name, and one call of a function that is alone."""
+    files = spark.range(200).selectExpr("concat('f', id, '.rs') AS path", "concat('fn build() {}\\nfn main', id, '() {\\n    build();\\n', if(id = 7, '    main9();\\n', ''), '}\\n') AS text")
+    edges = tree.graph(files)[1].filter("edge_type = 'CALLS'")
+    got = {(r["source"], r["target"], r["confidence"]) for r in edges.collect()}
+    assert got == {(f"symbol:f{k}.rs::main{k}", f"symbol:f{k}.rs::build", 0.85) for k in range(200)} | {("symbol:f7.rs::main7", "symbol:f9.rs::main9", 0.55)}
