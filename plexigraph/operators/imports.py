@@ -79,13 +79,22 @@ JS_EXTENSIONS = ["js", "jsx", "mjs", "cjs"]
 def resolve_js(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(ref, target, confidence, reason) of refs(ref, file, spec): a relative spec that is a file or a folder as it stands,
     else with another extension in place of its own; all others are external packages."""
-    there = files.select(F.explode(prefixes(F.col("path"))).alias("path")).filter("path <> ''").distinct()
-    r = refs.filter(F.col("spec").startswith(".")).withColumn("b", normalise(_under(_dir(F.col("file")), F.col("spec"))))
-    bare = F.regexp_replace("b", r"([^/])\.[^./]*$", "$1")
-    lists = [(F.array("b"), "existing", confidence("js-import", "existing")), (F.array(*[F.concat(bare, F.lit(f".{x}")) for x in JS_EXTENSIONS]), "extension", confidence("js-import", "extension"))]
-    found = ranked(refs.select("ref", "spec"), _candidates(r, lists), there)
-    outside = ~F.col("spec").startswith(".")
-    return found.select("ref", "target", F.when(outside, confidence("js-import", "external")).otherwise(F.col("confidence")).alias("confidence"), F.when(outside, "external").otherwise(F.col("reason")).alias("reason"))
+    there = files.select(F.explode(prefixes(F.col("path"))).alias("path")).filter("path <> ''")
+    # What a path is by itself, and the first extension with which it is one.
+    cut = [F.struct(F.col("path").alias("base"), F.lit(0).alias("k"))] + [F.when(F.endswith("path", F.lit(f".{x}")), F.struct(F.expr(f"substring(path, 1, length(path) - {len(x) + 1})").alias("base"), F.lit(k).alias("k"))) for k, x in enumerate(JS_EXTENSIONS, 1)]
+    by = there.select(F.inline(F.array(*cut))).filter("base is not null").groupBy("base").agg(F.bool_or(F.col("k") == 0).alias("itself"), F.min(F.when(F.col("k") > 0, F.col("k"))).alias("k"))
+    r = refs.filter(F.col("spec").startswith(".")).select("ref", normalise(_under(_dir(F.col("file")), F.col("spec"))).alias("b"))
+    r = r.withColumn("bare", F.regexp_replace("b", r"([^/])\.[^./]*$", "$1"))
+    ask = lambda base, whole, cut_: F.struct(F.col(base).alias("base"), F.lit(whole).alias("whole"), F.lit(cut_).alias("cut"))
+    tried = r.select("ref", F.inline(F.when(F.col("b") == F.col("bare"), F.array(ask("b", True, True))).otherwise(F.array(ask("b", True, False), ask("bare", False, True)))))
+    rank = F.when(F.col("whole") & F.col("itself"), 0).when(F.col("cut"), F.col("k"))
+    hits = tried.join(by_exchange(by), "base").withColumn("rank", rank).filter("rank is not null")
+    path = F.concat("base", F.get(F.array(F.lit(""), *[F.lit(f".{x}") for x in JS_EXTENSIONS]), F.col("rank")))
+    best = hits.groupBy("ref").agg(F.min(F.struct("rank", path.alias("path"))).alias("m"))
+    outside, known = ~F.col("spec").startswith("."), F.col("m").isNotNull()
+    conf = F.when(outside, confidence("js-import", "external")).when(F.col("m.rank") == 0, confidence("js-import", "existing")).when(known, confidence("js-import", "extension")).otherwise(0.0)
+    reason = F.when(outside, "external").when(F.col("m.rank") == 0, "existing").when(known, "extension").otherwise("unresolved")
+    return refs.select("ref", "spec").join(by_exchange(best), "ref", "left").select("ref", F.col("m.path").alias("target"), conf.alias("confidence"), reason.alias("reason"))
 
 
 def resolve_includes(refs: DataFrame, files: DataFrame, quote_dirs: list[str], project_dirs: list[str]) -> DataFrame:
