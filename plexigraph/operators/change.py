@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from plexigraph.operators.resolve import overlapping
+from plexigraph.session import by_exchange, store
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -126,6 +129,40 @@ def changed_symbols(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("symbol").agg(F.count("*").alias("hunks"), F.array_join(F.sort_array(F.collect_set("change_kind")), ",").alias("kinds"))
 
 
+def changed_ranges(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(symbol, hunks, kinds): `changed_symbols` of what hunks(hunk, file, new_start, new_end, change_kind) and ranges(id, file,
+    line_start, line_end) overlap, counted without their pairs.
+
+    Of the hunks of a file and kind, a range overlaps those that start by its end less those that end before its start: two
+    running sums over the file's lines. A hunk is one range of a file. Ids with several ranges and ranges that end before
+    they start are compared with the hunks one by one.
+    """
+    h = store(hunks.select("hunk", "file", "new_start", "new_end", "change_kind").distinct())
+    r = ranges.select(F.col("id").alias("symbol"), "file", "line_start", "line_end").distinct()
+    held = r.groupBy("symbol").agg(F.count("*").alias("n"), F.min(F.struct("file", "line_start", "line_end")).alias("r"))
+    plain = F.coalesce((F.col("n") == 1) & (F.col("r.line_start") <= F.col("r.line_end")), F.lit(False))
+    one, rest = held.filter(plain).select("symbol", "r.*"), held.filter(~plain).select(F.col("symbol").alias("__s"))
+
+    forward = h.filter("new_start <= new_end")
+    at = lambda c, s, e: F.struct(F.col(c).alias("line"), F.lit(s).alias("s"), F.lit(e).alias("e"))
+    marks = forward.select("file", "change_kind", F.inline(F.array(at("new_start", 1, 0), at("new_end", 0, 1)))).groupBy("file", "change_kind", "line").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    ask = lambda c, turn: F.struct(F.col(c).alias("line"), F.lit(turn).alias("turn"))
+    asked = one.join(by_exchange(forward.select("file", "change_kind").distinct()), "file").select("file", "change_kind", "symbol", F.inline(F.array(ask("line_start", 0), ask("line_end", 2))))
+    w = Window.partitionBy("file", "change_kind").orderBy("line", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marks.withColumn("turn", F.lit(1)).unionByName(asked, allowMissingColumns=True)
+    sums = rows.withColumn("n", F.when(F.col("turn") == 2, F.coalesce(F.sum("s").over(w), F.lit(0))).otherwise(-F.coalesce(F.sum("e").over(w), F.lit(0)))).filter("turn <> 1")
+    found = sums.groupBy("symbol", "change_kind").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    pairs = []
+    if not rest.isEmpty():
+        pairs.append(overlapping(h, r.join(by_exchange(rest), F.col("symbol").eqNullSafe(F.col("__s")), "left_semi").withColumnRenamed("symbol", "id")))
+    if not (back := h.filter("new_start > new_end")).isEmpty():
+        pairs.append(overlapping(back, one.withColumnRenamed("symbol", "id")))
+    for x in pairs:
+        found = found.unionByName(x.select("hunk", "symbol", "change_kind").distinct().groupBy("symbol", "change_kind").agg(F.count("*").alias("n")))
+    return found.groupBy("symbol").agg(F.sum("n").alias("hunks"), F.array_join(F.sort_array(F.collect_set("change_kind")), ",").alias("kinds"))
+
+
 #: Fixed values of the surface rules.
 UNSUPPORTED_LANGUAGES = ["csharp", "java", "go", "swift", "kotlin"]
 FIXTURE_LIKE = ["fixture", "test", "docs"]

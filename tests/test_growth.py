@@ -73,3 +73,13 @@ def test_a_name_of_many_files_costs_a_row_a_file(spark):
 
 def test_enclosing_scope_gathers_nothing(spark):
     assert gathered(spark, "enclosing_scope") == 0
+
+
+def test_changed_ranges_equals_pairs(spark):
+    """Ids with several ranges, ranges and hunks that end before they start, repeated rows and nulls count as in the pairs."""
+    ranges = spark.range(300).selectExpr("id % 280 AS id", "concat('f', id % 4) AS file", "id * 7 % 90 AS line_start", "id * 7 % 90 + id * 5 % 31 - 2 AS line_end").union(spark.sql("SELECT 500L, 'f1', NULL, 5L UNION ALL SELECT NULL, 'f1', 1L, 50L"))
+    hunks = spark.range(400).selectExpr("id AS hunk", "concat('f', id % 5) AS file", "id * 13 % 100 AS new_start", "id * 13 % 100 + id % 6 - 1 AS new_end", "if(id % 2 = 0, 'added', 'deleted') AS change_kind")
+    hunks = hunks.union(hunks.limit(50))
+    pairs = change.changed_symbols(resolve.overlapping(hunks, ranges).select("hunk", "symbol", "change_kind").distinct())
+    rows = lambda df: sorted(map(tuple, df.select("symbol", "hunks", "kinds").collect()), key=str)
+    assert len(rows(pairs)) > 200 and rows(change.changed_ranges(hunks, ranges)) == rows(pairs)
