@@ -77,6 +77,17 @@ def trim() -> None:
         pass  # not glibc: nothing to trim
 
 
+def release(spark: SparkSession) -> None:
+    """Have executors collect garbage and give back the heap that they no longer need.
+
+    A heap that one stage of a pipeline has filled otherwise keeps its size through the next ones,
+    beside their Python workers. One task for each core, so a busy executor may be left out.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    gc = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(gc.alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def parts(batches, column: int, rows: int = 256, size: int = 1 << 20):
     """Slices of Arrow batches of at most `rows` rows and about `size` bytes of a text column, one row at least."""
     import numpy as np

@@ -49,3 +49,11 @@ def test_batches_are_bounded(spark):
     _common.bound_batches(spark)
     assert spark.conf.get(key).rstrip("b") == "1000"
     spark.conf.unset(key)
+
+
+def test_release_collects_garbage(spark):
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    _common.release(spark)
+    assert full() > before
