@@ -49,6 +49,8 @@ from plexigraph.llm.components import components
 TREES, DEPTH = 20, 3
 #: Further orders for members of cut regions.
 EXTRA = 16
+#: Longer prefixes that a round of cutting looks at.
+LEVELS = 4
 COLUMNS = TREES * DEPTH + 4
 #: Counted rows (ids and hashes) up to which a side is broadcast rather than exchanged with the texts.
 BROADCAST_ROWS = 500_000
@@ -242,31 +244,62 @@ def _rotated() -> Column:
 
 
 def _cut_regions(large: DataFrame, region: int) -> DataFrame:
-    """Members of regions over the bound, dealt to the longer prefixes that bring them under it."""
-    ready, depth = [], DEPTH
-    while depth < COLUMNS and large.limit(1).count():
-        large = stash(large.drop("n").withColumn("child", F.xxhash64("key", F.expr(f"substring(ordered, {4 * depth + 1}, 4)"))), "large")
-        cuts = large.groupBy("key", "child").agg(F.count("*").alias("n"), F.min("rid").alias("top"))
-        tops = large.join(cuts.select("key", "child", F.col("top").alias("rid")), ["key", "child", "rid"], "left_semi").dropDuplicates(["key", "child"])
-        cut_counts = cuts.groupBy("key").agg(F.count("*").alias("n"))
-        tops = tops.join(cut_counts, "key").select(F.xxhash64("key", F.lit("tops")).alias("key"), "rid", "ordered", "n")
-        inner = large.join(cuts.select("child", "n").distinct(), "child").select(F.col("child").alias("key"), "rid", "ordered", "n").filter("n > 1")
-        both = stash(tops.unionByName(inner), "cut")
-        ready.append(both.filter(F.col("n") <= region))
-        large, depth = both.filter(F.col("n") > region), depth + 1
-    # What no prefix parts has signatures that agree everywhere: dealt out, with one shared member.
-    same = large.withColumn("part", F.expr(f"pmod(xxhash64(rid), cast(ceil(n / {region}) as int))"))
-    shared = large.groupBy("key").agg(F.min(F.struct("rid", "ordered", "n")).alias("m")).select("key", "m.*").withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(n / {region}) as int) - 1)")))
-    every = same.unionByName(shared.select(same.columns)).dropDuplicates(["key", "part", "rid"]).select(F.xxhash64("key", "part").alias("key"), "rid", "ordered", "n")
-    for x in ready:
+    """(key, rid, ordered): members of regions over the bound, dealt to the longer prefixes that bring them under it.
+
+    A round counts the LEVELS next prefixes of every member at once. What is over the bound is few: at most
+    a prefix and level for every `region` members.
+    """
+    large, ready, same = stash(large.select("key", "rid", "ordered", F.lit(DEPTH).alias("depth")), "large"), [], []
+    path = ["key", *(f"p{k}" for k in range(LEVELS))]
+    while large.limit(1).count():
+        same.append(large.filter(F.col("depth") >= COLUMNS))
+        large = large.filter(F.col("depth") < COLUMNS)
+        paths = large
+        for k in range(LEVELS):
+            paths = paths.withColumn(path[k + 1], F.xxhash64(path[k], F.expr(f"substring(ordered, 4 * (depth + {k}) + 1, 4)")))
+        cut = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(path[k]).alias("parent"), F.col(path[k + 1]).alias("child")) for k in range(LEVELS)]))
+        nodes = paths.select("key", "rid", "depth", cut.alias("x")).groupBy("key", "depth", "x.level", "x.parent", "x.child")
+        nodes = stash(nodes.agg(F.count("*").alias("n"), F.min("rid").alias("top")), "nodes")
+        over = if_small(stash(nodes.filter(F.col("n") > region).select("child"), "over"), BROADCAST_ROWS)
+        # A member goes down to its first prefix that isn't over the bound.
+        key, more = F.col(path[LEVELS]), F.lit(True)
+        for k in reversed(range(LEVELS)):
+            paths = paths.join(over.select(F.col("child").alias(path[k + 1]), F.lit(True).alias(f"over{k}")), path[k + 1], "left")
+            here = F.col(f"over{k}").isNull()
+            key, more = F.when(here, F.col(path[k + 1])).otherwise(key), F.when(here, F.lit(False)).otherwise(more)
+        inner = paths.select(key.alias("key"), "rid", "ordered", (F.col("depth") + LEVELS).alias("depth"), more.alias("more"))
+        # The smallest member of every cut stays in the region above.
+        tops = nodes.join(over.select(F.col("child").alias("parent"), F.lit(True).alias("split")), "parent", "left").filter("level = 0 or split")
+        wide = stash(tops.groupBy("parent").count().filter(F.col("count") > region).select("parent", F.lit(True).alias("more")), "wide")
+        tops = tops.join(if_small(wide, BROADCAST_ROWS), "parent", "left")
+        tops = stash(tops.select("key", F.col("top").alias("rid"), F.xxhash64("parent", F.lit("tops")).alias("above"), (F.col("depth") + F.col("level") + 1).alias("next"), F.coalesce("more", F.lit(False)).alias("more")), "tops")
+        tops = large.join(if_small(tops, BROADCAST_ROWS), ["key", "rid"]).select(F.col("above").alias("key"), "rid", "ordered", F.col("next").alias("depth"), "more")
+        both = stash(inner.unionByName(tops), "cut")
+        ready.append(both.filter("not more"))
+        large = both.filter("more").drop("more")
+    every = ready[0]
+    for x in ready[1:]:
         every = every.unionByName(x)
+    every = every.select("key", "rid", "ordered")
+    # What no prefix parts has signatures that agree everywhere: dealt out, with one shared member.
+    for large in same:
+        if large.limit(1).count():
+            large = large.join(large.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "rid", "ordered", "n")
+            dealt = large.withColumn("part", F.expr(f"pmod(xxhash64(rid), cast(ceil(n / {region}) as int))"))
+            shared = large.groupBy("key").agg(F.min(F.struct("rid", "ordered", "n")).alias("m")).select("key", "m.*").withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(n / {region}) as int) - 1)")))
+            parted = dealt.unionByName(shared.select(dealt.columns)).dropDuplicates(["key", "part", "rid"])
+            every = every.unionByName(parted.select(F.xxhash64("key", "part").alias("key"), "rid", "ordered"))
     return every
 
 
-def _walk(members: DataFrame, region: int, loose: float) -> DataFrame:
-    """(a, b): steps of the walks through members(key, rid, ordered, n), every region in its tree's order."""
-    if members.filter(F.col("n") > region).limit(1).count():
-        members = members.filter(F.col("n") <= region).unionByName(_cut_regions(members.filter(F.col("n") > region), region))
+def _walk(members: DataFrame, region: int, loose: float, crowded: bool) -> DataFrame:
+    """(a, b): steps of the walks through members(key, rid, ordered, n), every region in its tree's order; stored.
+
+    `crowded`: some n is over `region`.
+    """
+    if crowded:
+        small = members.filter(F.col("n") <= region).select("key", "rid", "ordered")
+        members = small.unionByName(_cut_regions(members.filter(F.col("n") > region), region))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -287,7 +320,8 @@ def _walk(members: DataFrame, region: int, loose: float) -> DataFrame:
         if buffer:
             yield pa.Table.from_batches(buffer).combine_chunks().to_batches()[0]
 
-    return members.select("key", "rid", "ordered").repartition("key").sortWithinPartitions("key", "ordered").mapInArrow(run, "a long, b long")
+    walked = members.select("key", "rid", "ordered").repartition("key").sortWithinPartitions("key", "ordered").mapInArrow(run, "a long, b long")
+    return stash(walked, "steps")  # a next Python step in the same tasks would take a second worker for each core
 
 
 def _shared(each: DataFrame) -> DataFrame:
@@ -318,18 +352,19 @@ def forest_edges(classes: DataFrame, region: int, loose: float) -> DataFrame:
     """(a, b) between classes (rid, sig, keys): steps of the walks in all regions of all trees."""
     narrow = _shared(classes.select("rid", F.posexplode("keys").alias("tree", "key")))
     members = narrow.join(classes.select("rid", "sig"), "rid").select("key", "rid", _rotated().alias("ordered"), "n")
-    steps = _walk(members, region, loose)
     crowded = narrow.filter(F.col("n") > region)
-    if not crowded.limit(1).count():
+    any_ = crowded.limit(1).count() > 0
+    steps = _walk(members, region, loose, any_)
+    if not any_:
         return steps
     # Cut regions: a pair may have parted in every tree. What isn't joined yet meets in further orders.
-    steps = stash(steps, "steps")
     joined = crowded.join(components(steps).withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component"))
     open_ = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     crowd = stash(classes.select("rid", "sig").join(joined.join(open_, "key", "left_semi").select("rid").distinct(), "rid", "left_semi"), "crowd")
     if not crowd.limit(1).count():
         return steps
-    return steps.unionByName(_walk(_shared(_more_orders(crowd)), region, loose))
+    further = _shared(_more_orders(crowd))
+    return steps.unionByName(_walk(further, region, loose, further.filter(F.col("n") > region).limit(1).count() > 0))
 
 
 def _confirm(tasks: DataFrame, words: int, percent: int) -> DataFrame:
@@ -389,7 +424,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, word
         else concat(transform(sequence(0, pm - 1), o -> named_struct('r', own, 'o', o, 'm', true)),
                     transform(sequence(0, pr - 1), o -> named_struct('r', least(own, o), 'o', greatest(own, o), 'm', false))) end""")
     dealt = rest.withColumn("pair", F.explode(F.array_distinct(pairs))).withColumn("task", F.xxhash64("component", "pair.r", "pair.o", "pair.m"))
-    return links.unionByName(_confirm(dealt.select("task", "rid", "label", (~F.col("in_main")).alias("seed"), "text"), words, percent))
+    return links.unionByName(stash(_confirm(dealt.select("task", "rid", "label", (~F.col("in_main")).alias("seed"), "text"), words, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 1000, block: int = 1500) -> DataFrame:

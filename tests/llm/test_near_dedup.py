@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plexigraph.llm import near_dedup
+from plexigraph.llm import _common, near_dedup
 from plexigraph.llm.components import components, label_least
 from tests.llm.brute import near_components, shingles
 
@@ -164,3 +164,46 @@ def test_query_against_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(out) == want(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.collect())
+
+
+def forest_of(make, rows):
+    return near_dedup.sketch(make(rows), 4).select(F.col("doc_id").alias("rid"), "sig", "keys")
+
+
+def test_walks_are_stored_before_another_python_step(make):
+    """Two Python steps in a task hold two workers for each core, and idle ones stay with what they have loaded."""
+    steps = near_dedup.forest_edges(forest_of(make, corpus(5)), 1000, 0.55)
+    assert "MapInArrow" not in steps._jdf.queryExecution().executedPlan().toString()
+    assert steps.count()
+
+
+def test_cuts_take_several_columns_a_round(make):
+    """A crowd cut five columns deep: one round, bounded regions, every member in one, and all of them joined by shared members."""
+    base = np.zeros(near_dedup.COLUMNS, np.uint32)
+    r = np.random.default_rng(3)
+    sigs = [np.concatenate([base[:3], r.integers(0, 2, near_dedup.COLUMNS - 3, dtype=np.uint32)]) for _ in range(150)]
+    members = make([(0, "")]).sparkSession.createDataFrame([(7, i, s.tobytes()) for i, s in enumerate(sigs)], "key long, rid long, ordered binary")
+    before = _common.stashed()
+    cut = near_dedup._cut_regions(members, 20)
+    assert _common.stashed() - before <= 6  # it was two a column
+    regions = {}
+    for x in cut.collect():
+        regions.setdefault(x["key"], []).append(x["rid"])
+    assert max(map(len, regions.values())) <= 20
+    assert {x for own in regions.values() for x in own} == set(range(150))
+    pairs = np.array([(own[0], x) for own in regions.values() for x in own])
+    ids, least = label_least(pairs[:, 0], pairs[:, 1])
+    assert len(ids) == 150 and not least.any()
+
+
+def test_cuts_of_equal_signatures_and_of_wide_splits(make):
+    spark = make([(0, "")]).sparkSession
+    same = [(7, i, np.zeros(near_dedup.COLUMNS, np.uint32).tobytes()) for i in range(30)]
+    wide = [(8, 100 + i, np.array([1, 1, 1, i, *[i % 3] * (near_dedup.COLUMNS - 4)], np.uint32).tobytes()) for i in range(40)]
+    regions = {}
+    for x in near_dedup._cut_regions(spark.createDataFrame(same + wide, "key long, rid long, ordered binary"), 15).collect():
+        regions.setdefault(x["key"], set()).add(x["rid"])
+    assert max(map(len, regions.values())) <= 16  # the shared member of equal ones comes on top
+    pairs = np.array([(min(own), x) for own in regions.values() for x in own])
+    ids, least = label_least(pairs[:, 0], pairs[:, 1])
+    assert dict(zip(ids.tolist(), least.tolist(), strict=True)) == {**{i: 0 for i in range(30)}, **{100 + i: 100 for i in range(40)}}
