@@ -71,6 +71,42 @@ def test_a_name_of_many_files_costs_a_row_a_file(spark):
     assert got == {(f"symbol:f{k}.rs::main{k}", f"symbol:f{k}.rs::build", 0.85) for k in range(200)} | {("symbol:f7.rs::main7", "symbol:f9.rs::main9", 0.55)}
 
 
+def test_source_graph_holds_parents_and_externals(spark):
+    """Parents by scope: impl before struct, inner before outer, an enum in a module, a body outside its class; calls that only the standard library answers, and their nodes."""
+    rust = """use ext::Map;
+use crate::own::Vec as Box;
+struct T;
+impl T {
+    fn a() { Map::new(); Vec::new(); Box::new(); Ok(1); }
+    fn b(&self) { std::mem::swap(x, y); v.clone(); v.push(1); gone(); }
+}
+mod m {
+    mod m {
+        fn f() { T::a(); }
+    }
+    enum K {
+        One,
+    }
+    impl super::T {
+        fn c() {}
+    }
+}
+"""
+    rows = [("a.rs", rust), ("a.py", "class C:\n    class D:\n        def f(self):\n            v.clone()\n"), ("a.js", "class B { B2() { x.clone(); } }\n"), ("a.cpp", "class P {\n  P() {}\n  int q();\n};\nint P::q() {\n}\nint Far::z() {\n}\n")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    nodes, edges = tree.graph(files)
+    got = {(r["source"].removeprefix("symbol:"), r["target"].removeprefix("symbol:")) for r in edges.filter("edge_type = 'HAS_PARENT'").collect()}
+    rs = {("a.rs::T::a", "a.rs::T::_L4"), ("a.rs::T::b", "a.rs::T::_L4"), ("a.rs::m::m", "a.rs::m"), ("a.rs::m::m::f", "a.rs::m::m"), ("a.rs::m::K", "a.rs::m"), ("a.rs::K::One", "a.rs::m::K"), ("a.rs::m::super::T", "a.rs::m"), ("a.rs::m::super::T::c", "a.rs::m::super::T")}
+    other = {("a.py::C::D", "a.py::C"), ("a.py::C.D::f", "a.py::C::D"), ("a.js::B::B2", "a.js::B"), ("a.cpp::P::P", "a.cpp::P"), ("a.cpp::P::q", "a.cpp::P"), ("a.cpp::P::q::_L5", "a.cpp::P")}
+    assert got == rs | other
+    out = {(r["source"], r["target"], r["confidence"]) for r in edges.filter("edge_type = 'CALLS' and target not like 'symbol:a.%'").collect()}
+    a, b = "symbol:a.rs::T::a", "symbol:a.rs::T::b"
+    assert out == {(a, "symbol:ext::Map::new", 0.8), (a, "symbol:std::vec::Vec::new", 0.8), (a, "symbol:std::result::Result::Ok", 0.8), (b, "symbol:std::mem::swap", 0.8), (b, "symbol:std::clone::Clone::clone", 0.55)}
+    assert {(r["id"], r["name"], r["kind"]) for r in nodes.filter("is_external").collect()} == {(t, t.split("::")[-1], None) for _, t, _ in out}
+    ids = [r["id"] for r in nodes.collect()]
+    assert len(ids) == len(set(ids)) and {x for r in edges.collect() for x in (r["source"], r["target"])} <= set(ids)
+
+
 def test_enclosing_scope_gathers_nothing(spark):
     assert gathered(spark, "enclosing_scope") == 0
 
